@@ -1,0 +1,8 @@
+"""The corpus pipeline (stages are added as their operators land)."""
+
+STAGES = []
+ORACLE_SQL = None
+
+
+def run(spark, sf_dir):
+    raise NotImplementedError
