@@ -87,7 +87,8 @@ def chosen_paths(tree: DataFrame, *, top: int = 1) -> DataFrame:
     best = leaves.withColumn("path", F.row_number().over(rank)).where(F.col("path") <= top)
     found = best.select("conv_id", "path", F.col("node").alias("leaf"), "node")
     for jump in jumps:
-        found = found.unionByName(found.join(jump, ["conv_id", "node"]).select("conv_id", "path", "leaf", F.col("up").alias("node")))
+        above = found.join(jump, ["conv_id", "node"]).select("conv_id", "path", "leaf", F.col("up").alias("node"))
+        found = stored(found.unionByName(above), "paths")  # each round reads the one before twice: unstored, the plan would double
     return found.join(state.select("conv_id", "node", "depth"), ["conv_id", "node"])
 
 
