@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import chat_format, sharding, simhash_dedup
+from loamgraph.llm import chat_format, quality_rules, sharding, simhash_dedup, toxicity
 from loamgraph.llm.common import table
 
 
+def op2_isolation_forest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -27,10 +31,16 @@ def op9_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_paths(tree, top=1))
 
 
+def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 QUERIES = {
+    "op2_isolation_forest_quality": op2_isolation_forest_quality,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_hash_tree_sharding": op8_hash_tree_sharding,
     "op9_reply_tree_chat": op9_reply_tree_chat,
+    "op10_kneser_ney_toxicity": op10_kneser_ney_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
