@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import chat_format, quality_rules, sharding, simhash_dedup, toxicity
+from loamgraph.llm import chat_format, decontamination, pii, quality_rules, sharding, simhash_dedup, toxicity
 from loamgraph.llm.common import table
 
 
@@ -13,6 +13,14 @@ def op2_isolation_forest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op5_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -37,6 +45,8 @@ def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_isolation_forest_quality": op2_isolation_forest_quality,
+    "op3_disclosure_pii": op3_disclosure_pii,
+    "op5_simhash_decontamination": op5_simhash_decontamination,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_hash_tree_sharding": op8_hash_tree_sharding,
     "op9_reply_tree_chat": op9_reply_tree_chat,
