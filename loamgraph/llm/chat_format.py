@@ -73,16 +73,21 @@ def chosen_paths(tree: DataFrame, *, top: int = 1) -> DataFrame:
     known = base.select("conv_id", F.col("node").alias("parent"), F.lit(True).alias("there"))
     base = base.join(known, ["conv_id", "parent"], "left").select("conv_id", "node", F.when(F.col("there"), F.col("parent")).alias("parent"), "score")
     base = stored(base, "tree")
-    jumps = []
+    jumps, settled = [], None
     state = base.select("conv_id", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), "score")
     for _ in range(_max_doublings(base)):
-        jumps.append(state.select("conv_id", "node", "up").where("up is not null"))
-        above = state.select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("score").alias("s2"))
-        joined = state.join(above, ["conv_id", "up"], "left")
-        state = stored(joined.select("conv_id", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score")), "pointers")
-        if state.where("up is not null").isEmpty():
+        climbing = state.where("up is not null")
+        if climbing.isEmpty():
             break
-    leaves = state.where("up is null").join(base.select("conv_id", F.col("parent").alias("node")), ["conv_id", "node"], "left_anti")
+        jumps.append(climbing.select("conv_id", "node", "up"))
+        rooted = state.where("up is null")
+        settled = rooted if settled is None else settled.unionByName(rooted)
+        above = settled.unionByName(climbing).select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("score").alias("s2"))
+        joined = climbing.join(above, ["conv_id", "up"])  # nodes that know their root take no further part
+        state = stored(joined.select("conv_id", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("score") + F.col("s2")).alias("score")), "pointers")
+    rooted = state.where("up is null")
+    state = rooted if settled is None else settled.unionByName(rooted)
+    leaves = state.join(base.select("conv_id", F.col("parent").alias("node")), ["conv_id", "node"], "left_anti")
     rank = Window.partitionBy("conv_id").orderBy((F.col("score") / F.col("depth")).desc(), F.col("depth").desc(), "node")
     best = leaves.withColumn("path", F.row_number().over(rank)).where(F.col("path") <= top)
     found = best.select("conv_id", "path", F.col("node").alias("leaf"), "node")
