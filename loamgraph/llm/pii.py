@@ -148,12 +148,12 @@ def disclosing(rows: DataFrame, *, threshold: float, support: int) -> DataFrame:
     documents with them; n(entity, term) that of documents with the term near the entity.
     """
     docs = rows.where("rid is not null")
-    n_docs = docs.select(F.count("*").cast("double").alias("docs"))
+    n_docs = float(docs.count())
     mentions = docs.where(F.size("near") > 0).select("rid", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("m")).select("rid", "m.*")
     pairs = mentions.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
     entities = docs.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
     terms = rows.where("term is not null").groupBy("term").agg(F.sum("n").alias("with_term"))
-    both = pairs.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(n_docs))  # the total is one row
+    both = pairs.join(entities, "entity").join(terms, "term").withColumn("docs", F.lit(n_docs))
     pmi = F.log(F.col("docs") * F.col("both") / (F.col("with_entity") * F.col("with_term")))
     information = F.log(F.col("docs") / F.col("with_entity"))
     return both.where("with_entity < docs").withColumn("disclosure", pmi / information).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")

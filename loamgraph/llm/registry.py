@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import chat_format, decontamination, pii, quality_rules, sharding, simhash_dedup, toxicity
+from loamgraph.llm import chat_format, decontamination, line_dedup, mixing, pii, quality_rules, sharding, simhash_dedup, toxicity
 from loamgraph.llm.common import table
 
 
+def op1_deletion_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.document_lines(table(spark, sf_dir, "documents"))
+
+
 def op2_isolation_forest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,6 +30,11 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.permuted(mixing.mixture(table(spark, sf_dir, "documents"), repetition=2.0))
+    return rows.withColumn("weight", F.round("weight", 9)).withColumn("order_key", F.round("order_key", 9))
+
+
 def op8_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack")
@@ -44,13 +53,15 @@ def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_deletion_line_dedup": op1_deletion_line_dedup,
     "op2_isolation_forest_quality": op2_isolation_forest_quality,
     "op3_disclosure_pii": op3_disclosure_pii,
     "op5_simhash_decontamination": op5_simhash_decontamination,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_temperature_mixing": op7_temperature_mixing,
     "op8_hash_tree_sharding": op8_hash_tree_sharding,
     "op9_reply_tree_chat": op9_reply_tree_chat,
     "op10_kneser_ney_toxicity": op10_kneser_ney_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_deletion_line_dedup": line_dedup.ORACLE, "op7_temperature_mixing": mixing.ORACLE}
