@@ -10,6 +10,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,6 +164,16 @@ class Index:
         return both / every
 
 
+def _indexes(benchmark: DataFrame, *, similarity: float, radius: int, block_items: int, block_chars: int) -> Iterator[Broadcast]:
+    """The benchmark's blocks as broadcast indexes; one empty index for an empty benchmark."""
+    items = benchmark.select("item_id", "text").where("text is not null")
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // block_items), -(-chars // block_chars))
+    for k in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in rows], radius=radius, similarity=similarity))
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8, radius: int = 20, block_items: int = 20_000, block_chars: int = 16_000_000) -> DataFrame:
     """``docs(doc_id, text)``, ``benchmark(item_id, text)`` -> ``(doc_id, item_id, similarity, distance, first_word, n_words)``.
 
@@ -177,13 +188,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, similarity: float =
     items without a word (null, empty) are found nowhere, as are windows in null or empty texts. Equal items are
     reported each. Repeated rows of documents give repeated rows; an empty benchmark gives no rows.
     """
-    items = benchmark.select("item_id", "text").where("text is not null")
-    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    blocks = max(1, -(-n // block_items), -(-chars // block_chars))
-    spark, found = docs.sparkSession, None
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        held = spark.sparkContext.broadcast(Index([tuple(r) for r in rows], radius=radius, similarity=similarity))
+    found = None
+    for held in _indexes(benchmark, similarity=similarity, radius=radius, block_items=block_items, block_chars=block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value
@@ -198,9 +204,20 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, similarity: float =
     return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with all columns. Rows without doc_id are judged as others are."""
-    key = "__row_key"
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    found = contaminations(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark, **params).select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(found, key, "left_anti").drop(key)
+def _clean(held: Broadcast):
+    """Whether texts hold no item of a block."""
+
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([not held.value.find(t) for t in texts.to_pylist()], pa.bool_())
+
+    return F.arrow_udf(of, "boolean")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8, radius: int = 20, block_items: int = 20_000, block_chars: int = 16_000_000) -> DataFrame:
+    """The rows of ``docs`` in whose texts ``contaminations`` finds no item, with all columns.
+
+    Each text is judged where it is read, by one block of the benchmark after the other: no text is shuffled.
+    """
+    for held in _indexes(benchmark, similarity=similarity, radius=radius, block_items=block_items, block_chars=block_chars):
+        docs = docs.where(_clean(held)("text"))
+    return docs

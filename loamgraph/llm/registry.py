@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import chat_format, decontamination, line_dedup, mixing, pii, quality_rules, sharding, simhash_dedup, toxicity
+from loamgraph.llm import chat_format, decontamination, licenses, line_dedup, mixing, pii, quality_rules, sharding, simhash_dedup, toxicity
 from loamgraph.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op3_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op4_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.document_licenses(licenses.scan(docs, licenses.train(docs)))
+
+
 def op5_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op1_deletion_line_dedup": op1_deletion_line_dedup,
     "op2_isolation_forest_quality": op2_isolation_forest_quality,
     "op3_disclosure_pii": op3_disclosure_pii,
+    "op4_license_classifier": op4_license_classifier,
     "op5_simhash_decontamination": op5_simhash_decontamination,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_temperature_mixing": op7_temperature_mixing,

@@ -60,24 +60,29 @@ def place(key: Column, shards: list[Shard]) -> Column:
     return least([least(options) for options in by_region.values()])  # region -> rack, root -> region
 
 
-def assign(docs: DataFrame, shards: list[Shard], *, key: str = "doc_id", text: str = "text", buckets: int = 1024) -> DataFrame:
-    """``docs`` -> ``(doc_id, size, text_crc32, region, rack, shard, slot)``, a row for each row.
+def assign(docs: DataFrame, shards: list[Shard], *, key: str = "doc_id", text: str = "text", buckets: int = 1024, carry: bool = False) -> DataFrame:
+    """``docs`` -> ``(doc_id, size, text_crc32, region, rack, shard, slot)``, a row for each row; with ``carry``, after its own columns.
 
     Law ``key``: the id and the tree decide. ``size`` is the UTF-8 length of the text plus 8 (null
     text: 8), ``text_crc32`` the unsigned CRC-32 of the text (null: of no bytes, 0). ``slot`` numbers
     the rows of a shard from 0 without gaps: a shard is cut into ``buckets`` buckets by a hash of the
     id, bucket offsets are summed over counts, and rows are numbered within buckets, so no task orders a whole
     shard. Rows with equal ids (repeated rows, null ids) share shard and bucket; equal rows take
-    neighbouring slots in any order. Other columns are not read. No rows give no rows.
+    neighbouring slots in any order. Other columns are not read; a carried one named like a new one gives
+    way to it. No rows give no rows.
     """
     at = place(F.col(key), shards)
-    rows = docs.select(
-        F.col(key).alias("doc_id"),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        at.alias("at"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long").alias("h"),
-    ).select("doc_id", "size", "text_crc32", "at.region", "at.rack", "at.shard", (F.col("h") % buckets).cast("int").alias("bucket"))
+    new = {
+        "doc_id": F.col(key),
+        "size": (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long"),
+        "text_crc32": F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")),
+        "__at": at,
+        "bucket": (F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long") % buckets).cast("int"),
+    }
+    given = {"region", "rack", "shard", "slot"}
+    own = [F.col(c) for c in docs.columns if c not in given | set(new)] if carry else []
+    rows = docs.select(*own, *(c.alias(n) for n, c in new.items()))
+    rows = rows.select(*(c for c in rows.columns if c != "__at"), "__at.region", "__at.rack", "__at.shard")
     return slots(rows)
 
 
