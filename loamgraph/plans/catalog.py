@@ -1,6 +1,529 @@
-"""The registered queries of the knowledge-graph engine and their SQL counterparts."""
+"""The registered queries of the knowledge-graph engine and their SQL counterparts.
+
+Test tables stand in for materials: documents are source texts, embeddings unit vectors, pages raw extractions, events
+progress events, orders a prerequisite graph (an order needs the two orders of its customer before it).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loamgraph.functions import ids as I
+from loamgraph.functions import text as T
+from loamgraph.operators import graph as G
+from loamgraph.operators import lines as L
+from loamgraph.operators import nodes as N
+from loamgraph.operators import schedule as K
+from loamgraph.operators import segments as C
+from loamgraph.operators import similarity as S
+from loamgraph.sources import manifest as M
+from loamgraph.sources.stages import stored, table
+from loamgraph.streaming import progress as P
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# Vectors
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("collection"))
+
+
+def _query_vector(spark: SparkSession, sf: str) -> list[float]:
+    return table(spark, sf, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+
+
+_COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
+@query(f"SELECT a.vec_id, a.label, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 ORDER BY {_COS} DESC, a.vec_id LIMIT 10")
+def similar_units_topk(spark, sf):
+    rows = S.topk(table(spark, sf, "embeddings"), _query_vector(spark, sf), 10)
+    return rows.select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT a.vec_id, a.label, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.label IN (1, 3) ORDER BY {_COS} DESC, a.vec_id LIMIT 10")
+def similar_units_filtered(spark, sf):
+    rows = S.metadata_filter(table(spark, sf, "embeddings"), {"label": [1, None, 3], "unknown": 5, "vec_id": []}, allowed={"label", "vec_id"})
+    return S.topk(rows, _query_vector(spark, sf), 10).select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+_EDGES = """edges AS (
+  SELECT a.vec_id AS id, b.vec_id AS other, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35
+  QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY score DESC, b.vec_id) <= 5)"""
+
+
+@query(f"WITH {_EDGES} SELECT id, other, round(score, 6) AS score, row_number() OVER (PARTITION BY id ORDER BY score DESC, other)::INTEGER AS rank FROM edges")
+def similarity_edges_topk(spark, sf):
+    rows = S.similarity_join(_vectors(spark, sf), threshold=0.35, top_k=5)
+    return rows.select("id", "other", F.round("score", 6).alias("score"), "rank")
+
+
+_COMPONENTS = f"""{_EDGES},
+both_ways AS (SELECT id AS u, other AS v FROM edges UNION SELECT other, id FROM edges),
+reach(u, v) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON r.v = b.u),
+comp AS (SELECT u AS id, min(v) AS component FROM reach GROUP BY u)"""
+
+
+@query(f"WITH RECURSIVE {_COMPONENTS} SELECT id, component FROM comp")
+def similarity_components(spark, sf):
+    vectors = _vectors(spark, sf)
+    edges = S.similarity_join(vectors, threshold=0.35, top_k=5).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    return S.components(vectors.select("id"), edges)
+
+
+@query(f"""WITH RECURSIVE {_COMPONENTS},
+placed AS (SELECT c.id, component, ((row_number() OVER (PARTITION BY component ORDER BY c.id) - 1) // 8)::INTEGER AS slice, label FROM comp c JOIN embeddings e ON e.vec_id = c.id),
+pairs AS (SELECT DISTINCT least(id, other) AS a, greatest(id, other) AS b FROM edges),
+inside AS (SELECT x.component, x.slice, count(*) AS n FROM pairs p JOIN placed x ON x.id = p.a JOIN placed y ON y.id = p.b WHERE x.component = y.component AND x.slice = y.slice GROUP BY ALL)
+SELECT p.component, p.slice, array_to_string(list(id ORDER BY id), ',') AS members, array_to_string(list_sort(list(DISTINCT label::VARCHAR)), ',') AS collections,
+       count(DISTINCT label) > 1 AS cross_collection, coalesce(any_value(n), 0) AS n_edges
+FROM placed p LEFT JOIN inside i ON i.component = p.component AND i.slice = p.slice GROUP BY p.component, p.slice""")
+def candidate_clusters(spark, sf):
+    rows = S.candidate_clusters(_vectors(spark, sf), threshold=0.35, top_k=5, max_size=8)
+    return rows.withColumn("members", F.array_join("members", ",")).withColumn("collections", F.array_join("collections", ","))
+
+
+@query("""WITH unit AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
+flat AS (SELECT label, unnest(v) / n AS x, generate_subscripts(v, 1) AS dim FROM unit),
+mean AS (SELECT label, dim, avg(x) AS x FROM flat GROUP BY ALL),
+size AS (SELECT label, sqrt(sum(x * x)) AS n FROM mean GROUP BY label)
+SELECT m.label::VARCHAR AS key, dim - 1 AS dim, round(x / n, 6) AS x FROM mean m JOIN size USING (label)""")
+def centroid_by_label(spark, sf):
+    rows = S.mean_vectors(_vectors(spark, sf).select(F.col("collection").alias("key"), "v"))
+    return rows.select("key", F.posexplode("vector").alias("dim", "x")).select("key", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+
+
+# Lines and ranges
+
+_LINES = """lines AS (SELECT doc_id AS source_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+counts AS (SELECT source_id, count(*) AS line_count FROM lines GROUP BY source_id)"""
+#: Ranges by a rule: from every fourth line, two lines and a share more; so some overlap, some leave gaps and some overrun the end.
+_SPANS = "spans AS (SELECT source_id, line_no AS start_line, line_no + 1 + (source_id + line_no) % 4 AS end_line FROM lines WHERE line_no % 4 = 1)"
+
+
+def _lines(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    lines = L.document_lines(table(spark, sf, "documents"))
+    counts = lines.groupBy("source_id").agg(F.count("*").alias("line_count"))
+    spans = lines.where("line_no % 4 = 1").select("source_id", F.col("line_no").alias("start_line"), (F.col("line_no") + 1 + (F.col("source_id") + F.col("line_no")) % 4).cast("int").alias("end_line"))
+    return lines, counts, spans
+
+
+@query(f"WITH {_LINES} SELECT source_id, line_no, line FROM lines")
+def doc_lines(spark, sf):
+    return _lines(spark, sf)[0]
+
+
+@query(f"""WITH {_LINES}, {_SPANS} SELECT source_id, trim(string_agg(line, chr(10) ORDER BY line_no), ' ' || chr(9) || chr(10) || chr(13)) AS text
+FROM lines l WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.source_id = l.source_id AND l.line_no BETWEEN s.start_line AND s.end_line - 1) GROUP BY source_id""")
+def delete_ranges_apply(spark, sf):
+    lines, _, spans = _lines(spark, sf)
+    return L.joined(L.delete_ranges(lines, spans.withColumn("end_line", F.col("end_line") - 1)))
+
+
+@query(f"""WITH {_LINES}, {_SPANS}, framed AS (
+  SELECT source_id, start_line, coalesce(max(end_line) OVER (PARTITION BY source_id ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach
+  FROM (SELECT * FROM spans UNION ALL SELECT source_id, line_count + 1, line_count + 1 FROM counts))
+SELECT source_id, reach + 1 AS start_line, start_line - 1 AS end_line FROM framed WHERE start_line > reach + 1""")
+def line_gaps(spark, sf):
+    _, counts, spans = _lines(spark, sf)
+    return L.gaps(spans, counts)
+
+
+@query(f"""WITH {_LINES}, {_SPANS} SELECT source_id, start_line, least(end_line, prev) AS end_line FROM (
+  SELECT *, lag(end_line) OVER (PARTITION BY source_id ORDER BY start_line, end_line) AS prev FROM spans) WHERE start_line <= prev""")
+def line_overlaps(spark, sf):
+    return L.overlaps(_lines(spark, sf)[2])
+
+
+@query(f"""WITH {_LINES}, {_SPANS}, checked AS (
+  SELECT s.source_id, row_number() OVER w AS ord, end_line, line_count,
+    CASE WHEN start_line < 1 OR end_line > line_count THEN 'out_of_bounds' WHEN start_line > end_line THEN 'inverted'
+         WHEN start_line < coalesce(lag(end_line) OVER w, 0) + 1 THEN 'overlap' WHEN start_line > coalesce(lag(end_line) OVER w, 0) + 1 THEN 'gap' END AS problem
+  FROM spans s JOIN counts USING (source_id) WINDOW w AS (PARTITION BY s.source_id ORDER BY start_line, end_line))
+SELECT source_id, coalesce(arg_min(problem, ord) FILTER (problem IS NOT NULL), CASE WHEN max(end_line) < any_value(line_count) THEN 'gap' ELSE 'ok' END) AS problem FROM checked GROUP BY source_id""")
+def tiling_check(spark, sf):
+    _, counts, spans = _lines(spark, sf)
+    return L.tiling(spans, counts)
+
+
+@query(f"""WITH {_LINES}, {_SPANS}, free AS (
+  SELECT source_id, line_no FROM lines l WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.source_id = l.source_id AND l.line_no BETWEEN s.start_line AND s.end_line)),
+runs AS (SELECT source_id, line_no, line_no - row_number() OVER (PARTITION BY source_id ORDER BY line_no) AS run FROM free)
+SELECT source_id, min(line_no) AS start_line, max(line_no) AS end_line FROM runs GROUP BY source_id, run""")
+def uncovered_segments(spark, sf):
+    _, counts, spans = _lines(spark, sf)
+    return L.uncovered(counts.select("source_id", F.lit(1).alias("start_line"), F.col("line_count").cast("int").alias("end_line")), spans)
+
+
+@query(f"""WITH {_LINES} SELECT source_id, count(*) AS lines, max(length(line)) AS longest FROM lines GROUP BY source_id""")
+def line_statistics(spark, sf):
+    return _lines(spark, sf)[0].groupBy("source_id").agg(F.count("*").alias("lines"), F.max(F.length("line")).cast("long").alias("longest"))
+
+
+# Scalar functions
+
+
+@query("""SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE greatest(ceil(strlen(text) / 3.0), 1)::INTEGER END AS budget,
+  floor(length(regexp_replace(text, '[^\\x{4e00}-\\x{9fff}]', '', 'g')) / 1.5 + (length(text) - length(regexp_replace(text, '[^\\x{4e00}-\\x{9fff}]', '', 'g'))) / 4.0)::INTEGER AS estimate FROM documents""")
+def token_estimates(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.budget_tokens(F.col("text")).alias("budget"), T.estimated_tokens(F.col("text")).alias("estimate"))
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(h, 'definition|定义') THEN 'def' WHEN regexp_matches(h, 'proof|theorem|lemma|证明|定理|引理') THEN 'proof'
+  WHEN regexp_matches(h, 'example|exercise|例题|例|练习') THEN 'example' ELSE 'narrative' END AS kind FROM (SELECT doc_id, lower(substr(text, 1, 200)) AS h FROM documents)""")
+def chunk_types(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.chunk_type(F.col("text")).alias("kind"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(text, '\*\*([^*\n]+)\*\*', 1), lambda x: trim(x)), lambda x: length(x) BETWEEN 1 AND 20 AND NOT starts_with(x, '['))[1:10], '|') AS concepts FROM documents""")
+def bold_concepts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.array_join(T.bold_concepts(F.col("text")), "|").alias("concepts"))
+
+
+@query()
+def formulas(spark, sf):
+    found = T.formulas(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(found, "|").alias("formulas"), F.array_join(T.formula_signatures(found), "|").alias("signatures"))
+
+
+@query("SELECT doc_id, 'mtu:' || substr(sha1(concat_ws('|', source, doc_id::VARCHAR, coalesce(lang, 'None'))), 1, 16) AS unit_id, ('0x' || substr(md5(source || ':' || doc_id::VARCHAR), 1, 16))::UBIGINT::VARCHAR AS point_id, substr(sha256(text), 1, 16) AS prompt_hash FROM documents")
+def stable_ids(spark, sf):
+    return table(spark, sf, "documents").select(
+        "doc_id", I.prefixed_id("mtu", F.col("source"), F.col("doc_id"), F.col("lang")).alias("unit_id"),
+        I.point_id(F.col("source"), F.col("doc_id").cast("string")).cast("string").alias("point_id"), I.prompt_hash(F.col("text")).alias("prompt_hash"),
+    )
+
+
+@query("""WITH k AS (SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '\\s+', '', 'g'), '[-_.,;:!?()\\[\\]{}''"`]', '', 'g') AS key FROM part)
+SELECT key, count(*) AS n, min(p_partkey) AS first FROM k GROUP BY key HAVING count(*) > 1""")
+def text_key_dups(spark, sf):
+    keys = table(spark, sf, "part").select("p_partkey", T.text_key(F.col("p_name")).alias("key"))
+    return keys.groupBy("key").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")).where("n > 1")
+
+
+@query("""WITH k AS (SELECT p_partkey AS id, regexp_replace(regexp_replace(lower(p_name), '\\s+', '', 'g'), '[-_.,;:!?()\\[\\]{}''"`]', '', 'g') AS key FROM part)
+SELECT f.a, k.id AS b, k.key FROM k JOIN (SELECT key, min(id) AS a FROM k GROUP BY key) f USING (key) WHERE k.id <> f.a""")
+def shared_key_pairs(spark, sf):
+    keys = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("ord"), T.text_key(F.col("p_name")).alias("key"))
+    return S.shared_key_pairs(keys)
+
+
+@query(r"""SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]\s*>', 1), lambda x: regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '^\s+|\s+$', '', 'g')), lambda x: x <> ''), '|') AS headings FROM pages""")
+def html_headings(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.array_join(T.html_headings(F.col("html")), "|").alias("headings"))
+
+
+@query()
+def html_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.prepare_markdown(F.col("html")).alias("text"), F.size(T.html_tables(F.col("html"))).alias("tables"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+def event_props_json(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+# Segments
+
+
+@query()
+def heading_chunks(spark, sf):
+    return C.chunks(C.heading_sections(table(spark, sf, "documents")))
+
+
+@query()
+def cleaning_parts(spark, sf):
+    rows = C.cleaning_split(table(spark, sf, "documents"))
+    return rows.select("doc_id", "part", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"))
+
+
+@query()
+def merged_units(spark, sf):
+    lines, _, spans = _lines(spark, sf)
+    kind = F.element_at(F.array(*map(F.lit, ("concept", "application", "concept", "summary"))), (F.floor(F.col("start_line") / 4) % 4 + 1).cast("int"))
+    units = spans.select(F.col("source_id").cast("string").alias("source_id"), "start_line", F.col("end_line"), F.lit("unit").alias("title"), F.array(F.concat(F.lit("d"), F.col("start_line").cast("string"))).alias("defines"), kind.alias("unit_kind"))
+    return C.merge_units(units, minimum=8).withColumn("defines", F.array_join("defines", ","))
+
+
+@query(f"""WITH {_LINES}, chunk AS (SELECT source_id AS doc, (line_no - 1)::INTEGER AS idx, line AS text FROM lines)
+SELECT a.doc, a.idx, string_agg(trim(b.text), chr(10) || chr(10) ORDER BY b.idx) AS text, string_agg(b.idx::VARCHAR, ',' ORDER BY b.idx) AS ids
+FROM chunk a JOIN chunk b ON a.doc = b.doc AND b.idx BETWEEN a.idx - 1 AND a.idx + 1 GROUP BY a.doc, a.idx""")
+def chunk_neighbours(spark, sf):
+    chunks = _lines(spark, sf)[0].select(F.col("source_id").alias("doc"), (F.col("line_no") - 1).alias("idx"), F.col("line").alias("text"))
+    return S.with_neighbours(chunks, chunks, window=1).withColumn("ids", F.array_join("ids", ","))
+
+
+@query("""WITH used AS (SELECT *, coalesce(sum(least(length(text), 800)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM conversations)
+SELECT conv_id, turn, least(least(length(text), 800), 2000 - used)::BIGINT AS taken FROM used WHERE used < 2000""")
+def budgeted_hits(spark, sf):
+    rows = S.within_budget(table(spark, sf, "conversations"), group="conv_id", order=["turn"], total=2000, each=800)
+    return rows.select("conv_id", "turn", F.col("taken").cast("long").alias("taken"))
+
+
+# Sources
+
+
+@query("SELECT doc_id::VARCHAR AS path, 'sha256:' || sha256(text) AS fingerprint FROM documents")
+def content_fingerprints(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), I.fingerprint(F.col("text").cast("binary")).alias("fingerprint"))
+
+
+@query("""WITH now AS (SELECT doc_id AS path, sha256(text) AS f FROM documents WHERE lang <> 'fr'),
+past AS (SELECT doc_id AS path, sha256(CASE WHEN lang = 'es' THEN upper(text) ELSE text END) AS f FROM documents WHERE lang <> 'de')
+SELECT path, CASE WHEN n.f IS NULL THEN 'inactive' WHEN p.f IS NULL THEN 'new' WHEN n.f <> p.f THEN 'changed' ELSE 'unchanged' END AS status FROM now n FULL JOIN past p USING (path)""")
+def manifest_diff(spark, sf):
+    docs = table(spark, sf, "documents")
+    now = docs.where("lang <> 'fr'").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("fingerprint"))
+    past = docs.where("lang <> 'de'").select(F.col("doc_id").alias("path"), F.sha2(F.when(F.col("lang") == "es", F.upper("text")).otherwise(F.col("text")), 256).alias("fingerprint"))
+    return M.compare(now, past)
+
+
+@query("""WITH h AS (SELECT sha256(concat_ws(chr(0), doc_id::VARCHAR, 'sha256:' || sha256(text))) AS h FROM documents),
+p AS (SELECT substr(h, 1, 2) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1)
+SELECT 'gen:' || substr(sha256(string_agg(p || h, '' ORDER BY p || h)), 1, 24) AS generation FROM p""")
+def generation_id(spark, sf):
+    return M.generation_id(content_fingerprints(spark, sf))
+
+
+@query("""SELECT o_custkey AS node, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS record FROM orders GROUP BY o_custkey""")
+def ledger_latest(spark, sf):
+    return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("node")).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("record"))
+
+
+@query("""WITH gone AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O')
+SELECT o_orderkey AS record, o_custkey::VARCHAR AS nodes FROM orders WHERE o_orderstatus <> 'O' AND o_custkey NOT IN (SELECT o_custkey FROM gone)
+UNION ALL SELECT o_orderkey, o_custkey::VARCHAR FROM orders WHERE o_orderstatus = 'O'""")
+def ledger_upsert(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("record"), F.array(F.col("o_custkey").cast("string")).alias("node_ids"), "o_orderstatus")
+    out = M.ledger_upsert(rows.where("o_orderstatus <> 'O'").drop("o_orderstatus"), rows.where("o_orderstatus = 'O'").drop("o_orderstatus"))
+    return out.select("record", F.array_join("node_ids", ",").alias("nodes"))
+
+
+@query("""SELECT l_orderkey AS doc_id, count(DISTINCT l_returnflag) = 1 AND count(DISTINCT l_linestatus) = 1 AND count(DISTINCT l_linenumber) = 1 AND max(l_linenumber) = count(*) AS complete FROM lineitem GROUP BY l_orderkey""")
+def index_completeness(spark, sf):
+    chunks = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("document_sha256"), F.col("l_linestatus").alias("embedding_model"), F.col("l_linenumber").alias("document_chunk_count"))
+    return M.complete_documents(chunks)
+
+
+@query("""WITH n AS (SELECT o_custkey, o_orderstatus, count(*) AS c FROM orders GROUP BY ALL),
+o AS (SELECT o_custkey, o_orderstatus, coalesce(sum(c) OVER (ORDER BY o_custkey, o_orderstatus ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM n)
+SELECT o_orderkey AS unit_id, (o + row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate, o_orderkey) - 1)::BIGINT AS source_order_index FROM orders JOIN o USING (o_custkey, o_orderstatus)""")
+def global_order(spark, sf):
+    units = table(spark, sf, "orders").select(F.col("o_custkey").alias("collection"), F.col("o_orderstatus").alias("source_file"), F.col("o_orderdate").alias("start_line"), F.col("o_orderkey").alias("unit_id"))
+    return M.renumbered(units).select("unit_id", "source_order_index")
+
+
+# Nodes
+
+
+@query("SELECT min(l_orderkey) AS node_ord, l_partkey AS unit FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_partkey")
+def first_claims(spark, sf):
+    claims = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("node_ord"), F.col("l_partkey").alias("unit"))
+    return N.first_claims(claims, table(spark, sf, "part").select(F.col("p_partkey").alias("unit")))[0]
+
+
+@query("SELECT c_custkey AS unit FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def unassigned_units(spark, sf):
+    claims = table(spark, sf, "orders").select(F.col("o_orderkey").alias("node_ord"), F.col("o_custkey").alias("unit"))
+    return N.first_claims(claims, table(spark, sf, "customer").select(F.col("c_custkey").alias("unit")))[1]
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_type = 'purchase' THEN event_id END AS own FROM events)
+SELECT event_id AS node, coalesce(own, last_value(own IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first_value(own IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), event_id) AS target
+FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def nearest_with_defines(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("collection"), F.col("ts").alias("ord"), F.col("event_id").alias("node"), (F.col("event_type") == "purchase").cast("int").alias("n_defines"))
+    return N.nearest_with_defines(rows).select("node", "target")
+
+
+@query("""WITH k AS (SELECT p_partkey AS node, lower(p_name) AS key FROM part), h AS (SELECT key, min(node) AS holder FROM k GROUP BY key)
+SELECT DISTINCT key, holder, node FROM k JOIN h USING (key) WHERE node <> holder""")
+def duplicate_defines(spark, sf):
+    return N.duplicate_defines(table(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_partkey").alias("ord"), F.lower("p_name").alias("key")))
+
+
+@query("""WITH w AS (SELECT DISTINCT doc_id % 50 AS node, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS key FROM documents),
+k AS (SELECT DISTINCT key FROM w WHERE length(key) BETWEEN 4 AND 24), p AS (
+  SELECT s.key AS short_key, l.key AS long_key FROM k s JOIN k l ON length(s.key) < length(l.key) AND length(s.key) >= 0.55 * length(l.key) AND contains(l.key, s.key))
+SELECT short_key, long_key, count(*) AS pairs FROM p JOIN w a ON a.key = short_key JOIN w b ON b.key = long_key WHERE a.node <> b.node GROUP BY ALL""")
+def contained_defines(spark, sf):
+    words = table(spark, sf, "documents").select((F.col("doc_id") % 50).alias("node"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("key")).distinct()
+    rows = N.contained_defines(words.where("length(key) between 4 and 24"))
+    return rows.groupBy("short_key", "long_key").agg(F.count("*").alias("pairs"))
+
+
+@query("SELECT o_orderkey AS unit, ((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 400)::INTEGER AS batch FROM orders")
+def unit_batches(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("unit"), F.col("o_orderkey").alias("ord"), F.col("o_orderstatus").alias("collection"))
+    return N.batches(rows, limit=400).select("unit", "batch")
+
+
+# Graphs
+
+_GRAPH = """o AS (SELECT o_orderkey AS node, lead(o_orderkey, 1) OVER w AS n1, lead(o_orderkey, 2) OVER w AS n2 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+edges AS (SELECT node AS src, n1 AS dst FROM o WHERE n1 IS NOT NULL UNION SELECT node, n2 FROM o WHERE n2 IS NOT NULL)"""
+
+
+def _graph(spark, sf) -> tuple[DataFrame, DataFrame]:
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("node"), F.lead("o_orderkey", 1).over(w).alias("n1"), F.lead("o_orderkey", 2).over(w).alias("n2"))
+    edges = rows.select(F.col("node").alias("src"), F.explode(F.array("n1", "n2")).alias("dst")).where("dst is not null").distinct()
+    return rows.select("node"), edges
+
+
+_REACH = f"{_GRAPH}, reach(src, dst) AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src)"
+
+
+@query(f"WITH RECURSIVE {_REACH} SELECT src, dst FROM reach")
+def graph_closure(spark, sf):
+    return G.closure(_graph(spark, sf)[1])
+
+
+@query(f"WITH RECURSIVE {_REACH} SELECT e.src, e.dst FROM edges e WHERE NOT EXISTS (SELECT 1 FROM edges a JOIN reach r ON a.dst = r.src WHERE a.src = e.src AND r.dst = e.dst)")
+def graph_reduction(spark, sf):
+    return G.reduction(_graph(spark, sf)[1])
+
+
+@query(f"WITH {_GRAPH} SELECT node FROM o WHERE node NOT IN (SELECT dst FROM edges)")
+def graph_roots(spark, sf):
+    return G.roots(*_graph(spark, sf))
+
+
+@query("SELECT o_orderkey AS node, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1)::INTEGER AS depth FROM orders")
+def graph_depth(spark, sf):
+    return G.depths(*_graph(spark, sf))
+
+
+@query(f"WITH {_GRAPH} SELECT dst AS node, array_to_string(list_sort(list(src)), ',') AS parents FROM edges GROUP BY dst")
+def graph_parents(spark, sf):
+    return G.adjacency(_graph(spark, sf)[1]).withColumn("parents", F.array_join("parents", ","))
+
+
+@query()
+def graph_cycle_break(spark, sf):
+    edges = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.expr("o_custkey = c_custkey"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    steps = edges.select(F.col("c_nationkey").alias("src"), F.lead("c_nationkey").over(w).alias("x"), (F.floor("o_totalprice") % 25).cast("int").alias("dst"), F.col("o_totalprice").alias("p"))
+    best = steps.where("src <> dst").groupBy("src", "dst").agg(F.max("p").alias("confidence"))
+    first = Window.partitionBy("src").orderBy(F.desc("confidence"), "dst")
+    return G.break_cycles(best.withColumn("r", F.row_number().over(first)).where("r <= 3").drop("r"))
+
+
+@query("""WITH need AS (SELECT l_orderkey AS node, l_partkey AS key, min(l_linenumber) AS pos FROM lineitem GROUP BY ALL),
+def AS (SELECT l_partkey AS key, min(l_orderkey) AS src FROM lineitem GROUP BY l_partkey)
+SELECT src, node AS dst, string_agg(n.key::VARCHAR, ',' ORDER BY pos, n.key) AS required FROM need n JOIN def USING (key) WHERE src <> node GROUP BY src, node""")
+def prereq_edges(spark, sf):
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("node"), F.col("l_partkey").alias("key")).agg(F.min("l_linenumber").alias("pos"))
+    return G.edges_from_requirements(rows.groupBy("key").agg(F.min("node").alias("node")), rows).withColumn("required", F.array_join("required", ","))
+
+
+_STATE = "state AS (SELECT o_orderkey AS node, o_orderstatus = 'F' AS covered, o_orderpriority = '1-URGENT' AS failed, o_orderpriority = '2-HIGH' AS active FROM orders)"
+
+
+def _state(spark, sf) -> DataFrame:
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("node"), (F.col("o_orderstatus") == "F").alias("covered"), (F.col("o_orderpriority") == "1-URGENT").alias("failed"), (F.col("o_orderpriority") == "2-HIGH").alias("active"))
+
+
+_STATUS = f"""{_GRAPH}, {_STATE}, status AS (SELECT s.node, CASE WHEN covered THEN 'complete' WHEN failed THEN 'failed' WHEN active THEN 'running'
+  WHEN s.node IN (SELECT dst FROM edges JOIN state p ON p.node = src WHERE NOT p.covered) THEN 'locked' ELSE 'ready' END AS status FROM state s)"""
+
+
+@query(f"WITH {_STATUS} SELECT node, status FROM status")
+def node_status(spark, sf):
+    return K.node_status(*_graph(spark, sf), _state(spark, sf))
+
+
+@query(f"WITH {_STATUS} SELECT d.status, count(s.node) AS n FROM (SELECT unnest(['complete', 'ready', 'locked', 'running', 'failed']) AS status) d LEFT JOIN status s USING (status) GROUP BY d.status")
+def status_histogram(spark, sf):
+    return K.histogram(node_status(spark, sf), "status", K.STATUSES)
+
+
+@query(f"WITH {_GRAPH}, {_STATE} SELECT node FROM state s WHERE NOT covered AND node NOT IN (SELECT dst FROM edges JOIN state p ON p.node = src WHERE NOT p.covered)")
+def ready_nodes(spark, sf):
+    return K.ready_nodes(*_graph(spark, sf), _state(spark, sf).where("covered").select("node"))
+
+
+@query(f"""WITH {_STATUS}, reading AS (SELECT o_orderkey AS node, CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'read' WHEN o_orderpriority = '5-LOW' THEN 'reading' ELSE 'unread' END AS own FROM orders),
+v AS (SELECT node, own, status = 'complete' AND own = 'unread' AND node NOT IN (SELECT dst FROM edges JOIN reading p ON p.node = src WHERE p.own <> 'read') AS hit FROM status JOIN reading USING (node))
+SELECT node, CASE WHEN hit THEN 'recommended' ELSE own END AS reading_status,
+  CASE WHEN hit AND node NOT IN (SELECT dst FROM edges) THEN 'root_ready' WHEN hit THEN 'prerequisites_read' END AS reason, (SELECT bool_and(status = 'complete') FROM status) AS ready FROM v""")
+def reading_view(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    p = F.col("o_orderpriority")
+    reading = table(spark, sf, "orders").select(F.col("o_orderkey").alias("node"), F.when(p == "3-MEDIUM", "read").when(p == "5-LOW", "reading").otherwise("other").alias("reading_status"))
+    return K.reading_view(stored(K.node_status(nodes, edges, _state(spark, sf)), "status"), edges, reading)
+
+
+@query("SELECT n_nationkey AS node, n_name AS title, printf('%03d', row_number() OVER (ORDER BY n_regionkey, n_nationkey)) AS seq, printf('%03d', row_number() OVER (ORDER BY n_regionkey, n_nationkey)) || '. ' || n_name AS label FROM nation")
+def sequence_labels(spark, sf):
+    nodes = table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_name").alias("title"), "n_regionkey")
+    return G.sequence_labels(nodes, "n_regionkey", "node").drop("n_regionkey")
+
+
+@query("""WITH d AS (SELECT o_orderkey AS node, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1)::INTEGER AS depth FROM orders)
+SELECT node, depth, depth * 220 AS x, ((row_number() OVER (PARTITION BY depth ORDER BY node) - 1) * 90)::INTEGER AS y FROM d""")
+def layer_positions(spark, sf):
+    return G.layers(graph_depth(spark, sf))
+
+
+# Progress
+
+
+@query("""SELECT user_id AS key, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type""")
+def progress_changes(spark, sf):
+    rows = table(spark, sf, "events").withColumnRenamed("user_id", "key")
+    return P.changes(rows, key="key", order=["ts", "event_id"], value="event_type").select("key", "event_id", "event_type")
+
+
+@query("""WITH c AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS changed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+i AS (SELECT *, sum(changed) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM c)
+SELECT event_id, row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id)::INTEGER AS run FROM i""")
+def repeat_runs(spark, sf):
+    return K.repeat_runs(table(spark, sf, "events"), key="user_id", order=["ts", "event_id"], value="event_type").select("event_id", "run")
+
+
+@query("""WITH n AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY ts DESC, event_id DESC) = 1)
+SELECT user_id, event_type, props, event_id FROM n QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20""")
+def last_errors(spark, sf):
+    return P.last_errors(table(spark, sf, "events"), key=["event_type", "props"], by="user_id", order=["ts", "event_id"]).select("user_id", "event_type", "props", "event_id")
+
+
+@query("""WITH p AS (SELECT user_id AS file, event_type AS part, max(least(floor(value)::BIGINT, 80)) AS done FROM events GROUP BY ALL)
+SELECT file, least(sum(done), 300)::BIGINT AS done FROM p GROUP BY file""")
+def progress_monotonic(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("file"), F.col("event_type").alias("part"), F.floor("value").alias("done"), F.lit(80).cast("long").alias("part_total"), F.lit(300).cast("long").alias("file_total"))
+    return P.monotonic(rows)
+
+
+@query("""WITH e AS (SELECT user_id, event_type, ts, event_id, CASE WHEN event_type = 'purchase' THEN 'read' WHEN event_type = 'click' THEN 'open' WHEN event_type = 'signup' THEN 'revise' ELSE 'unread' END AS action FROM events),
+d AS (SELECT user_id AS node, max_by(action, (ts, event_id)) FILTER (action <> 'open') AS last, max(ts) FILTER (action <> 'open') AS at_last, max(ts) FILTER (action = 'open') AS opened FROM e GROUP BY user_id)
+SELECT node, CASE WHEN last = 'read' THEN 'read' WHEN opened IS NOT NULL AND (at_last IS NULL OR opened > at_last) THEN 'reading' ELSE 'unread' END AS reading_status FROM d""")
+def reading_states(spark, sf):
+    kind = F.col("event_type")
+    action = F.when(kind == "purchase", "read").when(kind == "click", "open").when(kind == "signup", "revise").otherwise("unread")
+    return P.reading_states(table(spark, sf, "events").select(F.col("user_id").alias("node"), "ts", "event_id", action.alias("action")))
+
+
+@query("""SELECT user_id AS project, event_type AS stage, 1::BIGINT AS run, count(*)::BIGINT AS done, (2 * count(*))::BIGINT AS total, 'running' AS status FROM events GROUP BY ALL""")
+def stream_progress_state(spark, sf):
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    rows = stream.select(F.col("user_id").cast("long").alias("project"), F.col("event_type").alias("stage"), F.lit(1).cast("long").alias("run"), "ts", "event_id", F.lit(1).alias("step"), F.lit(2).alias("total"), F.lit(False).alias("failed"))
+    return P.latest_states(rows)
