@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.sources.stages import stored, table
 
-__all__ = ["SPACES", "WORD", "n_words", "stored", "table", "words"]
+__all__ = ["SPACES", "WORD", "hash_share", "n_words", "stored", "table", "words"]
 
 #: A word: a run of anything but the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,3 +21,16 @@ def words(text: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def hash_share(rows: DataFrame, k: int, salt: str, *, n: int, order: str = "__order") -> DataFrame:
+    """Of ``rows``, of which there are about ``n``, some 2 * ``k`` by a hash of doc_id (all where they are fewer), with the hash as ``order``.
+
+    Ordered by it and limited, they are a sample of ``k`` rows. Without this share, every task of such a limit
+    would hand on ``k`` rows of its own, and what meets in one place would grow with the number of tasks. Rows with one doc_id share a hash.
+    """
+    h = F.xxhash64("doc_id", F.lit(salt))
+    rows = rows.withColumn(order, h)
+    if n <= 2 * k:
+        return rows
+    return rows.where(F.col(order) < F.lit(-(1 << 63) + int((1 << 64) * (2 * k / n))))

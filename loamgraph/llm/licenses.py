@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamgraph.llm.common import hash_share
+
 _WORD = re.compile(r"\w+")
 
 #: Wordings by which licences are commonly granted or named, by family.
@@ -190,7 +192,8 @@ def train(docs: DataFrame, *, sample_docs: int = 300, **params) -> Classifier:
 
     Paragraphs that are like a template are not prose and are left out.
     """
-    rows = docs.select("doc_id", "text").where("length(text) > 0").orderBy(F.xxhash64("doc_id", F.lit("prose")), "doc_id").limit(sample_docs).select("text").collect()
+    some = docs.select("doc_id", "text").where("length(text) > 0")
+    rows = hash_share(some, sample_docs, "prose", n=some.count()).orderBy("__order", "doc_id").limit(sample_docs).select("text").collect()
     shingles = [set(_grams(words_of(t))) for own in TEMPLATES.values() for t in own]
     prose = []
     for (text,) in rows:
