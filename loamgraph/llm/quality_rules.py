@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgraph.llm.common import stored
+from loamgraph.llm.common import hash_share, stored
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -138,7 +138,8 @@ def fit_forest(known: DataFrame, *, sample_rows: int, leasts: tuple[float, ...]
     say) are left out: a row may be odd in them and good. How much is little is calibrated too: of ``leasts``,
     the first whose forest parts the labels best.
     """
-    rows = known.orderBy(F.xxhash64("doc_id", F.lit("forest")), "doc_id").limit(sample_rows).select(*FEATURES, "quality").collect()
+    some = hash_share(known, sample_rows, "forest", n=known.count())
+    rows = some.orderBy("__order", "doc_id").limit(sample_rows).select(*FEATURES, "quality").collect()
     if len(rows) < 8:
         return None
     x = np.array(rows, float)
