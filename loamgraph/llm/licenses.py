@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,19 @@ TEMPLATES = {
         "No part of this publication may be reproduced or transmitted in any form without the prior written permission of the publisher.",
     ],
 }
+#: Titles of licence texts; a line that is one word for word names its licence, a mention within a sentence doesn't.
+TITLES = {
+    "mit": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "apache": ["Apache License", "Apache License, Version 2.0", "Apache License 2.0"],
+    "gpl": ["GNU General Public License", "GNU General Public License v3.0", "GNU General Public License, version 3", "GNU General Public License, version 2"],
+    "lgpl": ["GNU Lesser General Public License", "GNU Lesser General Public License v3.0", "GNU Lesser General Public License v2.1"],
+    "bsd": ["BSD License", "BSD 2-Clause License", "BSD 3-Clause License", "The BSD 3-Clause License", "The BSD 2-Clause License"],
+    "mpl": ["Mozilla Public License", "Mozilla Public License Version 2.0", "Mozilla Public License 2.0"],
+    "cc-by": ["Creative Commons Attribution 4.0 International"],
+    "cc-by-sa": ["Creative Commons Attribution-ShareAlike 4.0 International"],
+    "cc-by-nc": ["Creative Commons Attribution-NonCommercial 4.0 International"],
+    "cc0": ["CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal"],
+}
 #: Words of the templates that ordinary prose is full of; they alone make no paragraph a candidate.
 COMMON = set("a all and any are at be by can file following for form forms http in is it may no not of or part person source that the this to under use used version with without you work works www law files deal met extent code author authors first second".split())
 FAMILIES = ["unknown", *TEMPLATES]
@@ -89,6 +103,41 @@ def _grams(words: list[str]) -> list[tuple[str, ...]]:
     return [(w,) for w in words] + list(zip(words, words[1:]))
 
 
+_OWN = [(k, words_of(t)) for k, own in enumerate(TEMPLATES.values(), 1) for t in own]
+_OWN_GRAMS = [set(_grams(w)) for _, w in _OWN]
+_TITLE_OF = {tuple(words_of(t)): FAMILIES.index(family) for family, own in TITLES.items() for t in own}
+_PAIRS: dict[tuple[str, str], list[int]] = {}
+for _t, (_, _w) in enumerate(_OWN):
+    for _pair in set(zip(_w, _w[1:])):
+        _PAIRS.setdefault(_pair, []).append(_t)
+
+
+def template_windows(words: list[str], least: float) -> list[tuple[float, int, int, int]]:
+    """(likeness, start, end, class) of the runs of words, a quarter longer than a template at most, with ``least`` of its 1- and 2-grams.
+
+    A run starts and ends at 2-grams of its template. So many of them that single words can't make up for have to stand close by
+    before a run is compared at all.
+    """
+    at: dict[int, list[int]] = {}
+    for i, pair in enumerate(zip(words, words[1:])):
+        for t in _PAIRS.get(pair, ()):
+            at.setdefault(t, []).append(i)
+    out = []
+    for t, places in at.items():
+        label, own = _OWN[t]
+        grams, j = _OWN_GRAMS[t], 0
+        need = max(1, ceil(least * len(grams)) - len(set(own)))
+        for a, start in enumerate(places):
+            while j < len(places) and places[j] + 2 - start <= len(own) + len(own) // 4:
+                j += 1
+            if j - a >= need:
+                end = places[j - 1] + 2
+                s = len(grams.intersection(_grams(words[start:end]))) / len(grams)
+                if s >= least:
+                    out.append((s, start, end, label))
+    return out
+
+
 class Classifier:
     """Multinomial logistic regression over the word 1- and 2-grams of the templates; class 0 is 'unknown'."""
 
@@ -117,7 +166,7 @@ class Classifier:
                     part = part[at : at + n] if rng.random() < 0.3 else [w for w in part if rng.random() > 0.05]
                 rows.append((some(int(rng.integers(0, 12))) + part + some(int(rng.integers(0, 12))), label))
         for own in filler:
-            rows.append((own[:200], 0))
+            rows.append((own, 0))
         for _ in range(12 * per_template):  # loose words, and scraps of templates, grant nothing
             loose = [everything[i] for i in rng.integers(len(everything), size=int(rng.integers(1, 6)))]
             rows.append((some(8) + loose + some(8), 0))
@@ -173,49 +222,95 @@ class Classifier:
         likeness = max(len(own & t) / len(t) for t in self.shingles[label])
         return FAMILIES[label], float(p[label]), float(likeness)
 
-    def scan(self, text: str | None) -> list[tuple[int, str, float, float]]:
-        """(line, family, probability, likeness) of each paragraph (a line) of a whole text that isn't unknown."""
-        if not text:
-            return []
-        if self.cues.isdisjoint(words_of(text)):
+    def _probability(self, words: list[str], label: int) -> float:
+        hits = [k for g in set(_grams(words)) if (k := self.vocabulary.get(g)) is not None]
+        z = (self.bias + self.weights[hits].sum(axis=0))[None, :] / self.temperature
+        return float(np.exp(self._log_softmax(z))[0, label])
+
+    def _wrapped(self, words: list[str], least: float) -> list[tuple[int, int, str, float, float]]:
+        """(start, end, family, probability, likeness) of the runs of words, across line ends, that a template confirms.
+
+        Of runs that overlap, the likest to its template stays, if it is classified as that template's family.
+        """
+        out: list[tuple[int, int, str, float, float]] = []
+        for s, start, end, label in sorted(template_windows(words, least), key=lambda x: (-x[0], x[2] - x[1], x[1])):
+            if all(end <= a or b <= start for a, b, *_ in out):
+                found = self.predict(words[start:end])
+                if found and found[0] == FAMILIES[label]:
+                    out.append((start, end, *found))
+        return sorted(out)
+
+    def scan(self, text: str | None, *, likeness: float = 0.7) -> list[tuple[int, str, float, float]]:
+        """(line, family, probability, likeness) of each line of a whole text that isn't unknown, and of each notice wrapped over lines.
+
+        A wrapped notice (a run of words with ``likeness`` of a template, wherever its lines end) has the number of its first line, and
+        stands for what its lines say less surely. A line that is a title word for word has likeness 1.
+        """
+        if not text or self.cues.isdisjoint(words_of(text)):
             return []
-        out = []
-        for k, line in enumerate(text.split("\n")):
-            own = words_of(line)
-            if not self.cues.isdisjoint(own) and (found := self.predict(own)):
-                out.append((k, *found))
-        return out
+        lines = [words_of(line) for line in text.split("\n")]
+        words = [w for own in lines for w in own]
+        first, n = [], 0
+        for own in lines:
+            first.append(n)
+            n += len(own)
+        found = {}
+        for k, own in enumerate(lines):
+            if self.cues.isdisjoint(own):
+                continue
+            if label := _TITLE_OF.get(tuple(own)):
+                found[k] = (FAMILIES[label], self._probability(own, label), 1.0)
+            elif of := self.predict(own):
+                found[k] = of
+        more = []
+        for start, end, family, p, s in self._wrapped(words, likeness):
+            own = range(bisect_right(first, start) - 1, bisect_right(first, end - 1))
+            if any(k in found and found[k][0] == family and found[k][2] >= likeness for k in own):
+                continue
+            for k in own:
+                whole = start <= first[k] and first[k] + len(lines[k]) <= end
+                if k in found and found[k][2] < s and (whole or found[k][2] < likeness):
+                    del found[k]
+            more.append((own[0], family, p, s))
+        return sorted([(k, *of) for k, of in found.items()] + more)
 
 
 def train(docs: DataFrame, *, sample_docs: int = 300, **params) -> Classifier:
     """Trains on the templates, with paragraphs of ``sample_docs`` documents at most (by hash order of their ids) as unknown prose.
 
-    Paragraphs that are like a template are not prose and are left out.
+    All lines of these documents are paragraphs. Those that are like a template, are a title or have part of a wrapped notice are not prose and are left out.
     """
     some = docs.select("doc_id", "text").where("length(text) > 0")
     rows = hash_share(some, sample_docs, "prose", n=some.count()).orderBy("__order", "doc_id").limit(sample_docs).select("text").collect()
-    shingles = [set(_grams(words_of(t))) for own in TEMPLATES.values() for t in own]
     prose = []
     for (text,) in rows:
-        for line in text.split("\n")[:20]:
-            own = set(_grams(words_of(line)))
-            if len(own) > 3 and max(len(own & t) / len(t) for t in shingles) < 0.5:
+        lines = text.split("\n")
+        words = [words_of(line) for line in lines]
+        taken = bytearray(sum(map(len, words)))
+        for _, start, end, _ in template_windows([w for own in words for w in own], 0.5):
+            taken[start:end] = b"\1" * (end - start)
+        at = 0
+        for line, own in zip(lines, words):
+            grams = set(_grams(own))
+            if len(grams) > 3 and not any(taken[at : at + len(own)]) and tuple(own) not in _TITLE_OF and max(len(grams & t) / len(t) for t in _OWN_GRAMS) < 0.5:
                 prose.append(line)
+            at += len(own)
     return Classifier(prose, **params)
 
 
 def scan(docs: DataFrame, model: Classifier, *, likeness: float = 0.7) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, found array<struct<line,family,probability,likeness,confirmed>>)``, a row for each row.
 
-    Every line of every whole text with a cue word is classified. A prediction is confirmed if ``likeness`` of the
-    1- and 2-grams of one of its family's templates are in the paragraph. Null and empty texts have nothing found.
+    Every line of every whole text with a cue word is classified, and so is every run of words, across line ends, that is like a
+    template. A prediction is confirmed if ``likeness`` of the 1- and 2-grams of one of its family's templates are in the line or
+    run, or if the line is a title. Null and empty texts have nothing found.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("likeness", pa.float64()), ("confirmed", pa.bool_())]))
 
     def of(texts: pa.Array) -> pa.Array:
         scanner = held.value
-        rows = [[{"line": k, "family": f, "probability": p, "likeness": s, "confirmed": s >= likeness} for k, f, p, s in scanner.scan(t)] for t in texts.to_pylist()]
+        rows = [[{"line": k, "family": f, "probability": p, "likeness": s, "confirmed": s >= likeness} for k, f, p, s in scanner.scan(t, likeness=likeness)] for t in texts.to_pylist()]
         return pa.array(rows, kind)
 
     found = F.arrow_udf(of, "array<struct<line:int,family:string,probability:double,likeness:double,confirmed:boolean>>")

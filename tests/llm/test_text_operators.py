@@ -116,6 +116,36 @@ def test_licenses(spark):
     assert out == {0: "mit", 1: "none", 2: "none", 3: "none", 4: "gpl", 5: "none", 6: "cc-by-nc"}
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:"""
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation"""
+SHARE = "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0\nInternational License."
+
+
+def test_wrapped_licenses_and_titles(spark):
+    prose = "ordinary words of a story that goes on\n" * 30
+    rows = [(0, MIT), (1, prose + BSD), (2, GPL + "\n" + prose), (3, LGPL), (4, SHARE), (5, "MIT License\n\ntext of something"), (6, "BSD 3-Clause License"), (7, "They wrote about the MIT License and\nthe BSD 3-Clause License in general."), (8, prose), (9, MIT.replace("\n", " ") + " " + BSD.replace("\n#", "") + " " + prose.replace("\n", " "))]
+    docs = docs_of(spark, rows)
+    found = licenses.scan(docs, licenses.train(docs)).cache()
+    out = {r["doc_id"]: r["license"] for r in licenses.document_licenses(found).collect()}
+    assert out == {0: "mit", 1: "bsd", 2: "gpl", 3: "lgpl", 4: "cc-by-sa", 5: "mit", 6: "bsd", 7: "none", 8: "none", 9: "bsd,mit"}
+    at = {r["doc_id"]: [x["line"] for x in r["found"] if x["confirmed"]] for r in found.collect()}
+    assert at[0] == [0] and at[1] == [30] and at[2] == [0]
+
+
 def test_classifier_knows_its_templates_and_unseen_variants():
     model = licenses.Classifier(["an ordinary sentence of plain words that says nothing at all"] * 50)
     for family, own in licenses.TEMPLATES.items():
