@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -68,13 +67,10 @@ def _hash(s: str) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def contexts(text: str, spans: list[list[tuple[int, int]]], window: int) -> list[dict]:
-    """The terms within ``window`` terms of each span, outside all spans: entity and term hashes and the term's place."""
-    flat = sorted((s, e, k) for k, own in enumerate(spans) for s, e in own)
-    if not flat:
-        return []
-    covered, reach = [], []
-    for s, e, _ in flat:
+def terms_outside(text: str, spans: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """The places of the terms outside all spans."""
+    covered: list[list[int]] = []
+    for s, e in sorted(x for own in spans for x in own):
         if covered and s < covered[-1][1]:
             covered[-1][1] = max(e, covered[-1][1])
         else:
@@ -85,57 +81,59 @@ def contexts(text: str, spans: list[list[tuple[int, int]]], window: int) -> list
             c += 1
         if not (c < len(covered) and covered[c][0] < m.end()):
             terms.append((m.start(), m.end()))
-    starts = [s for s, _ in terms]
-    for s, e, k in flat:
-        entity = _hash(f"{KINDS[k]}:{text[s:e].lower()}")
-        for i in range(max(0, bisect_left(starts, s) - window), min(len(terms), bisect_left(starts, e) + window)):
-            a, b = terms[i]
-            reach.append({"entity": entity, "term": _hash(text[a:b].lower()), "start": a, "end": b})
-    return reach
+    return terms
 
 
-_ROW = "rid long, doc_id long, base array<array<struct<start:int,end:int>>>, near array<struct<entity:long,term:long,start:int,end:int>>, term long, n long"
+_ROW = "doc long, text_key long, doc_id long, rid long, base array<array<struct<start:int,end:int>>>, entities array<long>, terms array<long>, term long, n long"
+_NAMES = ["doc", "text_key", "doc_id", "rid", "base", "entities", "terms", "term", "n"]
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-_NEAR = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+_TYPES = [*[pa.int64()] * 4, pa.list_(pa.list_(_SPAN)), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+#: Stands for a null doc_id where rows are matched.
+_NO_ID = -(1 << 63)
+#: Slots of the filter that spares most terms the exact join, and copies of a disclosing term, among which its documents are dealt.
+_SLOTS, _SALTS = 1 << 24, 32
 
 
-def read_texts(docs: DataFrame, *, window: int) -> DataFrame:
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``(doc, text_key, doc_id, text)``: rows alike in doc and text_key have one id and one text, and so the same spans."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(doc_id, F.lit(_NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), doc_id.alias("doc_id"), "text")
+
+
+def read_texts(docs: DataFrame) -> DataFrame:
     """One pass over the whole texts: a row for each document, and rows (term, n) that count documents with a term.
 
-    Document rows have base spans and the terms around them; the counts are those of a part of a task's
-    documents and are still to be summed.
+    Document rows have base spans and, where there are any, hashes of their entities and of all different terms outside them; the
+    counts are those of a part of a task's documents and are still to be summed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
         def counted() -> pa.RecordBatch:
-            terms = [_hash(t) for t in held]
-            n, none = len(terms), lambda kind: pa.nulls(len(terms), kind)
-            out = pa.RecordBatch.from_arrays(
-                [none(pa.int64()), none(pa.int64()), none(pa.list_(pa.list_(_SPAN))), none(pa.list_(_NEAR)), pa.array(terms, pa.int64()), pa.array(list(held.values()), pa.int64())],
-                ["rid", "doc_id", "base", "near", "term", "n"],
-            )
-            assert out.num_rows == n
+            own = [pa.array([_hash(t) for t in held], pa.int64()), pa.array(list(held.values()), pa.int64())]
+            out = pa.RecordBatch.from_arrays([*(pa.nulls(len(held), kind) for kind in _TYPES[:-2]), *own], _NAMES)
             held.clear()
             return out
 
         for b in batches:
-            base, near = [], []
-            for text in b.column(2).to_pylist():
+            base, entities, terms = [], [], []
+            for text in b.column(4).to_pylist():
                 text = text or ""
                 spans = base_spans(text)
                 base.append([[{"start": s, "end": e} for s, e in own] for own in spans])
-                near.append(contexts(text, spans, window))
-                held.update(set(_TERM.findall(text.lower())))
+                entities.append([_hash(x) for x in sorted({f"{KINDS[k]}:{text[s:e].lower()}" for k, own in enumerate(spans) for s, e in own})])
+                terms.append([_hash(x) for x in sorted({text[s:e].lower() for s, e in terms_outside(text, spans)})] if entities[-1] else [])
+                held.update({w.lower() for w in set(_TERM.findall(text))})
                 if len(held) > 1 << 18:
                     yield counted()
             none = pa.nulls(b.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, pa.list_(pa.list_(_SPAN))), pa.array(near, pa.list_(_NEAR)), none, none], ["rid", "doc_id", "base", "near", "term", "n"])
+            own = [pa.array(x, kind) for x, kind in zip((base, entities, terms), _TYPES[4:7])]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), *own, none, none], _NAMES)
         if held:
             yield counted()
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    rows = _keyed(docs).select("doc", "text_key", "doc_id", F.monotonically_increasing_id().alias("rid"), "text")
     return stored(rows.mapInArrow(run, _ROW), "personal-data")
 
 
@@ -143,15 +141,19 @@ def disclosing(rows: DataFrame, *, threshold: float, support: int) -> DataFrame:
     """``read_texts`` rows -> ``(entity, term, disclosure)``: the terms that reveal a protected entity too strongly.
 
     Over all documents: PMI(entity; term) = log(N * n(entity, term) / (n(entity) * n(term))), as a share of the
-    entity's information log(N / n(entity)). At 1 the term occurs around the entity only and reveals it whole. A pair
-    counts from ``support`` documents on: what one document says is no estimate. N, n(entity) and n(term) are numbers of
-    documents with them; n(entity, term) that of documents with the term near the entity.
+    entity's information log(N / n(entity)). At 1 the term occurs in the entity's documents only and reveals it whole. A pair
+    counts from ``support`` documents on: what one document says is no estimate. N, n(entity), n(term) and n(entity, term) are
+    numbers of documents with them, wherever in the document they are.
     """
     docs = rows.where("rid is not null")
     n_docs = float(docs.count())
-    mentions = docs.where(F.size("near") > 0).select("rid", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("m")).select("rid", "m.*")
-    pairs = mentions.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    entities = docs.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
+    named = docs.where(F.size("entities") > 0)
+    mentions = named.select("rid", F.explode("entities").alias("entity"))
+    # A pair has no more documents than its entity: rarer ones can't reach the support.
+    entities = mentions.groupBy("entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= support)
+    own = mentions.join(entities, "entity", "left_semi").groupBy("rid").agg(F.collect_list("entity").alias("entities"))
+    met = named.select("rid", "terms").join(own, "rid").select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term"))
+    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
     terms = rows.where("term is not null").groupBy("term").agg(F.sum("n").alias("with_term"))
     both = pairs.join(entities, "entity").join(terms, "term").withColumn("docs", F.lit(n_docs))
     pmi = F.log(F.col("docs") * F.col("both") / (F.col("with_entity") * F.col("with_term")))
@@ -159,20 +161,59 @@ def disclosing(rows: DataFrame, *, threshold: float, support: int) -> DataFrame:
     return both.where("with_entity < docs").withColumn("disclosure", pmi / information).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
-def find(docs: DataFrame, *, threshold: float = 0.9, support: int = 3, window: int = 8) -> DataFrame:
+def _occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(doc, text_key, term, start, end)``: all places outside base spans of ``terms(term)``, and of a few others, in all documents.
+
+    The terms' hashes fill a table of fixed size that only spares the join after it most other terms; it never loses one.
+    """
+    bits = terms.select(F.expr(f"cast(pmod(term, {_SLOTS}) div 32 as int) AS at"), F.expr("shiftleft(1L, cast(pmod(term, 32) as int)) AS bit"))
+    bits = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    mask = np.zeros(_SLOTS // 32, np.uint32)
+    mask[bits["at"].to_numpy()] = bits["bits"].to_numpy()
+    held = docs.sparkSession.sparkContext.broadcast(mask)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, known = held.value, {}
+
+        def hash_if_held(word: str) -> int | None:
+            if word not in known:
+                if len(known) > 1 << 18:
+                    known.clear()
+                h = _hash(word)
+                known[word] = h if int(table[(k := h % _SLOTS) >> 5]) >> (k & 31) & 1 else None
+            return known[word]
+
+        for b in batches:
+            at, out = [], ([], [], [])
+            for i, text in enumerate(b.column(2).to_pylist()):
+                if text and any(hash_if_held(w) is not None for w in {w.lower() for w in set(_TERM.findall(text))}):
+                    for s, e in terms_outside(text, base_spans(text)):
+                        if (h := hash_if_held(text[s:e].lower())) is not None:
+                            at.append(i)
+                            for col, x in zip(out, (h, s, e)):
+                                col.append(x)
+            take = pa.array(at, pa.int64())
+            cols = [pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *cols], ["doc", "text_key", "term", "start", "end"])
+
+    return _keyed(docs).select("doc", "text_key", "text").mapInArrow(run, "doc long, text_key long, term long, start int, end int")
+
+
+def find(docs: DataFrame, *, threshold: float = 0.9, support: int = 3) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, base array<array<struct<start,end>>>, terms array<struct<start,end,whole>>)``, a row for each row.
 
-    ``base`` has the spans of KINDS; ``terms`` the spans of terms around them whose disclosure reaches
-    ``threshold`` (``whole``: they occur nowhere else, so generalising would leave nothing). Null texts count as
-    empty and have no spans. Repeated rows each get their own; documents without base spans never get terms.
+    ``base`` has the spans of KINDS; ``terms`` the spans of all occurrences, in all documents, of the terms whose disclosure of some
+    entity reaches ``threshold`` (``whole``: they occur in its documents only, so generalising would leave nothing). Null texts
+    count as empty and have no spans. Repeated rows each get their own.
     """
-    rows = read_texts(docs, window=window)
-    found = disclosing(rows, threshold=threshold, support=support)
-    near = rows.where(F.size("near") > 0).select("rid", F.explode("near").alias("x")).select("rid", "x.*")
-    marked = near.join(found, ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    marked = marked.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", (F.col("disclosure") > 0.999).alias("whole")))).alias("terms"))
+    rows = read_texts(docs)
+    terms = stored(disclosing(rows, threshold=threshold, support=support).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "disclosing-terms")
+    places = _occurrences(docs, terms).withColumn("salt", F.pmod(F.xxhash64("doc", "text_key"), F.lit(_SALTS)).cast("int"))
+    salted = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    marked = places.join(salted, ["term", "salt"]).groupBy("doc", "text_key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    marked = marked.groupBy("doc", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", (F.col("disclosure") > 0.999).alias("whole")))).alias("marks"))
     none = F.array().cast("array<struct<start:int,end:int,whole:boolean>>")
-    return rows.where("rid is not null").join(marked, "rid", "left").select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
+    return rows.where("rid is not null").select("doc", "text_key", "doc_id", "base").join(marked, ["doc", "text_key"], "left").select("doc_id", "base", F.coalesce("marks", none).alias("terms"))
 
 
 def spans_text(base: list, terms: list) -> tuple[str, str]:

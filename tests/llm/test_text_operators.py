@@ -109,6 +109,23 @@ def test_disclosing_terms_and_digest(spark):
     assert pii.find(docs_of(spark, []).limit(0)).count() == 0
 
 
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    far = " ".join(f"w{k}" for k in range(20))
+    rows = [(i, f"Zeldaxyz heads this page {far} zed@ex.org {far} signed zeldaxyz") for i in range(20)]
+    rows += [(100, f"only zeldaxyz is named {far}"), (None, "a zeldaxyz, ZELDAXYZ"), (None, "a zeldaxyz, ZELDAXYZ"), (None, "another text")]
+    rows += [(200 + i, f"heads this page is named only a another signed text {far}") for i in range(400)]
+    found = [(r["doc_id"], r["spans"]) for r in pii.digests(pii.find(docs_of(spark, rows), threshold=0.9, support=3)).collect()]
+    assert len(found) == len(rows)
+    spans = dict(found)
+    text = rows[0][1]
+    at, last = text.index("zed@ex.org"), text.rindex("zeldaxyz")
+    assert spans[0] == f"email:{at}:{at + 10},term:0:8,term:{last}:{last + 8}"
+    assert spans[100] == "term:5:13" and spans[200] == ""
+    assert sorted(y for x, y in found if x is None) == ["", "term:2:10,term:12:20", "term:2:10,term:12:20"]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs_of(spark, rows), threshold=0.9, support=3).collect()}
+    assert "zelda" not in clean[0].lower() and clean[100] == f"only [TERM] is named {far}" and clean[200] == rows[-400][1]
+
+
 def test_licenses(spark):
     rows = [(0, "Intro text here.\nReleased under the MIT License.\nmore"), (1, "plain prose without anything of the kind " * 5), (2, None), (3, ""), (4, "This work is licensed under the GNU General Public License, version 3."), (5, "He has a driving license and all of his rights."), (6, "Licensed under CC BY-NC 4.0.")]
     docs = docs_of(spark, rows)
