@@ -37,6 +37,7 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: str) -> str:
+    """The inverse of ``escape_role``."""
     return re.sub(r"\\(n|\\)", lambda m: "\n" if m[1] == "n" else "\\", unescape(role))
 
 
@@ -44,8 +45,8 @@ def linear_tree(turns: DataFrame) -> DataFrame:
     """``turns(conv_id, turn, role, text)`` -> ``(conv_id, node, parent, role, text, score)``: each row replies to the one before.
 
     Rows of a conversation stand by turn (null turns first); rows with the same turn stand by role and text, and
-    all of them are kept. A null text or role is empty. ``node`` is the row's place, ``parent`` the place before
-    (null for the first).
+    all of them are kept. Rows without conv_id are one conversation. A null text or role is empty. ``node`` is the row's place,
+    ``parent`` the place before (null for the first). No rows give no rows.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = turns.select("conv_id", "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("long"))
@@ -55,46 +56,60 @@ def linear_tree(turns: DataFrame) -> DataFrame:
     )
 
 
+#: What stands for conv_id where rows are matched, as null equals nothing there.
+KEY = ["conv", "unnamed"]
+
+
+def tree_nodes(tree: DataFrame) -> DataFrame:
+    """``tree(conv_id, node, parent, role, text, score)`` -> KEY and ``(node, parent, role, text, score)``, each node once, stored.
+
+    A node that comes more than once is its first row by parent, score, role and text (nulls before others). A null score is 0. Rows
+    without a node are left out, as nothing can reply to them or end in them.
+    """
+    rows = tree.where("node is not null").select(F.coalesce("conv_id", F.lit(0)).cast("long").alias("conv"), F.col("conv_id").isNull().alias("unnamed"), "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    first = rows.groupBy(*KEY, "node").agg(F.min(F.struct("parent", "score", "role", "text")).alias("r"))
+    return stored(first.select(*KEY, "node", "r.*"), "tree")
+
+
 def _max_doublings(nodes: DataFrame) -> int:
-    return max(1, (nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 1).bit_length())
+    return max(1, (nodes.groupBy(*KEY).count().agg(F.max("count")).first()[0] or 1).bit_length())
 
 
-def chosen_paths(tree: DataFrame, *, top: int = 1) -> DataFrame:
-    """``tree(conv_id, node, parent, score)`` -> ``(conv_id, path, leaf, depth, node)`` of the ``top`` best paths.
+def chosen_paths(nodes: DataFrame, *, top: int = 1) -> DataFrame:
+    """``tree_nodes`` rows -> KEY and ``(path, leaf, depth, node)`` of the ``top`` best paths.
 
     Depths and summed scores from the root come from self-joins that double the distance to the
     ancestor each time, so a reply chain of n turns takes log2(n) joins. Leaves are ranked by the mean
     score on their path (more turns, then the smaller leaf break ties); the chosen leaves then
     gather their ancestors over the same doubled pointers. ``path`` counts from 1.
     A parent that isn't in the conversation is as none: the node is a root. Nodes on or below a
-    cycle reach no root and are on no path. A repeated (conv_id, node) is taken once. Null scores are 0.
+    cycle reach no root and are on no path.
     """
-    base = tree.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")).dropDuplicates(["conv_id", "node"])
-    known = base.select("conv_id", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    base = base.join(known, ["conv_id", "parent"], "left").select("conv_id", "node", F.when(F.col("there"), F.col("parent")).alias("parent"), "score")
-    base = stored(base, "tree")
+    known = nodes.select(*KEY, F.col("node").alias("parent"), F.lit(True).alias("there"))
+    base = nodes.select(*KEY, "node", "parent", "score").join(known, [*KEY, "parent"], "left")
+    base = stored(base.select(*KEY, "node", F.when(F.col("there"), F.col("parent")).alias("parent"), "score"), "replies")
     jumps, settled = [], None
-    state = base.select("conv_id", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), "score")
+    state = base.select(*KEY, "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), "score")
     for _ in range(_max_doublings(base)):
         climbing = state.where("up is not null")
         if climbing.isEmpty():
             break
-        jumps.append(climbing.select("conv_id", "node", "up"))
+        jumps.append(climbing.select(*KEY, "node", "up"))
         rooted = state.where("up is null")
         settled = rooted if settled is None else settled.unionByName(rooted)
-        above = settled.unionByName(climbing).select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("score").alias("s2"))
-        joined = climbing.join(above, ["conv_id", "up"])  # nodes that know their root take no further part
-        state = stored(joined.select("conv_id", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("score") + F.col("s2")).alias("score")), "pointers")
+        above = settled.unionByName(climbing).select(*KEY, F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("score").alias("s2"))
+        joined = climbing.join(above, [*KEY, "up"])  # nodes that know their root take no further part
+        state = stored(joined.select(*KEY, "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("score") + F.col("s2")).alias("score")), "pointers")
     rooted = state.where("up is null")
     state = rooted if settled is None else settled.unionByName(rooted)
-    leaves = state.join(base.select("conv_id", F.col("parent").alias("node")), ["conv_id", "node"], "left_anti")
-    rank = Window.partitionBy("conv_id").orderBy((F.col("score") / F.col("depth")).desc(), F.col("depth").desc(), "node")
+    leaves = state.join(base.select(*KEY, F.col("parent").alias("node")), [*KEY, "node"], "left_anti")
+    rank = Window.partitionBy(*KEY).orderBy((F.col("score") / F.col("depth")).desc(), F.col("depth").desc(), "node")
     best = leaves.withColumn("path", F.row_number().over(rank)).where(F.col("path") <= top)
-    found = best.select("conv_id", "path", F.col("node").alias("leaf"), "node")
+    found = best.select(*KEY, "path", F.col("node").alias("leaf"), "node")
     for jump in jumps:
-        above = found.join(jump, ["conv_id", "node"]).select("conv_id", "path", "leaf", F.col("up").alias("node"))
+        above = found.join(jump, [*KEY, "node"]).select(*KEY, "path", "leaf", F.col("up").alias("node"))
         found = stored(found.unionByName(above), "paths")  # each round reads the one before twice: unstored, the plan would double
-    return found.join(state.select("conv_id", "node", "depth"), ["conv_id", "node"])
+    return found.join(state.select(*KEY, "node", "depth"), [*KEY, "node"])
 
 
 def format_paths(tree: DataFrame, *, top: int = 1, loss_role: str = "assistant") -> DataFrame:
@@ -102,12 +117,14 @@ def format_paths(tree: DataFrame, *, top: int = 1, loss_role: str = "assistant")
 
     ``formatted`` marks each turn of the path as ``<|im_start|>role\\ntext<|im_end|>\\n`` with control strings
     inside roles and texts escaped; ``loss`` lists the (start, length) code-point spans of the escaped ``loss_role``
-    texts. A formatted conversation is one value, so its turns meet in one row, and nothing larger does.
+    texts. A formatted conversation is one value, so its turns meet in one row, and nothing larger does. Rows without conv_id
+    are a conversation like others, and come out with a null conv_id. Other columns are not looked at. No rows give no rows.
     """
-    paths = chosen_paths(tree, top=top)
-    texts = tree.dropDuplicates(["conv_id", "node"]).select("conv_id", "node", escape_role(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"))
-    turns = paths.join(texts, ["conv_id", "node"])
-    whole = turns.groupBy("conv_id", "path").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
+    nodes = tree_nodes(tree)
+    paths = chosen_paths(nodes, top=top)
+    texts = nodes.select(*KEY, "node", escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text"))
+    turns = paths.join(texts, [*KEY, "node"])
+    whole = turns.groupBy(*KEY, "path").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
     one = F.transform("turns", lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["text"], F.lit(f"{STOP}\n")))
     sizes = F.transform("turns", lambda t: F.struct((F.length(t["role"]) + len(START) + 1).alias("head"), F.length(t["text"]).alias("n"), (t["role"] == loss_role).alias("loss")))
     spans = F.aggregate(
@@ -115,7 +132,7 @@ def format_paths(tree: DataFrame, *, top: int = 1, loss_role: str = "assistant")
         lambda acc, s: F.struct((acc["at"] + s["head"] + s["n"] + len(STOP) + 1).alias("at"), F.when(s["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + s["head"]).alias("start"), s["n"].alias("length"))))).otherwise(acc["spans"]).alias("spans")),
         lambda acc: acc["spans"],
     )
-    return whole.select("conv_id", "path", F.size("turns").cast("long").alias("n_turns"), F.array_join(one, "").alias("formatted"), spans.alias("loss"))
+    return whole.select(F.when(~F.col("unnamed"), F.col("conv")).alias("conv_id"), "path", F.size("turns").cast("long").alias("n_turns"), F.array_join(one, "").alias("formatted"), spans.alias("loss"))
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:

@@ -9,13 +9,14 @@ from loamgraph.llm.common import stored, words
 
 #: Stands for a null doc_id where ids are compared; it comes before all others.
 NO_ID = -(1 << 63)
+#: A line's place; places are ordered by it. Rows differ in their doc, their text or, where both are the same, their number alone.
+PLACE = ["doc", "text_key", "rid", "line_no"]
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc, line_no, w)``: a row for each line with a word, numbered from 0, and its words."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc")
-    rows = docs.select(doc, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    return rows.select("doc", "line_no", words(F.col("line")).alias("w")).where(F.size("w") > 0)
+def _rows(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc, text_key, text)``: rows alike in ``doc`` and ``text_key`` have the same lines."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
 def _half_keys(w: Column, n: Column) -> Column:
@@ -31,103 +32,113 @@ def _half_keys(w: Column, n: Column) -> Column:
     return F.array(*keys)
 
 
-def line_keys(docs: DataFrame) -> DataFrame:
-    """``(doc, line_no, n, k1, k2, halves)``: what the search needs of each line; 128 bits stand for its words."""
-    rows = _lines(docs).withColumn("n", F.size("w"))
-    return rows.select("doc", "line_no", "n", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"), _half_keys(F.col("w"), F.col("n")).alias("halves"))
+def line_keys(docs: DataFrame, *, row: str | None = None) -> DataFrame:
+    """``(doc, text_key, rid, line_no, n, k1, k2, halves)``: what the search needs of each line; 128 bits stand for its words.
+
+    ``rid`` tells rows of the table apart: the column ``row``, or a number that holds only within what is stored of this table.
+    """
+    rid = F.col(row) if row else F.monotonically_increasing_id()
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("text_key"), rid.alias("rid"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    rows = rows.select("doc", "text_key", "rid", "line_no", words(F.col("line")).alias("w")).where(F.size("w") > 0).withColumn("n", F.size("w"))
+    keys = F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"), _half_keys(F.col("w"), F.col("n")).alias("halves")
+    return rows.select(*PLACE, "n", *keys)
 
 
 def classes(lines: DataFrame) -> DataFrame:
-    """One row for each different line: ``(k1, k2, n, halves, doc, line_no)`` with the place of its earliest copy."""
-    first = F.min(F.struct("doc", "line_no")).alias("at")
+    """One row for each different line: its keys, its words' number, its halves, and the place of its earliest copy."""
+    first = F.min(F.struct(*PLACE)).alias("at")
     rows = lines.groupBy("k1", "k2").agg(first, F.first("n").alias("n"), F.first("halves").alias("halves"))
-    return rows.select("k1", "k2", "n", "halves", "at.doc", "at.line_no")
+    return rows.select("k1", "k2", "n", "halves", "at.*")
 
 
 def with_half_in_common(distinct: DataFrame, *, min_words: int) -> DataFrame:
-    """The rows of ``classes`` that share half of themselves with another; all others are at two edits or more from any line."""
+    """The rows of ``classes`` that share half of themselves with another; all others are at two edits or more from any line.
+
+    They are put in order of their places and numbered by it (``at``), so that what follows compares places by one number.
+    """
     # An edit may take a word off: the shorter line of a pair may have one word less than min_words.
     keys = distinct.where(F.col("n") >= min_words - 1).select("k1", "k2", F.explode("halves").alias("half"))
     shared = keys.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
     some = keys.join(shared, "half", "left_semi").select("k1", "k2").distinct()
-    return distinct.join(some, ["k1", "k2"], "left_semi").select("doc", "line_no", "n")
+    rows = distinct.join(some, ["k1", "k2"], "left_semi").select("k1", "k2", "n", *PLACE)
+    return rows.orderBy(*PLACE).select(F.monotonically_increasing_id().alias("at"), "k1", "k2", "n", "doc", "text_key", "line_no")
 
 
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """The words of the lines at ``places(doc, line_no, n)``: documents are matched whole, then only those lines are cut out."""
-    wanted = places.groupBy("doc").agg(F.collect_list(F.struct("line_no", "n")).alias("wanted"))
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    rows = own.join(wanted, "doc").select("doc", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("x"))
-    rows = rows.select("doc", "x.line_no", "x.n", words(F.get("lines", F.col("x.line_no"))).alias("w"))
-    return rows.where(F.size("w") == F.col("n")).dropDuplicates(["doc", "line_no"])
+    """``(at, n, w)``: the words of the lines at ``places``; documents are matched whole, then only those lines are cut out."""
+    wanted = places.groupBy("doc", "text_key").agg(F.collect_list(F.struct("at", "line_no", "n")).alias("wanted"))
+    rows = _rows(docs).join(wanted, ["doc", "text_key"]).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("x"))
+    # Equal rows give their lines more than once.
+    return rows.select("x.at", "x.n", words(F.get("lines", F.col("x.line_no"))).alias("w")).dropDuplicates(["at"])
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """``lines(doc, line_no, n, w)`` -> ``(size, key, gone, doc, line_no)``: the whole line (gone 0), and the line without its gone-th word.
+    """``lines(at, n, w)`` -> ``(size, key, gone, at)``: the whole line (gone 0), and the line without its gone-th word.
 
     A key is the XOR of the hashes of a variant's (word, place) pairs. Running XORs give the keys of all n variants of a line
     in one pass over its words: before the gap each word keeps its place, behind it each moves up by one.
     """
-    w = lines.select("doc", "line_no", "n", F.posexplode("w").alias("at", "word"))
-    w = w.select("doc", "line_no", "n", "at", F.xxhash64("word", "at").alias("stay"), F.xxhash64("word", F.col("at") - 1).alias("move"))
-    line = Window.partitionBy("doc", "line_no")
-    upto = line.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = w.select("doc", "line_no", "n", "at", "stay", F.bit_xor("stay").over(upto).alias("head"), F.bit_xor("move").over(line).alias("all"), F.bit_xor("move").over(upto).alias("moved"))
-    gap = F.struct((F.col("n") - 1).alias("size"), F.col("head").bitwiseXOR(F.col("stay")).bitwiseXOR(F.col("all")).bitwiseXOR(F.col("moved")).alias("key"), (F.col("at") + 1).alias("gone"))
+    w = lines.select("at", "n", F.posexplode("w").alias("k", "word"))
+    w = w.select("at", "n", "k", F.xxhash64("word", "k").alias("stay"), F.xxhash64("word", F.col("k") - 1).alias("move"))
+    line = Window.partitionBy("at")
+    upto = line.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = w.select("at", "n", "k", "stay", F.bit_xor("stay").over(upto).alias("head"), F.bit_xor("move").over(line).alias("all"), F.bit_xor("move").over(upto).alias("moved"))
+    gap = F.struct((F.col("n") - 1).alias("size"), F.col("head").bitwiseXOR(F.col("stay")).bitwiseXOR(F.col("all")).bitwiseXOR(F.col("moved")).alias("key"), (F.col("k") + 1).alias("gone"))
     whole = F.struct(F.col("n").alias("size"), F.col("head").alias("key"), F.lit(0).alias("gone"))
-    both = F.when(F.col("at") == F.col("n") - 1, F.array(gap, whole)).otherwise(F.array(gap))
-    return rows.select("doc", "line_no", F.explode(both).alias("v")).select("v.*", "doc", "line_no")
+    both = F.when(F.col("k") == F.col("n") - 1, F.array(gap, whole)).otherwise(F.array(gap))
+    return rows.select("at", F.explode(both).alias("v")).select("v.*", "at")
 
 
 def candidate_links(rows: DataFrame) -> DataFrame:
-    """``variants`` -> ``(doc, line_no, doc2, line2, gone, gone2)``: each line with the earliest line that shares a variant.
+    """``variants`` -> ``(at, at2, gone, gone2)``: each line with the earliest line that shares a variant.
 
     Lines without the same word of the same variant are at one edit from one another, as are the variant itself and all of them. So the
     earliest line of such a group speaks for it: links grow with the lines, never with the square of a group.
     """
-    at = F.struct("doc", "line_no")
-    groups = rows.groupBy("size", "key", "gone").agg(F.min(at).alias("first"), F.count("*").alias("c"))
+    groups = rows.groupBy("size", "key", "gone").agg(F.min("at").alias("first"), F.count("*").alias("c"))
     by_key = groups.groupBy("size", "key").agg(
         F.min(F.when(F.col("gone") == 0, F.col("first"))).alias("whole"),
         F.min(F.when(F.col("gone") > 0, F.struct("first", "gone"))).alias("cut"),
         F.sum("c").alias("c"),
     ).where("c > 1")
-    same = rows.join(groups.where("gone > 0 and c > 1").select("size", "key", "gone", "first"), ["size", "key", "gone"])
-    same = same.select("doc", "line_no", F.col("first.doc").alias("doc2"), F.col("first.line_no").alias("line2"), "gone", F.col("gone").alias("gone2"))
+    same = rows.join(groups.where("gone > 0 and c > 1").select("size", "key", "gone", F.col("first").alias("at2")), ["size", "key", "gone"])
+    same = same.select("at", "at2", "gone", F.col("gone").alias("gone2"))
     mixed = rows.join(by_key.where("whole is not null and cut is not null"), ["size", "key"])
-    mixed = mixed.withColumn("other", F.when(F.col("gone") > 0, F.struct(F.col("whole").alias("first"), F.lit(0).alias("gone"))).otherwise(F.col("cut")))
-    mixed = mixed.select("doc", "line_no", F.col("other.first.doc").alias("doc2"), F.col("other.first.line_no").alias("line2"), "gone", F.col("other.gone").alias("gone2"))
-    found = same.unionByName(mixed)
-    return found.where((F.col("doc2") < F.col("doc")) | ((F.col("doc2") == F.col("doc")) & (F.col("line2") < F.col("line_no"))))
+    other = F.when(F.col("gone") > 0, F.struct(F.col("whole").alias("first"), F.lit(0).alias("gone"))).otherwise(F.col("cut"))
+    mixed = mixed.select("at", other.alias("other"), "gone").select("at", F.col("other.first").alias("at2"), "gone", F.col("other.gone").alias("gone2"))
+    return same.unionByName(mixed).where("at2 < at")
 
 
 def _without(w: Column, gone: Column) -> Column:
     return F.when(gone == 0, w).otherwise(F.concat(F.slice(w, F.lit(1), F.greatest(gone - 1, F.lit(0))), F.slice(w, gone + 1, F.size(w))))
 
 
-def line_status(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, line_no, n, status)``: 'kept', 'copy' or 'near' for every line with a word.
+def line_status(docs: DataFrame, *, min_words: int = 5, row: str | None = None) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, rid, line_no, n, status)``: 'kept', 'copy' or 'near' for every line with a word of every row.
 
     A line stays unless an earlier one (by doc_id, then place) has the same words ('copy') or is at one word edit from it
     ('near': a word put in, taken out or changed, if the longer line has ``min_words`` words or more, so that
     at least 0.8 of it is common). Copies of a 'near' line are 'near' too. White space between words doesn't count.
-    Lines without a word are no rows. A null doc_id comes before all others; rows with one doc_id
-    (repeated rows, null ids) share the places of their lines, of which the equal ones count as one and others by their words.
+    Lines without a word are no rows. A null doc_id comes before all others. Rows with one doc_id, or without any, are told
+    apart by a hash of their texts, which also orders them; of rows alike in both any comes first, and the others' lines are copies.
+    ``row`` names a column that numbers the rows of ``docs``; without it rows are numbered here.
     """
-    lines = stored(line_keys(docs), "lines")
+    lines = stored(line_keys(docs, row=row), "lines")
     distinct = stored(classes(lines), "line-classes")
-    texts = stored(_texts(docs, with_half_in_common(distinct, min_words=min_words)), "line-texts")
+    places = stored(with_half_in_common(distinct, min_words=min_words), "line-places")
+    texts = stored(_texts(docs, places), "line-texts")
     rows = stored(variants(texts), "line-variants")
     links = candidate_links(rows)
-    a = texts.select("doc", "line_no", "n", "w")
-    b = texts.select(F.col("doc").alias("doc2"), F.col("line_no").alias("line2"), F.col("n").alias("n2"), F.col("w").alias("w2"))
-    links = links.join(a, ["doc", "line_no"]).join(b, ["doc2", "line2"]).where(F.greatest("n", "n2") >= min_words)
-    near = links.where(_without(F.col("w"), F.col("gone")) == _without(F.col("w2"), F.col("gone2"))).select("doc", "line_no").distinct()
-    judged = distinct.join(near.withColumn("near", F.lit(True)), ["doc", "line_no"], "left")
-    judged = judged.select("k1", "k2", F.col("doc").alias("doc1"), F.col("line_no").alias("line1"), F.coalesce("near", F.lit(False)).alias("near"))
-    first = (F.col("doc") == F.col("doc1")) & (F.col("line_no") == F.col("line1"))
-    status = F.when(F.col("near"), "near").when(first, "kept").otherwise("copy")
-    return lines.join(judged, ["k1", "k2"]).select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "line_no", "n", status.alias("status"))
+    a = texts.select("at", "n", "w")
+    b = texts.select(F.col("at").alias("at2"), F.col("n").alias("n2"), F.col("w").alias("w2"))
+    links = links.join(a, "at").join(b, "at2").where(F.greatest("n", "n2") >= min_words)
+    near = links.where(_without(F.col("w"), F.col("gone")) == _without(F.col("w2"), F.col("gone2"))).select("at").distinct()
+    near = places.join(near, "at", "left_semi").select("k1", "k2", F.lit(True).alias("near"))
+    judged = distinct.join(near, ["k1", "k2"], "left").select("k1", "k2", F.col("rid").alias("rid1"), F.col("line_no").alias("line1"), F.coalesce("near", F.lit(False)).alias("near"))
+    first = (F.col("rid") == F.col("rid1")) & (F.col("line_no") == F.col("line1"))
+    status = F.when(F.col("near"), F.lit("near")).when(first, "kept").otherwise("copy")
+    return lines.join(judged, ["k1", "k2"]).select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "rid", "line_no", "n", status.alias("status"))
 
 
 def document_lines(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
@@ -138,12 +149,15 @@ def document_lines(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
-    """``docs`` with the lines taken out of its texts that ``line_status`` doesn't keep; lines without a word stay. Null texts stay null."""
-    gone = line_status(docs, min_words=min_words).where("status <> 'kept'")
-    gone = gone.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("__doc")).agg(F.collect_set("line_no").alias("__gone"))
-    rows = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(gone, "__doc", "left")
-    lines = F.split("text", "\n")
-    stay = F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("__gone", i), F.lit(False)))
+    """``docs`` with the lines taken out of its texts that ``line_status`` doesn't keep; lines without a word stay. Null texts stay null.
+
+    Rows are numbered and stored first, so that each, whatever its doc_id, loses its own lines and no others. All columns are returned.
+    """
+    held = stored(docs.withColumn("__rid", F.monotonically_increasing_id()), "line-documents")
+    gone = line_status(held, min_words=min_words, row="__rid").where("status <> 'kept'")
+    gone = gone.groupBy(F.col("rid").alias("__rid")).agg(F.collect_set("line_no").alias("__gone"))
+    rows = held.join(gone, "__rid", "left")
+    stay = F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains("__gone", i), F.lit(False)))
     return rows.select(*[F.array_join(stay, "\n").alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 

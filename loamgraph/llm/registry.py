@@ -70,4 +70,8 @@ QUERIES = {
     "op10_kneser_ney_toxicity": op10_kneser_ney_toxicity,
 }
 
-ORACLE_SQL = {"op1_deletion_line_dedup": line_dedup.ORACLE, "op7_temperature_mixing": mixing.ORACLE}
+ORACLE_SQL = {
+    "op1_deletion_line_dedup": line_dedup.ORACLE,
+    "op7_temperature_mixing": mixing.ORACLE,
+    "op8_hash_tree_sharding": sharding.ORACLE,
+}

@@ -144,6 +144,25 @@ def near_pairs(fps: DataFrame, *, radius: int = 4, blocks: int = 7, chunk: int =
     return dealt.mapInArrow(_links(radius), "u long, v long").distinct()
 
 
+#: Parts among which the fingerprints of one component are dealt when they get their component's id.
+SALTS = 32
+
+
+def _components(own: DataFrame, *, radius: int, blocks: int) -> DataFrame:
+    """``own(doc_id, fp, ...)`` -> ``(fp, component, component_id)``, a row for each different fingerprint.
+
+    ``component`` is the least fingerprint that links lead to, ``component_id`` the least doc_id of its rows. Fingerprints without a link
+    are their own component; of the others, a component's one row is copied for each of SALTS parts, as a component may be large.
+    """
+    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    links = near_pairs(distinct.select("fp"), radius=radius, blocks=blocks)
+    comp = connected_components(links).withColumnRenamed("node", "fp")
+    alone = distinct.join(comp.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("component"), F.col("least").alias("component_id"))
+    linked = stored(distinct.join(comp, "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")), "linked-fingerprints")
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return alone.unionByName(linked.join(least, ["component", "salt"]).select("fp", "component", "component_id"))
+
+
 def simhash_components(docs: DataFrame, *, width: int = 4, radius: int = 4, blocks: int = 7) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, fp long, component_id)``, a row for each row of ``docs``.
 
@@ -154,22 +173,23 @@ def simhash_components(docs: DataFrame, *, width: int = 4, radius: int = 4, bloc
     rows are returned as often as they come; other columns are not looked at. No rows give no rows.
     """
     own = stored(docs.select("doc_id", fingerprint(F.col("text"), width).alias("fp")), "fingerprints")
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = near_pairs(distinct.select("fp"), radius=radius, blocks=blocks)
-    comp = connected_components(links).withColumnRenamed("node", "fp")
-    named = distinct.join(comp, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component_id")
+    named = _components(own, radius=radius, blocks=blocks)
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def dedup(docs: DataFrame, *, width: int = 4, radius: int = 4, blocks: int = 7) -> DataFrame:
-    """The rows of ``docs`` that stay when each component keeps the document of its smallest doc_id.
+    """``docs`` with one row of each component: that of its smallest doc_id, with all columns as they are.
 
-    Repeated rows of the kept doc_id are kept once; rows without doc_id can't be told apart and stay.
-    All columns are returned.
+    Components are those of ``simhash_components``; what a row says is judged by its own text, never by that of another row with
+    its doc_id. Of rows of one component with equal doc_ids the first numbered stays; rows without doc_id come last, and one of them stays
+    if a component has no others. Rows are numbered and stored with their fingerprints first, so numbers hold for all that follows.
     """
-    found = simhash_components(docs, width=width, radius=radius, blocks=blocks)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return stay.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(stay.where("doc_id is null"))
+    fp, rid = "__fp", "__rid"
+    held = stored(docs.select("*", fingerprint(F.col("text"), width).alias(fp), F.monotonically_increasing_id().alias(rid)), "fingerprinted")
+    own = held.select("doc_id", F.col(fp).alias("fp"), F.col(rid).alias("rid"))
+    named = _components(own.select("doc_id", "fp"), radius=radius, blocks=blocks).select("fp", "component")
+    best = F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))
+    # Copies with one fingerprint meet before components do, and only one row of each goes on.
+    first = own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("at")).select("fp", "at.*")
+    stay = first.join(named, "fp").groupBy("component").agg(best.alias(rid)).select(rid)
+    return held.join(stay, rid, "left_semi").select(docs.columns)

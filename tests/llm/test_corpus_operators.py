@@ -1,9 +1,11 @@
 """Operators 1, 5, 6, 7, 8 and the pipeline against brute force on small tables."""
 
+import hashlib
 import math
 import random
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 import xxhash
@@ -30,10 +32,11 @@ def test_queries_equal_their_sql(spark, sf_dir, name):
 
 
 def brute_lines(rows, min_words=5):
-    lines = sorted(((i if i is not None else line_dedup.NO_ID, k, tuple(x.split())) for i, t in rows for k, x in enumerate((t or "").split("\n")) if x.split()))
+    signed = lambda t: (lambda h: h - (1 << 64) if h >= 1 << 63 else h)(xxhash.xxh64_intdigest((t or "").encode(), 42))
+    lines = sorted(((i if i is not None else line_dedup.NO_ID, signed(t), row, k), tuple(x.split())) for row, (i, t) in enumerate(rows) for k, x in enumerate((t or "").split("\n")) if x.split())
     out, first = Counter(), {}
-    for i, k, w in lines:
-        first.setdefault(w, (i, k))
+    for at, w in lines:
+        first.setdefault(w, at)
 
     def near(a, b):
         if len(a) == len(b):
@@ -42,8 +45,8 @@ def brute_lines(rows, min_words=5):
         return len(b) - len(a) == 1 and any(b[:p] + b[p + 1 :] == a for p in range(len(b)))
 
     gone = {w for w in first if any(first[v] < first[w] and max(len(v), len(w)) >= min_words and near(v, w) for v in first)}
-    for i, k, w in lines:
-        out[i if i != line_dedup.NO_ID else None, "near" if w in gone else "kept" if first[w] == (i, k) else "copy"] += 1
+    for at, w in lines:
+        out[at[0] if at[0] != line_dedup.NO_ID else None, "near" if w in gone else "kept" if first[w] == at else "copy"] += 1
     return out
 
 
@@ -58,7 +61,7 @@ def test_line_status_equals_brute_force(spark):
             w[p : p + rng.choice([0, 1])] = [] if rng.random() < 0.4 else [rng.choice("abcxyz")]
         return "  ".join(w)
 
-    rows = [(i, "\n".join(line() for _ in range(6))) for i in range(40)] + [(100, None), (101, ""), (102, " \n\n"), (None, "null id line with five words"), (103, "word " * 20000), (104, "word " * 20001)]
+    rows = [(i, "\n".join(line() for _ in range(6))) for i in range(40)] + [(100, None), (101, ""), (102, " \n\n"), (None, "null id line with five words"), (None, "null id line with six more words\nnull id line with five words"), (7, "another text\nof one two three four five"), (7, "another text\nof one two three four five"), (103, "word " * 20000), (104, "word " * 20001)]
     got = Counter((r["doc_id"], r["status"]) for r in line_dedup.line_status(docs_of(spark, rows)).collect())
     assert got == brute_lines(rows)
 
@@ -67,6 +70,12 @@ def test_lines_are_taken_out_of_texts(spark):
     rows = [(1, "one two three four five\n\nshort"), (2, "one two three four six\nshort\nown line"), (3, None)]
     out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()}
     assert out == {1: rows[0][1], 2: "own line", 3: None}
+    alike = [(None, "same line here\nfirst own words"), (None, "same line here\nsecond text of its own"), (None, "same line here\nthird"), (5, "x1 x2 x3 x4 x5 x6"), (5, "a b c d e f"), (1, "a b c d e f"), (9, "x1 x2 x3 x4 x5 x6"), (9, "x1 x2 x3 x4 x5 x6")]
+    clash = docs_of(spark, alike).withColumn("line_no", F.lit(1)).withColumn("rid", F.lit("own")).withColumn("at", F.lit(2))
+    out = line_dedup.dedup_lines(clash)
+    assert out.columns == clash.columns
+    left = Counter((r["doc_id"], line) for r in out.collect() for line in (r["text"] or "").split("\n") if line)
+    assert left == {(None, "same line here"): 1, (None, "first own words"): 1, (None, "second text of its own"): 1, (None, "third"): 1, (5, "x1 x2 x3 x4 x5 x6"): 1, (1, "a b c d e f"): 1}
     assert line_dedup.document_lines(docs_of(spark, rows).limit(0)).count() == 0
 
 
@@ -154,7 +163,17 @@ def test_fingerprints_and_components_equal_brute_force(spark):
     got = simhash_dedup.simhash_components(docs_of(spark, rows)).collect()
     assert sorted((str(r["doc_id"]), r["fp"] % (1 << 64), r["component_id"]) for r in got) == want
     kept = [r["doc_id"] for r in simhash_dedup.dedup(docs_of(spark, rows)).collect()]
-    assert sorted(k for k in kept if k is not None) == sorted({c for *_, c in want})
+    assert sorted(k for k in kept if k is not None) == sorted({c for *_, c in want}) and None not in kept
+
+
+def test_dedup_judges_rows_by_their_own_texts(spark):
+    own = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, "a b c d e f"), (5, "x1 x2 x3 x4 x5 x6"), (5, "a b c d e f"), (None, own), (None, own), (None, "another text without an id"), (6, ""), (7, None)]
+    docs = docs_of(spark, rows).withColumn("fp", F.lit("own")).withColumn("component", F.lit(1)).withColumn("rid", F.lit(2))
+    out = simhash_dedup.dedup(docs)
+    assert out.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter([(1, "a b c d e f"), (5, "x1 x2 x3 x4 x5 x6"), (None, own), (None, "another text without an id"), (6, "")])
+    assert simhash_dedup.dedup(docs.limit(0)).count() == 0
 
 
 def test_large_buckets_lose_no_link(spark):
@@ -211,11 +230,36 @@ def test_mixture_meets_its_targets(spark):
 # Sharding
 
 
+def brute_place(key, shards):
+    name = "null" if key is None else str(key)
+    uniform = lambda *parts: (int(hashlib.md5(":".join(parts).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+    def draw(k, level, weights):
+        return min((-math.log(uniform(*k, f"{level}{i}")) / w, i) for i, w in weights.items())[1]
+
+    for attempt in range(sharding.TRIES):
+        k, left = (name, str(attempt)), shards
+        for level in ("region", "rack"):
+            of = Counter()
+            for s in left:
+                of[getattr(s, level)] += s.capacity
+            at = draw(k, level, of)
+            left = [s for s in left if getattr(s, level) == at]
+        at = draw(k, "shard", {s.number: s.capacity for s in left})
+        s = next(s for s in left if s.number == at)
+        if uniform(*k, f"take{at}") < s.weight / s.capacity:
+            return s.region, s.rack, s.number
+    at = draw((name,), "all", {s.number: s.weight for s in shards if s.weight > 0})
+    return next((s.region, s.rack, s.number) for s in shards if s.number == at)
+
+
 def test_shards_hold_the_key_law(spark):
     rows = [(i, "é" * (i % 50)) for i in range(3000)] + [(None, None), (None, ""), (7, "again")]
     docs = docs_of(spark, rows).withColumn("shard", F.lit("clash"))
     out = sharding.shard_documents(docs, buckets=8).collect()
     assert len(out) == len(rows)
+    for r in out[:300]:
+        assert (r["region"], r["rack"], r["shard"]) == brute_place(r["doc_id"], sharding.tree(24)) and r["grown_shard"] == brute_place(r["doc_id"], sharding.tree(25))[2]
     moved = [r for r in out if r["grown_shard"] != r["shard"]]
     assert moved and all(r["grown_shard"] == 24 for r in moved) and 60 < len(moved) < 190
     for s in range(24):
@@ -232,12 +276,27 @@ def test_shards_hold_the_key_law(spark):
 
 def test_weights_move_rows_in_their_subtree_only(spark):
     docs = docs_of(spark, [(i, "") for i in range(4000)])
-    before = sharding.tree(6, per_rack=2, racks_per_region=2)
-    after = [sharding.Shard(s.number, s.region, s.rack, 3.0 if s.number == 2 else s.weight) for s in before]
+    before = [replace(s, capacity=3.0) for s in sharding.tree(6, per_rack=2, racks_per_region=2)]
+    after = [replace(s, weight=3.0) if s.number == 2 else s for s in before]
     a, b = ({r["doc_id"]: r["shard"] for r in sharding.assign(docs, t).collect()} for t in (before, after))
     assert all(b[i] in (a[i], 2) for i in a) and Counter(b.values())[2] == pytest.approx(4000 * 3 / 8, rel=0.12)
-    carried = sharding.assign(docs.withColumn("slot", F.lit(1)), before, carry=True)
-    assert carried.count() == 4000 and set(docs.columns) < set(carried.columns) and sharding.assign(docs.limit(0), before).count() == 0
+    wider = [replace(s, capacity=6.0) if s.number == 2 else s for s in before]
+    c = {r["doc_id"]: r["shard"] for r in sharding.assign(docs, wider).collect()}
+    assert Counter(c.values())[2] == pytest.approx(4000 / 6, rel=0.15)
+    with pytest.raises(ValueError):
+        sharding.place("doc_id", [sharding.Shard(0, 0, 0, weight=0.0)])
+
+
+def test_sharding_leaves_other_columns_alone(spark):
+    docs = docs_of(spark, [(i, "t") for i in range(50)] + [(None, None)] * 3)
+    for name in ("bucket", "k", "offset", "n", "slot"):
+        docs = docs.withColumn(name, F.lit("own"))
+    out = sharding.assign(docs, sharding.tree(6), carry=True)
+    rows = out.collect()
+    assert len(rows) == 53 and set(docs.columns) <= set(out.columns) and all(r["bucket"] == r["k"] == r["offset"] == r["n"] == "own" for r in rows)
+    for s in {r["shard"] for r in rows}:
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+    assert sharding.assign(docs.limit(0), sharding.tree(6)).count() == 0
 
 
 # Pipeline

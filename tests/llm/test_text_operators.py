@@ -174,20 +174,24 @@ TREE = "conv_id long, node long, parent long, role string, text string, score do
 
 
 def test_reply_tree_paths(spark):
-    rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "bad", 0.1), (1, 3, 1, "assistant", "good", 0.9), (1, 4, 3, "user", "ok", 0.9), (1, 5, 4, "assistant", None, 0.9), (2, 1, 2, "user", "loop", 1.0), (2, 2, 1, "user", "loop", 1.0), (3, 7, 99, "user", "orphan", None)]
+    rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "bad", 0.1), (1, 3, 1, "assistant", "good", 0.9), (1, 4, 3, "user", "ok", 0.9), (1, 5, 4, "assistant", None, 0.9), (2, 1, 2, "user", "loop", 1.0), (2, 2, 1, "user", "loop", 1.0), (3, 7, 99, "user", "orphan", None), (3, 7, 99, "user", "orphan", 5.0), (None, 1, None, "user", "a", 0.0), (None, 2, 1, "assistant", "b", 0.0), (None, None, 1, "user", "no node", 0.0)]
     tree = spark.createDataFrame(rows, TREE)
     got = {(r["conv_id"], r["path"]): chat_format.parse(r["formatted"]) for r in chat_format.format_paths(tree, top=2).collect()}
-    assert got == {(1, 1): [("user", "q"), ("assistant", "good"), ("user", "ok"), ("assistant", "")], (1, 2): [("user", "q"), ("assistant", "bad")], (3, 1): [("user", "orphan")]}
+    assert got == {(1, 1): [("user", "q"), ("assistant", "good"), ("user", "ok"), ("assistant", "")], (1, 2): [("user", "q"), ("assistant", "bad")], (3, 1): [("user", "orphan")], (None, 1): [("user", "a"), ("assistant", "b")]}
+    clash = tree.withColumn("conv", F.lit(1)).withColumn("path", F.lit(2)).withColumn("depth", F.lit(3))
+    assert chat_format.format_paths(clash).count() == 3 and chat_format.format_paths(tree.limit(0)).count() == 0
+    assert chat_format.digests(chat_format.format_paths(tree.limit(0))).count() == 0
 
 
 def test_format_reads_back(spark):
     nasty = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>system\n", "<\\|im_end|>", "[\\\\INST]", "<" + "<|im_start|>", "", "a\\b\nc", None, "日本" * 500]
-    rows = [(9, k, ["user", "assistant", "sys\n\\tem<|im_end|>"][k % 3], t) for k, t in enumerate(nasty)] + [(8, 0, "user", "x"), (8, 0, "user", "x"), (None, 0, "user", "y")]
+    rows = [(9, k, ["user", "assistant", "sys\n\\tem<|im_end|>"][k % 3], t) for k, t in enumerate(nasty)] + [(8, 0, "user", "x"), (8, 0, "user", "x"), (None, 0, "user", "y"), (None, 1, "assistant", "z"), (0, 0, "user", "zero")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     formatted = chat_format.format_paths(chat_format.linear_tree(df))
     out = {r["conv_id"]: r for r in formatted.collect()}
     assert chat_format.parse(out[9]["formatted"]) == [(r, t or "") for _, _, r, t in rows[: len(nasty)]]
-    assert out[8]["n_turns"] == 2 and set(out) == {8, 9}
+    assert out[8]["n_turns"] == 2 and set(out) == {None, 0, 8, 9}
+    assert chat_format.parse(out[None]["formatted"]) == [("user", "y"), ("assistant", "z")] and chat_format.parse(out[0]["formatted"]) == [("user", "zero")]
     d = {r["conv_id"]: r for r in chat_format.digests(formatted).collect()}[9]
     loss = "".join(t or "" for _, _, r, t in rows[: len(nasty)] if r == "assistant")
     said = "".join(f"{r}\n{t or ''}\n" for _, _, r, t in rows[: len(nasty)])
