@@ -25,9 +25,15 @@ def folded_words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _shingle_hashes(words: list[str], width: int = WIDTH) -> np.ndarray:
-    joined = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] if len(words) >= width else [" ".join(words)] if words else []
-    return np.array([xxhash.xxh64_intdigest(s) for s in joined], np.uint64)
+def shingles(words: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and weights of all shingles of ``width`` words; fewer words are one shingle.
+
+    A weight is 1 and the logarithm of the letters of a shingle's different words: long and different words say more than
+    short or repeated ones. It depends on the shingle alone, so a similarity is the same whatever else a benchmark holds.
+    """
+    parts = [words[i : i + width] for i in range(len(words) - width + 1)] if len(words) >= width else [words] if words else []
+    hashes = np.array([xxhash.xxh64_intdigest(" ".join(p)) for p in parts], np.uint64)
+    return hashes, 1.0 + np.log(np.array([sum(map(len, set(p))) for p in parts], float))
 
 
 def _window_prints(h: np.ndarray, weight: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
@@ -43,24 +49,19 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], *, radius: int, similarity: float):
         self.radius, self.similarity = radius, similarity
         split = [(i, w) for i, w in ((i, folded_words(t)) for i, t in items) if w]
-        prints = [(i, w, _shingle_hashes(w)) for i, w in split]
-        seen = Counter(h for own in {tuple(h.tolist()) for *_, h in prints} for h in set(own))
-        n = max(1, len(prints))
-        #: A shingle of many items says less than one of a single item; one of no item says as much as the latter.
-        self.rare = 1.0 + float(np.log(n))
-        self.weights = {h: 1.0 + float(np.log(n / k)) for h, k in seen.items()}
+        prints = [(i, w, *shingles(w)) for i, w in split]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, own in split for w in own}), 1)}
         self.short: dict[tuple[str, ...], list[int]] = {}
         self.by_length: dict[int, dict] = {}
         keys: dict[int, set[int]] = {}
-        for i, w, h in prints:
+        for i, w, h, weight in prints:
             if len(w) < WIDTH:
                 self.short.setdefault(tuple(w), []).append(i)
                 continue
             own = self.by_length.setdefault(len(w), {"ids": [], "bags": [], "prints": []})
             own["ids"].append(i)
-            own["bags"].append(Counter(h.tolist()))
-            own["prints"].append(int(_window_prints(h, self._weight(h), np.array([0]), len(h))[0]))
+            own["bags"].append((Counter(h.tolist()), dict(zip(h.tolist(), weight.tolist())), float(weight.sum())))
+            own["prints"].append(int(_window_prints(h, weight, np.array([0]), len(h))[0]))
             for key in self._keys(np.array([self.vocabulary[x] for x in w], np.uint64)).tolist():
                 keys.setdefault(key, set()).add(len(w))
         self.keys = np.array(sorted(keys), np.uint64)
@@ -77,9 +78,6 @@ class Index:
                 value, item = np.nonzero(close)
                 own["blocks"].append((np.searchsorted(value, np.arange(257)), item))
 
-    def _weight(self, h: np.ndarray) -> np.ndarray:
-        return np.array([self.weights.get(x, self.rare) for x in h.tolist()])
-
     @staticmethod
     def _keys(ids: np.ndarray) -> np.ndarray:
         n = len(ids) - WIDTH + 1
@@ -133,8 +131,8 @@ class Index:
             places, low, high = places[cut:], low[cut:], high[cut:]
 
     def _stretch(self, words: list[str], first: int, starts: np.ndarray, size: int, own: dict, best: dict) -> None:
-        h = _shingle_hashes(words)
-        weight = self._weight(h)
+        h, weight = shingles(words)
+        upto = np.r_[0.0, np.cumsum(weight)]
         span = size - WIDTH + 1
         prints = _window_prints(h, weight, starts, span)
         cells = prints.view(np.uint8).reshape(-1, BLOCKS)
@@ -150,18 +148,19 @@ class Index:
         order = np.argsort(distance[close], kind="stable")
         values = h.tolist()
         for r, k, d in zip(row[close][order].tolist(), item[close][order].tolist(), distance[close][order].tolist()):
-            name, s = own["ids"][k], int(starts[r])
+            name = own["ids"][k]
             if name in best and best[name][0] >= 1.0:
                 continue
-            similarity = self._similarity(Counter(values[s : s + span]), own["bags"][k])
+            at = int(starts[r])
+            similarity = weighted_similarity(Counter(values[at : at + span]), float(upto[at + span] - upto[at]), *own["bags"][k])
             if similarity >= self.similarity and (name not in best or similarity > best[name][0]):
-                best[name] = (similarity, d, first + s, size)
+                best[name] = (similarity, d, first + at, size)
+
 
-    def _similarity(self, a: Counter, b: Counter) -> float:
-        get = self.weights.get
-        both = sum(get(x, self.rare) * min(n, b[x]) for x, n in a.items() if x in b)
-        every = sum(get(x, self.rare) * n for x, n in a.items()) + sum(get(x, self.rare) * n for x, n in b.items()) - both
-        return both / every
+def weighted_similarity(window: Counter, window_weight: float, item: Counter, weights: dict[int, float], item_weight: float) -> float:
+    """The weight of the shingles that both have, as often as both have them, over that of all of both."""
+    both = sum(weights[x] * min(n, item[x]) for x, n in window.items() if x in item)
+    return both / (window_weight + item_weight - both)
 
 
 def _indexes(benchmark: DataFrame, *, similarity: float, radius: int, block_items: int, block_chars: int) -> Iterator[Broadcast]:
@@ -174,17 +173,18 @@ def _indexes(benchmark: DataFrame, *, similarity: float, radius: int, block_item
         yield benchmark.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in rows], radius=radius, similarity=similarity))
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8, radius: int = 20, block_items: int = 20_000, block_chars: int = 16_000_000) -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8, radius: int = 23, block_items: int = 20_000, block_chars: int = 16_000_000) -> DataFrame:
     """``docs(doc_id, text)``, ``benchmark(item_id, text)`` -> ``(doc_id, item_id, similarity, distance, first_word, n_words)``.
 
     A row for each document and each item of which the document holds a window of the item's number of words with
-    a weighted five-word-shingle similarity (Jaccard over counts; rarer shingles weigh more) of ``similarity`` or more; the
+    a weighted five-word-shingle similarity (Jaccard over counts; shingles of longer and different words weigh more) of ``similarity`` or more; the
     best window is given. Windows are found by SimHash: every fingerprint within ``radius`` bits of an
     item's is led to it by one of its blocks at least, and the exact similarity decides. At 0.8 fingerprints differ
-    in about 10 bits, with a deviation of 3, so a radius of 20 loses about one such window in two thousand.
+    in about 10 bits, with a deviation of 3: a radius of 23 is four and a half deviations above. A radius of 64 compares
+    every window with every item of its length and is exact.
 
     The benchmark is taken in blocks of ``block_items`` items and ``block_chars`` characters at most on average; a block is what
-    tasks hold, and the documents are read once for each. Items of fewer than five words must occur word for word;
+    tasks hold (an item is held whole), and the documents are read once for each; what is found doesn't depend on the blocks. Items of fewer than five words must occur word for word;
     items without a word (null, empty) are found nowhere, as are windows in null or empty texts. Equal items are
     reported each. Repeated rows of documents give repeated rows; an empty benchmark gives no rows.
     """
@@ -213,10 +213,11 @@ def _clean(held: Broadcast):
     return F.arrow_udf(of, "boolean")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8, radius: int = 20, block_items: int = 20_000, block_chars: int = 16_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8, radius: int = 23, block_items: int = 20_000, block_chars: int = 16_000_000) -> DataFrame:
     """The rows of ``docs`` in whose texts ``contaminations`` finds no item, with all columns.
 
-    Each text is judged where it is read, by one block of the benchmark after the other: no text is shuffled.
+    Each text is judged where it is read, by one block of the benchmark after the other: no text is shuffled. Null and empty texts
+    stay, as do all rows if the benchmark is empty; repeated rows fare alike, and rows without doc_id like others.
     """
     for held in _indexes(benchmark, similarity=similarity, radius=radius, block_items=block_items, block_chars=block_chars):
         docs = docs.where(_clean(held)("text"))

@@ -90,12 +90,11 @@ TITLES = {
     "cc-by-nc": ["Creative Commons Attribution-NonCommercial 4.0 International"],
     "cc0": ["CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal"],
 }
-#: Words of the templates that ordinary prose is full of; they alone make no paragraph a candidate.
-COMMON = set("a all and any are at be by can file following for form forms http in is it may no not of or part person source that the this to under use used version with without you work works www law files deal met extent code author authors first second".split())
 FAMILIES = ["unknown", *TEMPLATES]
 
 
 def words_of(text: str) -> list[str]:
+    """The words (runs of letters, digits and underscores) of a text in lower case."""
     return _WORD.findall(text.lower())
 
 
@@ -103,6 +102,16 @@ def _grams(words: list[str]) -> list[tuple[str, ...]]:
     return [(w,) for w in words] + list(zip(words, words[1:]))
 
 
+#: What a shared 2-gram weighs against a shared word: it holds the words' order, which loose words of a licence don't have.
+PAIR_WEIGHT = 3
+
+
+def likeness(words: list[str], template: set) -> float:
+    """The weight of a template's 1- and 2-grams that a run of words has, as a share of all of the template's."""
+    weight = lambda grams: sum(PAIR_WEIGHT if len(g) > 1 else 1 for g in grams)
+    return weight(template.intersection(_grams(words))) / weight(template)
+
+
 _OWN = [(k, words_of(t)) for k, own in enumerate(TEMPLATES.values(), 1) for t in own]
 _OWN_GRAMS = [set(_grams(w)) for _, w in _OWN]
 _TITLE_OF = {tuple(words_of(t)): FAMILIES.index(family) for family, own in TITLES.items() for t in own}
@@ -113,7 +122,7 @@ for _t, (_, _w) in enumerate(_OWN):
 
 
 def template_windows(words: list[str], least: float) -> list[tuple[float, int, int, int]]:
-    """(likeness, start, end, class) of the runs of words, a quarter longer than a template at most, with ``least`` of its 1- and 2-grams.
+    """(likeness, start, end, class) of the runs of words, a quarter longer than a template at most, that are like it by ``least``.
 
     A run starts and ends at 2-grams of its template. So many of them that single words can't make up for have to stand close by
     before a run is compared at all.
@@ -126,13 +135,14 @@ def template_windows(words: list[str], least: float) -> list[tuple[float, int, i
     for t, places in at.items():
         label, own = _OWN[t]
         grams, j = _OWN_GRAMS[t], 0
-        need = max(1, ceil(least * len(grams)) - len(set(own)))
+        single = sum(len(g) == 1 for g in grams)
+        need = max(1, ceil((least * (single + PAIR_WEIGHT * (len(grams) - single)) - single) / PAIR_WEIGHT - 1e-9))
         for a, start in enumerate(places):
             while j < len(places) and places[j] + 2 - start <= len(own) + len(own) // 4:
                 j += 1
             if j - a >= need:
                 end = places[j - 1] + 2
-                s = len(grams.intersection(_grams(words[start:end]))) / len(grams)
+                s = likeness(words[start:end], grams)
                 if s >= least:
                     out.append((s, start, end, label))
     return out
@@ -145,7 +155,6 @@ class Classifier:
         rng = np.random.default_rng(seed)
         templates = [(k, words_of(t)) for k, own in enumerate(TEMPLATES.values(), 1) for t in own]
         self.shingles = {k: [set(_grams(w)) for f, w in templates if f == k] for k in range(1, len(FAMILIES))}
-        self.cues = frozenset(w for _, own in templates for w in own if w not in COMMON and len(w) > 1)
         self.vocabulary = {g: i for i, g in enumerate(sorted({g for _, own in templates for g in _grams(own)}))}
         everything = [w for _, own in templates for w in own]
         filler = [words_of(p) for p in prose] or [["text"]]
@@ -185,6 +194,8 @@ class Classifier:
         none = np.sort(1 - p[held == 0, 0])
         self.cutoff = max(0.5, float(none[min(len(none) - 1, int((1 - false_alarms) * len(none)))])) if len(none) else 0.5
         self.cutoff = min(self.cutoff, 0.95)
+        self.blank = False
+        self.blank = self.predict([]) is None
 
     @staticmethod
     def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -211,16 +222,21 @@ class Classifier:
         return w, b
 
     def predict(self, words: list[str]) -> tuple[str, float, float] | None:
-        """(family, probability, likeness to the family's closest template) of a paragraph; None if it is unknown."""
+        """(family, probability, likeness to the family's closest template) of a paragraph; None if it is none.
+
+        The family is 'unknown' if the paragraph is like a licence, but like that of no family.
+        """
         hits = [k for g in set(_grams(words)) if (k := self.vocabulary.get(g)) is not None]
+        if not hits and self.blank:  # nothing of any template: the same for all such paragraphs
+            return None
         z = (self.bias + self.weights[hits].sum(axis=0))[None, :] / self.temperature
         p = np.exp(self._log_softmax(z))[0]
         label = int(np.argmax(p[1:])) + 1
-        if 1 - p[0] < self.cutoff or p[label] < 0.5:
+        if 1 - p[0] < self.cutoff:
             return None
-        own = set(_grams(words))
-        likeness = max(len(own & t) / len(t) for t in self.shingles[label])
-        return FAMILIES[label], float(p[label]), float(likeness)
+        if p[label] < 0.5:
+            return FAMILIES[0], float(1 - p[0]), 0.0
+        return FAMILIES[label], float(p[label]), max(likeness(words, t) for t in self.shingles[label])
 
     def _probability(self, words: list[str], label: int) -> float:
         hits = [k for g in set(_grams(words)) if (k := self.vocabulary.get(g)) is not None]
@@ -240,13 +256,13 @@ class Classifier:
                     out.append((start, end, *found))
         return sorted(out)
 
-    def scan(self, text: str | None, *, likeness: float = 0.7) -> list[tuple[int, str, float, float]]:
+    def scan(self, text: str | None, *, least: float = 0.7) -> list[tuple[int, str, float, float]]:
         """(line, family, probability, likeness) of each line of a whole text that isn't unknown, and of each notice wrapped over lines.
 
-        A wrapped notice (a run of words with ``likeness`` of a template, wherever its lines end) has the number of its first line, and
+        A wrapped notice (a run of words like a template by ``least``, wherever its lines end) has the number of its first line, and
         stands for what its lines say less surely. A line that is a title word for word has likeness 1.
         """
-        if not text or self.cues.isdisjoint(words_of(text)):
+        if not text:
             return []
         lines = [words_of(line) for line in text.split("\n")]
         words = [w for own in lines for w in own]
@@ -256,20 +272,18 @@ class Classifier:
             n += len(own)
         found = {}
         for k, own in enumerate(lines):
-            if self.cues.isdisjoint(own):
-                continue
             if label := _TITLE_OF.get(tuple(own)):
                 found[k] = (FAMILIES[label], self._probability(own, label), 1.0)
             elif of := self.predict(own):
                 found[k] = of
         more = []
-        for start, end, family, p, s in self._wrapped(words, likeness):
+        for start, end, family, p, s in self._wrapped(words, least):
             own = range(bisect_right(first, start) - 1, bisect_right(first, end - 1))
-            if any(k in found and found[k][0] == family and found[k][2] >= likeness for k in own):
+            if any(k in found and found[k][0] == family and found[k][2] >= least for k in own):
                 continue
             for k in own:
                 whole = start <= first[k] and first[k] + len(lines[k]) <= end
-                if k in found and found[k][2] < s and (whole or found[k][2] < likeness):
+                if k in found and found[k][2] < s and (whole or found[k][2] < least):
                     del found[k]
             more.append((own[0], family, p, s))
         return sorted([(k, *of) for k, of in found.items()] + more)
@@ -292,25 +306,26 @@ def train(docs: DataFrame, *, sample_docs: int = 300, **params) -> Classifier:
         at = 0
         for line, own in zip(lines, words):
             grams = set(_grams(own))
-            if len(grams) > 3 and not any(taken[at : at + len(own)]) and tuple(own) not in _TITLE_OF and max(len(grams & t) / len(t) for t in _OWN_GRAMS) < 0.5:
+            if len(grams) > 3 and not any(taken[at : at + len(own)]) and tuple(own) not in _TITLE_OF and max(likeness(own, t) for t in _OWN_GRAMS) < 0.5:
                 prose.append(line)
             at += len(own)
     return Classifier(prose, **params)
 
 
-def scan(docs: DataFrame, model: Classifier, *, likeness: float = 0.7) -> DataFrame:
+def scan(docs: DataFrame, model: Classifier, *, least: float = 0.7) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, found array<struct<line,family,probability,likeness,confirmed>>)``, a row for each row.
 
-    Every line of every whole text with a cue word is classified, and so is every run of words, across line ends, that is like a
-    template. A prediction is confirmed if ``likeness`` of the 1- and 2-grams of one of its family's templates are in the line or
-    run, or if the line is a title. Null and empty texts have nothing found.
+    Every line of every whole text is classified, and so is every run of words, across line ends, that is like a
+    template. A prediction is confirmed if the line or run is like one of its family's templates by ``least``, or if the line is a
+    title. A paragraph that is like a licence of no family has the family 'unknown' and is never confirmed. Null and empty texts have
+    nothing found; repeated rows and rows without doc_id fare like others; other columns are not looked at. No rows give no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("likeness", pa.float64()), ("confirmed", pa.bool_())]))
 
     def of(texts: pa.Array) -> pa.Array:
         scanner = held.value
-        rows = [[{"line": k, "family": f, "probability": p, "likeness": s, "confirmed": s >= likeness} for k, f, p, s in scanner.scan(t, likeness=likeness)] for t in texts.to_pylist()]
+        rows = [[{"line": k, "family": f, "probability": p, "likeness": s, "confirmed": s >= least} for k, f, p, s in scanner.scan(t, least=least)] for t in texts.to_pylist()]
         return pa.array(rows, kind)
 
     found = F.arrow_udf(of, "array<struct<line:int,family:string,probability:double,likeness:double,confirmed:boolean>>")

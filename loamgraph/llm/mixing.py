@@ -29,29 +29,29 @@ def bisect_exponent(sources: DataFrame, *, repetition: float | None = None, entr
 
     Weights are token shares to the power of the exponent, normalised. ``repetition``: no source is repeated more than so
     often in a mixture that holds every document at least once. Otherwise ``entropy``: that of the weights is at
-    least this share of the greatest possible. Each of STEPS halvings is one aggregate over the table of sources, and
-    one number of it comes back. A target out of reach gives 0 (equal weights), one that the shares meet gives 1.
+    least this share of the greatest possible, and each of STEPS halvings is one aggregate over the table of sources, of which
+    one row comes back. A target out of reach gives 0 (equal weights), one that the shares meet gives 1.
     """
+    if repetition is not None:
+        # Of the weights only the greatest and the least bear on how often a source is repeated: one row comes back.
+        most, least = sources.agg(F.max("tokens"), F.min("tokens")).first()
+        ratio = most / least if least else 1.0
+        low, high = 0.0, 1.0  # met from some exponent on
+        if ratio <= repetition:
+            return 0.0
+        for _ in range(STEPS):
+            mid = (low + high) / 2
+            low, high = (low, mid) if ratio ** (1 - mid) <= repetition else (mid, high)
+        return round(high, 9)
     every = sources.agg(F.sum("tokens")).first()[0] or 1
     shares = sources.select((F.col("tokens") / F.lit(every)).alias("p"))
 
     def met(a: float) -> bool:
-        if repetition is not None:
-            w = F.pow("p", F.lit(a - 1.0))
-            return (shares.agg(F.max(w) / F.min(w)).first()[0] or 1.0) <= repetition
         total, part, n = shares.agg(F.sum(F.pow("p", F.lit(a))), F.sum(F.pow("p", F.lit(a)) * F.log("p")), F.count("*")).first()
         if n < 2:
             return True
         return math.log(total) - a * part / total >= entropy * math.log(n)
 
-    if repetition is not None:
-        low, high = 0.0, 1.0  # met from some exponent on
-        if met(low):
-            return 0.0
-        for _ in range(STEPS):
-            mid = (low + high) / 2
-            low, high = (low, mid) if met(mid) else (mid, high)
-        return round(high, 9)
     low, high = 0.0, 1.0  # met up to some exponent
     if met(high):
         return 1.0
@@ -133,20 +133,28 @@ def cutoffs(mix: Mixture) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs``, each as often as its mixture reads it, with all columns and in no order.
+    """The rows of ``docs``, each as often as its mixture reads it, with all columns, in the order of the mixture's stream.
 
-    What is read is told row by row from each source's budget and where its last pass ends, so texts aren't shuffled.
-    Rows with equal doc_ids end together, so a source may get as many tokens more as such a group has.
+    What is read is told row by row from each source's budget and where its last pass ends. Copies are dealt into ranges of the stream
+    and sorted there: pass after pass, in each the blocks of a source in their permutation and the documents of a block in theirs, and
+    sources side by side by the share of their budget that lies before. So each file that is written is a stretch of the stream,
+    and the copies of a document are a pass apart. Rows with equal doc_ids end together, so a source may get as many tokens more as
+    such a group has. A null source is the source ''; rows without doc_id are one such group. No rows give no rows.
     """
     mix = mixture(docs, **params)
-    s, f, b, o, d = "__source", "__full", "__blocks", "__last_block", "__last_doc"
-    plan = mix.sources.select("source", "full", "blocks").join(cutoffs(mix), "source", "left")
-    plan = stored(plan.select(F.col("source").alias(s), F.col("full").alias(f), F.col("blocks").alias(b), F.col("last_block").alias(o), F.col("last_doc").alias(d)), "passes")
+    s, f, b, o, d, e = "__source", "__full", "__blocks", "__last_block", "__last_doc", "__epochs"
+    plan = mix.sources.select("source", "full", "blocks", (F.col("budget") / F.col("tokens")).alias("epochs")).join(cutoffs(mix), "source", "left")
+    plan = stored(plan.select(F.col("source").alias(s), F.col("full").alias(f), F.col("blocks").alias(b), F.col("last_block").alias(o), F.col("last_doc").alias(d), F.col("epochs").alias(e)), "passes")
     rows = docs.withColumn(s, F.coalesce(F.col("source").cast("string"), F.lit(""))).join(plan, s)
-    order = _hash("order", F.col(f), F.col(s), F.pmod(_hash("block", F.col("doc_id")), F.col(b)))
+    block = F.pmod(_hash("block", F.col("doc_id")), F.col(b))
+    order = _hash("order", F.col(f), F.col(s), block)
     more = F.when((order < F.col(o)) | ((order == F.col(o)) & (_hash("within", F.col(f), F.col("doc_id")) <= F.col(d))), 1).otherwise(0)
     times = (F.col(f) + more).cast("int")
-    return rows.where(times > 0).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times)).alias("__copy")).drop("__copy")
+    copies = rows.where(times > 0).withColumn("__pass", F.explode(F.sequence(F.lit(0), times - 1)))
+    # The hash of a block is its place in its pass: hashes are even, so shares of a pass come out in proportion.
+    at = (F.col("__pass") + _hash("order", F.col("__pass"), F.col(s), block) / F.lit(float(1 << 60))) / F.col(e)
+    placed = copies.select(*docs.columns, at.alias("__at"), F.col(s), _hash("within", F.col("__pass"), F.col("doc_id")).alias("__within"))
+    return placed.repartitionByRange("__at", s, "__within").sortWithinPartitions("__at", s, "__within").select(*docs.columns)
 
 
 #: ``permuted(mixture(documents))`` with the parameters of the registered query, in DuckDB's SQL.

@@ -62,6 +62,32 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
+def entities_of(text: str, spans: list[list[tuple[int, int]]]) -> set[str]:
+    """The protected entities of a text: each value, what it has in common with others, its kind, and that there is any.
+
+    What values share: an address's domain, the first two parts of an IP address, a card's issuer (six digits), a number's
+    country and area (five digits).
+    """
+    out = set()
+    for kind, own in zip(KINDS, spans):
+        for s, e in own:
+            value = text[s:e].lower()
+            digits = "".join(c for c in value if "0" <= c <= "9")
+            shared = {"email": value.rpartition("@")[2], "ip": ".".join(value.split(".")[:2]), "card": digits[:6], "phone": digits[:5]}[kind]
+            out |= {f"{kind}={value}", f"{kind}~{shared}", kind, "any"}
+    return out
+
+
+def term_of(word: str) -> str:
+    """What is counted of a word: itself in lower case, or, with a digit in it, its form: how long it is, and if it is a number.
+
+    Codes and numbers hardly ever come twice; that a text has one of their form does.
+    """
+    if any(c.isdigit() for c in word):
+        return f"{'number' if word.isdigit() else 'code'} {len(word)}"
+    return word.lower()
+
+
 def _hash(s: str) -> int:
     x = xxhash.xxh64_intdigest(s)
     return x - (1 << 64) if x >= 1 << 63 else x
@@ -122,9 +148,10 @@ def read_texts(docs: DataFrame) -> DataFrame:
                 text = text or ""
                 spans = base_spans(text)
                 base.append([[{"start": s, "end": e} for s, e in own] for own in spans])
-                entities.append([_hash(x) for x in sorted({f"{KINDS[k]}:{text[s:e].lower()}" for k, own in enumerate(spans) for s, e in own})])
-                terms.append([_hash(x) for x in sorted({text[s:e].lower() for s, e in terms_outside(text, spans)})] if entities[-1] else [])
-                held.update({w.lower() for w in set(_TERM.findall(text))})
+                entities.append([_hash(x) for x in sorted(entities_of(text, spans))])
+                own = {term_of(w) for w in {text[s:e] for s, e in terms_outside(text, spans)}}
+                terms.append([_hash(x) for x in sorted(own)] if entities[-1] else [])
+                held.update(own)
                 if len(held) > 1 << 18:
                     yield counted()
             none = pa.nulls(b.num_rows, pa.int64())
@@ -141,24 +168,31 @@ def disclosing(rows: DataFrame, *, threshold: float, support: int) -> DataFrame:
     """``read_texts`` rows -> ``(entity, term, disclosure)``: the terms that reveal a protected entity too strongly.
 
     Over all documents: PMI(entity; term) = log(N * n(entity, term) / (n(entity) * n(term))), as a share of the
-    entity's information log(N / n(entity)). At 1 the term occurs in the entity's documents only and reveals it whole. A pair
-    counts from ``support`` documents on: what one document says is no estimate. N, n(entity), n(term) and n(entity, term) are
-    numbers of documents with them, wherever in the document they are.
+    entity's information log(N / n(entity)). At 1 the term occurs in the entity's documents only and reveals it whole. N, n(entity),
+    n(term) and n(entity, term) are numbers of documents with them, wherever in the document they are; terms within base spans don't count.
+    A pair must come in ``support`` documents, as what one or two say is no estimate, and in so many that n(entity, term) * PMI reaches the
+    logarithm of the number of terms: less could come about by chance for some of so many terms.
     """
     docs = rows.where("rid is not null")
     n_docs = float(docs.count())
     named = docs.where(F.size("entities") > 0)
     mentions = named.select("rid", F.explode("entities").alias("entity"))
     # A pair has no more documents than its entity: rarer ones can't reach the support.
-    entities = mentions.groupBy("entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= support)
+    entities = stored(mentions.groupBy("entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= support), "entities")
+    terms = stored(rows.where("term is not null").groupBy("term").agg(F.sum("n").alias("with_term")), "term-counts")
+    n_terms = terms.count()
+    most = entities.where(F.col("with_entity") < n_docs).agg(F.max("with_entity")).first()[0] or 0
+    # From the threshold, and n(entity, term) <= n(entity): a term of more documents can't reach it with any entity.
+    bound = most**threshold * n_docs ** (1 - threshold) + 1e-6
+    some = terms.where((F.col("with_term") >= support) & (F.col("with_term") <= bound))
     own = mentions.join(entities, "entity", "left_semi").groupBy("rid").agg(F.collect_list("entity").alias("entities"))
-    met = named.select("rid", "terms").join(own, "rid").select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term"))
-    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    terms = rows.where("term is not null").groupBy("term").agg(F.sum("n").alias("with_term"))
-    both = pairs.join(entities, "entity").join(terms, "term").withColumn("docs", F.lit(n_docs))
-    pmi = F.log(F.col("docs") * F.col("both") / (F.col("with_entity") * F.col("with_term")))
-    information = F.log(F.col("docs") / F.col("with_entity"))
-    return both.where("with_entity < docs").withColumn("disclosure", pmi / information).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
+    met = named.select("rid", F.explode("terms").alias("term")).join(some, "term").join(own, "rid")
+    pairs = met.select(F.explode("entities").alias("entity"), "term", "with_term").groupBy("entity", "term", "with_term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    both = pairs.join(entities, "entity").where(F.col("with_entity") < n_docs)
+    pmi = F.log(F.lit(n_docs) * F.col("both") / (F.col("with_entity") * F.col("with_term")))
+    found = both.withColumn("pmi", pmi).withColumn("disclosure", F.col("pmi") / F.log(F.lit(n_docs) / F.col("with_entity")))
+    # Near 1 the logarithms' own error decides: a share is told to nine digits.
+    return found.where((F.round("disclosure", 9) >= threshold) & (F.col("both") * F.col("pmi") >= F.log(F.lit(float(max(n_terms, 1)))))).select("entity", "term", "disclosure")
 
 
 def _occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -179,16 +213,16 @@ def _occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
             if word not in known:
                 if len(known) > 1 << 18:
                     known.clear()
-                h = _hash(word)
+                h = _hash(term_of(word))
                 known[word] = h if int(table[(k := h % _SLOTS) >> 5]) >> (k & 31) & 1 else None
             return known[word]
 
         for b in batches:
             at, out = [], ([], [], [])
             for i, text in enumerate(b.column(2).to_pylist()):
-                if text and any(hash_if_held(w) is not None for w in {w.lower() for w in set(_TERM.findall(text))}):
+                if text and any(hash_if_held(w) is not None for w in set(_TERM.findall(text))):
                     for s, e in terms_outside(text, base_spans(text)):
-                        if (h := hash_if_held(text[s:e].lower())) is not None:
+                        if (h := hash_if_held(text[s:e])) is not None:
                             at.append(i)
                             for col, x in zip(out, (h, s, e)):
                                 col.append(x)
@@ -202,9 +236,10 @@ def _occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def find(docs: DataFrame, *, threshold: float = 0.9, support: int = 3) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, base array<array<struct<start,end>>>, terms array<struct<start,end,whole>>)``, a row for each row.
 
-    ``base`` has the spans of KINDS; ``terms`` the spans of all occurrences, in all documents, of the terms whose disclosure of some
-    entity reaches ``threshold`` (``whole``: they occur in its documents only, so generalising would leave nothing). Null texts
-    count as empty and have no spans. Repeated rows each get their own.
+    ``base`` has the spans of KINDS; ``terms`` the spans of all occurrences, in all documents, of the terms (``term_of`` words) whose
+    disclosure of some entity (``entities_of``) reaches ``threshold``; ``whole``: they occur in its documents only, so generalising them
+    would leave nothing. Null texts count as empty and have no spans. Repeated rows each count, and each get their spans; rows without
+    doc_id are told apart by their texts. Other columns are not looked at. No rows give no rows.
     """
     rows = read_texts(docs)
     terms = stored(disclosing(rows, threshold=threshold, support=support).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "disclosing-terms")
@@ -223,26 +258,26 @@ def spans_text(base: list, terms: list) -> tuple[str, str]:
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """``find`` rows -> doc_id, a count for each of KINDS, base_sha256, spans and n_term."""
+    """``find`` rows -> doc_id, a count for each of KINDS, base_sha256, spans, n_term, and n_spans of all kinds."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             base, terms = b.column(1).to_pylist(), b.column(2).to_pylist()
             texts = [spans_text(x, y) for x, y in zip(base, terms)]
             counts = np.array([[len(own) for own in x] for x in base], np.int64).reshape(-1, len(KINDS))
-            cols = [b.column(0), *(pa.array(counts[:, k]) for k in range(len(KINDS))), pa.array([hashlib.sha256(x.encode()).hexdigest() for x, _ in texts], pa.string()), pa.array([y for _, y in texts], pa.string()), pa.array([len(y) for y in terms], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_term"])
+            cols = [b.column(0), *(pa.array(counts[:, k]) for k in range(len(KINDS))), pa.array([hashlib.sha256(x.encode()).hexdigest() for x, _ in texts], pa.string()), pa.array([y for _, y in texts], pa.string()), pa.array([len(y) for y in terms], pa.int64()), pa.array([len(y) + int(n) for y, n in zip(terms, counts.sum(axis=1))], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_term", "n_spans"])
 
-    return found.select("doc_id", "base", "terms").mapInArrow(read, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_term long")
+    return found.select("doc_id", "base", "terms").mapInArrow(read, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_term long, n_spans long")
 
 
 def _replaced(text: str | None, base: list | None, terms: list | None) -> str | None:
-    if text is None or not base:
+    if not text:
         return text
-    marks = [(s["start"], s["end"], f"[{kind.upper()}]") for kind, spans in zip(KINDS, base) for s in spans]
+    marks = [(s["start"], s["end"], f"[{kind.upper()}]") for kind, spans in zip(KINDS, base or []) for s in spans]
     for s in terms or []:
         term = text[s["start"] : s["end"]]
-        general = "" if s["whole"] else "[NUMBER]" if term.isdigit() else "[NAME]" if term[:1].isupper() else "[TERM]"
+        general = "" if s["whole"] else "[NUMBER]" if term.isdigit() else "[CODE]" if term_of(term).startswith("code ") else "[NAME]" if term[:1].isupper() else "[TERM]"
         marks.append((s["start"], s["end"], general))
     out, at = [], 0
     for s, e, word in sorted(marks):
@@ -255,7 +290,7 @@ def _replaced(text: str | None, base: list | None, terms: list | None) -> str |
 def sanitise(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with its texts sanitised and all other columns as they are.
 
-    Protected spans become their kind; disclosing terms become [NUMBER], [NAME] or [TERM], or go where they reveal the entity
+    Protected spans become their kind; disclosing terms become [NUMBER], [CODE], [NAME] or [TERM], or go where they reveal the entity
     whole. Rows are matched by doc_id and a hash of the text, so repeated rows fare alike; rows without doc_id too.
     """
     key = F.xxhash64(F.coalesce("text", F.lit("")))

@@ -82,6 +82,18 @@ def test_lines_are_taken_out_of_texts(spark):
 # Decontamination
 
 
+def brute_similarity(a, b):
+    bags = [Counter(" ".join(w[i : i + 5]) for i in range(len(w) - 4)) for w in (a, b)]
+    weight = lambda bag: sum(n * (1 + math.log(len("".join(set(x.split()))))) for x, n in bag.items())
+    return weight(bags[0] & bags[1]) / weight(bags[0] | bags[1])
+
+
+def test_the_radius_loses_no_window_of_the_tables(spark):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    found, exact = ({(r["doc_id"], r["item_id"]) for r in decontamination.contaminations(docs, bench, radius=r).collect()} for r in (23, 64))
+    assert found <= exact and len(found) >= 0.99 * len(exact) > 0
+
+
 def test_windows_equal_brute_force(spark):
     rng = random.Random(3)
     words = [f"w{k}" for k in range(60)]
@@ -95,7 +107,6 @@ def test_windows_equal_brute_force(spark):
         at = rng.randrange(len(body) + 1)
         texts.append((i, " ".join(body[:at] + (copy if i % 3 else []) + body[at:])))
     texts += [(90, "say only, three WORDS here"), (91, None), (92, "")]
-    index = decontamination.Index([(k, t) for k, t in items if t is not None], radius=20, similarity=0.8)
     want = set()
     for i, t in texts:
         w = decontamination.folded_words(t)
@@ -107,16 +118,18 @@ def test_windows_equal_brute_force(spark):
                 hit = any(w[s : s + len(v)] == v for s in range(len(w)))
             else:
                 size = min(len(v), len(w))
-                bag = lambda x: Counter(decontamination._shingle_hashes(x).tolist())
-                hit = size >= 5 and any(index._similarity(bag(w[s : s + size]), bag(v)) >= 0.8 for s in range(len(w) - size + 1))
+                hit = size >= 5 and any(brute_similarity(w[s : s + size], v) >= 0.8 for s in range(len(w) - size + 1))
             if hit:
                 want.add((i, k))
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = docs_of(spark, texts)
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminations(docs, bench).collect()}
     assert got == want and (90, 50) in got and (90, 53) in got
-    split = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminations(docs, bench, block_items=3).collect()}
-    assert {p for p in split} >= {p for p in want if p[1] >= 50}
+    for blocks in (1, 3):
+        assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminations(docs, bench, block_items=blocks).collect()} == want
+    clash = docs.withColumn("item_id", F.lit(1)).withColumn("similarity", F.lit("own"))
+    assert decontamination.decontaminate(clash.unionByName(clash), bench).columns == clash.columns
+    assert decontamination.decontaminate(clash.unionByName(clash), bench).count() == 2 * (len(texts) - len({i for i, _ in want}))
     clean = {r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()}
     assert clean == {i for i, _ in texts} - {i for i, _ in want}
     assert decontamination.contaminations(docs, bench.limit(0)).count() == 0
@@ -219,6 +232,12 @@ def test_mixture_meets_its_targets(spark):
         assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and own[-1][0] < r["budget"] <= sum(own[-1])
     mixed = Counter((r["doc_id"], r["source"] or "") for r in mixing.mix_documents(docs, repetition=2.0).collect())
     assert sum(mixed.values()) == pytest.approx(len(stream), abs=3) and all(mixed[k] >= 1 for k in seen)
+    clash = docs.where("doc_id > 3").withColumn("pass", F.lit("own")).withColumn("block", F.lit(1))
+    out = mixing.mix_documents(clash, repetition=2.0)
+    assert out.columns == clash.columns
+    order = [r["doc_id"] for r in out.collect()]
+    apart = [b - a for d in set(order) if order.count(d) == 2 for a, b in [[k for k, x in enumerate(order) if x == d]]]
+    assert apart and sum(apart) / len(apart) > len(order) / 8  # copies are a pass apart
     flat = mixing.mixture(docs, repetition=None, entropy=0.9)
     p = [r["weight"] for r in flat.sources.collect()]
     assert -sum(x * math.log(x) for x in p) / math.log(3) == pytest.approx(0.9, abs=1e-4)
@@ -323,7 +342,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
         stay.add(min(part))
         todo -= part
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    index = decontamination.Index(items, radius=20, similarity=0.8)
+    index = decontamination.Index(items, radius=23, similarity=0.8)
     stay = {i for i in stay if not index.find(docs[i]["text"])}
     assert {r["doc_id"] for r in out} == stay
     assert all(r["text"] == docs[r["doc_id"]]["text"] for r in out)

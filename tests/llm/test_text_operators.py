@@ -126,6 +126,59 @@ def test_disclosing_terms_go_wherever_they_stand(spark):
     assert "zelda" not in clean[0].lower() and clean[100] == f"only [TERM] is named {far}" and clean[200] == rows[-400][1]
 
 
+def test_forms_and_classes_disclose(spark):
+    rows = [(i, f"page with access token = {'%040x' % (i * 7919 + 1)} and {'mail' if i % 2 else 'post'} who{i}@mail{i % 3}.example.com said") for i in range(30)]
+    rows += [(100, f"page with access token = {'%040x' % 77} only"), (101, "")]
+    rows += [(200 + i, f"page with access and mail or post said only {i} words") for i in range(600)]
+    out = {r["doc_id"]: r for r in pii.digests(pii.find(docs_of(spark, rows))).collect()}
+    at = rows[30][1].index("token")
+    assert out[100]["spans"] == f"term:{at}:{at + 5},term:{at + 8}:{at + 48}" and out[100]["n_spans"] == 2
+    assert all(out[i]["n_term"] == 2 and out[i]["n_email"] == 1 for i in range(30)) and out[200]["spans"] == out[101]["spans"] == ""
+    clash = docs_of(spark, rows + rows[:2]).withColumn("term", F.lit("own")).withColumn("terms", F.lit(1)).withColumn("rid", F.lit(2))
+    clean = pii.sanitise(clash)
+    texts = [r["text"] for r in clean.where("doc_id in (0, 100)").collect()]
+    assert clean.columns == clash.columns and clean.count() == len(rows) + 2 and len(texts) == 3
+    assert all("token" not in t and "%040x" % 77 not in t for t in texts)
+
+
+def brute_disclosure(rows, support=3):
+    docs = []
+    for _, text in rows:
+        spans = pii.base_spans(text or "")
+        terms = {pii.term_of(text[s:e]) for s, e in pii.terms_outside(text or "", spans)}
+        docs.append((pii.entities_of(text or "", spans), terms))
+    n, every = len(docs), {t for _, terms in docs for t in terms}
+    entities = {e for own, _ in docs for e in own}
+    count = lambda e, t: sum((e is None or e in own) and (t is None or t in terms) for own, terms in docs)
+    out = {}
+    for e in entities:
+        n_e = count(e, None)
+        for t in every if support <= n_e < n else ():
+            both, n_t = count(e, t), count(None, t)
+            if both >= support:
+                pmi = math.log(n * both / (n_e * n_t))
+                if round(pmi / math.log(n / n_e), 9) >= 0.9 and both * pmi >= math.log(len(every)):
+                    out[e, t] = pmi / math.log(n / n_e)
+    return out
+
+
+def test_disclosure_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    bits = ["x@a.org", "y@a.org", "1.2.3.4", "1.2.9.9", "4111 1111 1111 1111", "+1 555 123 4567"]
+    rows = []
+    for i in range(160):
+        words = [f"w{rng.randint(0, 30)}x".replace("1", "one") for _ in range(6)]
+        if i % 8 == 0:
+            k = rng.randrange(len(bits))
+            words += [bits[k], f"near{'abcdef'[k]}", "signed"]
+        rows.append((i, " ".join(words)))
+    got = {(r["entity"], r["term"]): r["disclosure"] for r in pii.disclosing(pii.read_texts(docs_of(spark, rows)), threshold=0.9, support=3).collect()}
+    want = {(pii._hash(e), pii._hash(t)): x for (e, t), x in brute_disclosure(rows).items()}
+    assert set(got) == set(want) and len(want) > 3 and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_licenses(spark):
     rows = [(0, "Intro text here.\nReleased under the MIT License.\nmore"), (1, "plain prose without anything of the kind " * 5), (2, None), (3, ""), (4, "This work is licensed under the GNU General Public License, version 3."), (5, "He has a driving license and all of his rights."), (6, "Licensed under CC BY-NC 4.0.")]
     docs = docs_of(spark, rows)
@@ -163,6 +216,39 @@ def test_wrapped_licenses_and_titles(spark):
     assert at[0] == [0] and at[1] == [30] and at[2] == [0]
 
 
+UNSEEN = [
+    ("mit", "This library is released under the MIT License."), ("mit", "Code licensed under the terms of the MIT license"),
+    ("apache", "Licensed under Apache License, Version 2.0"), ("apache", "It is licensed under the Apache License Version 2.0 by its authors"),
+    ("gpl", "This work is licensed under the GNU General Public License, version 2."), ("gpl", "The text is licensed under the GNU General Public License, version 3 or later."),
+    ("lgpl", "Licensed under the GNU Lesser General Public License, version 2.1"), ("bsd", "Licensed under a BSD 3-Clause License"),
+    ("mpl", "Licensed under the Mozilla Public License, Version 2"), ("cc-by", "This text is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa", "Pictures licensed under CC BY-SA 4.0 by the museum"), ("cc-by-nc", "Licensed under CC BY-NC 4.0, no sale"),
+    ("cc0", "dedicated to the public domain under CC0"), ("proprietary", "Copyright 2023 by the publisher. All rights reserved."),
+]
+PLAIN = [
+    "All rights to free lunch are reserved by the chef.", "He has a driving license and all of his rights.", "The public library is free for any person who can read.",
+    "Permission was granted to the general public to use the copy room.", "A version of this work is in the domain of art.", "They shared the creative attribution of the common work.",
+]
+
+
+def test_unseen_notices_are_told_from_prose():
+    model = licenses.Classifier(["an ordinary sentence of plain words that says nothing at all"] * 50)
+    confirmed = lambda text: [f for _, f, _, s in model.scan(text) if s >= 0.7]
+    right = [confirmed(text) == [family] for family, text in UNSEEN]
+    assert sum(right) >= 0.9 * len(right), [t for t, ok in zip(UNSEEN, right) if not ok]
+    assert not any(confirmed(text) for text in PLAIN)
+    assert model.scan("Licensed under the EUPL, Version 1.2.") and not confirmed("Licensed under the EUPL, Version 1.2.")
+    assert model.scan("") == model.scan(None) == [] and confirmed("word " * 50_000 + "\n" + UNSEEN[0][1]) == ["mit"]
+
+
+def test_license_scan_of_odd_tables(spark):
+    docs = docs_of(spark, [(1, UNSEEN[0][1]), (1, UNSEEN[0][1]), (None, UNSEEN[0][1]), (2, None), (3, "")]).withColumn("found", F.lit("own")).withColumn("license", F.lit(1))
+    model = licenses.train(docs)
+    out = licenses.document_licenses(licenses.scan(docs, model)).collect()
+    assert sorted((str(r["doc_id"]), r["license"]) for r in out) == [("1", "mit"), ("1", "mit"), ("2", "none"), ("3", "none"), ("None", "mit")]
+    assert licenses.document_licenses(licenses.scan(docs.limit(0), licenses.train(docs.limit(0)))).count() == 0
+
+
 def test_classifier_knows_its_templates_and_unseen_variants():
     model = licenses.Classifier(["an ordinary sentence of plain words that says nothing at all"] * 50)
     for family, own in licenses.TEMPLATES.items():
@@ -254,6 +340,30 @@ def test_toxicity_learns_and_never_reads_held_out_labels(spark):
     assert again == {i: r["score"] for i, r in out.items()}
 
 
+def test_packed_ratios_never_give_a_foreign_value(spark, monkeypatch):
+    rows = [(k * 7919 + 5, (k % 31 - 15) / 8, k % 5 + 1) for k in range(40_000)]
+    df = spark.createDataFrame(rows, "key long, ratio double, n long")
+    keys = toxicity.np.array([r[0] for r in rows])
+    want = toxicity.np.array([round(r[1] * 8) for r in rows])
+    strange = keys + 1
+    for most, least in ((24, 0.85), (16, 0.35)):  # with 40,000 keys in 65,536 slots many give way, and are as unseen ones
+        monkeypatch.setattr(toxicity, "MOST_BITS", most)
+        got = toxicity._packed(df).find(keys)
+        held = got != toxicity.UNSEEN
+        assert (got[held] == want[held]).mean() > 0.9999 and held.mean() > least
+        assert (toxicity._packed(df).find(strange) != toxicity.UNSEEN).mean() < 0.001
+
+
+def test_toxicity_of_odd_tables(spark):
+    rows = [(i, ("you idiot " if i % 2 else "fine words ") + f"w{i}") for i in range(60)] + [(3, "you idiot w3"), (None, "x"), (99, "long " * 300_000)]
+    docs = docs_of(spark, rows).withColumn("mean", F.lit("own")).withColumn("toxic", F.lit(7))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)] * 2 + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    out = toxicity.score_documents(docs, labels).collect()
+    assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out)
+    assert len({r["score"] for r in out if r["doc_id"] == 3}) == 1
+    assert toxicity.score_documents(docs.limit(0), labels).count() == 0 and toxicity.score_documents(docs, labels.limit(0)).count() == len(rows)
+
+
 def test_toxicity_without_labels(spark):
     docs = docs_of(spark, [(1, "a b"), (2, "")])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
