@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgraph.sources.stages import stored
+from loamgraph.operators.ordering import numbered, numbered_within
+from loamgraph.sources.stages import new_path, stored
 
 
 def edges_from_requirements(definers: DataFrame, required: DataFrame) -> DataFrame:
@@ -54,50 +55,57 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def depths(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 10_000) -> DataFrame:
     """``(node, depth)``: the longest path from a root. Nodes on or below a cycle follow, one level each, in their order.
 
-    Layer by layer: a node is settled once all its parents are. A round joins only edges into open nodes.
+    Layer by layer: the next layer are the nodes that edges lead to from the last one and whose parents are all settled. A round writes its
+    layer alone, as a part of one table.
     """
+    spark = nodes.sparkSession
     e = stored(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
     loops = edges.where("src = dst").select(F.col("dst").alias("node"))
-    done = stored(roots(nodes, edges).select("node", F.lit(0).alias("depth")), "depth")
-    all_done = done
     need = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("need"))
     need = stored(need.join(loops, "node", "left_anti"), "need")
-    for level in range(1, max_rounds):
-        got = e.join(all_done.select(F.col("node").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("got"))
-        ready = got.join(need, "node").where("got = need").join(all_done, "node", "left_anti").select("node", F.lit(level).alias("depth"))
-        ready = stored(ready, "depth")
-        if ready.isEmpty():
+    out, schema = new_path(spark, "depths"), f"node {nodes.schema['node'].dataType.simpleString()}, depth int"
+    layer = roots(nodes, edges).select("node")
+    for level in range(max_rounds):
+        layer.write.parquet(f"{out}/depth={level}")
+        last = spark.read.schema(schema).parquet(f"{out}/depth={level}").select("node")
+        if last.isEmpty():
             break
-        all_done = stored(all_done.unionByName(ready), "depth-all")
-    most = all_done.agg(F.max("depth")).first()[0]
-    rest = nodes.join(all_done, "node", "left_anti")
-    rank = F.row_number().over(Window.orderBy("node"))  # what lies on cycles: a fault to be repaired, not the graph
-    return all_done.unionByName(rest.select("node", (F.lit(-1 if most is None else most) + rank).alias("depth")))
+        done = spark.read.schema(schema).parquet(out)
+        maybe = e.join(last.select(F.col("node").alias("src")), "src", "left_semi").select("dst").distinct()
+        got = e.join(maybe, "dst", "left_semi").join(done.select(F.col("node").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("got"))
+        layer = got.join(need, "node").where("got = need").select("node")
+    done = spark.read.schema(schema).parquet(out)
+    most = done.agg(F.max("depth")).first()[0]
+    rest = numbered(nodes.select("node").join(done, "node", "left_anti"), "node")  # what lies on cycles
+    return done.unionByName(rest.select("node", (F.lit(-1 if most is None else most) + F.col("rank")).alias("depth")))
 
 
-def find_cycle(edges: DataFrame) -> list[tuple]:
-    """The edges of one cycle, from the smallest node on any, always to the smallest node that leads back; [] without one."""
-    e = edges.select("src", "dst").distinct()
-    reach = closure(e)
-    on = reach.where("src = dst").agg(F.min("src")).first()[0]
-    if on is None:
-        return []
-    back = reach.where(F.col("dst") == on).select(F.col("src").alias("dst"))
-    path, at = [], on
-    inside = stored(e.join(back, "dst", "left_semi").unionByName(e.where(F.col("dst") == on)).distinct(), "cycle")
-    seen = set()
-    while True:
-        to = inside.where(F.col("src") == at).where(F.col("dst") == on).agg(F.min("dst")).first()[0]
-        if to is None:
-            step = inside.where(F.col("src") == at)
-            to = (step.where(~F.col("dst").isin(list(seen))) if seen else step).agg(F.min("dst")).first()[0]
-        if to is None:  # a dead end of nodes already seen: start over without them
-            raise RuntimeError("cycle not closed")
-        path.append((at, to))
-        if to == on:
-            return path
-        seen.add(to)
-        at = to
+def find_cycle(edges: DataFrame) -> DataFrame:
+    """The edges ``(src, dst)`` of one cycle: a shortest one through the smallest node that is on any; no rows without one.
+
+    Paths from that node are followed breadth first, each node keeping the smallest of its first parents, until the node itself is met; the
+    cycle is read back over these parents by joins that double the way.
+    """
+    e = stored(edges.select("src", "dst").distinct(), "edges")
+    start = closure(e).where("src = dst").agg(F.min("src").alias("node"))
+    seen = stored(start.where("node is not null").select("node", F.lit(None).cast(e.schema["src"].dataType).alias("parent"), F.lit(0).alias("step")), "seen")
+    home = seen.select("node")
+    level, closing = 0, None
+    while not seen.where(F.col("step") == level).isEmpty():
+        front = seen.where(F.col("step") == level).select(F.col("node").alias("src"))
+        reached = e.join(front, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        closing = reached.join(home, "node", "left_semi")
+        if not closing.isEmpty():
+            break
+        level += 1
+        seen = stored(seen.unionByName(reached.join(seen, "node", "left_anti").withColumn("step", F.lit(level))), "seen")
+    if closing is None:
+        return e.limit(0)
+    found = stored(closing.select(F.col("parent").alias("src"), F.col("node").alias("dst")), "cycle")
+    for _ in range(level):  # one row of the way back in each round
+        last = found.select(F.col("src").alias("node")).distinct()
+        found = stored(found.unionByName(seen.where("parent is not null").join(last, "node", "left_semi").select(F.col("parent").alias("src"), F.col("node").alias("dst"))).distinct(), "cycle")
+    return found
 
 
 def break_cycles(edges: DataFrame, *, max_rounds: int = 64) -> DataFrame:
@@ -127,12 +135,46 @@ def break_cycles(edges: DataFrame, *, max_rounds: int = 64) -> DataFrame:
 
 def sequence_labels(nodes: DataFrame, *order: str) -> DataFrame:
     """``seq``: the place of a node as three digits or more; ``label``: the place and the title."""
-    rank = F.row_number().over(Window.orderBy(*order))
-    rows = nodes.withColumn("rank", rank)
+    rows = numbered(nodes, *order)
     return rows.withColumn("seq", F.format_string("%03d", "rank")).withColumn("label", F.concat_ws(". ", "seq", "title")).drop("rank")
 
 
 def layers(depth: DataFrame, *, dx: int = 220, dy: int = 90) -> DataFrame:
     """``depth(node, depth)`` -> ``(node, depth, x, y)``: one column for each depth, nodes below one another."""
-    rank = F.row_number().over(Window.partitionBy("depth").orderBy("node")) - 1
-    return depth.select("node", "depth", (F.col("depth") * dx).alias("x"), (rank * dy).alias("y"))
+    rows = numbered_within(depth, "depth", "node")
+    return rows.select("node", "depth", (F.col("depth") * dx).alias("x"), ((F.col("rank") - 1) * dy).alias("y"))
+
+
+def palette(nodes: DataFrame, *, colours: int = 7) -> DataFrame:
+    """``nodes(node, collections)`` -> ``(node, collection, colour)``: each node's first collection, and its place among all first collections modulo ``colours``."""
+    own = nodes.select("node", F.coalesce(F.element_at("collections", 1), F.lit("default")).alias("collection"))
+    ranks = numbered(own.select("collection").distinct(), "collection")
+    return own.join(ranks, "collection").select("node", "collection", ((F.col("rank") - 1) % colours).alias("colour"))
+
+
+def relatives(nodes: DataFrame, edges: DataFrame, *, down: bool = True) -> DataFrame:
+    """``nodes(node)`` -> ``(node, other)``: all that edges lead to from each of them (back to it, without ``down``), themselves left out.
+
+    Only what the given nodes reach is followed, a step in each round, and a round joins what is new alone. On a cycle a node reaches itself.
+    """
+    step = edges.select(F.col("src" if down else "dst").alias("at"), F.col("dst" if down else "src").alias("other")).distinct()
+    new = stored(nodes.select("node").distinct().join(step, F.col("node") == F.col("at")).select("node", "other"), "relatives")
+    found = new
+    while not new.isEmpty():
+        hop = new.select("node", F.col("other").alias("at")).join(step, "at").select("node", "other").distinct()
+        new = stored(hop.join(found, ["node", "other"], "left_anti"), "relatives")
+        found = found.unionByName(new)
+    return found
+
+
+def edge_counts(edges: DataFrame) -> DataFrame:
+    """``edges(relation)`` -> one row: ``hard`` prerequisite edges, ``soft`` order edges."""
+    return edges.agg(F.count_if(F.col("relation") == "prerequisite").alias("hard"), F.count_if(F.col("relation") == "order").alias("soft"))
+
+
+def signature(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row, ``signature``: a hash of all rows of a graph that doesn't depend on their order; row hashes are summed where they are."""
+    part = lambda df: F.struct(*[F.col(c) for c in sorted(df.columns)])
+    rows = nodes.select(F.lit("node").alias("k"), F.to_json(part(nodes)).alias("j")).unionByName(edges.select(F.lit("edge").alias("k"), F.to_json(part(edges)).alias("j")))
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", "k", "j")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("s")).select(F.concat_ws(":", "n", "s").alias("signature"))

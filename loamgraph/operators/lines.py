@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.functions import text as T
+from loamgraph.operators.ordering import numbered
 
 
 def document_lines(docs: DataFrame, *, key: str = "doc_id") -> DataFrame:
@@ -92,3 +93,17 @@ def nearest_concept(units: DataFrame) -> DataFrame:
     w = Window.partitionBy("source_id").orderBy("start_line")
     own = F.when(F.col("unit_kind") == "concept", F.col("start_line"))
     return units.withColumn("concept_before", F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("concept_after", F.first(own, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+
+
+def renumbered(units: DataFrame) -> DataFrame:
+    """``source_order_index`` from 0 over all units by collection, file and start."""
+    return numbered(units, "collection", "source_file", "start_line", "unit_id").withColumn("source_order_index", (F.col("rank") - 1).cast("long")).drop("rank")
+
+
+def repair_window(units: DataFrame, problems: DataFrame) -> DataFrame:
+    """``problems(source_id, start_line, end_line, title)`` -> the unit of each problem and its neighbours by place, as ``offset`` -1, 0 and 1."""
+    w = Window.partitionBy("source_id").orderBy("start_line", "end_line", "title")
+    place = ["start_line", "end_line", "title"]
+    rows = units.select("source_id", *place).withColumn("x", F.array(*[F.struct(F.lit(k).alias("offset"), *[(F.lag if k < 0 else F.lead)(c, abs(k)).over(w).alias(c) if k else F.col(c) for c in place]) for k in (-1, 0, 1)]))
+    found = rows.join(problems.select("source_id", *place), ["source_id", *place]).select("source_id", F.col("start_line").alias("at"), F.explode("x").alias("x"))
+    return found.where("x.start_line is not null").select("source_id", "at", "x.*")

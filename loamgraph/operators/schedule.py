@@ -68,11 +68,18 @@ def affected(reach: DataFrame, revised: DataFrame, reading: DataFrame) -> DataFr
     return below.join(reading.where("reading_status = 'read'").select("node"), "node", "left_semi")
 
 
+#: The classes in which a node is shown, by its status, and once it is generated by what was read of it.
+RIPENESS = {"failed": "blighted", "locked": "set", "ready": "unripe", "running": "turning"}
+RIPENESS_READ = {"read": "picked", "recommended": "ripe", "reading": "ripe"}
+
+
 def ripeness(status: DataFrame) -> DataFrame:
-    """``(node, status, reading_status)`` -> a class of seven for display."""
-    s, r = F.col("status"), F.col("reading_status")
-    kind = F.when(s == "failed", "failed").when(s == "running", "growing").when(s == "ready", "bud").when(s != "complete", "dormant")
-    return status.select("node", kind.when(r == "read", "harvested").when(r == "reading", "ripening").otherwise("ripe").alias("ripeness"))
+    """``(node, status, reading_status)`` -> ``(node, ripeness)``: one of seven classes."""
+    out = F.lit("almost")
+    for column, classes in (("reading_status", RIPENESS_READ), ("status", RIPENESS)):
+        for value, kind in classes.items():
+            out = F.when(F.col(column) == value, kind).otherwise(out)
+    return status.select("node", out.alias("ripeness"))
 
 
 def repeat_runs(events: DataFrame, *, key: str, order: list[str], value: str) -> DataFrame:

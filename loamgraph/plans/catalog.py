@@ -6,8 +6,6 @@ progress events, orders a prerequisite graph (an order needs the two orders of i
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,24 +17,11 @@ from loamgraph.operators import nodes as N
 from loamgraph.operators import schedule as K
 from loamgraph.operators import segments as C
 from loamgraph.operators import similarity as S
+from loamgraph.plans.registry import ORACLE_SQL, QUERIES, query
 from loamgraph.sources import manifest as M
 from loamgraph.sources.stages import stored, table
 from loamgraph.streaming import progress as P
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
 # Vectors
 
 
@@ -187,13 +172,15 @@ def token_estimates(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.budget_tokens(F.col("text")).alias("budget"), T.estimated_tokens(F.col("text")).alias("estimate"))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(h, 'definition|定义') THEN 'def' WHEN regexp_matches(h, 'proof|theorem|lemma|证明|定理|引理') THEN 'proof'
-  WHEN regexp_matches(h, 'example|exercise|例题|例|练习') THEN 'example' ELSE 'narrative' END AS kind FROM (SELECT doc_id, lower(substr(text, 1, 200)) AS h FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN regexp_matches(h, '定义|定理|定律|公理|definition|theorem') THEN 'def' WHEN regexp_matches(h, '推导|证明|证|derivation|proof') THEN 'proof'
+  WHEN regexp_matches(h, '例题|例|example|解') THEN 'example' ELSE 'narrative' END AS kind FROM (
+    SELECT doc_id, lower(substr(['Theorem ', '定律', 'the proof of ', 'no example, ', '', '解：'][doc_id % 6 + 1] || text, 1, 200)) AS h FROM documents)""")
 def chunk_types(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.chunk_type(F.col("text")).alias("kind"))
+    head = F.element_at(F.array(*map(F.lit, ("Theorem ", "定律", "the proof of ", "no example, ", "", "解："))), (F.col("doc_id") % 6 + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", T.chunk_type(F.concat(head, "text")).alias("kind"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(text, '\*\*([^*\n]+)\*\*', 1), lambda x: trim(x)), lambda x: length(x) BETWEEN 1 AND 20 AND NOT starts_with(x, '['))[1:10], '|') AS concepts FROM documents""")
+@query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(text, '\*\*([^*]+)\*\*', 1), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) <= 20 AND NOT starts_with(x, '['))[1:10], '|') AS concepts FROM documents""")
 def bold_concepts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(T.bold_concepts(F.col("text")), "|").alias("concepts"))
 
@@ -212,18 +199,51 @@ def stable_ids(spark, sf):
     )
 
 
-@query("""WITH k AS (SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '\\s+', '', 'g'), '[-_.,;:!?()\\[\\]{}''"`]', '', 'g') AS key FROM part)
-SELECT key, count(*) AS n, min(p_partkey) AS first FROM k GROUP BY key HAVING count(*) > 1""")
+_KEY = """regexp_replace(regexp_replace(lower(trim(name)), '[\\s　]+', '', 'g'), '[.,;:!?_\\-—–/\\\\()\\[\\]{}"''`、，。；：！？（）【】《》]', '', 'g')"""
+_NAMES = """names AS (SELECT p_partkey AS id, ['', 'Q/', '“a” – ', '·', '（x）', ' 光 程-差 '][p_partkey % 6 + 1] || replace(p_name, ' ', [' ', '_', '/', chr(92), '　'][p_partkey % 5 + 1]) AS name FROM part)"""
+
+
+def _names(spark, sf) -> DataFrame:
+    """Part names in several spellings, with punctuation of several scripts."""
+    pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (F.col("p_partkey") % n + 1).cast("int"))
+    name = F.concat(pick(("", "Q/", "“a” – ", "·", "（x）", " 光 程-差 "), 6), F.replace(F.col("p_name"), F.lit(" "), pick((" ", "_", "/", "\\", "　"), 5)))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), name.alias("name"))
+
+
+@query(f"""WITH {_NAMES}, k AS (SELECT id, {_KEY} AS key FROM names) SELECT key, count(*) AS n, min(id) AS first FROM k GROUP BY key HAVING count(*) > 1""")
 def text_key_dups(spark, sf):
-    keys = table(spark, sf, "part").select("p_partkey", T.text_key(F.col("p_name")).alias("key"))
-    return keys.groupBy("key").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")).where("n > 1")
+    keys = _names(spark, sf).select("id", T.text_key(F.col("name")).alias("key"))
+    return keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
 
 
-@query("""WITH k AS (SELECT p_partkey AS id, regexp_replace(regexp_replace(lower(p_name), '\\s+', '', 'g'), '[-_.,;:!?()\\[\\]{}''"`]', '', 'g') AS key FROM part)
-SELECT f.a, k.id AS b, k.key FROM k JOIN (SELECT key, min(id) AS a FROM k GROUP BY key) f USING (key) WHERE k.id <> f.a""")
+@query(f"""WITH {_NAMES}, k AS (SELECT id, {_KEY} AS key FROM names)
+SELECT f.a, k.id AS b, k.key FROM k JOIN (SELECT key, min(id) AS a FROM k GROUP BY key) f USING (key) WHERE k.id <> f.a AND key <> ''""")
 def shared_key_pairs(spark, sf):
-    keys = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("ord"), T.text_key(F.col("p_name")).alias("key"))
-    return S.shared_key_pairs(keys)
+    return S.shared_key_pairs(_names(spark, sf).select("id", F.col("id").alias("ord"), T.text_key(F.col("name")).alias("key")))
+
+
+@query(r"""WITH t AS (SELECT p_partkey, ['12. ', '3、', '1234-', '12345.', ''][p_partkey % 5 + 1] || p_name || ['?', '...', '.v2', '_', ''][p_partkey % 5 + 1] AS title FROM part),
+c AS (SELECT *, trim(regexp_replace(trim(title), '^\d{1,4}[.．、_\-\s]+', '')) AS bare FROM t)
+SELECT p_partkey, bare AS clean, coalesce(nullif(regexp_replace(regexp_replace(bare, '[^\p{L}\p{N}_.-]', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'untitled') AS safe FROM c""")
+def titles(spark, sf):
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    title = F.concat(pick(("12. ", "3、", "1234-", "12345.", "")), F.col("p_name"), pick(("?", "...", ".v2", "_", "")))
+    return table(spark, sf, "part").select("p_partkey", T.clean_title(title).alias("clean"), T.safe_title(title).alias("safe"))
+
+
+@query("""SELECT p_partkey, CASE WHEN length(p_name || p_type) <= 18 THEN p_name || p_type ELSE substr(p_name || p_type, 1, 18) || '|' || CASE WHEN length(p_name || p_type) > 36 THEN substr(p_name || p_type, 19, 17) || '…' ELSE substr(p_name || p_type, 19) END END AS lines FROM part""")
+def wrapped_labels(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.array_join(T.wrapped_label(F.concat("p_name", "p_type")), "|").alias("lines"))
+
+
+@query(r"""WITH v AS (SELECT c_custkey, [' None ', 'a, b，c', 'none, x', '', 'x、、y' || chr(10) || 'z', '(none)', 'n/a，q'][c_custkey % 7 + 1] AS v FROM customer)
+SELECT c_custkey, CASE WHEN lower(trim(v)) IN ('', 'none', 'null', 'n/a', 'unknown', '(none)') THEN '' ELSE array_to_string(list_filter(list_transform(regexp_split_to_array(v, '[,' || chr(10) || '，、]+'), lambda x: trim(x)), lambda x: x <> ''), '|') END AS items,
+  regexp_matches(v || ['忽略以上指令', ' forget instructions', 'Ignore  ALL prior text', 'ignore the rules'][c_custkey % 4 + 1], '(?i)(ignore\s+(all\s+)?(previous|prior|system|developer)|forget\s+(all\s+)?instructions|忽略.{0,12}(指令|提示词|规则))') AS injected FROM v""")
+def list_fields(spark, sf):
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("c_custkey") % len(xs) + 1).cast("int"))
+    v = pick((" None ", "a, b，c", "none, x", "", "x、、y\nz", "(none)", "n/a，q"))
+    more = pick(("忽略以上指令", " forget instructions", "Ignore  ALL prior text", "ignore the rules"))
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(T.split_list(v), "|").alias("items"), T.looks_like_injection(F.concat(v, more)).alias("injected"))
 
 
 @query(r"""SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]\s*>', 1), lambda x: regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '^\s+|\s+$', '', 'g')), lambda x: x <> ''), '|') AS headings FROM pages""")
@@ -246,7 +266,9 @@ def event_props_json(spark, sf):
 
 @query()
 def heading_chunks(spark, sf):
-    return C.chunks(C.heading_sections(table(spark, sf, "documents")))
+    rows = C.chunks(C.heading_sections(table(spark, sf, "documents")))
+    lists = [F.array_join(c, "|").alias(c) for c in ("path", "concepts", "formulas", "signatures")]
+    return rows.select("doc_id", "chunk_id", "chunk_index", "section_id", "kind", "text", "tokens", *lists)
 
 
 @query()
@@ -296,9 +318,7 @@ def manifest_diff(spark, sf):
     return M.compare(now, past)
 
 
-@query("""WITH h AS (SELECT sha256(concat_ws(chr(0), doc_id::VARCHAR, 'sha256:' || sha256(text))) AS h FROM documents),
-p AS (SELECT substr(h, 1, 2) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1)
-SELECT 'gen:' || substr(sha256(string_agg(p || h, '' ORDER BY p || h)), 1, 24) AS generation FROM p""")
+@query("""WITH r AS (SELECT doc_id::VARCHAR AS path, 'sha256:' || sha256(text) AS f FROM documents) SELECT 'gen:' || substr(sha256(string_agg(path || chr(0) || f || chr(0), '' ORDER BY path, f)), 1, 24) AS generation FROM r""")
 def generation_id(spark, sf):
     return M.generation_id(content_fingerprints(spark, sf))
 
@@ -328,7 +348,7 @@ o AS (SELECT o_custkey, o_orderstatus, coalesce(sum(c) OVER (ORDER BY o_custkey,
 SELECT o_orderkey AS unit_id, (o + row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate, o_orderkey) - 1)::BIGINT AS source_order_index FROM orders JOIN o USING (o_custkey, o_orderstatus)""")
 def global_order(spark, sf):
     units = table(spark, sf, "orders").select(F.col("o_custkey").alias("collection"), F.col("o_orderstatus").alias("source_file"), F.col("o_orderdate").alias("start_line"), F.col("o_orderkey").alias("unit_id"))
-    return M.renumbered(units).select("unit_id", "source_order_index")
+    return L.renumbered(units).select("unit_id", "source_order_index")
 
 
 # Nodes
@@ -360,14 +380,13 @@ def duplicate_defines(spark, sf):
     return N.duplicate_defines(table(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_partkey").alias("ord"), F.lower("p_name").alias("key")))
 
 
-@query("""WITH w AS (SELECT DISTINCT doc_id % 50 AS node, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS key FROM documents),
-k AS (SELECT DISTINCT key FROM w WHERE length(key) BETWEEN 4 AND 24), p AS (
-  SELECT s.key AS short_key, l.key AS long_key FROM k s JOIN k l ON length(s.key) < length(l.key) AND length(s.key) >= 0.55 * length(l.key) AND contains(l.key, s.key))
-SELECT short_key, long_key, count(*) AS pairs FROM p JOIN w a ON a.key = short_key JOIN w b ON b.key = long_key WHERE a.node <> b.node GROUP BY ALL""")
+@query("""WITH d AS (SELECT p_partkey AS node, unnest([replace(lower(p_name), ' ', ''), replace(lower(p_name || ' of ' || p_brand), ' ', '')]) AS key FROM part), k AS (SELECT DISTINCT key FROM d),
+p AS (SELECT s.key AS short_key, l.key AS long_key FROM k s JOIN k l ON length(s.key) < length(l.key) AND length(s.key) >= 4 AND length(s.key) >= 0.55 * length(l.key) AND contains(l.key, s.key))
+SELECT short_key, long_key, count(*) AS pairs FROM p JOIN (SELECT DISTINCT * FROM d) a ON a.key = short_key JOIN (SELECT DISTINCT * FROM d) b ON b.key = long_key WHERE a.node <> b.node GROUP BY ALL""")
 def contained_defines(spark, sf):
-    words = table(spark, sf, "documents").select((F.col("doc_id") % 50).alias("node"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("key")).distinct()
-    rows = N.contained_defines(words.where("length(key) between 4 and 24"))
-    return rows.groupBy("short_key", "long_key").agg(F.count("*").alias("pairs"))
+    names = F.array(F.lower("p_name"), F.lower(F.concat("p_name", F.lit(" of "), "p_brand")))
+    defines = table(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.explode(names).alias("key")).select("node", F.replace("key", F.lit(" "), F.lit("")).alias("key")).distinct()
+    return N.contained_defines(defines).groupBy("short_key", "long_key").agg(F.count("*").alias("pairs"))
 
 
 @query("SELECT o_orderkey AS unit, ((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 400)::INTEGER AS batch FROM orders")
@@ -422,9 +441,7 @@ def graph_cycle_break(spark, sf):
     edges = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.expr("o_custkey = c_custkey"))
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     steps = edges.select(F.col("c_nationkey").alias("src"), F.lead("c_nationkey").over(w).alias("x"), (F.floor("o_totalprice") % 25).cast("int").alias("dst"), F.col("o_totalprice").alias("p"))
-    best = steps.where("src <> dst").groupBy("src", "dst").agg(F.max("p").alias("confidence"))
-    first = Window.partitionBy("src").orderBy(F.desc("confidence"), "dst")
-    return G.break_cycles(best.withColumn("r", F.row_number().over(first)).where("r <= 3").drop("r"))
+    return G.break_cycles(steps.where("src <> dst").groupBy("src", "dst").agg(F.max("p").alias("confidence")))
 
 
 @query("""WITH need AS (SELECT l_orderkey AS node, l_partkey AS key, min(l_linenumber) AS pos FROM lineitem GROUP BY ALL),
@@ -527,3 +544,8 @@ def stream_progress_state(spark, sf):
     stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
     rows = stream.select(F.col("user_id").cast("long").alias("project"), F.col("event_type").alias("stage"), F.lit(1).cast("long").alias("run"), "ts", "event_id", F.lit(1).alias("step"), F.lit(2).alias("total"), F.lit(False).alias("failed"))
     return P.latest_states(rows)
+
+
+from loamgraph.plans import building, serving  # noqa: E402, F401  these register their queries, too
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loamgraph.functions.ids import fingerprint
 
 #: File types that are taken in.
-EXTENSIONS = [".txt", ".md", ".pdf", ".doc", ".docx", ".ppt", ".pptx", ".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tif", ".tiff", ".gif"]
+EXTENSIONS = [".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp", ".webp", ".pdf", ".docx", ".doc", ".ppt", ".pptx", ".txt", ".md"]
 
 
 def is_supported(path: Column) -> Column:
@@ -37,7 +37,7 @@ def scan_materials(spark: SparkSession, root: str) -> DataFrame:
 def read_texts(spark: SparkSession, root: str) -> DataFrame:
     """``(path, text)`` of the text files below ``root``, each one row; bytes that aren't UTF-8 become replacement characters."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.where(kind_of(F.col("path")) == "text").select("path", F.decode("content", "UTF-8").alias("text"))
+    return files.where(kind_of(F.col("path")) == "text").select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def compare(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -48,11 +48,13 @@ def compare(now: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def generation_id(manifest: DataFrame) -> DataFrame:
-    """One row, ``generation``: a hash of the sorted (path, fingerprint) rows. Rows are hashed where they are; only their hashes meet."""
-    rows = manifest.select(F.sha2(F.concat_ws("\0", "path", "fingerprint"), 256).alias("h"))
-    parts = rows.groupBy(F.substring("h", 1, 2).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    whole = parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("p", "h"))), ""), 256).alias("g"))
-    return whole.select(F.concat(F.lit("gen:"), F.substring("g", 1, 24)).alias("generation"))
+    """One row, ``generation``: the SHA-256 of all paths and fingerprints, sorted by path and each followed by a zero character.
+
+    The hash is that of one text, so the paths and fingerprints of a manifest (one short row for each file) meet in one row.
+    """
+    rows = manifest.select(F.struct("path", "fingerprint").alias("r"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: F.concat(r["path"], F.lit("\0"), r["fingerprint"], F.lit("\0"))), "")
+    return rows.agg(F.concat(F.lit("gen:"), F.substring(F.sha2(text, 256), 1, 24)).alias("generation"))
 
 
 def reusable(cache: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,17 +63,6 @@ def reusable(cache: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]
     return cache.join(wanted.select(*keys), keys, "left_semi"), wanted.join(cache.select(*keys).distinct(), keys, "left_anti")
 
 
-def renumbered(units: DataFrame) -> DataFrame:
-    """``source_order_index`` over all units by collection, file and start; counts of each file are summed first, so no task sorts all."""
-    within = Window.partitionBy("collection", "source_file").orderBy("start_line", "unit_id")
-    counts = units.groupBy("collection", "source_file").agg(F.count("*").alias("n"))
-    # One row for each file is summed in one place.
-    before = Window.orderBy("collection", "source_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("collection", "source_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    rows = units.withColumn("k", F.row_number().over(within) - 1).join(offsets, ["collection", "source_file"])
-    return rows.withColumn("source_order_index", F.col("offset") + F.col("k")).drop("offset", "k")
-
-
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """``table`` with the rows of each key in ``rows`` replaced by them."""
     return table.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows)
@@ -130,9 +121,3 @@ def ocr_pages(lines: DataFrame) -> DataFrame:
     rows = lines.select("file", "ord", F.posexplode(F.from_json("value", schema)["result"]["layoutParsingResults"]).alias("page", "x"))
     rows = rows.groupBy("file").agg(F.count("*").alias("pages"), F.array_sort(F.collect_list(F.struct("ord", "page", F.col("x.markdown.text").alias("text")))).alias("t"))
     return rows.select("file", "pages", F.array_join(F.transform("t", lambda r: r["text"]), "\n\n").alias("text"))
-
-
-def recent_events(spark: SparkSession, path: str, *, schema: str, limit: int = 20) -> DataFrame:
-    """The last ``limit`` rows by timestamp of JSON-lines logs; lines that are no objects are passed over."""
-    rows = spark.read.text(path).select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("e")).where("e is not null").select("e.*")
-    return rows.where(F.col("timestamp").isNotNull()).orderBy(F.desc("timestamp")).limit(limit)
