@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions import vectors as V
 from loamgraph.operators.components import connected_components
+from loamgraph.operators.ordering import numbered_within
+from loamgraph.sources.stages import stored
 
 
 def metadata_filter(df: DataFrame, filters: dict | None, *, allowed: set[str], include_drafts: bool = True) -> DataFrame:
@@ -80,14 +82,6 @@ def shared_key_pairs(units: DataFrame) -> DataFrame:
     return units.join(first, "key").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b"), "key").distinct()
 
 
-def all_key_pairs(units: DataFrame, *, most: int) -> DataFrame:
-    """All pairs of units with an equal key, for keys of ``most`` units at most; larger keys come as links to their first unit."""
-    sizes = units.where("key <> ''").groupBy("key").agg(F.count("*").alias("n"))
-    small = units.join(sizes.where(F.col("n") <= most), "key")
-    pairs = small.alias("x").join(small.alias("y"), F.expr("x.key = y.key and x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.key").alias("key"))
-    return pairs.unionByName(shared_key_pairs(units.join(sizes.where(F.col("n") > most), "key").select("id", "ord", "key"))).distinct()
-
-
 def edge_reasons(edges: DataFrame) -> DataFrame:
     """``edges(a, b, reason)`` of any direction -> one row for each unordered pair, with its sorted reasons."""
     return edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
@@ -100,23 +94,36 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def slices(members: DataFrame, *, max_size: int = 8) -> DataFrame:
-    """``members(id, component)`` in order of id, cut into slices of ``max_size``."""
-    w = Window.partitionBy("component").orderBy("id")
-    return members.withColumn("slice", F.floor((F.row_number().over(w) - 1) / max_size).cast("int"))
+    """``members(id, component)`` in order of id, cut into slices of ``max_size``; a component may be large, so it isn't numbered in one task."""
+    rows = numbered_within(members, "component", "id")
+    return rows.withColumn("slice", F.floor((F.col("rank") - 1) / max_size).cast("int")).drop("rank")
 
 
-def candidate_clusters(vectors: DataFrame, *, threshold: float = 0.8, top_k: int = 5, max_size: int = 8) -> DataFrame:
-    """``vectors(id, v, collection)`` -> one row for each cluster: members in order, collections, whether it crosses them, and its similarity edges."""
+def candidate_clusters(vectors: DataFrame, defines: DataFrame | None = None, *, threshold: float = 0.8, top_k: int = 5, max_size: int = 8) -> DataFrame:
+    """``vectors(id, v, collection)``, ``defines(id, key, define)`` -> one row for each cluster of similar units.
+
+    Units are linked by similarity (``top_k`` others at ``threshold``) and by keys that they share; linked units in order are cut into clusters of
+    ``max_size``. A row has the members, their collections and whether these are several, the number of similarity edges inside, the spellings of
+    keys that members share, and the reasons ('embedding', 'shared_define') for which they are together. Units of one key are linked to
+    its first unit, which connects what all pairs would; what a cluster shares is counted among its members.
+    """
     edges = similarity_join(vectors.select("id", "v"), threshold=threshold, top_k=top_k)
-    pairs = edge_reasons(edges.select(F.col("id").alias("a"), F.col("other").alias("b"), F.lit("embedding").alias("reason")))
-    members = slices(components(vectors.select("id"), pairs), max_size=max_size)
-    place = members.select(F.col("id").alias("x"), "component", "slice")
-    inside = pairs.join(place.withColumnRenamed("x", "a"), "a").join(place.select(F.col("x").alias("b"), F.col("component").alias("c2"), F.col("slice").alias("s2")), "b").where("component = c2 and slice = s2")
-    counts = inside.groupBy("component", "slice").agg(F.count("*").alias("n_edges"))
-    rows = members.join(vectors.select("id", "collection"), "id").groupBy("component", "slice").agg(
-        F.array_sort(F.collect_list("id")).alias("members"), F.array_sort(F.collect_set("collection")).alias("collections")
-    )
-    return rows.join(counts, ["component", "slice"], "left").select("component", "slice", "members", "collections", (F.size("collections") > 1).alias("cross_collection"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+    pairs = stored(edge_reasons(edges.select(F.col("id").alias("a"), F.col("other").alias("b"), F.lit("embedding").alias("reason"))).select("a", "b"), "similar")
+    if defines is None:
+        defines = vectors.select("id", F.lit("").alias("key"), F.lit("").alias("define")).where("false")
+    defines = defines.where("key <> ''")
+    links = pairs.unionByName(shared_key_pairs(defines.select("id", F.col("id").alias("ord"), "key")).select("a", "b"))
+    members = stored(slices(components(vectors.select("id"), links), max_size=max_size), "clusters")
+    place = ["component", "slice"]
+    inside = pairs.join(members.withColumnRenamed("id", "a"), "a").join(members.select(F.col("id").alias("b"), F.col("component").alias("c2"), F.col("slice").alias("s2")), "b").where("component = c2 and slice = s2")
+    counts = inside.groupBy(*place).agg(F.count("*").alias("n_edges"))
+    shared = members.join(defines, "id").groupBy(*place, "key").agg(F.count_distinct("id").alias("n"), F.collect_set("define").alias("said")).where("n > 1")
+    shared = shared.groupBy(*place).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("said")))).alias("shared"))
+    rows = members.join(vectors.select("id", "collection"), "id").groupBy(*place).agg(F.array_sort(F.collect_list("id")).alias("members"), F.array_sort(F.collect_set("collection")).alias("collections"))
+    rows = rows.join(counts, place, "left").join(shared, place, "left")
+    none = F.array().cast("array<string>")
+    reasons = F.concat(F.when(F.col("n_edges") > 0, F.array(F.lit("embedding"))).otherwise(none), F.when(F.size("shared") > 0, F.array(F.lit("shared_define"))).otherwise(none))
+    return rows.select(*place, "members", "collections", (F.size("collections") > 1).alias("cross_collection"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.coalesce("shared", none).alias("shared"), reasons.alias("reasons"))
 
 
 def mean_vectors(chunks: DataFrame) -> DataFrame:

@@ -74,16 +74,28 @@ def similarity_components(spark, sf):
     return S.components(vectors.select("id"), edges)
 
 
-@query(f"""WITH RECURSIVE {_COMPONENTS},
+@query(f"""WITH RECURSIVE {_EDGES},
+keys AS (SELECT vec_id AS id, 'd' || vec_id // 40 AS key, CASE WHEN vec_id % 2 = 0 THEN 'D-' ELSE 'd ' END || vec_id // 40 AS define FROM embeddings WHERE vec_id % 5 = 0),
+both_ways AS (SELECT id AS u, other AS v FROM edges UNION SELECT other, id FROM edges UNION SELECT a.id, b.id FROM keys a JOIN keys b USING (key) WHERE a.id <> b.id),
+reach(u, v) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON r.v = b.u),
+comp AS (SELECT u AS id, min(v) AS component FROM reach GROUP BY u),
 placed AS (SELECT c.id, component, ((row_number() OVER (PARTITION BY component ORDER BY c.id) - 1) // 8)::INTEGER AS slice, label FROM comp c JOIN embeddings e ON e.vec_id = c.id),
 pairs AS (SELECT DISTINCT least(id, other) AS a, greatest(id, other) AS b FROM edges),
-inside AS (SELECT x.component, x.slice, count(*) AS n FROM pairs p JOIN placed x ON x.id = p.a JOIN placed y ON y.id = p.b WHERE x.component = y.component AND x.slice = y.slice GROUP BY ALL)
-SELECT p.component, p.slice, array_to_string(list(id ORDER BY id), ',') AS members, array_to_string(list_sort(list(DISTINCT label::VARCHAR)), ',') AS collections,
-       count(DISTINCT label) > 1 AS cross_collection, coalesce(any_value(n), 0) AS n_edges
-FROM placed p LEFT JOIN inside i ON i.component = p.component AND i.slice = p.slice GROUP BY p.component, p.slice""")
+inside AS (SELECT x.component, x.slice, count(*) AS n FROM pairs p JOIN placed x ON x.id = p.a JOIN placed y ON y.id = p.b WHERE x.component = y.component AND x.slice = y.slice GROUP BY ALL),
+common AS (SELECT component, slice, key FROM placed JOIN keys USING (id) GROUP BY ALL HAVING count(DISTINCT id) > 1),
+said AS (SELECT p.component, p.slice, array_to_string(list_sort(list(DISTINCT define)), ',') AS shared FROM placed p JOIN keys k USING (id) JOIN common c ON c.component = p.component AND c.slice = p.slice AND c.key = k.key GROUP BY ALL)
+SELECT p.component, p.slice, array_to_string(list(id ORDER BY id), ',') AS members, array_to_string(list_sort(list(DISTINCT label::VARCHAR)), ',') AS collections, count(DISTINCT label) > 1 AS cross_collection, coalesce(any_value(n), 0) AS n_edges, coalesce(any_value(shared), '') AS shared,
+       array_to_string(list_concat(CASE WHEN any_value(n) > 0 THEN ['embedding'] ELSE [] END, CASE WHEN any_value(shared) <> '' THEN ['shared_define'] ELSE [] END), ',') AS reasons
+FROM placed p LEFT JOIN inside i ON i.component = p.component AND i.slice = p.slice LEFT JOIN said s ON s.component = p.component AND s.slice = p.slice GROUP BY p.component, p.slice""")
 def candidate_clusters(spark, sf):
-    rows = S.candidate_clusters(_vectors(spark, sf), threshold=0.35, top_k=5, max_size=8)
-    return rows.withColumn("members", F.array_join("members", ",")).withColumn("collections", F.array_join("collections", ","))
+    name = F.expr("cast(id div 40 as string)")
+    vectors = _vectors(spark, sf)
+    define = F.concat(F.when(F.col("id") % 2 == 0, "D-").otherwise("d "), name)
+    keys = vectors.where("id % 5 = 0").select("id", T.text_key(define).alias("key"), define.alias("define"))
+    rows = S.candidate_clusters(vectors, keys, threshold=0.35, top_k=5, max_size=8)
+    for c in ("members", "collections", "shared", "reasons"):
+        rows = rows.withColumn(c, F.array_join(c, ","))
+    return rows
 
 
 @query("""WITH unit AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
@@ -277,7 +289,18 @@ def cleaning_parts(spark, sf):
     return rows.select("doc_id", "part", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LINES}, {_SPANS},
+unit AS (SELECT source_id, start_line AS s, end_line AS e, ['d' || start_line] AS d, ['concept', 'application', 'concept', 'summary'][start_line // 4 % 4 + 1] AS kind FROM spans),
+led AS (SELECT *, last_value(CASE WHEN kind = 'concept' THEN s END IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM unit),
+kept AS (SELECT source_id, c AS s, max(e) AS e, flatten(list(d ORDER BY s))[:4] AS d FROM led WHERE kind IN ('concept', 'application') AND c IS NOT NULL GROUP BY source_id, c),
+state(source_id, us, k) AS (
+  SELECT source_id, us, list_position(list_transform(us, lambda u: u.e - u.s + 1 < 8), true) FROM (SELECT source_id, list({{'s': s, 'e': e, 'd': d}} ORDER BY s, e) AS us FROM kept GROUP BY source_id)
+  UNION ALL
+  SELECT source_id, us, list_position(list_transform(us, lambda u: u.e - u.s + 1 < 8), true) FROM (
+    SELECT source_id, us[:least(k, t) - 1] || [{{'s': least(us[k].s, us[t].s), 'e': greatest(us[k].e, us[t].e), 'd': (us[t].d || us[k].d)[:4]}}] || us[greatest(k, t) + 1:] AS us
+    FROM (SELECT *, CASE WHEN k = 1 THEN 2 ELSE k - 1 END AS t FROM state WHERE k IS NOT NULL AND len(us) > 1))),
+done AS (SELECT source_id, unnest(us) AS u FROM state WHERE k IS NULL OR len(us) = 1)
+SELECT source_id::VARCHAR AS source_id, u.s::INTEGER AS start_line, u.e::INTEGER AS end_line, 'unit' AS title, array_to_string(u.d, ',') AS defines, 'concept' AS unit_kind FROM done""")
 def merged_units(spark, sf):
     lines, _, spans = _lines(spark, sf)
     kind = F.element_at(F.array(*map(F.lit, ("concept", "application", "concept", "summary"))), (F.floor(F.col("start_line") / 4) % 4 + 1).cast("int"))
@@ -436,7 +459,13 @@ def graph_parents(spark, sf):
     return G.adjacency(_graph(spark, sf)[1]).withColumn("parents", F.array_join("parents", ","))
 
 
-@query()
+@query("""WITH RECURSIVE st AS (SELECT c_nationkey AS src, floor(o_totalprice)::BIGINT % 25 AS dst, o_totalprice AS p, lead(c_nationkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS x FROM orders JOIN customer ON o_custkey = c_custkey),
+e AS (SELECT src, dst, max(p) AS confidence FROM st WHERE src <> dst GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY confidence, src, dst) AS rank FROM e),
+best(src, dst, rank) USING KEY (src, dst) AS (
+  SELECT src, dst, rank FROM r
+  UNION
+  SELECT n.src, n.dst, max(n.rank) FROM (SELECT b.src, r.dst, least(b.rank, r.rank) AS rank FROM best b JOIN r ON b.dst = r.src) n LEFT JOIN recurring.best o ON o.src = n.src AND o.dst = n.dst WHERE o.rank IS NULL OR n.rank > o.rank GROUP BY n.src, n.dst)
+SELECT r.src, r.dst::INTEGER AS dst, r.confidence FROM r LEFT JOIN best b ON b.src = r.dst AND b.dst = r.src WHERE b.rank IS NULL OR b.rank <= r.rank""")
 def graph_cycle_break(spark, sf):
     edges = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.expr("o_custkey = c_custkey"))
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
@@ -539,10 +568,14 @@ def reading_states(spark, sf):
     return P.reading_states(table(spark, sf, "events").select(F.col("user_id").alias("node"), "ts", "event_id", action.alias("action")))
 
 
-@query("""SELECT user_id AS project, event_type AS stage, 1::BIGINT AS run, count(*)::BIGINT AS done, (2 * count(*))::BIGINT AS total, 'running' AS status FROM events GROUP BY ALL""")
+@query("""WITH e AS (SELECT user_id AS project, event_type AS stage, 1 + event_id // 20 % 4 AS run, event_id % 11 = 0 AS failed, ts, event_id FROM events),
+k AS (SELECT *, max(run) OVER (PARTITION BY project, stage ORDER BY ts, event_id) AS latest FROM e),
+f AS (SELECT *, coalesce(bool_or(failed) OVER (PARTITION BY project, stage, run ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM k WHERE run = latest)
+SELECT project::BIGINT AS project, stage, max(run)::BIGINT AS run, count(*)::BIGINT AS done, (2 * count(*))::BIGINT AS total, CASE WHEN arg_max(failed, (ts, event_id)) THEN 'failed' ELSE 'running' END AS status FROM f WHERE NOT over GROUP BY ALL""")
 def stream_progress_state(spark, sf):
     stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
-    rows = stream.select(F.col("user_id").cast("long").alias("project"), F.col("event_type").alias("stage"), F.lit(1).cast("long").alias("run"), "ts", "event_id", F.lit(1).alias("step"), F.lit(2).alias("total"), F.lit(False).alias("failed"))
+    n = F.col("event_id")
+    rows = stream.select(F.col("user_id").cast("long").alias("project"), F.col("event_type").alias("stage"), F.expr("cast(1 + event_id div 20 % 4 as long)").alias("run"), "ts", "event_id", F.lit(1).alias("step"), F.lit(2).alias("total"), (n % 11 == 0).alias("failed"))
     return P.latest_states(rows)
 
 

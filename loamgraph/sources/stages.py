@@ -21,12 +21,26 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that this application writes to."""
+    return f"{shared_dir(spark)}/loamgraph/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loamgraph/{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: cuts the lineage, survives lost executors, computes once."""
+    """Writes ``df`` as Parquet to the shared folder and reads it back: cuts the lineage, survives lost executors, computes once.
+
+    What is stored stays until ``release``, as results that are yet to be computed may read it.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that this application has stored; for when its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -103,6 +103,19 @@ def test_mean_vector_and_clusters(spark):
     assert set(got) == {(0, 1), (2,), (3,)} and got[(0, 1)]["cross_collection"] and got[(0, 1)]["n_edges"] == 1
 
 
+def test_clusters_by_shared_defines(spark):
+    def clusters(vectors, defines, **params):
+        units = spark.createDataFrame([(i, v, "a" if i % 2 else "b") for i, v in enumerate(vectors)], "id long, v array<double>, collection string")
+        keys = spark.createDataFrame([(i, d) for i, own in enumerate(defines) for d in own] or [(0, "")], "id long, define string")
+        rows = S.candidate_clusters(units, keys.select("id", T.text_key(F.col("define")).alias("key"), "define"), **params).collect()
+        return {tuple(r["members"]): (r["reasons"], r["shared"]) for r in rows}
+
+    apart = [[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]]
+    assert clusters(apart, [["面 密度"], ["面密-度"], ["张力"]], threshold=0.99) == {(0, 1): (["shared_define"], ["面 密度", "面密-度"]), (2,): ([], [])}
+    near = [[1.0, 0.0], [0.99, 0.02], [0.0, 1.0]]
+    assert clusters(near, [[], ["mass"], ["Mass", "other"]], threshold=0.95, top_k=1) == {(0, 1, 2): (["embedding", "shared_define"], ["Mass", "mass"])}
+
+
 def test_similarity_join_is_the_same_in_blocks(spark):
     import random
 
