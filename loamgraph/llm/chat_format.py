@@ -157,3 +157,20 @@ def digests(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     return formatted.select("conv_id", "formatted", "loss").mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+#: ``digests(format_paths(linear_tree(...)))`` of the registered query in DuckDB's SQL: a chain has one path, its rows in order.
+ORACLE = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length(replace(replace(role, chr(92), '__'), chr(10), '__')) + length(text)
+         + len(regexp_extract_all(role || ' ' || text, '<(\\*)(\|im_start\|>|\|im_end\|>|/?s>)')) + len(regexp_extract_all(role || ' ' || text, '\[(\\*)(/?INST\])')) AS n
+  FROM said)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(n + 24)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

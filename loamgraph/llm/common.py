@@ -20,16 +20,18 @@ def words(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
+    """The number of words of a text; 0 for null."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def hash_share(rows: DataFrame, k: int, salt: str, *, n: int, order: str = "__order") -> DataFrame:
-    """Of ``rows``, of which there are about ``n``, some 2 * ``k`` by a hash of doc_id (all where they are fewer), with the hash as ``order``.
+def hash_share(rows: DataFrame, k: int, salt: str, *, n: int, on: tuple[str, ...] = ("doc_id",), order: str = "__order") -> DataFrame:
+    """Of ``rows``, of which there are about ``n``, some 2 * ``k`` by a hash of the columns ``on`` (all where they are fewer), with the hash as ``order``.
 
     Ordered by it and limited, they are a sample of ``k`` rows. Without this share, every task of such a limit
-    would hand on ``k`` rows of its own, and what meets in one place would grow with the number of tasks. Rows with one doc_id share a hash.
+    would hand on ``k`` rows of its own, and what meets in one place would grow with the number of tasks. Rows alike in ``on`` share a hash,
+    so these columns should tell rows apart: where ids may be missing, the text has to be among them.
     """
-    h = F.xxhash64("doc_id", F.lit(salt))
+    h = F.xxhash64(*on, F.lit(salt))
     rows = rows.withColumn(order, h)
     if n <= 2 * k:
         return rows

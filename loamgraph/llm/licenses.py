@@ -295,7 +295,7 @@ def train(docs: DataFrame, *, sample_docs: int = 300, **params) -> Classifier:
     All lines of these documents are paragraphs. Those that are like a template, are a title or have part of a wrapped notice are not prose and are left out.
     """
     some = docs.select("doc_id", "text").where("length(text) > 0")
-    rows = hash_share(some, sample_docs, "prose", n=some.count()).orderBy("__order", "doc_id").limit(sample_docs).select("text").collect()
+    rows = hash_share(some, sample_docs, "prose", n=some.count(), on=("doc_id", "text")).orderBy("__order", "doc_id").limit(sample_docs).select("text").collect()
     prose = []
     for (text,) in rows:
         lines = text.split("\n")

@@ -74,4 +74,5 @@ ORACLE_SQL = {
     "op1_deletion_line_dedup": line_dedup.ORACLE,
     "op7_temperature_mixing": mixing.ORACLE,
     "op8_hash_tree_sharding": sharding.ORACLE,
+    "op9_reply_tree_chat": chat_format.ORACLE,
 }
