@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,3 +63,17 @@ def json_object(raw: Column) -> Column:
     # As the one item of an array: what follows an object would be no JSON there, or a second item.
     items = F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<string>")
     return F.when(bare.startswith("{") & (F.size(items) == 1), bare)
+
+
+def artifact_hash(document: Column) -> Column:
+    """32 hex digits of the SHA-256 of a JSON document with sorted keys; spacing and key order of the text don't matter. Null if it is no JSON."""
+    def of(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts.to_pylist():
+            try:
+                out.append(None if text is None else hashlib.sha256(json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True).encode()).hexdigest()[:32])
+            except ValueError:
+                out.append(None)
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(of, "string")(document)

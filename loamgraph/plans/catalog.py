@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions import ids as I
 from loamgraph.functions import text as T
+from loamgraph.operators import build as B
 from loamgraph.operators import graph as G
 from loamgraph.operators import lines as L
 from loamgraph.operators import nodes as N
@@ -19,8 +20,10 @@ from loamgraph.operators import segments as C
 from loamgraph.operators import similarity as S
 from loamgraph.plans.registry import ORACLE_SQL, QUERIES, query
 from loamgraph.sources import manifest as M
+from loamgraph.sources import state as A
 from loamgraph.sources.stages import stored, table
 from loamgraph.streaming import progress as P
+from loamgraph.streaming import publish as U
 
 # Vectors
 
@@ -289,7 +292,7 @@ def cleaning_parts(spark, sf):
     return rows.select("doc_id", "part", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"))
 
 
-@query(f"""WITH RECURSIVE {_LINES}, {_SPANS},
+_MERGED = f"""WITH RECURSIVE {_LINES}, {_SPANS},
 unit AS (SELECT source_id, start_line AS s, end_line AS e, ['d' || start_line] AS d, ['concept', 'application', 'concept', 'summary'][start_line // 4 % 4 + 1] AS kind FROM spans),
 led AS (SELECT *, last_value(CASE WHEN kind = 'concept' THEN s END IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM unit),
 kept AS (SELECT source_id, c AS s, max(e) AS e, flatten(list(d ORDER BY s))[:4] AS d FROM led WHERE kind IN ('concept', 'application') AND c IS NOT NULL GROUP BY source_id, c),
@@ -299,13 +302,27 @@ state(source_id, us, k) AS (
   SELECT source_id, us, list_position(list_transform(us, lambda u: u.e - u.s + 1 < 8), true) FROM (
     SELECT source_id, us[:least(k, t) - 1] || [{{'s': least(us[k].s, us[t].s), 'e': greatest(us[k].e, us[t].e), 'd': (us[t].d || us[k].d)[:4]}}] || us[greatest(k, t) + 1:] AS us
     FROM (SELECT *, CASE WHEN k = 1 THEN 2 ELSE k - 1 END AS t FROM state WHERE k IS NOT NULL AND len(us) > 1))),
-done AS (SELECT source_id, unnest(us) AS u FROM state WHERE k IS NULL OR len(us) = 1)
-SELECT source_id::VARCHAR AS source_id, u.s::INTEGER AS start_line, u.e::INTEGER AS end_line, 'unit' AS title, array_to_string(u.d, ',') AS defines, 'concept' AS unit_kind FROM done""")
-def merged_units(spark, sf):
+done AS (SELECT source_id, unnest(us) AS u FROM state WHERE k IS NULL OR len(us) = 1)"""
+
+
+def _merged(spark, sf) -> DataFrame:
     lines, _, spans = _lines(spark, sf)
     kind = F.element_at(F.array(*map(F.lit, ("concept", "application", "concept", "summary"))), (F.floor(F.col("start_line") / 4) % 4 + 1).cast("int"))
     units = spans.select(F.col("source_id").cast("string").alias("source_id"), "start_line", F.col("end_line"), F.lit("unit").alias("title"), F.array(F.concat(F.lit("d"), F.col("start_line").cast("string"))).alias("defines"), kind.alias("unit_kind"))
-    return C.merge_units(units, minimum=8).withColumn("defines", F.array_join("defines", ","))
+    return C.merge_units(units, minimum=8)
+
+
+@query(_MERGED + """
+SELECT source_id::VARCHAR AS source_id, u.s::INTEGER AS start_line, u.e::INTEGER AS end_line, 'unit' AS title, array_to_string(u.d, ',') AS defines, 'concept' AS unit_kind FROM done""")
+def merged_units(spark, sf):
+    return _merged(spark, sf).withColumn("defines", F.array_join("defines", ","))
+
+
+@query(_MERGED + """
+SELECT 'mtu:' || substr(sha1(concat_ws('|', source_id, sha256(text), u.s, u.e)), 1, 16) AS unit_id, source_id::VARCHAR AS source_id, (row_number() OVER (PARTITION BY source_id ORDER BY u.s, u.e) - 1)::INTEGER AS ord FROM done JOIN documents ON doc_id = source_id""")
+def built_units(spark, sf):
+    sources = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.sha2("text", 256).alias("sha256"))
+    return C.built_units(_merged(spark, sf), sources).select("unit_id", "source_id", "ord")
 
 
 @query(f"""WITH {_LINES}, chunk AS (SELECT source_id AS doc, (line_no - 1)::INTEGER AS idx, line AS text FROM lines)
@@ -459,18 +476,33 @@ def graph_parents(spark, sf):
     return G.adjacency(_graph(spark, sf)[1]).withColumn("parents", F.array_join("parents", ","))
 
 
-@query("""WITH RECURSIVE st AS (SELECT c_nationkey AS src, floor(o_totalprice)::BIGINT % 25 AS dst, o_totalprice AS p, lead(c_nationkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS x FROM orders JOIN customer ON o_custkey = c_custkey),
+_CYCLES = """WITH RECURSIVE st AS (SELECT c_nationkey AS src, floor(o_totalprice)::BIGINT % 25 AS dst, o_totalprice AS p, lead(c_nationkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS x FROM orders JOIN customer ON o_custkey = c_custkey),
 e AS (SELECT src, dst, max(p) AS confidence FROM st WHERE src <> dst GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY confidence, src, dst) AS rank FROM e),
 best(src, dst, rank) USING KEY (src, dst) AS (
   SELECT src, dst, rank FROM r
   UNION
-  SELECT n.src, n.dst, max(n.rank) FROM (SELECT b.src, r.dst, least(b.rank, r.rank) AS rank FROM best b JOIN r ON b.dst = r.src) n LEFT JOIN recurring.best o ON o.src = n.src AND o.dst = n.dst WHERE o.rank IS NULL OR n.rank > o.rank GROUP BY n.src, n.dst)
-SELECT r.src, r.dst::INTEGER AS dst, r.confidence FROM r LEFT JOIN best b ON b.src = r.dst AND b.dst = r.src WHERE b.rank IS NULL OR b.rank <= r.rank""")
-def graph_cycle_break(spark, sf):
+  SELECT n.src, n.dst, max(n.rank) FROM (SELECT b.src, r.dst, least(b.rank, r.rank) AS rank FROM best b JOIN r ON b.dst = r.src) n LEFT JOIN recurring.best o ON o.src = n.src AND o.dst = n.dst WHERE o.rank IS NULL OR n.rank > o.rank GROUP BY n.src, n.dst)"""
+
+
+def _cyclic(spark, sf) -> DataFrame:
     edges = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.expr("o_custkey = c_custkey"))
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     steps = edges.select(F.col("c_nationkey").alias("src"), F.lead("c_nationkey").over(w).alias("x"), (F.floor("o_totalprice") % 25).cast("int").alias("dst"), F.col("o_totalprice").alias("p"))
-    return G.break_cycles(steps.where("src <> dst").groupBy("src", "dst").agg(F.max("p").alias("confidence")))
+    return steps.where("src <> dst").groupBy("src", "dst").agg(F.max("p").alias("confidence"))
+
+
+@query(_CYCLES + """
+SELECT r.src, r.dst::INTEGER AS dst, r.confidence FROM r LEFT JOIN best b ON b.src = r.dst AND b.dst = r.src WHERE b.rank IS NULL OR b.rank <= r.rank""")
+def graph_cycle_break(spark, sf):
+    return G.break_cycles(_cyclic(spark, sf))
+
+
+@query(_CYCLES + """,
+kept AS (SELECT r.src, r.dst FROM r LEFT JOIN best b ON b.src = r.dst AND b.dst = r.src WHERE b.rank IS NULL OR b.rank <= r.rank),
+reach(src, dst) AS (SELECT src, dst FROM kept UNION SELECT x.src, k.dst FROM reach x JOIN kept k ON x.dst = k.src)
+SELECT r.src, r.dst::INTEGER AS dst, CASE WHEN k.src IS NULL THEN 'cycle' WHEN EXISTS (SELECT 1 FROM kept a JOIN reach x ON a.dst = x.src WHERE a.src = r.src AND x.dst = r.dst) THEN 'implied' ELSE 'kept' END AS verdict FROM r LEFT JOIN kept k ON k.src = r.src AND k.dst = r.dst""")
+def judged_edges(spark, sf):
+    return B.judged_edges(_cyclic(spark, sf))
 
 
 @query("""WITH need AS (SELECT l_orderkey AS node, l_partkey AS key, min(l_linenumber) AS pos FROM lineitem GROUP BY ALL),
@@ -530,6 +562,35 @@ def layer_positions(spark, sf):
     return G.layers(graph_depth(spark, sf))
 
 
+@query("SELECT event_id, substr(sha256('{\"a\": [1], \"k\": ' || json_extract_string(props, '$.k') || '}'), 1, 32) AS hash FROM events")
+def artifact_hashes(spark, sf):
+    document = F.concat(F.lit('{"k":'), F.from_json("props", "k long")["k"].cast("string"), F.lit(',"a":[ 1 ]}'))
+    return table(spark, sf, "events").select("event_id", I.artifact_hash(document).alias("hash"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'root_ready' WHEN 1 THEN 'prerequisites_read' WHEN 2 THEN 'suggested_start' END AS code, CASE WHEN c_custkey % 7 > 0 THEN 'a,' || c_custkey END AS items FROM customer""")
+def control_values(spark, sf):
+    pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (F.col("c_custkey") % n + 1).cast("int"))
+    reason = pick(("root_ready", "All prerequisite nodes have been read.", "suggested_start", "odd", ""), 5)
+    items = F.array(F.lit(" a"), F.lit(" "), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 7 == 0, "the system prompt says").otherwise("a"))
+    return table(spark, sf, "customer").select("c_custkey", T.reason_code(reason).alias("code"), F.array_join(T.clean_items(items), ",").alias("items"))
+
+
+@query("SELECT user_id, count(*) AS calls, coalesce(sum(event_id) FILTER (event_type = 'click'), 0)::BIGINT AS prompt, sum(event_id % 7)::BIGINT AS completion FROM events GROUP BY user_id")
+def usage_totals(spark, sf):
+    rows = table(spark, sf, "events").select("user_id", F.when(F.col("event_type") == "click", F.col("event_id")).alias("prompt"), (F.col("event_id") % 7).alias("completion"))
+    return A.usage(rows, "user_id", ["prompt", "completion"])
+
+
+@query("SELECT o_orderkey AS node, CASE WHEN o_orderkey % 5 = 0 THEN 'forget' WHEN o_orderkey % 3 = 0 AND o_orderkey % 4 > 0 THEN 'refuse' ELSE 'commit' END AS action FROM orders")
+def publish_recovery(spark, sf):
+    o, name = F.col("o_orderkey"), F.concat(F.col("o_orderkey").cast("string"), F.lit(".md"))
+    orders = table(spark, sf, "orders")
+    transactions = orders.select(o.alias("node"), name.alias("filename"), F.when(o % 4 > 0, F.sha2(F.col("o_orderpriority"), 256)).otherwise("").alias("output_sha256"))
+    files = orders.where("o_orderkey % 5 > 0").select(name.alias("filename"), F.sha2(F.when(o % 3 == 0, F.lit("edited")).otherwise(F.col("o_orderpriority")), 256).alias("sha256"))
+    return U.recovery(transactions, files)
+
+
 # Progress
 
 

@@ -125,3 +125,20 @@ def in_graph(state: DataFrame, nodes: DataFrame) -> DataFrame:
 def safe_output(name: Column) -> Column:
     """Whether a name is that of a file right below the outputs: no path, no parent, no hidden file."""
     return (F.length(name) > 0) & ~name.rlike(r"[/\\\x00]") & ~name.startswith(".")
+
+
+def save_table(rows: DataFrame, path: str, generation: str) -> None:
+    """Writes ``rows`` as a generation of the table at ``path`` and then makes it the current one; readers see the old one until then."""
+    rows.write.mode("overwrite").parquet(f"{path}/generation={generation}")
+    rows.sparkSession.createDataFrame([(generation,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_current")
+
+
+def load_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The current generation of the table at ``path``."""
+    generation = spark.read.text(f"{path}/_current").first()[0]
+    return spark.read.schema(schema).parquet(f"{path}/generation={generation}")
+
+
+def usage(events: DataFrame, by: str, counters: list[str]) -> DataFrame:
+    """The sums of usage counters for each ``by``; missing ones are 0."""
+    return events.groupBy(by).agg(F.count("*").alias("calls"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loamgraph.functions import ids as I
 from loamgraph.functions import text as T
 from loamgraph.functions import vectors as V
+from loamgraph.operators import build as B
 from loamgraph.operators import graph as G
 from loamgraph.operators import lines as L
 from loamgraph.operators import nodes as N
@@ -22,6 +23,7 @@ from loamgraph.sources import manifest as M
 from loamgraph.sources import office
 from loamgraph.sources import state as A
 from loamgraph.streaming import progress as P
+from loamgraph.streaming import publish as U
 
 
 def one(spark, value, f):
@@ -339,3 +341,45 @@ def test_logs_and_histories(spark, tmp_path):
 def test_drafts_are_put_together(spark):
     body = "---\nx\n---\n# Old title\n\n## 学习目标\ngoal\n\n## 来源追溯\n\n- old"
     assert one(spark, body, lambda c: E.formatted_draft(F.lit("# 001. T"), c, F.lit("## 来源追溯\n\n- new"))) == "# 001. T\n\n## 学习目标\ngoal\n\n## 来源追溯\n\n- new\n"
+
+
+def test_graph_is_built_from_claims_and_requirements(spark):
+    units = spark.createDataFrame([("u1", 1, "a", "Force", ["force"]), ("u2", 2, "a", "Work", ["work"]), ("u3", 3, "b", "Power", ["power"]), ("u4", 4, "b", "Free", ["free"])], "unit string, ord int, collection string, title string, defines array<string>")
+    raw = spark.createDataFrame([(1, "Force", ["u1", "u9"], ["force"]), (2, "Work", ["u2"], ["work"]), (3, " work.", ["u3", "u1"], ["power"])], "ord int, title string, members array<string>, defines array<string>")
+    required = spark.createDataFrame([("Work", ["Force", "nothing"]), ("Force", [])], "title string, defines array<string>")
+    g = B.build_graph(units, raw, required)
+    nodes = {tuple(r["members"]): r for r in g.nodes.collect()}
+    assert set(nodes) == {("u1",), ("u2", "u3"), ("u4",)} and nodes[("u2", "u3")]["collections"] == ["a", "b"] and nodes[("u2", "u3")]["defines"] == ["work", "power"]
+    assert [tuple(r) for r in g.edges.collect()] == [(nodes[("u1",)]["node"], nodes[("u2", "u3")]["node"], ["force"])]
+    assert rows(g.roots, "node") == sorted((nodes[k]["node"],) for k in (("u1",), ("u4",))) and rows(g.diagnostics, "code", "subject") == [("mtu_unassigned", "u4")]
+    none = B.build_graph(units.limit(0), raw.limit(0), required.limit(0))
+    assert none.nodes.count() == none.edges.count() == none.roots.count() == none.diagnostics.count() == 0
+    cyclic = edges(spark, ("a", "b", 0.9), ("b", "c", 0.8), ("c", "a", 0.5), ("a", "c", 0.7))
+    assert rows(B.judged_edges(cyclic), "src", "dst", "verdict") == [("a", "b", "kept"), ("a", "c", "implied"), ("b", "c", "kept"), ("c", "a", "cycle")]
+    fixed = B.judged_edges(cyclic, cyclic.where("src = 'b'"))
+    assert rows(fixed, "src", "dst", "verdict") == [("a", "b", "kept"), ("a", "c", "kept"), ("b", "c", "repaired"), ("c", "a", "cycle")]
+
+
+def test_records_are_published_once(spark, tmp_path):
+    schema = "record string, node_ids array<string>, output_path string"
+    for k, part in enumerate(([("r1", ["n1"], "a"), ("r2", ["n2"], "b")], [("r3", ["n2", "n3"], "c")])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    U.publish_stream(stream, str(tmp_path / "ledger"), str(tmp_path / "marks")).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "ledger" / "generation=1")), "record") == [("r1",), ("r3",)]
+    U.publish_stream(stream, str(tmp_path / "ledger"), str(tmp_path / "marks")).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "ledger" / "generation=1")), "record") == [("r1",), ("r3",)]
+
+
+def test_generations_of_state_tables(spark, tmp_path):
+    path = str(tmp_path / "state")
+    for k in range(2):
+        A.save_table(spark.createDataFrame([("n1", f"s{k}")], "node string, status string"), path, f"g{k}")
+        assert A.load_table(spark, path, "node string, status string").collect() == [("n1", f"s{k}")]
+
+
+def test_exam_sections(spark):
+    text = "## [Next_Knowledge_Point]\nA\n## [Covered_Node_IDs]\nn1, n2\n## [Blind_Exam]\n## sub\nq\n## [Answer_Key]\nk\n## [Writer_Instructions]\nscope: x"
+    got = one(spark, text, T.exam_sections)
+    assert got["covered_node_ids"] == ["n1", "n2"] and got["blind_exam"] == "## sub\nq" and got["writer_instructions"] == "scope: x" and got["problem"] is None
+    assert one(spark, text.replace("\nk\n", "\n"), T.exam_sections)["problem"] == "Answer_Key" and one(spark, text.replace("n1, n2", "none"), T.exam_sections)["problem"] == "Covered_Node_IDs"
