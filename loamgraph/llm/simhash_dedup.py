@@ -160,7 +160,8 @@ def _components(own: DataFrame, *, radius: int, blocks: int) -> DataFrame:
     alone = distinct.join(comp.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("component"), F.col("least").alias("component_id"))
     linked = stored(distinct.join(comp, "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")), "linked-fingerprints")
     least = linked.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return alone.unionByName(linked.join(least, ["component", "salt"]).select("fp", "component", "component_id"))
+    # A merge join: adaptive execution would broadcast this table by its size before the copies.
+    return alone.unionByName(linked.join(least.hint("merge"), ["component", "salt"]).select("fp", "component", "component_id"))
 
 
 def simhash_components(docs: DataFrame, *, width: int = 4, radius: int = 4, blocks: int = 7) -> DataFrame:
