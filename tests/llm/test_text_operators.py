@@ -54,6 +54,14 @@ def test_quality_keeps_good_and_rejects_labelled_junk(spark):
     assert not any(kept[i] for i, _ in junk) and sum(kept[i] for i, _ in good) >= 0.95 * len(good)
 
 
+def test_quality_of_rows_whose_labels_are_hidden(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    hidden = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    out = quality_rules.judge(docs, labels.where(~hidden)).join(labels.where(hidden), "doc_id").where("not base_failed").groupBy("quality").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()
+    share = {r["quality"]: r["kept"] / r["n"] for r in out}
+    assert share[1] >= 0.95 and share[0] <= 0.2
+
+
 def test_quality_of_odd_rows_and_without_labels(spark):
     docs = docs_of(spark, [*enumerate(ODD), (None, "x " * 60), (0, "")])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
