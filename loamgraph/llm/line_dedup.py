@@ -136,6 +136,8 @@ def line_status(docs: DataFrame, *, min_words: int = 5, row: str | None = None)
     near = links.where(_without(F.col("w"), F.col("gone")) == _without(F.col("w2"), F.col("gone2"))).select("at").distinct()
     near = places.join(near, "at", "left_semi").select("k1", "k2", F.lit(True).alias("near"))
     judged = distinct.join(near, ["k1", "k2"], "left").select("k1", "k2", F.col("rid").alias("rid1"), F.col("line_no").alias("line1"), F.coalesce("near", F.lit(False)).alias("near"))
+    # Stored, so that the join with all lines is a stage of its own and a very common line's copies can be split.
+    judged = stored(judged, "line-verdicts")
     first = (F.col("rid") == F.col("rid1")) & (F.col("line_no") == F.col("line1"))
     status = F.when(F.col("near"), F.lit("near")).when(first, "kept").otherwise("copy")
     return lines.join(judged, ["k1", "k2"]).select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "rid", "line_no", "n", status.alias("status"))
