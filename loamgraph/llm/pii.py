@@ -83,7 +83,7 @@ def term_of(word: str) -> str:
 
     Codes and numbers hardly ever come twice; that a text has one of their form does.
     """
-    if any(c.isdigit() for c in word):
+    if not word.isalpha() and any(c.isdigit() for c in word):
         return f"{'number' if word.isdigit() else 'code'} {len(word)}"
     return word.lower()
 
@@ -149,7 +149,8 @@ def read_texts(docs: DataFrame) -> DataFrame:
                 spans = base_spans(text)
                 base.append([[{"start": s, "end": e} for s, e in own] for own in spans])
                 entities.append([_hash(x) for x in sorted(entities_of(text, spans))])
-                own = {term_of(w) for w in {text[s:e] for s, e in terms_outside(text, spans)}}
+                # Only where there are spans do words' places matter.
+                own = set(map(term_of, {text[s:e] for s, e in terms_outside(text, spans)} if entities[-1] else set(_TERM.findall(text))))
                 terms.append([_hash(x) for x in sorted(own)] if entities[-1] else [])
                 held.update(own)
                 if len(held) > 1 << 18:
@@ -245,7 +246,8 @@ def find(docs: DataFrame, *, threshold: float = 0.9, support: int = 3) -> DataFr
     terms = stored(disclosing(rows, threshold=threshold, support=support).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "disclosing-terms")
     places = _occurrences(docs, terms).withColumn("salt", F.pmod(F.xxhash64("doc", "text_key"), F.lit(_SALTS)).cast("int"))
     salted = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    marked = places.join(salted, ["term", "salt"]).groupBy("doc", "text_key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    # A merge join: adaptive execution would broadcast this table by its size before the copies.
+    marked = places.join(salted.hint("merge"), ["term", "salt"]).groupBy("doc", "text_key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     marked = marked.groupBy("doc", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", (F.col("disclosure") > 0.999).alias("whole")))).alias("marks"))
     none = F.array().cast("array<struct<start:int,end:int,whole:boolean>>")
     return rows.where("rid is not null").select("doc", "text_key", "doc_id", "base").join(marked, ["doc", "text_key"], "left").select("doc_id", "base", F.coalesce("marks", none).alias("terms"))
