@@ -105,8 +105,8 @@ def assign(docs: DataFrame, shards: list[Shard], *, grown: list[Shard] | None =
     text: 8), ``text_crc32`` the unsigned CRC-32 of the text (null: of no bytes, 0). ``grown`` adds ``grown_shard``, by that tree. ``slot``
     numbers the rows of a shard from 0 without gaps: a shard is cut into ``buckets`` buckets by a hash of id, size and checksum, so rows
     without id, or with the same one, are spread; bucket offsets are summed over counts, and rows are numbered within buckets, so no task orders
-    a whole shard. Rows alike in all three take neighbouring slots in any order. What is worked out is stored once. Other columns
-    are not read; a carried one named like a new one gives way to it. No rows give no rows.
+    a whole shard. Rows alike in all three take neighbouring slots in any order. Without ``carry`` what is worked out is stored once; with it that
+    would be a copy of the documents, and places are worked out twice, which gives the same. Other columns are not read; a carried one named like a new one gives way to it. No rows give no rows.
     """
     new = {
         "doc_id": F.col(key),
@@ -121,7 +121,8 @@ def assign(docs: DataFrame, shards: list[Shard], *, grown: list[Shard] | None =
     rows = rows.select(*(c for c in rows.columns if c != "__at"), "__at.region", "__at.rack", "__at.shard")
     mixed = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string"), F.col("text_crc32").cast("string"))
     bucket = F.conv(F.substring(F.md5(mixed), 1, 8), 16, 10).cast("long") % buckets
-    return slots(stored(rows.withColumn("__bucket", bucket.cast("int")), "placed"))
+    rows = rows.withColumn("__bucket", bucket.cast("int"))
+    return slots(rows if carry else stored(rows, "placed"))
 
 
 def slots(rows: DataFrame) -> DataFrame:
