@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import chat_format, decontamination, licenses, line_dedup, mixing, pii, quality_rules, sharding, simhash_dedup, toxicity
+from loamgraph.llm import (
+    chat_format,
+    decontamination,
+    licenses,
+    line_dedup,
+    mixing,
+    periodic_runs,
+    pii,
+    quality_rules,
+    sharding,
+    simhash_dedup,
+    token_counts,
+    toxicity,
+    vector_codes,
+)
 from loamgraph.llm.common import table
 
 
@@ -57,6 +71,21 @@ def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors in four codebooks of 256 entries, fitted in four rounds; what nulls, ties and empty tables give is said in ``compress``."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 12 words or more in all documents, tails of a tenth of them repeated first; nulls and ties as in ``run_columns``."""
+    return periodic_runs.digest(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), planted=True))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents by the byte-level vocabulary, and whether they are over 1024; nulls and ties as in ``prefix_steps``."""
+    return token_counts.digest(token_counts.prefix_table(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
     "op1_deletion_line_dedup": op1_deletion_line_dedup,
     "op2_isolation_forest_quality": op2_isolation_forest_quality,
@@ -68,6 +97,9 @@ QUERIES = {
     "op8_hash_tree_sharding": op8_hash_tree_sharding,
     "op9_reply_tree_chat": op9_reply_tree_chat,
     "op10_kneser_ney_toxicity": op10_kneser_ney_toxicity,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLE_SQL = {
@@ -75,4 +107,5 @@ ORACLE_SQL = {
     "op7_temperature_mixing": mixing.ORACLE,
     "op8_hash_tree_sharding": sharding.ORACLE,
     "op9_reply_tree_chat": chat_format.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
 }
