@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from functools import lru_cache
 from itertools import accumulate
 
@@ -12,6 +11,7 @@ import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -19,9 +19,19 @@ from tokenizers import Tokenizer
 #: The vocabulary, by its name among the public tokenizers or by a path that every machine has.
 TOKENIZER = "byte_bpe_50k.json"
 #: Entries that a worker keeps of each table of things it has worked out (stretches of text, neighbouring tokens), and the longest stretch kept.
-KEPT, KEPT_CHARS = 1 << 18, 48
-#: The pieces within which tokens merge, on ASCII texts.
-ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+KEPT, KEPT_CHARS = 1 << 19, 48
+#: Texts of characters below this one are cut by the tokenizer's public pattern; all versions of Unicode agree on them.
+BEYOND, LATIN_PIECE = "\u0250", regex.compile(public_tokenizers.PATTERN)
+#: The bytes that vocabularies of this kind show as the characters of their numbers; others are shown by characters from 256 on.
+SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+
+
+def _values(steps: bytes) -> list[int]:
+    return [b - 256 if b > 127 else b for b in steps]
+
+
+def _steps(counts: list[int]) -> bytes:
+    return bytes([(b - a) & 255 for a, b in zip(counts, counts[1:])])
 
 
 class Counter:
@@ -42,7 +52,8 @@ class Counter:
             raise ValueError(f"{path}: one special token is needed")
         self.special = added[0]
         self.library_cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.ascii = {k: self.library_cut(chr(k))[0][0] for k in range(128)}
+        hidden = [k for k in range(256) if k not in SHOWN]
+        self.byte = {k: chr(k if k in SHOWN else 256 + hidden.index(k)) for k in range(256)}
         self.rank = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in enumerate(model["merges"])}
         self.made = {a + b: (k, (a, b)) for (a, b), k in self.rank.items()}
         self.longest = max(map(len, model["vocab"]))
@@ -54,14 +65,14 @@ class Counter:
             self.found.add_word(t, t)
         self.found.make_automaton()
         self.together: dict[tuple[str, str], bool] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.spaced: dict[str, tuple[int, bytes]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
 
-    def cut(self, text: str) -> list[tuple[str, tuple[int, int]]]:
-        """(piece, its place) of a text; in a piece a character stands for a byte. The library tells classes of characters beyond ASCII."""
-        if not text.isascii():
-            return self.library_cut(text)
-        return [(m[0].translate(self.ascii), m.span()) for m in ASCII_PIECE.finditer(text)]
+    def cut(self, text: str) -> list[str]:
+        """The pieces of a text within which tokens merge. The library tells classes of characters beyond Latin letters, on which versions of Unicode differ."""
+        if max(text, default="") < BEYOND:
+            return LATIN_PIECE.findall(text)
+        return [text[a:b] for _, (a, b) in self.library_cut(text)]
 
     def _merged(self, parts: list[str]) -> list[str]:
         while len(parts) > 1:
@@ -92,11 +103,8 @@ class Counter:
         self.together[left, right] = stays
         return stays
 
-    def _piece(self, piece: str) -> list[int]:
-        """Counts of the prefixes of a piece within which tokens merge; a character of ``piece`` stands for a byte."""
-        known = self.pieces.get(piece)
-        if known is not None:
-            return known
+    def _tokens(self, piece: str) -> list[int]:
+        """Counts of the prefixes of a piece; a character of ``piece`` stands for a byte."""
         count, last, stand = [0] * (len(piece) + 1), [""] * (len(piece) + 1), self.together.get
         for end, token in self.found.iter(piece):
             end += 1
@@ -108,110 +116,101 @@ class Counter:
                 if not (self._stand(last[before], token) if stays is None else stays):
                     continue
             count[end], last[end] = count[before] + 1, token
-        if len(piece) <= KEPT_CHARS:
-            if len(self.pieces) >= KEPT:
-                self.pieces.clear()
-            self.pieces[piece] = count
         return count
 
-    def counts(self, text: str) -> list[int]:
-        """Counts of the prefixes of 1, 2, ... characters of a text without the special token.
+    def _piece(self, piece: str) -> bytes:
+        """Steps of a piece: one signed byte for each character, by how much the count changes there."""
+        known = self.pieces.get(piece)
+        if known is None:
+            of = self._tokens(piece.encode().decode("latin-1").translate(self.byte))
+            if not piece.isascii():
+                of = [of[k] for k in accumulate((len(c.encode()) for c in piece), initial=0)]
+            known = self._keep(self.pieces, piece, _steps(of))
+        return known
+
+    def steps_of(self, text: str) -> bytes:
+        """Steps of the characters of a text without the special token.
 
         Pieces are cut as the library does. A prefix is cut like the text but at its end: white space that ends it is one piece, although
         before a word its last character is another one's; and a contraction whose last letter is missing falls into two.
         """
-        out, base, blank = [], 0, None  # blank: white space just before, and the count before it
-        for piece, (begin, end) in self.cut(text):
-            own = text[begin:end]
-            of = self._piece(piece)
-            if len(of) == len(own) + 1:
-                out += [base + c for c in of[1:]]
-            else:
-                at = accumulate(len(c.encode()) for c in own)
-                out += [base + of[k] for k in at]
-            if blank is not None and len(self.cut(joined := blank[0] + own[0])) == 1 and own[0].isspace():
-                out[begin] = blank[1] + self._piece(self.cut(joined)[0][0])[-1]
+        pieces = self.cut(text)
+        out = [self._piece(p) for p in pieces]
+        for k, own in enumerate(pieces):
             if own[0] == "'" and len(own) == 3 and len(halves := self.cut(own[:2])) == 2:
-                out[begin + 1] = base + sum(self._piece(p)[-1] for p, _ in halves)
-            blank = (own, base) if own.isspace() else None
-            base += of[-1]
-        return out
-
-    def _steps(self, text: str) -> tuple[int, bytes]:
-        of = self.counts(text)
-        return (of[-1] if of else 0), bytes([(b - a) & 255 for a, b in zip([0, *of], of)])
+                of = [0, *accumulate(_values(out[k]))]
+                of[2] = sum(sum(_values(self._piece(p))) for p in halves)
+                out[k] = _steps(of)
+        for k, own in enumerate(pieces):
+            if k and own[0].isspace() and pieces[k - 1].isspace() and len(self.cut(joined := pieces[k - 1] + own[0])) == 1:
+                of = [0, *accumulate(_values(out[k]))]
+                of[1], true = sum(_values(self._piece(joined))) - sum(_values(self._piece(pieces[k - 1]))), of[1]
+                out[k] = _steps(of)
+                if len(own) == 1:  # the next piece begins from the count without the prefix's own end
+                    own = _values(out[k + 1])
+                    out[k + 1] = _steps([0, *accumulate([own[0] + true - of[1], *own[1:]])])
+        return b"".join(out)
+
+    def _keep(self, table: dict[str, bytes], key: str, steps: bytes) -> bytes:
+        if len(key) <= KEPT_CHARS:
+            if len(table) >= KEPT:
+                table.clear()
+            table[key] = steps
+        return steps
 
-    def _stretch(self, part: str) -> tuple[int, bytes]:
+    def _stretch(self, part: str) -> bytes:
         """Steps of ``part`` after a space, both between characters that aren't white space."""
-        known = self.spaced.get(part)
-        if known is not None:
-            return known
         lines = part.split("\n")
         if len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
             # A line end between such characters is a piece of its own, so lines are cut alone, too.
-            parts = [self._stretch(lines[0]), *[self._line(x) for x in lines[1:]]]
-            return sum(n for n, _ in parts), b"".join(s for _, s in parts)
-        return self._keep(part, self._steps(" " + part))
+            first = self.spaced.get(lines[0]) or self._stretch(lines[0])
+            return first + b"".join([self.spaced.get(x) or self._keep(self.spaced, x, self.steps_of(x)) for x in ["\n" + x for x in lines[1:]]])
+        return self._keep(self.spaced, part, self.steps_of(" " + part))
 
-    def _line(self, part: str) -> tuple[int, bytes]:
-        key = "\n" + part
-        return self.spaced.get(key) or self._keep(key, self._steps(key))
-
-    def _keep(self, key: str, steps: tuple[int, bytes]) -> tuple[int, bytes]:
-        if len(key) <= KEPT_CHARS:
-            if len(self.spaced) >= KEPT:
-                self.spaced.clear()
-            self.spaced[key] = steps
-        return steps
+    def _section(self, text: str) -> tuple[list[bytes], int]:
+        """(steps, a place from which on the text is cut as alone) of a text without the special token.
 
-    def _section(self, text: str) -> tuple[int, list[bytes], int]:
-        """(count, steps, where the last stretch begins) of a text without the special token."""
-        total, out, known = 0, [], self.spaced.get
-        held, begin, at = None, 0, 0  # a stretch that goes on, where it begins, and where we are
-        for k, part in enumerate(text.split(" ")):
-            if k and held is None and (steps := known(part)) is not None:  # the usual case
-                total += steps[0]
-                out.append(steps[1])
-                begin, at = at, at + len(part) + 1
+        A space between two characters that aren't white space begins a piece, so the stretches from one such space to the next are
+        cut alone, and most of them are known.
+        """
+        parts = text.split(" ")
+        known = list(map(self.spaced.get, parts))
+        known[0], k, begin = None, 0, 0
+        while True:
+            try:
+                k = known.index(None, k)
+            except ValueError:
+                break
+            part = parts[k]
+            if k and part and not part[0].isspace() and not part[-1].isspace():
+                known[k] = self._stretch(part)
+                k += 1
                 continue
-            lead = " " if k else ""
-            if held is not None and held and not held[-1].isspace() and part and not part[0].isspace():
-                steps = self._steps(held)  # what was held ends before this space
-                total, held, begin = total + steps[0], None, at
-                out.append(steps[1])
-            if held is None and k and part and not part[0].isspace() and not part[-1].isspace():
-                steps = self._stretch(part)
-                total += steps[0]
-                out.append(steps[1])
-                begin = at
-            else:
-                begin = at if held is None else begin
-                held = (held or "") + lead + part
-            at += len(lead) + len(part)
-        if held:
-            steps = self._steps(held)
-            total += steps[0]
-            out.append(steps[1])
-        return total, out, begin
-
-    def steps(self, text: str) -> tuple[int, bytes]:
-        """(tokens of the text, one signed byte for each character: by how much the count of prefixes changes there)."""
+            held, first = (" " + part if k else part), k
+            while k + 1 < len(parts) and (not held or held[-1].isspace() or not parts[k + 1] or parts[k + 1][0].isspace()):
+                k += 1
+                held += " " + parts[k]
+                known[k] = b""
+            known[first] = self.steps_of(held)
+            begin = first
+            k += 1
+        last = max(begin, len(parts) - 1 if known[-1] else begin)
+        return known, sum(map(len, parts[:last])) + max(0, last - 1)
+
+    def steps(self, text: str) -> bytes:
+        """One signed byte for each character: by how much the number of tokens of the prefix changes there."""
         sections = text.split(self.special)
-        if len(sections) == 1:
-            total, out, _ = self._section(text)
-            return total, b"".join(out)
-        total, out = 0, []
+        out = []
         for k, section in enumerate(sections):
-            own, steps, begin = self._section(section)
-            out += steps
-            total += own
+            known, begin = self._section(section)
+            out += known
             if k < len(sections) - 1:
                 # Prefixes that end inside the special token hold a part of it as ordinary text.
-                part = self.counts(section[begin:] + self.special[:-1])[-len(self.special) + 1 :]
-                before = self.counts(section[begin:])[-1] if section[begin:] else 0
-                out.append(bytes([(b - a) & 255 for a, b in zip([before, *part], [*part, before + 1])]))
-                total += 1
-        return total, b"".join(out)
+                held = section[begin:]
+                before = sum(_values(self.steps_of(held))) if held else 0
+                of = list(accumulate(_values(self.steps_of(held + self.special[:-1]))))[-len(self.special) + 1 :]
+                out.append(_steps([before, *of, before + 1]))
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
@@ -229,12 +228,13 @@ def prefix_steps(text: Column, tokenizer: str = TOKENIZER) -> Column:
 
     def of(texts: pa.Array) -> pa.Array:
         c = counter(tokenizer)
-        found = [c.steps(t) if t else (0, b"") for t in texts.to_pylist()]
-        ends = np.cumsum([0, *[len(s) for _, s in found]])
+        found = [c.steps(t) if t else b"" for t in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, found)])
         if ends[-1] >= 1 << 31:
             raise ValueError("a batch of over 2^31 characters; lower spark.sql.execution.arrow.maxRecordsPerBatch")
-        steps = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(s for _, s in found), np.int8)))
-        return pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.int64()), steps], ["n_tokens", "steps"])
+        steps = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int8)))
+        n = [int(np.frombuffer(s, np.int8).sum(dtype=np.int64)) for s in found]
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), steps], ["n_tokens", "steps"])
 
     return F.arrow_udf(of, "n_tokens long, steps array<tinyint>")(text)
 

@@ -167,7 +167,7 @@ def library(texts):
     return [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
-BITS = ["a", "b", " ", "  ", "\n", "\t", "'re", "'s", "'", "!", "1", "é", "中", "🙂", "　", "<|endoftext|>", "<|endof", "the", " hello", "\r\n", "-----", "\x1c", "՘", "'ll", "'v", "\x00", "word.", "aaaa", "  \n ", "\x85"]
+BITS = ["Ā", "ɏ", "ɐ", "\xa0", "a", "b", " ", "  ", "\n", "\t", "'re", "'s", "'", "!", "1", "é", "中", "🙂", "　", "<|endoftext|>", "<|endof", "the", " hello", "\r\n", "-----", "\x1c", "՘", "'ll", "'v", "\x00", "word.", "aaaa", "  \n ", "\x85"]
 
 
 def test_every_prefix_has_the_librarys_count():
@@ -175,9 +175,8 @@ def test_every_prefix_has_the_librarys_count():
     c = token_counts.counter(token_counts.TOKENIZER)
     for _ in range(500):
         text = "".join(rnd.choice(BITS) for _ in range(rnd.randint(1, 14)))
-        total, steps = c.steps(text)
-        got = list(accumulate(np.frombuffer(steps, np.int8).tolist()))
-        assert got == library([text[:k] for k in range(1, len(text) + 1)]) and total == got[-1]
+        got = list(accumulate(np.frombuffer(c.steps(text), np.int8).tolist()))
+        assert got == library([text[:k] for k in range(1, len(text) + 1)])
 
 
 def test_token_counts_equal_the_library(spark):
