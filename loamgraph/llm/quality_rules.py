@@ -182,12 +182,14 @@ def judge(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 16_384, tree
     bound of what reaches the driver) that pass the base rules; the threshold comes from all labelled rows that do.
     ``base_failed``: fewer than 50 words, or over half of the words in repeated 3-word windows. Such rows aren't kept,
     nor those whose anomaly reaches the threshold. Null and empty texts have no words and fail. A doc_id with several labels has
-    its lowest quality. With fewer than 8 labelled rows, or labels of one kind, the base rules alone decide (anomaly 0).
+    its lowest quality; of its rows that pass the base rules the one with the least statistics, in their order, is held against it. With fewer than 8 labelled rows, or labels of one kind, the base rules alone decide (anomaly 0).
     """
     rows = stored(rule_statistics(docs), "rules")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     marks = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = rows.where(~failed).dropDuplicates(["doc_id"]).join(marks, "doc_id")
+    # Of several rows of one labelled id the least by its statistics is looked at, whatever the order of rows.
+    rest = [c for c in rows.columns if c != "doc_id"]
+    known = rows.where(~failed).join(marks, "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", "quality", "r.*")
     fitted = fit_forest(known, sample_rows=sample_rows, trees=trees, per_tree=per_tree)
     if fitted is None:
         anomaly, limit = F.lit(0.0), 1.0

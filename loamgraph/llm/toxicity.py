@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +16,12 @@ from loamgraph.llm.common import hash_share, stored
 ORDER = 5
 #: Near 1, so that what only one document says weighs little and leans on the shared counts.
 DISCOUNT = 0.95
-#: Log-ratios are kept in steps of 1/STEP, in tables of four slots for each n-gram, of 2**MOST_BITS slots at most: the bound of what is broadcast.
-STEP, MOST_BITS = 8, 24
+#: N-grams of which a table is broadcast (8 bytes each, and 8 for their places); where there are more, texts' n-grams are joined with them.
+MOST_GRAMS = 1 << 24
 #: Bytes of the window whose likelihoods are compared beside the whole text: about a word and a half.
 WINDOW = 12
 #: Texts are worked through in slices of so many bytes.
 SLICE = 1 << 20
-UNSEEN = -128
 
 _FOLD = bytes.maketrans((string.ascii_uppercase + string.punctuation + "\0").encode(), (string.ascii_lowercase + " " * (len(string.punctuation) + 1)).encode())
 
@@ -109,7 +109,7 @@ def _low(key: Column, n: int) -> Column:
 
 
 def log_ratios(grams: DataFrame, *, discount: float = DISCOUNT) -> DataFrame:
-    """``grams(key, toxic_n, plain_n)`` -> ``(key, history, ratio, unseen, n)``.
+    """``grams(key, toxic_n, plain_n)`` -> ``(key, history, ratio, unseen)``.
 
     ``ratio`` is log P(last byte | bytes before; toxic) - log P(... ; ordinary), each an absolutely
     discounted estimate from its class's counts that backs off to one distribution shared by both.
@@ -151,93 +151,125 @@ def log_ratios(grams: DataFrame, *, discount: float = DISCOUNT) -> DataFrame:
         own = F.greatest(F.col(f"{kind}_n") - discount, F.lit(0.0)) / F.greatest(F.col(f"{kind}_all"), F.lit(1))
         return own + weight(kind) * F.col("p")
 
-    return rows.select("key", "history", F.log(p("toxic") / p("plain")).alias("ratio"), F.log(weight("toxic") / weight("plain")).alias("unseen"), (F.col("toxic_n") + F.col("plain_n")).alias("n"))
+    return rows.select("key", "history", F.log(p("toxic") / p("plain")).alias("ratio"), F.log(weight("toxic") / weight("plain")).alias("unseen"))
 
 
-_MIX, _MIX_CHECK = (x - (1 << 64) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+_KEY_BITS = 8 * ORDER
 
 
-def _slot(key: np.ndarray, bits: int) -> np.ndarray:
-    return ((key * np.int64(_MIX)).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _check(key: np.ndarray) -> np.ndarray:
-    """16 bits that tell keys of one slot apart."""
-    return ((key * np.int64(_MIX_CHECK)).view(np.uint64) >> np.uint64(48)).astype(np.uint16)
+def _spread(key: np.ndarray) -> np.ndarray:
+    """A one-to-one mapping of keys that deals them evenly over all values of their bits."""
+    mask = np.int64((1 << _KEY_BITS) - 1)
+    key = (key * np.int64(0x9E3779B97F4A7C15 - (1 << 64))) & mask
+    key ^= key >> np.int64(_KEY_BITS // 2)
+    return (key * np.int64(0xC2B2AE3D27D4EB4F - (1 << 64))) & mask
 
 
 class Ratios:
-    """Log-ratios by key: a slot of ``value`` (UNSEEN where it is empty) with the ``check`` of the key that it holds."""
+    """Log-ratios by key, all of them: keys in the order of their spread values, and where the values with the same first bits begin."""
 
-    def __init__(self, bits: int):
-        self.bits = bits
-        self.value, self.check = np.full(1 << bits, UNSEEN, np.int8), np.zeros(1 << bits, np.uint16)
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(8, (2 * len(keys)).bit_length())
+        spread = _spread(keys.astype(np.int64))
+        order = np.argsort(spread)
+        spread = spread[order]
+        self.start = np.searchsorted(spread >> (_KEY_BITS - self.bits), np.arange((1 << self.bits) + 1)).astype(np.int32)
+        self.rest = (spread & ((1 << (_KEY_BITS - self.bits)) - 1)).astype(np.uint32)
+        self.value = values[order].astype(np.float32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The values of keys, UNSEEN for those that aren't held."""
-        at = _slot(keys, self.bits)
-        return np.where(self.check[at] == _check(keys), self.value[at], np.int8(UNSEEN))
+        """The values of keys, NaN for those that aren't held."""
+        spread = _spread(keys)
+        bucket = spread >> (_KEY_BITS - self.bits)
+        rest = (spread & ((1 << (_KEY_BITS - self.bits)) - 1)).astype(np.uint32)
+        at, end = self.start[bucket], self.start[bucket + 1]
+        out = np.full(len(keys), np.nan, np.float32)
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            here = at[open_]
+            hit = self.rest[here] == rest[open_]
+            out[open_[hit]] = self.value[here[hit]]
+            at[open_] = here + 1
+            open_ = open_[~hit & (here + 1 < end[open_])]
+        return out
 
 
 def _packed(rows: DataFrame) -> Ratios:
-    """``rows(key, ratio, n)`` as a table of four slots for each key, or of 2**MOST_BITS.
+    """``rows(key, ratio)`` as a table; the caller has seen to their number."""
+    told = rows.select("key", F.col("ratio").cast("float").alias("ratio")).toArrow()
+    return Ratios(*(told[c].to_numpy() for c in ("key", "ratio")))
 
-    Of keys that share a slot the one with most occurrences is held; the others are as unseen ones, and never get its value. The table is
-    put together in the tasks, 2**16 slots in each row; what comes to the driver has 3 * 2**MOST_BITS bytes at most.
-    """
-    bits = min(MOST_BITS, max(16, (4 * rows.count()).bit_length()))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(_slot(keys, bits)), pa.array(_check(keys).astype(np.int32)), *b.columns], ["slot", "check", "key", "ratio", "n"])
 
-    def page(t: pa.Table) -> pa.Table:
-        value, check = np.full(1 << 16, UNSEEN, np.int8), np.zeros(1 << 16, np.uint16)
-        at = t["slot"].to_numpy() & 0xFFFF
-        value[at], check[at] = np.clip(np.rint(t["ratio"].to_numpy() * STEP), -127, 127), t["check"].to_numpy()
-        return pa.table({"page": pa.array([int(t["slot"][0].as_py()) >> 16], pa.int64()), "value": pa.array([value.tobytes()], pa.binary()), "check": pa.array([check.tobytes()], pa.binary())})
+@dataclass(frozen=True)
+class Tables:
+    """``grams`` and ``histories``: the log-ratios of n-grams, and those of bytes not seen after each history; as tables in memory or, where there are too many, as DataFrames (key, ratio)."""
 
-    slots = rows.select("key", "ratio", "n").mapInArrow(hashed, "slot long, check int, key long, ratio double, n long")
-    slots = slots.groupBy("slot").agg(F.max_by(F.struct("check", "ratio"), F.struct("n", "key")).alias("r")).select("slot", "r.*")
-    out = Ratios(bits)
-    for row in slots.groupBy(F.shiftright("slot", 16).alias("page")).applyInArrow(page, "page long, value binary, check binary").collect():
-        here = slice(row["page"] << 16, (row["page"] + 1) << 16)
-        out.value[here], out.check[here] = np.frombuffer(row["value"], np.int8), np.frombuffer(row["check"], np.uint16)
-    return out
+    grams: Ratios | DataFrame
+    histories: Ratios | DataFrame
 
 
-def pack(ratios: DataFrame) -> tuple[Ratios, Ratios]:
-    """The log-ratios of n-grams, and those of bytes not seen after each history."""
-    histories = ratios.groupBy(F.col("history").alias("key")).agg(F.first("unseen").alias("ratio"), F.sum("n").alias("n"))
-    return _packed(ratios), _packed(stored(histories, "histories"))
+def pack(ratios: DataFrame, *, most: int = MOST_GRAMS) -> Tables:
+    """All log-ratios: no n-gram is left out. Up to ``most`` of them come to the driver, to be broadcast."""
+    histories = stored(ratios.groupBy(F.col("history").alias("key")).agg(F.first("unseen").alias("ratio")), "histories")
+    grams = ratios.select("key", "ratio")
+    if ratios.count() > most:
+        return Tables(grams, histories)
+    return Tables(_packed(grams), _packed(histories))
 
 
-def features(text: bytes | None, tables: tuple[Ratios, Ratios]) -> tuple[float, float]:
+def features(text: bytes | None, tables: Tables) -> tuple[float, float]:
     """Mean and window maximum of one text; null counts as empty."""
     return tuple(_features([folded(text)], tables)[0])
 
 
-def _features(texts: list[bytes], tables: tuple[Ratios, Ratios]) -> np.ndarray:
+def _features(texts: list[bytes], tables: Tables) -> np.ndarray:
     """Of each folded text: the mean log-ratio of its bytes, and the largest sum over WINDOW bytes in a row."""
-    grams, histories = tables
     data, starts = _padded(texts)
     keys = gram_keys(data)
-    r = grams.find(keys)
-    gap = np.flatnonzero(r == UNSEEN)
-    back = histories.find(keys[gap] >> 8)
-    r[gap] = np.where(back == UNSEEN, 0, back)
+    r = tables.grams.find(keys)
+    gap = np.flatnonzero(np.isnan(r))
+    r[gap] = np.nan_to_num(tables.histories.find(keys[gap] >> 8))
     r[keys & 255 == 0] = 0
-    total = np.concatenate([[0], np.cumsum(r, dtype=np.int64)])
-    ends = np.concatenate([starts[1:], [len(keys)]])
-    size = np.array([len(t) for t in texts])
+    return _measured(r, starts, np.array([len(t) for t in texts]))
+
+
+def _measured(r: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of texts whose log-ratios ``r`` begin at ``starts``: their sum by ``size``, and the largest sum over WINDOW in a row."""
+    total = np.concatenate([[0], np.cumsum(r, dtype=np.float64)])
+    ends = np.concatenate([starts[1:], [len(r)]])
     first = total[np.maximum(np.arange(1, len(total)) - WINDOW, np.repeat(starts, ends - starts))]
     most = np.maximum.reduceat(total[1:] - first, starts)
-    return np.stack([(total[ends] - total[starts]) / size / STEP, most / STEP], axis=1)
+    return np.stack([(total[ends] - total[starts]) / size, most], axis=1)
 
 
-def scored(docs: DataFrame, tables: tuple[Ratios, Ratios], *, text: str = "text") -> Column:
-    """``struct(mean, most)`` of a text column, by the ratio tables; null texts count as empty."""
+def _joined(docs: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """``docs`` with ``name``, as ``scored`` gives it, by joins of all n-grams of all texts with the tables: the way for tables too large to be broadcast."""
+    held = stored(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered-texts")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rid, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                data, _ = _padded([folded(text)])
+                keys = gram_keys(data)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), rid)), pa.array(np.arange(len(keys))), pa.array(keys)], ["__rid", "at", "key"])
+
+    def measure(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows["at"].to_numpy())
+        # ORDER - 1 zero bytes stand before a text, so it has as many n-grams as bytes.
+        both = _measured(rows["ratio"].to_numpy()[order], np.array([0]), np.array([len(order)]))
+        return pa.table({"__rid": rows["__rid"][:1], "mean": pa.array(both[:, 0]), "most": pa.array(both[:, 1])})
+
+    at = held.select("__rid", "text").mapInArrow(cut, "__rid long, at long, key long").withColumn("history", F.shiftright("key", 8))
+    found = at.join(tables.grams.withColumnRenamed("ratio", "own"), "key", "left").join(tables.histories.select(F.col("key").alias("history"), F.col("ratio").alias("unseen")), "history", "left")
+    ratio = F.when(F.col("key").bitwiseAND(F.lit(255)) == 0, 0.0).otherwise(F.coalesce("own", "unseen", F.lit(0.0)))
+    both = found.select("__rid", "at", ratio.alias("ratio")).groupBy("__rid").applyInArrow(measure, "__rid long, mean double, most double")
+    return held.join(both, "__rid").withColumn(name, F.struct("mean", "most")).select(*docs.columns, name)
+
+
+def scored(docs: DataFrame, tables: Tables, name: str = "raw") -> DataFrame:
+    """``docs(text, ...)`` with ``name``, a ``struct(mean, most)`` of the text by the ratio tables; null texts count as empty."""
+    if isinstance(tables.grams, DataFrame):
+        return _joined(docs, tables, name)
     held = docs.sparkSession.sparkContext.broadcast(tables)
 
     def of(texts: pa.Array) -> pa.Array:
@@ -246,7 +278,7 @@ def scored(docs: DataFrame, tables: tuple[Ratios, Ratios], *, text: str = "text"
         both = np.concatenate(parts) if parts else np.zeros((0, 2))
         return pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["mean", "most"])
 
-    return F.arrow_udf(of, "mean double, most double")(F.col(text))
+    return docs.withColumn(name, F.arrow_udf(of, "mean double, most double")(F.col("text")))
 
 
 def _design(mean: Column, most: Column) -> list[Column]:
@@ -277,20 +309,19 @@ def held_out(doc_id: Column) -> Column:
 class Model:
     """A fitted scorer: the two ratio tables and the calibration weights."""
 
-    def __init__(self, tables: tuple[Ratios, Ratios], weights: list[float]):
+    def __init__(self, tables: Tables, weights: list[float]):
         self.tables, self.weights = tables, weights
 
     def score(self, docs: DataFrame, name: str = "score") -> DataFrame:
         """``docs`` with a column ``name``: the probability of label 1 (an empty text has what calibration gives a ratio of 0)."""
-        raw = scored(docs, self.tables)
-        return docs.withColumn(name, raw).withColumn(name, self._curve(F.col(name)["mean"], F.col(name)["most"]))
+        return scored(docs, self.tables, name).withColumn(name, self._curve(F.col(name)["mean"], F.col(name)["most"]))
 
     def _curve(self, mean: Column, most: Column) -> Column:
         z = sum((F.lit(w) * x for w, x in zip(self.weights, _design(mean, most))), F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, calibration_rows: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, calibration_rows: int = 20_000, most_grams: int = MOST_GRAMS) -> Model:
     """Fits on ``docs(doc_id, text)`` with ``labels(doc_id, toxic)``.
 
     Of the rows that aren't held out, a fifth (by a hash of the id) calibrates and the others are
@@ -301,11 +332,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, calibration_rows: int = 20_000) -
     # Labels grow with the corpus: they are never broadcast, whatever their size here.
     rows = docs.select("doc_id", "text").where("text is not null").join(known.hint("merge"), "doc_id")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
-    tables = pack(stored(log_ratios(count_grams(rows.where(~part))), "ratios"))
+    tables = pack(stored(log_ratios(count_grams(rows.where(~part))), "ratios"), most=most_grams)
     # Texts are scored where they lie; only numbers meet. The count takes null texts along, as no text is read for it.
     n = docs.select("doc_id").join(known.hint("merge"), "doc_id").where(part).count()
     some = hash_share(rows.where(part), calibration_rows, "calibrate", n=n)
-    raw = some.select("__order", "doc_id", "toxic", scored(some, tables).alias("raw")).select("__order", "doc_id", "raw.mean", "raw.most", "toxic")
+    raw = scored(some, tables).select("__order", "doc_id", "raw.mean", "raw.most", "toxic")
     raw = raw.orderBy("__order", "doc_id").limit(calibration_rows).select("mean", "most", "toxic").collect()
     return Model(tables, calibrate([tuple(r) for r in raw]))
 

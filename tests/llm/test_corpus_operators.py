@@ -216,6 +216,26 @@ def test_large_buckets_lose_no_link(spark):
 # Mixing
 
 
+def test_rows_without_ids_keep_to_budgets(spark):
+    docs = spark.createDataFrame([(None, f"one two {i}", "en", "a", 0) for i in range(1000)] + [(7, f"three {i}", "en", "b", 0) for i in range(500)], DOCS)
+    mix = mixing.mixture(docs, repetition=None, entropy=0.5, budget=6000)
+    blocks = {s: len({r["block"] for r in mixing.permuted(mix).where(f"source = '{s}'").collect()}) for s in "ab"}
+    assert blocks["a"] > 20 and blocks["b"] > 15  # not one block for all rows of one id or none
+    want = {r["source"]: r["budget"] for r in mix.sources.collect()}
+    got = Counter()
+    for r in mixing.mix_documents(docs, repetition=None, entropy=0.5, budget=6000).collect():
+        got[r["source"]] += len(r["text"].split())
+    assert all(abs(got[s] - want[s]) <= 3 for s in want) and sum(want.values()) == pytest.approx(6000, abs=2)
+
+
+def test_budgets_far_above_a_source(spark):
+    docs = spark.createDataFrame([(1, "one", "en", "tiny", 0), (2, "w " * 50, "en", "large", 0)], DOCS)
+    mix = mixing.mixture(docs, repetition=None, entropy=0.999, budget=10**11)
+    assert mix.sources.agg(F.sum("budget")).first()[0] == pytest.approx(10**11, abs=2)
+    wide = mixing._repeated(spark.createDataFrame([(1, 70_000), (2, 0), (3, 1)], "id long, n long"), F.col("n"), "pass")
+    assert [tuple(r) for r in wide.groupBy("id").agg(F.count("*"), F.min("pass"), F.max("pass"), F.count_distinct("pass")).orderBy("id").collect()] == [(1, 70_000, 0, 69_999, 70_000), (3, 1, 0, 0, 1)]
+
+
 def test_mixture_meets_its_targets(spark):
     rows = [(i, "w " * (1 + i % 7), "en", "big" if i < 160 else "mid" if i < 190 else None, 0) for i in range(200)]
     docs = spark.createDataFrame([*rows, (0, "w", "en", "big", 0), (0, "w", "en", "big", 0), (None, None, "en", "big", 0)], DOCS)

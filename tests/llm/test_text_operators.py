@@ -54,6 +54,14 @@ def test_quality_keeps_good_and_rejects_labelled_junk(spark):
     assert not any(kept[i] for i, _ in junk) and sum(kept[i] for i, _ in good) >= 0.95 * len(good)
 
 
+def test_quality_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(i % 60, " ".join(f"{'#$|' if i % 3 == 0 and i < 60 else 'word'}{(i * 7 + k * k) % 97}" for k in range(80))) for i in range(120)]  # two texts for each id
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, rows).withColumn("n_words", F.lit("own")).withColumn("kept", F.lit(1))
+    want = sorted(map(str, quality_rules.judge(docs, labels).collect()))
+    assert sorted(map(str, quality_rules.judge(docs_of(spark, rows[::-1]).repartition(5), labels).collect())) == want
+
+
 def test_quality_of_rows_whose_labels_are_hidden(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     hidden = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -348,18 +356,23 @@ def test_toxicity_learns_and_never_reads_held_out_labels(spark):
     assert again == {i: r["score"] for i, r in out.items()}
 
 
-def test_packed_ratios_never_give_a_foreign_value(spark, monkeypatch):
-    rows = [(k * 7919 + 5, (k % 31 - 15) / 8, k % 5 + 1) for k in range(40_000)]
-    df = spark.createDataFrame(rows, "key long, ratio double, n long")
+def test_tables_hold_every_ngram_and_no_other(spark):
+    rows = [((k * 7919 * 7919 + 5) % (1 << 40), (k % 31 - 15) / 8) for k in range(40_000)]
+    table = toxicity._packed(spark.createDataFrame(rows, "key long, ratio double"))
     keys = toxicity.np.array([r[0] for r in rows])
-    want = toxicity.np.array([round(r[1] * 8) for r in rows])
-    strange = keys + 1
-    for most, least in ((24, 0.85), (16, 0.35)):  # with 40,000 keys in 65,536 slots many give way, and are as unseen ones
-        monkeypatch.setattr(toxicity, "MOST_BITS", most)
-        got = toxicity._packed(df).find(keys)
-        held = got != toxicity.UNSEEN
-        assert (got[held] == want[held]).mean() > 0.9999 and held.mean() > least
-        assert (toxicity._packed(df).find(strange) != toxicity.UNSEEN).mean() < 0.001
+    assert len(set(keys.tolist())) == len(rows)
+    assert table.find(keys).tolist() == [r[1] for r in rows]
+    strange = toxicity.np.array(sorted({int(k) ^ 1 for k in keys} - set(keys.tolist())))
+    assert toxicity.np.isnan(table.find(strange)).all() and len(strange) > 10_000
+    none = toxicity._packed(spark.createDataFrame([], "key long, ratio double"))
+    assert toxicity.np.isnan(none.find(keys)).all()
+
+
+def test_joined_tables_score_as_broadcast_ones(spark):
+    docs = docs_of(spark, [(i, ("you idiot " if i % 3 == 0 else "fine words ") + f"w{i}") for i in range(240)] + [(None, None), (77, ""), (78, "é idiot " * 300)])
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(240)], "doc_id long, quality int, toxic int")
+    scores = [sorted((r["doc_id"] or -1, round(r["score"], 9)) for r in toxicity.fit(docs, labels, most_grams=m).score(docs).collect()) for m in (0, 1 << 20)]
+    assert scores[0] == scores[1] and len({s for _, s in scores[0]}) > 5
 
 
 def test_toxicity_of_odd_tables(spark):
