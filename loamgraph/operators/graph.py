@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamgraph.operators import peeling as P
 from loamgraph.operators.ordering import numbered, numbered_within
-from loamgraph.sources.stages import new_path, stored
+from loamgraph.sources.stages import stored
 
 
 def edges_from_requirements(definers: DataFrame, required: DataFrame) -> DataFrame:
@@ -35,12 +36,10 @@ def closure(edges: DataFrame, *, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError("closure did not settle")
 
 
-def reduction(edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
-    """The edges of an acyclic graph that no other path replaces."""
-    e = edges.select("src", "dst").distinct()
-    reach = closure(e) if reach is None else reach
-    around = e.alias("a").join(reach.alias("r"), F.expr("a.dst = r.src")).select("a.src", "r.dst").distinct()
-    return e.join(around, ["src", "dst"], "left_anti")
+def reduction(edges: DataFrame) -> DataFrame:
+    """The edges ``(src, dst)`` of an acyclic graph that no other path replaces, by a reachability index (``peeling.implied``)."""
+    e = stored(edges.select("src", "dst").distinct(), "edges")
+    return e.join(P.implied(e), ["src", "dst"], "left_anti")
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -52,32 +51,21 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("node")).agg(F.array_sort(F.collect_set("src")).alias("parents"))
 
 
-def depths(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 10_000) -> DataFrame:
+def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, depth)``: the longest path from a root. Nodes on or below a cycle follow, one level each, in their order.
 
-    Layer by layer: the next layer are the nodes that edges lead to from the last one and whose parents are all settled. A round writes its
-    layer alone, as a part of one table.
+    Peeling takes several layers in a job and contracts chains, so long paths don't cost a job for each layer.
     """
-    spark = nodes.sparkSession
-    e = stored(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    loops = edges.where("src = dst").select(F.col("dst").alias("node"))
-    need = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("need"))
-    need = stored(need.join(loops, "node", "left_anti"), "need")
-    out, schema = new_path(spark, "depths"), f"node {nodes.schema['node'].dataType.simpleString()}, depth int"
-    layer = roots(nodes, edges).select("node")
-    for level in range(max_rounds):
-        layer.write.parquet(f"{out}/depth={level}")
-        last = spark.read.schema(schema).parquet(f"{out}/depth={level}").select("node")
-        if last.isEmpty():
-            break
-        done = spark.read.schema(schema).parquet(out)
-        maybe = e.join(last.select(F.col("node").alias("src")), "src", "left_semi").select("dst").distinct()
-        got = e.join(maybe, "dst", "left_semi").join(done.select(F.col("node").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("got"))
-        layer = got.join(need, "node").where("got = need").select("node")
-    done = spark.read.schema(schema).parquet(out)
+    own = edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    peeled = P.peel(own)
+    below = peeled.rest.select(F.col("dst").alias("node")).distinct()
+    done = nodes.select("node").join(below, "node", "left_anti").join(peeled.settled.select("node", "depth"), "node", "left").select("node", F.coalesce("depth", F.lit(0)).cast("int").alias("depth"))
+    if peeled.rest.isEmpty():
+        return done
+    done = stored(done, "depths")
     most = done.agg(F.max("depth")).first()[0]
-    rest = numbered(nodes.select("node").join(done, "node", "left_anti"), "node")  # what lies on cycles
-    return done.unionByName(rest.select("node", (F.lit(-1 if most is None else most) + F.col("rank")).alias("depth")))
+    rest = numbered(nodes.select("node").join(below, "node", "left_semi"), "node")
+    return done.unionByName(rest.select("node", (F.lit(-1 if most is None else most) + F.col("rank")).cast("int").alias("depth")))
 
 
 def find_cycle(edges: DataFrame) -> DataFrame:
@@ -87,7 +75,7 @@ def find_cycle(edges: DataFrame) -> DataFrame:
     cycle is read back over these parents by joins that double the way.
     """
     e = stored(edges.select("src", "dst").distinct(), "edges")
-    start = closure(e).where("src = dst").agg(F.min("src").alias("node"))
+    start = P.strong_parts(e).agg(F.min("node").alias("node"))
     seen = stored(start.where("node is not null").select("node", F.lit(None).cast(e.schema["src"].dataType).alias("parent"), F.lit(0).alias("step")), "seen")
     home = seen.select("node")
     level, closing = 0, None
@@ -112,13 +100,19 @@ def break_cycles(edges: DataFrame, *, max_rounds: int = 64) -> DataFrame:
     """``edges(src, dst, confidence)`` without cycles: of every cyclic part, the least sure edge goes, until none is left.
 
     Edges are ranked by confidence, source and target. That order of taking edges away comes to this: an edge
-    goes if a path of higher ranked edges leads from its end back to its start. So the
-    lowest rank on the best path between any two nodes is worked out once, by joins that double the paths. Self loops go. Rows
+    goes if a path of higher ranked edges leads from its end back to its start. Such a path stays in the edge's strongly connected part. So only
+    edges inside parts are looked at, and the lowest rank on the best path between any two nodes of a part is worked out once, by joins that double the
+    paths; the work is quadratic in the nodes of a part, not of the graph, and an acyclic graph costs its peeling. Self loops go. Rows
     with one source and target have the lowest rank among them and fare alike.
     """
     e = stored(edges, "edges")
+    part = stored(P.strong_parts(e), "parts")
+    if part.isEmpty():
+        return e
     pairs = e.groupBy("src", "dst").agg(F.min(F.struct("confidence", "src", "dst")).alias("rank"))
-    best = stored(pairs.where("src <> dst"), "best-paths")
+    inside = pairs.join(part.select(F.col("node").alias("src"), F.col("part").alias("p")), "src").join(part.select(F.col("node").alias("dst"), F.col("part").alias("q")), "dst")
+    inside = stored(inside.where("p = q").select("src", "dst", "rank"), "inner-edges")
+    best = stored(inside.where("src <> dst"), "best-paths")
     for _ in range(max_rounds):
         hop = best.alias("a").join(best.alias("b"), F.expr("a.dst = b.src")).select("a.src", "b.dst", F.least("a.rank", "b.rank").alias("rank"))
         grown = stored(best.unionByName(hop).groupBy("src", "dst").agg(F.max("rank").alias("rank")), "best-paths")
@@ -129,7 +123,7 @@ def break_cycles(edges: DataFrame, *, max_rounds: int = 64) -> DataFrame:
     else:
         raise RuntimeError("paths did not settle")
     back = best.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("rank").alias("back"))
-    gone = pairs.join(back, ["src", "dst"], "left").where("src = dst or back > rank").select("src", "dst")
+    gone = inside.join(back, ["src", "dst"], "left").where("src = dst or back > rank").select("src", "dst")
     return e.join(gone, ["src", "dst"], "left_anti").select(edges.columns)
 
 

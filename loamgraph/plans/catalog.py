@@ -15,6 +15,7 @@ from loamgraph.operators import build as B
 from loamgraph.operators import graph as G
 from loamgraph.operators import lines as L
 from loamgraph.operators import nodes as N
+from loamgraph.operators import peeling as R
 from loamgraph.operators import schedule as K
 from loamgraph.operators import segments as C
 from loamgraph.operators import similarity as S
@@ -476,8 +477,10 @@ def graph_parents(spark, sf):
     return G.adjacency(_graph(spark, sf)[1]).withColumn("parents", F.array_join("parents", ","))
 
 
-_CYCLES = """WITH RECURSIVE st AS (SELECT c_nationkey AS src, floor(o_totalprice)::BIGINT % 25 AS dst, o_totalprice AS p, lead(c_nationkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS x FROM orders JOIN customer ON o_custkey = c_custkey),
-e AS (SELECT src, dst, max(p) AS confidence FROM st WHERE src <> dst GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY confidence, src, dst) AS rank FROM e),
+_CYCLES = f"""WITH RECURSIVE {_GRAPH},
+e AS (SELECT src, dst, p.o_totalprice AS confidence FROM edges JOIN orders p ON p.o_orderkey = src
+  UNION ALL SELECT dst, src, p.o_totalprice / 2 FROM edges JOIN orders p ON p.o_orderkey = src WHERE p.o_orderpriority IN ('1-URGENT', '2-HIGH')),
+r AS (SELECT *, row_number() OVER (ORDER BY confidence, src, dst) AS rank FROM e),
 best(src, dst, rank) USING KEY (src, dst) AS (
   SELECT src, dst, rank FROM r
   UNION
@@ -485,22 +488,35 @@ best(src, dst, rank) USING KEY (src, dst) AS (
 
 
 def _cyclic(spark, sf) -> DataFrame:
-    edges = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.expr("o_custkey = c_custkey"))
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    steps = edges.select(F.col("c_nationkey").alias("src"), F.lead("c_nationkey").over(w).alias("x"), (F.floor("o_totalprice") % 25).cast("int").alias("dst"), F.col("o_totalprice").alias("p"))
-    return steps.where("src <> dst").groupBy("src", "dst").agg(F.max("p").alias("confidence"))
+    """The orders of customers in their order, and some of the edges back: as many nodes as orders, and a cyclic part for most customers."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_totalprice").alias("p"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").alias("back"))
+    edges = _graph(spark, sf)[1].join(orders, "src")
+    return edges.select("src", "dst", F.col("p").alias("confidence")).unionByName(edges.where("back").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("p") / 2).alias("confidence")))
 
 
 @query(_CYCLES + """
-SELECT r.src, r.dst::INTEGER AS dst, r.confidence FROM r LEFT JOIN best b ON b.src = r.dst AND b.dst = r.src WHERE b.rank IS NULL OR b.rank <= r.rank""")
+SELECT r.src, r.dst, r.confidence FROM r LEFT JOIN best b ON b.src = r.dst AND b.dst = r.src WHERE b.rank IS NULL OR b.rank <= r.rank""")
 def graph_cycle_break(spark, sf):
     return G.break_cycles(_cyclic(spark, sf))
 
 
+@query(f"""{_CYCLES}
+SELECT a.src AS node, min(least(a.src, a.dst)) AS part FROM best a JOIN best b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src""")
+def strong_parts(spark, sf):
+    return R.strong_parts(_cyclic(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {_REACH}, ask AS (SELECT o_orderkey AS src, o_orderkey + 32 * k AS dst FROM orders, range(-40, 41) x(k) WHERE o_orderpriority = '3-MEDIUM' AND k <> 0)
+SELECT src, dst FROM ask JOIN reach USING (src, dst)""")
+def reachable_pairs(spark, sf):
+    asked = table(spark, sf, "orders").where("o_orderpriority = '3-MEDIUM'").select(F.col("o_orderkey").alias("src"), F.explode(F.array(*[F.lit(32 * k) for k in range(-40, 41) if k])).alias("k"))
+    return R.reachable(asked.select("src", (F.col("src") + F.col("k")).alias("dst")), _graph(spark, sf)[1])
+
+
 @query(_CYCLES + """,
 kept AS (SELECT r.src, r.dst FROM r LEFT JOIN best b ON b.src = r.dst AND b.dst = r.src WHERE b.rank IS NULL OR b.rank <= r.rank),
 reach(src, dst) AS (SELECT src, dst FROM kept UNION SELECT x.src, k.dst FROM reach x JOIN kept k ON x.dst = k.src)
-SELECT r.src, r.dst::INTEGER AS dst, CASE WHEN k.src IS NULL THEN 'cycle' WHEN EXISTS (SELECT 1 FROM kept a JOIN reach x ON a.dst = x.src WHERE a.src = r.src AND x.dst = r.dst) THEN 'implied' ELSE 'kept' END AS verdict FROM r LEFT JOIN kept k ON k.src = r.src AND k.dst = r.dst""")
+SELECT r.src, r.dst, CASE WHEN k.src IS NULL THEN 'cycle' WHEN EXISTS (SELECT 1 FROM kept a JOIN reach x ON a.dst = x.src WHERE a.src = r.src AND x.dst = r.dst) THEN 'implied' ELSE 'kept' END AS verdict FROM r LEFT JOIN kept k ON k.src = r.src AND k.dst = r.dst""")
 def judged_edges(spark, sf):
     return B.judged_edges(_cyclic(spark, sf))
 
