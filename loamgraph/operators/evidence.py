@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.functions import text as T
+from loamgraph.operators import similarity as S
 
 
 def source_evidence(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -15,10 +16,13 @@ def source_evidence(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def deduped_hits(required: DataFrame, semantic: DataFrame) -> DataFrame:
-    """``(node, ord, unit, text)`` of both -> hits with ``place``: the required ones before the others, each unit (each text where there is none) at its first place only."""
+    """``(node, ord, chunk_id, unit, text)`` of both -> hits with ``place``: the required ones before the others, each chunk at its first place only.
+
+    Hits without a chunk are told apart by their units, those without one by their texts; hits with none of these go.
+    """
     rows = required.withColumn("group", F.lit(0)).unionByName(semantic.withColumn("group", F.lit(1)))
-    key = F.coalesce(F.nullif(F.col("unit").cast("string"), F.lit("")), F.nullif(F.col("text"), F.lit("")))
-    rows = rows.withColumn("key", key).where("key is not null").groupBy("node", "key").agg(F.min(F.struct("group", "ord", "unit", "text")).alias("h")).select("node", "h.*")
+    key = F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("chunk_id", "unit", "text")])
+    rows = rows.withColumn("key", key).where("key is not null").groupBy("node", "key").agg(F.min(F.struct("group", "ord", "chunk_id", "unit", "text")).alias("h")).select("node", "h.*")
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("group", "ord"))).drop("group", "ord")
 
 
@@ -76,13 +80,20 @@ def formatted_draft(preamble: Column, body: Column, trace: Column) -> Column:
     return F.concat(preamble, F.lit("\n\n"), T.strip(own), F.lit("\n"), F.when(F.coalesce(trace, F.lit("")) != "", F.concat(F.lit("\n"), trace, F.lit("\n"))).otherwise(""))
 
 
-def retrieved(hits: DataFrame, *, group: str, total: int = 96_000, each: int = 24_000) -> DataFrame:
-    """``hits(group, place, path, filename, doc_id, content_kind, text)`` -> hits with ``source`` (the first of path, file name, document and 'unknown'), within the budget of characters."""
+def retrieved(hits: DataFrame, *, group: str, total: int = 96_000, each: int = 24_000, marker: str = "\n\n[... hit %d cut to fit ...]\n\n") -> DataFrame:
+    """``hits(group, place, path, filename, doc_id, content_kind, text)`` -> hits with ``hit`` (from 1), ``source``, the ``text`` as it fits the budget of characters, and its length ``taken``.
+
+    ``source`` is the first of path, file name, document and 'unknown'. Hits are taken by place; a text is cut to ``each`` characters, and to what is left of
+    ``total``, by leaving out its middle (``bounded_text``; ``marker`` with the number of the hit stands there). Hits for which nothing is left go. A null text is empty.
+    """
     some = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
     rows = hits.withColumn("source", F.coalesce(some("path"), some("filename"), some("doc_id"), F.lit("unknown"))).withColumn("content_kind", F.coalesce(some("content_kind"), F.lit("unknown")))
-    before = Window.partitionBy(group).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("used", F.coalesce(F.sum(F.least(F.length("text"), F.lit(each))).over(before), F.lit(0))).where(F.col("used") < total)
-    return rows.withColumn("taken", F.least(F.length("text"), F.lit(each), F.lit(total) - F.col("used")).cast("int")).drop("used")
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
+    by_place = Window.partitionBy(group).orderBy("place")
+    used = F.coalesce(F.sum(F.least(F.length("text"), F.lit(each))).over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("used", used).withColumn("hit", F.row_number().over(by_place)).where(F.col("used") < total)
+    most = F.least(F.lit(each), F.lit(total) - F.col("used")).cast("int")
+    return rows.withColumn("text", S.bounded_text(F.col("text"), most, marker=F.format_string(marker, F.col("hit")))).withColumn("taken", F.length("text")).drop("used")
 
 
 def node_context(targets: DataFrame, nodes: DataFrame, edges: DataFrame, ancestors: DataFrame, descendants: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loamgraph.sources.stages import stored
 
 #: Steps along edges that one job takes: the first job's, and the most.
-FIRST_STEPS, MOST_STEPS = 4, 8
+FIRST_STEPS, MOST_STEPS = 4, 16
 
 
 @dataclass(frozen=True)
@@ -26,19 +26,28 @@ def _highest(rows: DataFrame, labels: list[str]) -> DataFrame:
     return rows.groupBy("node").agg(*[F.max(c).alias(c) for c in ("base", *labels)])
 
 
-def _walk(e: DataFrame, base: DataFrame, labels: list[str], steps: int) -> DataFrame:
-    """``(node, base, labels, alive)`` after so many steps: the best that walks bring to a node, and whether a walk of that many edges ends there.
+def _walk(e: DataFrame, labels: list[str], steps: int) -> DataFrame:
+    """``(node, base, labels, alive)`` of all nodes with an edge in, after so many steps: the best that walks bring to a node, and whether a walk of that many edges ends there.
 
-    A step uses the one before once, so the plan is a line of joins and sums; what is read in each of them is exchanged once.
+    Edges carry what both ends have by themselves (``s_base``, ``d_base``, ...), so a step is one join and one sum, and uses the one before once: the plan is a
+    line, and the edges, which are read in each step, are exchanged once.
     """
-    own = base.select(F.col("node"), "base", *labels, F.lit(False).alias("alive"))
-    at = base.select("node", "base", *labels, F.lit(True).alias("alive"))
+    at = None
     for _ in range(steps):
-        moved = e.join(at.hint("shuffle_hash"), F.col("src") == F.col("node")).select(F.col("dst").alias("node"), (F.col("base") + F.col("w")).alias("base"), *labels, "alive")
-        at = moved.unionByName(own).groupBy("node").agg(*[F.max(c).alias(c) for c in ("base", *labels, "alive")])
+        rows = e if at is None else e.join(at.hint("shuffle_hash"), F.col("src") == F.col("node"), "left")
+        come = lambda c: F.col(f"s_{c}") if at is None else F.coalesce(c, f"s_{c}")
+        best = [F.max(F.greatest(come(c) + F.col("w") if c == "base" else come(c), F.col(f"d_{c}"))).alias(c) for c in ("base", *labels)]
+        alive = F.lit(True) if at is None else F.coalesce("alive", F.lit(False))
+        at = rows.groupBy(F.col("dst").alias("node")).agg(*best, F.max(alive).alias("alive"))
     return at
 
 
+def _with_ends(e: DataFrame, base: DataFrame, labels: list[str]) -> DataFrame:
+    """The edges ``(src, dst, w)`` whose ends both have a base, with the bases and labels of the ends."""
+    end = lambda way, to: base.select(F.col("node").alias(way), *[F.col(c).alias(f"{to}_{c}") for c in ("base", *labels)])
+    return e.join(end("src", "s"), "src").join(end("dst", "d"), "dst")
+
+
 def _contracted(e: DataFrame, base: DataFrame, labels: list[str]) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """Edges and bases without the nodes that have one edge in, and those nodes as ``(node, at, w, base, labels)``; None if there is no chain of them.
 
@@ -85,17 +94,20 @@ def peel(edges: DataFrame, *, labels: int = 0) -> Peeled:
     base = stored(nodes.select("node", F.lit(0).cast("long").alias("base"), *[F.xxhash64("node", F.lit(k)).alias(c) for k, c in enumerate(names)]), "bases")
     e, done, pending, steps = whole.withColumn("w", F.lit(1).cast("long")), [], [], FIRST_STEPS
     while True:
-        at = stored(_walk(e, base, names, steps), "walked")
-        n = at.agg(F.count_if("alive").alias("alive"), F.count_if(~F.col("alive")).alias("settled")).first()
-        settled, alive = at.where("not alive").drop("alive"), at.where("alive").select("node")
+        e = stored(_with_ends(e, base, names), "edges")
+        at = stored(_walk(e, names, steps), "walked")
+        settled = at.where("not alive").drop("alive").unionByName(base.join(at.select("node"), "node", "left_anti"))
+        settled, alive = stored(settled, "settled"), at.where("alive").select("node")
+        n = {"alive": alive.count(), "settled": settled.count()}
         done.append(settled)
         if not n["alive"] or not n["settled"]:
             break
         steps = min(MOST_STEPS, 2 * steps)
+        e = e.select("src", "dst", "w")
         brought = e.join(settled, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), (F.col("base") + F.col("w")).alias("base"), *names)
         base = stored(_highest(base.unionByName(brought).join(alive, "node", "left_semi"), names), "bases")
-        e = stored(e.join(alive.withColumnRenamed("node", "src"), "src", "left_semi").join(alive.withColumnRenamed("node", "dst"), "dst", "left_semi"), "edges")
-        if n["settled"] < n["alive"] and (found := _contracted(e, base, names)):
+        live = e.join(base.select(F.col("node").alias("src")), "src", "left_semi").join(base.select(F.col("node").alias("dst")), "dst", "left_semi")
+        if n["settled"] < n["alive"] and (found := _contracted(stored(live, "edges"), base, names)):
             e, base, held = found
             pending.append(held)
     out = done[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions import vectors as V
 from loamgraph.operators.components import connected_components
-from loamgraph.operators.ordering import numbered_within
+from loamgraph.operators.ordering import numbered, numbered_within
 from loamgraph.sources.stages import stored
 
 
@@ -38,12 +40,18 @@ def topk(df: DataFrame, query: list[float], k: int, *, key: str = "vec_id", vect
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one length as rows, from the flat buffer."""
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1 if len(column) else 0)
+
+
 def _block_top(threshold: float, k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
             return empty
-        a, b = (np.array(t["v"].to_pylist(), np.float64) for t in (left, right))
+        a, b = (_matrix(t["v"]) for t in (left, right))
         ids, others = left["id"].to_numpy(), right["id"].to_numpy()
         scores = a @ b.T
         scores[ids[:, None] == others[None, :]] = -np.inf
@@ -58,24 +66,118 @@ def _block_top(threshold: float, k: int):
     return run
 
 
+#: Angles are compared with this much to spare, for rounding.
+SPARE = 1e-6
+
+
+@dataclass(frozen=True)
+class Pivots:
+    """``members(id, v, b)``: unit vectors and the pivot nearest to each; ``visitors(id, v, b)``: each vector at all pivots where it may have a partner."""
+
+    members: DataFrame
+    visitors: DataFrame
+
+
+def pivots(vectors: DataFrame, *, threshold: float, most: int = 512) -> Pivots | None:
+    """An index on the unit sphere: ``vectors(id long, v array<double>)`` around about as many pivots as the root of their number (``most`` at most); None without vectors.
+
+    A vector belongs to its nearest pivot, and a pivot reaches as far as its farthest member. Whoever is within the threshold's angle of a member is no farther from
+    the pivot than that reach and the angle: by the triangle inequality on angles, other vectors need not meet that pivot's members. Pivots are
+    vectors taken by a hash of their ids; they and their reaches are what is broadcast, bounded by ``most``. Rows with a zero or missing vector are left out.
+    """
+    rows = stored(vectors.select("id", V.doubles(F.col("v")).alias("v")).where(V.norm(F.col("v")) > 0).select("id", V.normalized(F.col("v")).alias("v")), "unit-vectors")
+    n = rows.count()
+    if not n:
+        return None
+    p = min(most, max(1, round(n**0.5)))
+    centres = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(p).select("v").collect()])
+
+    def nearest(batches):
+        for b in batches:
+            near = _matrix(b.column(1)) @ centres.T
+            at = near.argmax(axis=1)
+            angle = np.arccos(np.clip(near[np.arange(len(at)), at], -1, 1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32)), pa.array(angle)], ["id", "v", "b", "angle"])
+
+    members = stored(rows.mapInArrow(nearest, "id long, v array<double>, b int, angle double"), "members")
+    reach = np.full(p, -np.inf)
+    for r in members.groupBy("b").agg(F.max("angle").alias("far")).collect():
+        reach[r["b"]] = r["far"] + np.arccos(np.clip(threshold, -1, 1)) + SPARE
+
+    def visit(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                row, at = np.nonzero(np.arccos(np.clip(_matrix(part.column(1)) @ centres.T, -1, 1)) <= reach)
+                yield pa.RecordBatch.from_arrays([*part.take(pa.array(row)).columns, pa.array(at.astype(np.int32))], ["id", "v", "b"])
+
+    return Pivots(members.drop("angle"), rows.mapInArrow(visit, "id long, v array<double>, b int"))
+
+
+def comparisons(index: Pivots) -> DataFrame:
+    """One row for each pivot: ``(b, members, visitors)``; their products are the pairs that a join compares."""
+    left = index.members.groupBy("b").agg(F.count("*").alias("members"))
+    return left.join(index.visitors.groupBy("b").agg(F.count("*").alias("visitors")), "b")
+
+
 def similarity_join(vectors: DataFrame, *, threshold: float = 0.8, top_k: int = 5, block_rows: int = 4096) -> DataFrame:
     """``vectors(id long, v array<double>)`` -> ``(id, other, score)``: for each id its ``top_k`` others at ``threshold`` or more.
 
-    Rows are dealt into blocks, and each pair of blocks is one matrix product: exact, with two blocks in memory at
-    a time, and with at most ``top_k`` candidates of a row leaving it. The best of all blocks are ranked at the end
-    (score descending, then the other id). Rows with a zero or missing vector match nothing.
+    Exact: members of a pivot meet all vectors that may be near one of them (``pivots``), and others not. Both sides of a pivot are dealt into blocks by
+    their numbers, and each pair of blocks is one matrix product, with two blocks in memory at
+    a time and with at most ``top_k`` candidates of a row leaving it. The best of all blocks are ranked at the end
+    (score descending, then the other id). Rows with a zero or missing vector match nothing; no rows give no rows.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block_rows))
-    rows = vectors.select("id", V.normalized(V.doubles(F.col("v"))).alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b")).where(V.norm(F.col("v")) > 0)
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = rows.select("id", "v", F.col("b").alias("bl"), F.explode(every).alias("br"))
-    right = rows.select("id", "v", F.explode(every).alias("bl"), F.col("b").alias("br"))
-    found = left.groupBy("bl", "br").cogroup(right.groupBy("bl", "br")).applyInArrow(_block_top(threshold, top_k), "id long, other long, score double")
+    index = pivots(vectors, threshold=threshold)
+    if index is None:
+        return vectors.sparkSession.createDataFrame([], "id long, other long, score double, rank int")
+    sizes = comparisons(index).select("b", F.ceil(F.col("members") / block_rows).alias("m"), F.ceil(F.col("visitors") / block_rows).alias("n"))
+    sizes = stored(sizes, "pivot-sizes")  # a row for each pivot
+    own = F.pmod(F.xxhash64("id"), F.col("m")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j")
+    left = index.members.join(sizes, "b").select("id", "v", "b", *own)
+    right = index.visitors.join(sizes, "b").select("id", "v", "b", F.pmod(F.xxhash64("id"), F.col("n")).alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("i"))
+    found = left.groupBy("b", "i", "j").cogroup(right.groupBy("b", "i", "j")).applyInArrow(_block_top(threshold, top_k), "id long, other long, score double")
     rank = Window.partitionBy("id").orderBy(F.desc("score"), "other")
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top_k)
 
 
+def search(questions: DataFrame, index: DataFrame, *, k: int = 5, block: int = 1024) -> DataFrame:
+    """``questions(question long, v)``, ``index(id long, v)`` -> ``(question, id, score, rank)``: the ``k`` nearest rows of the index for each question, by cosine, ties by id.
+
+    Questions go in blocks of ``block`` over the index, which is read once for each block. A task keeps the best ``k`` of each question of its block as it reads,
+    so what it hands on doesn't grow with the index, and the best of all tasks are ranked at the end. Filters are put on the index before. Zero or missing vectors
+    find nothing and are never found. No questions or an empty index give no rows.
+    """
+    unit = lambda df, key: df.select(F.col(key).cast("long").alias(key), V.doubles(F.col("v")).alias("v")).where(V.norm(F.col("v")) > 0).select(key, V.normalized(F.col("v")).alias("v"))
+    asked = stored(numbered(unit(questions, "question"), "question").withColumn("block", F.expr(f"(rank - 1) div {block}")), "questions")
+    rows, schema = unit(index, "id"), "question long, id long, score double"
+    found = index.sparkSession.createDataFrame([], schema)
+    for (at,) in asked.select("block").distinct().orderBy("block").collect():
+        own = asked.where(F.col("block") == at).select("question", "v").toArrow()  # ``block`` rows at most
+        found = found.unionByName(rows.mapInArrow(_nearest(own["question"].to_numpy(), _matrix(own["v"]), k), schema))
+    best = Window.partitionBy("question").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _nearest(names: np.ndarray, asked: np.ndarray, k: int):
+    """Rows (id, v) -> the k best of each question among those of this task."""
+
+    def run(batches):
+        ids, scores = np.full((len(names), 0), 0, np.int64), np.zeros((len(names), 0))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = b.column(0).to_numpy()
+            ids = np.concatenate([ids, np.broadcast_to(own, (len(names), len(own)))], axis=1)
+            scores = np.concatenate([scores, asked @ _matrix(b.column(1)).T], axis=1)
+            best = np.lexsort((ids, -scores), axis=1)[:, :k]
+            ids, scores = np.take_along_axis(ids, best, 1), np.take_along_axis(scores, best, 1)
+        q = np.repeat(names, ids.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids.ravel()), pa.array(scores.ravel())], ["question", "id", "score"])
+
+    return run
+
+
 def shared_key_pairs(units: DataFrame) -> DataFrame:
     """``units(id, ord, key)`` -> ``(a, b, key)``: units with an equal key; each links to the first of its key, so pairs don't multiply."""
     first = units.where("key <> ''").groupBy("key").agg(F.min_by("id", F.struct("ord", "id")).alias("a"))
@@ -156,9 +258,11 @@ def within_budget(hits: DataFrame, *, group: str, order: list[Column | str], tex
     return rows.where(F.col("used") < total).withColumn("taken", F.least(own, F.lit(total) - F.col("used")))
 
 
-def bounded_text(text: Column, most: int | Column, *, marker: str = "\n…\n") -> Column:
-    """The first three quarters and the last quarter of what fits, around a marker; a text that fits stays."""
+def bounded_text(text: Column, most: int | Column, *, marker: str | Column = "\n…\n") -> Column:
+    """The first three quarters and the last quarter of what fits around a marker; a text that fits stays, and where the marker doesn't fit, the text's start is left."""
     most = F.lit(most) if isinstance(most, int) else most
-    room = most - len(marker)
-    head = F.floor(room * 0.75).cast("int")
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, F.lit(1), head), F.lit(marker), F.right(text, room - head)))
+    marker = F.lit(marker) if isinstance(marker, str) else marker
+    room = most - F.length(marker)
+    head = F.floor(room * 3 / 4).cast("int")
+    cut = F.when(room <= 0, F.substring(text, F.lit(1), most)).otherwise(F.concat(F.substring(text, F.lit(1), head), marker, F.right(text, room - head)))
+    return F.when(F.length(text) <= most, text).otherwise(cut)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loamgraph.functions import ids as I
 from loamgraph.functions import text as T
 from loamgraph.operators import build as B
+from loamgraph.operators import evidence as E
 from loamgraph.operators import graph as G
 from loamgraph.operators import lines as L
 from loamgraph.operators import nodes as N
@@ -52,6 +53,26 @@ def similar_units_filtered(spark, sf):
     return S.topk(rows, _query_vector(spark, sf), 10).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
+@query("""WITH s AS (SELECT a.vec_id AS question, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON b.label <> 3 WHERE a.vec_id % 5 = 0)
+SELECT question, id, round(score, 6) AS score, row_number() OVER (PARTITION BY question ORDER BY score DESC, id)::INTEGER AS rank FROM s QUALIFY rank <= 4""")
+def similar_units_by_question(spark, sf):
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    asked = vectors.where("id % 5 = 0").select(F.col("id").alias("question"), "v")
+    return S.search(asked, vectors.where("label <> 3"), k=4, block=64).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER AS hit FROM conversations),
+u AS (SELECT *, coalesce(sum(least(length(text), 300)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM t),
+m AS (SELECT *, least(300, 700 - used)::INTEGER AS most, '[hit ' || hit || ' cut]' AS marker FROM u WHERE used < 700),
+r AS (SELECT *, most - length(marker) AS room FROM m)
+SELECT conv_id, turn, hit, CASE WHEN conv_id % 3 = 0 THEN 'p' || turn ELSE conv_id::VARCHAR END AS source, CASE WHEN length(text) <= most THEN text WHEN room <= 0 THEN text[:most]
+  ELSE text[:(room * 3) // 4] || marker || right(text, (room - (room * 3) // 4)::INTEGER) END AS text FROM r""")
+def retrieved_texts(spark, sf):
+    turn = F.col("turn").cast("string")
+    hits = table(spark, sf, "conversations").select("conv_id", "turn", F.col("turn").alias("place"), F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("p"), turn)).alias("path"), F.lit("").alias("filename"), F.col("conv_id").alias("doc_id"), F.lit(None).cast("string").alias("content_kind"), "text")
+    return E.retrieved(hits, group="conv_id", total=700, each=300, marker="[hit %d cut]").select("conv_id", "turn", "hit", "source", "text")
+
+
 _EDGES = """edges AS (
   SELECT a.vec_id AS id, b.vec_id AS other, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id

@@ -34,23 +34,24 @@ def source_evidence(spark, sf):
     return E.source_evidence(wanted, chunks).withColumn("chunk_id", F.col("chunk_id").cast("string"))
 
 
-_HITS = f"""{_LINE}, req AS (SELECT l_orderkey AS node, pos AS ord, l_partkey % 50 AS unit, 'r' || pos AS text FROM line WHERE l_returnflag = 'A'),
-sem AS (SELECT l_orderkey AS node, pos AS ord, CASE WHEN l_suppkey % 4 > 0 THEN l_partkey % 50 END AS unit, CASE WHEN l_suppkey % 4 = 0 THEN 's' || l_partkey % 5 ELSE 's' || pos END AS text FROM line WHERE l_returnflag <> 'A'),
+_HITS = f"""{_LINE}, req AS (SELECT l_orderkey AS node, pos AS ord, CASE WHEN l_suppkey % 3 = 0 THEN 'c' || l_partkey % 50 || '-' || l_linenumber % 2 END AS chunk_id, l_partkey % 50 AS unit, 'r' || pos AS text FROM line WHERE l_returnflag = 'A'),
+sem AS (SELECT l_orderkey AS node, pos AS ord, CASE WHEN l_suppkey % 3 = 0 THEN 'c' || l_partkey % 50 || '-' || l_linenumber % 2 END AS chunk_id, CASE WHEN l_suppkey % 4 > 0 THEN l_partkey % 50 END AS unit, CASE WHEN l_suppkey % 4 = 0 THEN 's' || l_partkey % 5 ELSE 's' || pos END AS text FROM line WHERE l_returnflag <> 'A'),
 every AS (SELECT 0 AS g, * FROM req UNION ALL SELECT 1, * FROM sem),
-hit AS (SELECT node, g, ord, unit, text FROM every QUALIFY row_number() OVER (PARTITION BY node, coalesce(unit::VARCHAR, text) ORDER BY g, ord) = 1)"""
+hit AS (SELECT node, g, ord, chunk_id, unit, text FROM every QUALIFY row_number() OVER (PARTITION BY node, coalesce(chunk_id, unit::VARCHAR, text) ORDER BY g, ord) = 1)"""
 
 
 def _hits(spark, sf) -> tuple[DataFrame, DataFrame]:
     line = _line(spark, sf)
     pos, unit = F.col("pos").cast("string"), (F.col("l_partkey") % 50).cast("int")
-    node = F.col("l_orderkey").alias("node"), F.col("pos").alias("ord")
+    chunk = F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("c"), unit.cast("string"), F.lit("-"), (F.col("l_linenumber") % 2).cast("string")))
+    node = F.col("l_orderkey").alias("node"), F.col("pos").alias("ord"), chunk.alias("chunk_id")
     required = line.where("l_returnflag = 'A'").select(*node, unit.alias("unit"), F.concat(F.lit("r"), pos).alias("text"))
     none = F.col("l_suppkey") % 4 == 0
     semantic = line.where("l_returnflag <> 'A'").select(*node, F.when(~none, unit).alias("unit"), F.concat(F.lit("s"), F.when(none, (F.col("l_partkey") % 5).cast("string")).otherwise(pos)).alias("text"))
     return required, semantic
 
 
-@query(f"WITH {_HITS} SELECT node, unit::INTEGER AS unit, text, row_number() OVER (PARTITION BY node ORDER BY g, ord)::INTEGER AS place FROM hit")
+@query(f"WITH {_HITS} SELECT node, chunk_id, unit::INTEGER AS unit, text, row_number() OVER (PARTITION BY node ORDER BY g, ord)::INTEGER AS place FROM hit")
 def evidence_hits(spark, sf):
     return E.deduped_hits(*_hits(spark, sf))
 
@@ -318,12 +319,13 @@ def committed_rows(spark, sf):
 # State
 
 
-@query("""WITH l AS (SELECT user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, CASE event_type WHEN 'purchase' THEN '  Run FAILED at ' || event_id WHEN 'signup' THEN 'python is likely shutting down: error: x' ELSE 'all well' END AS line FROM events),
+@query("""WITH l AS (SELECT user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, CASE event_type WHEN 'purchase' THEN '  Run FAILED at ' || event_id WHEN 'signup' THEN 'python is likely shutting down: error: x' WHEN 'click' THEN 'error: sys.meta_path is None' || CASE WHEN event_id % 2 = 0 THEN ' in QdrantClient' ELSE '' END ELSE 'all well' END AS line FROM events),
 t AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY file ORDER BY pos DESC) <= 8)
-SELECT file, pos AS "at", trim(line) AS line FROM t WHERE contains(line, 'FAILED') ORDER BY file DESC, pos DESC LIMIT 5""")
+SELECT file, pos AS "at", trim(line) AS line FROM t WHERE contains(line, 'FAILED') OR line LIKE '%None' ORDER BY file DESC, pos DESC LIMIT 5""")
 def log_errors(spark, sf):
     kind, n = F.col("event_type"), F.col("event_id").cast("string")
-    line = F.when(kind == "purchase", F.concat(F.lit("  Run FAILED at "), n)).when(kind == "signup", "python is likely shutting down: error: x").otherwise("all well")
+    line = F.when(kind == "purchase", F.concat(F.lit("  Run FAILED at "), n)).when(kind == "signup", "python is likely shutting down: error: x")
+    line = line.when(kind == "click", F.concat(F.lit("error: sys.meta_path is None"), F.when(F.col("event_id") % 2 == 0, " in QdrantClient").otherwise(""))).otherwise("all well")
     rows = table(spark, sf, "events").select(F.col("user_id").alias("file"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("at"), line.alias("line"))
     return A.log_errors(rows, tail=8, last=5).select("file", F.col("at").cast("long").alias("at"), "line")
 

@@ -11,7 +11,9 @@ from loamgraph.sources.manifest import collection_of, upsert
 FAILED = ["failed", "blocked", "error"]
 #: What marks a line of a log as an error, and what is only noise of a shutdown.
 ERROR_SIGNS = ["traceback", "runtimeerror", "valueerror", "exception", "failed", " error", "error:", "blocked"]
-SHUTDOWN_SIGNS = ["python is likely shutting down", "nameerror: name 'open' is not defined", "sys.meta_path is none"]
+SHUTDOWN_SIGNS = ["python is likely shutting down", "nameerror: name 'open' is not defined", "qdrantclient.__del__"]
+#: Words that mark such noise only together.
+SHUTDOWN_TOGETHER = ["qdrantclient", "sys.meta_path is none"]
 
 
 def append_events(events: DataFrame, path: str) -> None:
@@ -35,6 +37,7 @@ def log_errors(lines: DataFrame, *, tail: int = 80, last: int = 5) -> DataFrame:
     said = F.lower("line")
     sign = lambda words: F.greatest(*[said.contains(w) for w in words])
     rows = lines.withColumn("k", F.row_number().over(end)).where(F.col("k") <= tail).where(F.trim("line") != "").where(sign(ERROR_SIGNS) & ~sign(SHUTDOWN_SIGNS))
+    rows = rows.where(~F.least(*[said.contains(w) for w in SHUTDOWN_TOGETHER]))
     return rows.orderBy(F.desc("file"), F.desc("at")).limit(last).select("file", "at", F.trim("line").alias("line"))
 
 

@@ -383,3 +383,55 @@ def test_exam_sections(spark):
     got = one(spark, text, T.exam_sections)
     assert got["covered_node_ids"] == ["n1", "n2"] and got["blind_exam"] == "## sub\nq" and got["writer_instructions"] == "scope: x" and got["problem"] is None
     assert one(spark, text.replace("\nk\n", "\n"), T.exam_sections)["problem"] == "Answer_Key" and one(spark, text.replace("n1, n2", "none"), T.exam_sections)["problem"] == "Covered_Node_IDs"
+
+
+def test_concepts_are_told_apart_by_nfkc_keys(spark):
+    df = spark.createDataFrame([(1, [" ＡＢ ", "AB", "a b", "光程-差", "光程差", "", "-", None, "x"]), (2, []), (3, None), (4, ["ﬁ", "fi"])], "id int, d array<string>")
+    got = {r["id"]: r["c"] for r in df.select("id", T.concepts(F.col("d")).alias("c")).collect()}
+    assert got == {1: ["ＡＢ", "光程-差", "x"], 2: [], 3: None, 4: ["ﬁ"]}
+
+
+def test_hits_are_told_apart_by_chunks(spark):
+    hits = "node int, ord int, chunk_id string, unit string, text string"
+    required = spark.createDataFrame([(1, 1, "A", "u1", "a")], hits)
+    semantic = spark.createDataFrame([(1, 1, "B", "u1", "b"), (1, 2, "A", "u1", "again"), (1, 3, None, "u2", "c"), (1, 4, "", "u2", "d"), (1, 5, None, None, "t"), (1, 6, None, "", "t"), (1, 7, None, None, None)], hits)
+    assert rows(E.deduped_hits(required, semantic), "place", "chunk_id", "unit", "text") == [(1, "A", "u1", "a"), (2, "B", "u1", "b"), (3, None, "u2", "c"), (4, None, None, "t")]
+
+
+def test_texts_are_cut_to_the_budget(spark):
+    long = "".join(chr(97 + k % 26) for k in range(100))
+    hits = spark.createDataFrame([(1, p, None, None, "d", None, long if p < 4 else None) for p in range(5)], "q int, place int, path string, filename string, doc_id string, content_kind string, text string")
+    got = [tuple(r) for r in E.retrieved(hits, group="q", total=150, each=60, marker="<%d>").orderBy("hit").select("hit", "text", "taken").collect()]
+    assert got == [(1, long[:42] + "<1>" + long[-15:], 60), (2, long[:42] + "<2>" + long[-15:], 60), (3, long[:20] + "<3>" + long[-7:], 30)]
+    tiny = spark.range(1).select(S.bounded_text(F.lit(long), 4, marker="[....]").alias("t")).first()[0]
+    assert tiny == long[:4]
+
+
+def test_pivots_prune_clustered_vectors_and_lose_no_pair(spark):
+    random = Random(8)
+    centres = [[random.gauss(0, 1) for _ in range(12)] for _ in range(12)]
+    vectors = [(i, [c + random.gauss(0, 0.05) for c in centres[i % 12]]) for i in range(360)] + [(1000, [0.0] * 12), (1001, None)]
+    df = spark.createDataFrame(vectors, "id long, v array<double>")
+    index = S.pivots(df, threshold=0.9)
+    met = sum(r["members"] * r["visitors"] for r in S.comparisons(index).collect())
+    assert met < 360 * 360 / 3  # most pairs never meet
+    unit = {i: [x / sum(y * y for y in v) ** 0.5 for x in v] for i, v in vectors[:360]}
+    want = sorted((a, b) for a in unit for b in unit if a != b and sum(x * y for x, y in zip(unit[a], unit[b])) >= 0.9)
+    assert rows(S.similarity_join(df, threshold=0.9, top_k=400, block_rows=50), "id", "other") == want
+    assert S.similarity_join(df.where("id >= 1000")).count() == 0
+
+
+def test_search_of_a_table_of_questions(spark):
+    random = Random(9)
+    vectors = [(i, [random.choice([-1.0, 0.0, 1.0]) for _ in range(3)]) for i in range(90)]
+    df = spark.createDataFrame(vectors, "id long, v array<double>").repartition(5)
+    asked = df.where("id < 7").withColumnRenamed("id", "question")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    live = [(i, v) for i, v in vectors if any(v)]
+    want = sorted((q, i) for q, v in live if q < 7 for i, _ in sorted(live, key=lambda r: (-round(cos(v, r[1]), 12), r[0]))[:4])
+    got = rows(S.search(asked, df, k=4, block=3), "question", "id")
+    assert len(got) == len(want) and [q for q, _ in got] == [q for q, _ in want]
+    scores = {(r["question"], r["rank"]): r["score"] for r in S.search(asked, df, k=4, block=100).collect()}
+    top = {q: sorted((cos(v, u) for _, u in live), reverse=True)[:4] for q, v in live if q < 7}
+    assert all(abs(scores[q, k + 1] - x) < 1e-9 for q, xs in top.items() for k, x in enumerate(xs))
+    assert S.search(asked.limit(0), df).count() == 0 and S.search(asked, df.limit(0)).count() == 0
