@@ -92,13 +92,17 @@ def peel(edges: DataFrame, *, labels: int = 0) -> Peeled:
     whole = stored(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
     nodes = whole.select(F.col("src").alias("node")).union(whole.select("dst")).distinct()
     base = stored(nodes.select("node", F.lit(0).cast("long").alias("base"), *[F.xxhash64("node", F.lit(k)).alias(c) for k, c in enumerate(names)]), "bases")
+    held_nodes = base.count()
     e, done, pending, steps = whole.withColumn("w", F.lit(1).cast("long")), [], [], FIRST_STEPS
     while True:
-        e = stored(_with_ends(e, base, names), "edges")
+        e = _with_ends(e, base, names)
+        if done:  # fewer edges than before
+            e = stored(e, "edges")
         at = stored(_walk(e, names, steps), "walked")
         settled = at.where("not alive").drop("alive").unionByName(base.join(at.select("node"), "node", "left_anti"))
-        settled, alive = stored(settled, "settled"), at.where("alive").select("node")
-        n = {"alive": alive.count(), "settled": settled.count()}
+        alive = at.where("alive").select("node")
+        n = {"alive": alive.count()}
+        n["settled"] = held_nodes - n["alive"]
         done.append(settled)
         if not n["alive"] or not n["settled"]:
             break
@@ -106,9 +110,11 @@ def peel(edges: DataFrame, *, labels: int = 0) -> Peeled:
         e = e.select("src", "dst", "w")
         brought = e.join(settled, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), (F.col("base") + F.col("w")).alias("base"), *names)
         base = stored(_highest(base.unionByName(brought).join(alive, "node", "left_semi"), names), "bases")
+        held_nodes = n["alive"]
         live = e.join(base.select(F.col("node").alias("src")), "src", "left_semi").join(base.select(F.col("node").alias("dst")), "dst", "left_semi")
         if n["settled"] < n["alive"] and (found := _contracted(stored(live, "edges"), base, names)):
             e, base, held = found
+            held_nodes = base.count()
             pending.append(held)
     out = done[0]
     for more in done[1:]:
