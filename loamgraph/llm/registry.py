@@ -24,42 +24,51 @@ from loamgraph.llm.common import table
 
 
 def op1_deletion_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of all documents with their verdicts; nulls, ties and empty tables as in ``line_dedup.document_lines``."""
     return line_dedup.document_lines(table(spark, sf_dir, "documents"))
 
 
 def op2_isolation_forest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the forest's verdict for all documents; nulls, several rows of one id and missing labels as in ``quality_rules.judge``."""
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the spans of all documents; null texts are empty, repeated rows fare alike, as in ``pii.find``."""
     return pii.digests(pii.find(table(spark, sf_dir, "documents")))
 
 
 def op4_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents; null and empty texts have none, as in ``licenses.scan``."""
     docs = table(spark, sf_dir, "documents")
     return licenses.document_licenses(licenses.scan(docs, licenses.train(docs)))
 
 
 def op5_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and benchmark items that they hold; null texts hold none, as in ``decontamination.contaminations``."""
     return decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of all documents; null texts and ids as in ``simhash_dedup.simhash_components``."""
     found = simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture's stream of all documents with no source read more than twice; null ids and sources as in ``mixing.permuted``."""
     rows = mixing.permuted(mixing.mixture(table(spark, sf_dir, "documents"), repetition=2.0))
     return rows.withColumn("weight", F.round("weight", 9)).withColumn("order_key", F.round("order_key", 9))
 
 
 def op8_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of all documents, with one more shard, too; null ids and texts as in ``sharding.shard_documents``."""
     rows = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack")
 
 
 def op9_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says control strings, formatted and read back; null texts are empty, as in ``chat_format.format_paths``."""
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], told.schema)
@@ -68,6 +77,7 @@ def op9_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; null texts score as empty ones, as in ``toxicity.score_documents``."""
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
