@@ -161,6 +161,12 @@ def relatives(nodes: DataFrame, edges: DataFrame, *, down: bool = True) -> DataF
     return found
 
 
+def unread_ancestors(nodes: DataFrame, edges: DataFrame, reading: DataFrame) -> DataFrame:
+    """``nodes(node)``, ``reading(node, reading_status)`` -> ``(node, other)``: what leads to a node and hasn't been read; nodes that ``reading`` doesn't name are unread."""
+    read = reading.where("reading_status = 'read'").select(F.col("node").alias("other")).distinct()
+    return relatives(nodes, edges, down=False).join(read, "other", "left_anti").select("node", "other")
+
+
 def edge_counts(edges: DataFrame) -> DataFrame:
     """``edges(relation)`` -> one row: ``hard`` prerequisite edges, ``soft`` order edges."""
     return edges.agg(F.count_if(F.col("relation") == "prerequisite").alias("hard"), F.count_if(F.col("relation") == "order").alias("soft"))

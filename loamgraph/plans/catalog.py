@@ -587,6 +587,13 @@ def reading_view(spark, sf):
     return K.reading_view(stored(K.node_status(nodes, edges, _state(spark, sf)), "status"), edges, reading)
 
 
+@query(f"""WITH RECURSIVE {_REACH} SELECT r.dst AS node, r.src AS other FROM reach r JOIN orders t ON t.o_orderkey = r.dst AND t.o_orderpriority = '1-URGENT'
+JOIN orders a ON a.o_orderkey = r.src WHERE a.o_orderpriority <> '3-MEDIUM'""")
+def unread_ancestors(spark, sf):
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("node"), F.when(F.col("o_orderpriority") == "3-MEDIUM", "read").otherwise("reading").alias("reading_status"), "o_orderpriority")
+    return G.unread_ancestors(orders.where("o_orderpriority = '1-URGENT'").select("node"), _graph(spark, sf)[1], orders)
+
+
 @query("SELECT n_nationkey AS node, n_name AS title, printf('%03d', row_number() OVER (ORDER BY n_regionkey, n_nationkey)) AS seq, printf('%03d', row_number() OVER (ORDER BY n_regionkey, n_nationkey)) || '. ' || n_name AS label FROM nation")
 def sequence_labels(spark, sf):
     nodes = table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_name").alias("title"), "n_regionkey")
