@@ -684,6 +684,6 @@ def stream_progress_state(spark, sf):
     return P.latest_states(rows)
 
 
-from loamgraph.plans import building, serving  # noqa: E402, F401  these register their queries, too
+from loamgraph.plans import building, runs, serving  # noqa: E402, F401  these register their queries, too
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
