@@ -74,12 +74,6 @@ def draft_preamble(nodes: DataFrame, edges: DataFrame, ledger: DataFrame) -> Dat
     return rows.select("node", T.strip(F.array_join(F.concat(head, own, outside), "\n")).alias("preamble"))
 
 
-def formatted_draft(preamble: Column, body: Column, trace: Column) -> Column:
-    """A draft as it is published: the preamble, the body without its own title and sources, and the trace of sources."""
-    own = T.without_section(T.strip_first_title(T.strip_front_matter(body)), TRACE_HEAD[3:])
-    return F.concat(preamble, F.lit("\n\n"), T.strip(own), F.lit("\n"), F.when(F.coalesce(trace, F.lit("")) != "", F.concat(F.lit("\n"), trace, F.lit("\n"))).otherwise(""))
-
-
 def retrieved(hits: DataFrame, *, group: str, total: int = 96_000, each: int = 24_000, marker: str = "\n\n[... hit %d cut to fit ...]\n\n") -> DataFrame:
     """``hits(group, place, path, filename, doc_id, content_kind, text)`` -> hits with ``hit`` (from 1), ``source``, the ``text`` as it fits the budget of characters, and its length ``taken``.
 

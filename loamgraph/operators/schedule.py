@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamgraph.functions import text as T
+
 #: The states that histograms always show.
 STATUSES = ["complete", "ready", "locked", "running", "failed"]
 READING = ["unread", "reading", "read", "recommended"]
@@ -88,3 +90,17 @@ def repeat_runs(events: DataFrame, *, key: str, order: list[str], value: str) ->
     changed = F.coalesce((F.col(value) != F.lag(value).over(w)).cast("int"), F.lit(1))
     island = events.withColumn("island", F.sum(changed).over(w))
     return island.withColumn("run", F.row_number().over(Window.partitionBy(key, "island").orderBy(*order))).drop("island")
+
+
+def repeated_reports(reports: DataFrame, *, key: str, order: list[str], text: str = "text", history: int = 20) -> DataFrame:
+    """``reports`` with ``repeat_count``, how many reports up to this one each say the same as the one before (``similar_reports``), and ``history``: the last ones, this one included.
+
+    A report is compared with the one just before it only; an empty or null one is like no other. ``order`` must tell a key's reports apart.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    rows = reports.withColumn("__before", F.lag(text).over(w))
+    rows = rows.withColumn("__new", F.when(T.similar_reports(F.col("__before"), F.col(text)), 0).otherwise(1)).drop("__before")
+    rows = rows.withColumn("__stretch", F.sum("__new").over(w))
+    count = F.row_number().over(Window.partitionBy(key, "__stretch").orderBy(*order))
+    last = F.collect_list(F.coalesce(text, F.lit(""))).over(w.rowsBetween(1 - history, 0))
+    return rows.withColumn("repeat_count", count).withColumn("history", last).drop("__new", "__stretch")

@@ -47,3 +47,10 @@ def release(spark: SparkSession) -> None:
     """Deletes all that this application has stored; for when its results are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def finished_parts(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers N of the folders ``path/name=N`` whose writing has ended, ascending; a list of names, not of rows."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}=*/_SUCCESS")
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loamgraph.sources.manifest import ledger_upsert
+from loamgraph.sources.stages import finished_parts
 
 
 def recovery(transactions: DataFrame, files: DataFrame) -> DataFrame:
@@ -21,15 +21,59 @@ def recovery(transactions: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select("node", F.when(F.col("there").isNull() | (F.coalesce("filename", F.lit("")) == ""), "forget").when(changed, "refuse").otherwise("commit").alias("action"))
 
 
+def add_records(records: DataFrame, ledger: str, batch: int) -> None:
+    """Writes ``records(record, node_ids, ...)`` as a delta of the ledger; a batch written again replaces its own files and no others."""
+    records.write.mode("overwrite").parquet(f"{ledger}/delta/batch={batch}")
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    """Records with their ``batch``, without those that speak of a node of a later batch."""
+    last = rows.select("batch", F.explode("node_ids").alias("node")).groupBy("node").agg(F.max("batch").alias("last"))
+    gone = rows.select("batch", "record", F.explode("node_ids").alias("node")).join(last, "node").where("batch < last").select("batch", "record").distinct()
+    return rows.join(gone, ["batch", "record"], "left_anti")
+
+
+def _with_batches(spark: SparkSession, ledger: str, schema: str) -> DataFrame:
+    whole = finished_parts(spark, f"{ledger}/whole", "upto")
+    upto = max(whole, default=-1)
+    reader = spark.read.schema(f"{schema}, batch long")
+    deltas = [f"{ledger}/delta/batch={n}" for n in finished_parts(spark, f"{ledger}/delta", "batch") if n > upto]
+    rows = spark.createDataFrame([], f"{schema}, batch long")
+    if whole:
+        rows = rows.unionByName(reader.parquet(f"{ledger}/whole/upto={upto}"))
+    if deltas:
+        rows = rows.unionByName(reader.option("basePath", f"{ledger}/delta").parquet(*deltas))
+    return rows
+
+
+def read_ledger(spark: SparkSession, ledger: str, schema: str) -> DataFrame:
+    """The ledger as its batches leave it: a record goes when a later batch has one that shares a node with it.
+
+    Reads the last compacted table and the deltas after it, finished ones only. Records of one batch don't replace each other, and one without nodes stays. A ledger
+    that isn't there is empty. ``record`` must not be null, and tells the records of a batch apart.
+    """
+    return _latest(_with_batches(spark, ledger, schema)).drop("batch")
+
+
+def compact_ledger(spark: SparkSession, ledger: str, schema: str) -> int:
+    """Writes the ledger up to its last finished delta as one table, and returns that delta's number (-1: there is nothing to do).
+
+    Readers use the table once it is finished; nothing that they may be reading is changed. Records keep their batches, so a batch that is written
+    again after that has to be compacted again.
+    """
+    upto = max(finished_parts(spark, f"{ledger}/delta", "batch"), default=-1)
+    if upto > max(finished_parts(spark, f"{ledger}/whole", "upto"), default=-1):
+        _latest(_with_batches(spark, ledger, schema).where(F.col("batch") <= upto)).write.mode("overwrite").parquet(f"{ledger}/whole/upto={upto}")
+    return upto
+
+
 def publish_stream(records: DataFrame, ledger: str, checkpoint: str) -> StreamingQuery:
-    """Adds a stream of records ``(record, node_ids, output_path)`` to a ledger of generations; ``ledger/generation=N`` is the ledger after batch N.
+    """Adds a stream of records ``(record, node_ids, output_path)`` to a ledger, each batch as a delta: its cost doesn't depend on the ledger's size.
 
-    A batch written again replaces its own generation, which it makes from the one before, so a batch that failed half-way leaves nothing twice.
+    A batch written again replaces its own delta, so one that failed half-way leaves nothing twice.
     """
-    spark = records.sparkSession
 
     def commit(batch: DataFrame, number: int) -> None:
-        old = spark.read.schema(batch.schema).parquet(f"{ledger}/generation={number - 1}") if number else batch.limit(0)
-        ledger_upsert(old, batch).write.mode("overwrite").parquet(f"{ledger}/generation={number}")
+        add_records(batch, ledger, number)
 
     return records.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -15,6 +15,7 @@ from loamgraph.operators import graph as G
 from loamgraph.operators import lines as L
 from loamgraph.operators import nodes as N
 from loamgraph.operators import schedule as K
+from loamgraph.operators import sections as D
 from loamgraph.operators import segments as C
 from loamgraph.operators import similarity as S
 from loamgraph.operators import evidence as E
@@ -340,7 +341,7 @@ def test_logs_and_histories(spark, tmp_path):
 
 def test_drafts_are_put_together(spark):
     body = "---\nx\n---\n# Old title\n\n## 学习目标\ngoal\n\n## 来源追溯\n\n- old"
-    assert one(spark, body, lambda c: E.formatted_draft(F.lit("# 001. T"), c, F.lit("## 来源追溯\n\n- new"))) == "# 001. T\n\n## 学习目标\ngoal\n\n## 来源追溯\n\n- new\n"
+    assert one(spark, body, lambda c: D.formatted_draft(F.lit("# 001. T"), c, F.lit("## 来源追溯\n\n- new"))) == "# 001. T\n\n## 学习目标\ngoal\n\n## 来源追溯\n\n- new\n"
 
 
 def test_graph_is_built_from_claims_and_requirements(spark):
@@ -366,9 +367,9 @@ def test_records_are_published_once(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
     U.publish_stream(stream, str(tmp_path / "ledger"), str(tmp_path / "marks")).awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "ledger" / "generation=1")), "record") == [("r1",), ("r3",)]
+    assert rows(U.read_ledger(spark, str(tmp_path / "ledger"), schema), "record") == [("r1",), ("r3",)]
     U.publish_stream(stream, str(tmp_path / "ledger"), str(tmp_path / "marks")).awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "ledger" / "generation=1")), "record") == [("r1",), ("r3",)]
+    assert rows(U.read_ledger(spark, str(tmp_path / "ledger"), schema), "record") == [("r1",), ("r3",)]
 
 
 def test_generations_of_state_tables(spark, tmp_path):

@@ -2,8 +2,16 @@
 
 import datetime as dt
 
+import random
+import re
+from difflib import SequenceMatcher
+
 from pyspark.sql import functions as F
 
+from loamgraph.operators import schedule as K
+from loamgraph.operators import sections as D
+from loamgraph.operators import windows as W
+from loamgraph.streaming import publish as U
 from loamgraph.streaming import runs as Q
 
 EVENTS = "project long, run long, ts timestamp, event_id long, kind string, stage string, step long, total long, resource string, message string"
@@ -57,3 +65,92 @@ def test_idle_runs_are_stopped_and_forgotten(spark, tmp_path):
 
 def test_no_events_give_no_states(spark, tmp_path):
     assert Q.run_states(stream_of(spark, tmp_path, [], schema=EVENTS)).count() == 0
+
+
+def test_windows_are_halved_until_they_fit(spark):
+    windows = spark.createDataFrame([(1, 1, 8), (1, 1, 8), (2, 1, 3), (3, 5, 4), (None, 1, 9)], "source_id long, start_line int, end_line int")
+    long_lines = spark.createDataFrame([(1, 2), (1, 7)], "source_id long, line_no long")
+
+    def truncated(asked):
+        return asked.join(long_lines, "source_id").where("line_no between start_line and end_line").select("source_id", "start_line", "end_line")
+
+    got = W.halved_windows(windows, truncated, smallest=2)
+    assert rows(got) == [(1, 1, 2, "unchanged"), (1, 3, 4, "cleaned"), (1, 5, 6, "cleaned"), (1, 7, 8, "unchanged"), (2, 1, 3, "cleaned")]
+    lines = spark.createDataFrame([(1, k, [" a ", "", "c", None][k % 4]) for k in range(1, 9)] + [(2, k, "") for k in (1, 2, 3)], "source_id long, line_no int, line string")
+    gone = lines.where("line_no in (2, 7)").select("source_id", "line_no")
+    assert rows(W.window_texts(got, lines, gone)) == [(1, "c\na\nc\na"), (2, "")]
+    assert W.halved_windows(windows.limit(0), truncated).count() == 0
+    odd = W.halved_windows(windows.selectExpr("2L as source_id", "1 as start_line", "5 as end_line").limit(1), lambda asked: asked, smallest=1)
+    assert [r[1:3] for r in rows(odd)] == [(k, k) for k in range(1, 6)]
+
+
+def test_reports_repeat_as_far_as_blocks_match(spark):
+    rnd = random.Random(5)
+    words = "the force of a body is its mass times what it gains in speed".split()
+    said = [(1, k, " ".join(rnd.choice(words[:3]) if rnd.random() < 0.1 else w for w in words)) for k in range(60)]
+    said += [(2, 0, "# Bottleneck Report\nStraße, 1!"), (2, 1, "STRASSE 1"), (2, 2, None), (2, 3, None), (2, 4, "..."), (2, 5, "x"), (2, 6, "x"), (3, 0, "ab" * 300), (3, 1, "ab" * 299 + "cc")]
+    df = spark.createDataFrame(said, "id long, ord long, text string").withColumn("count", F.lit(0))
+    got = {(r["id"], r["ord"]): r for r in K.repeated_reports(df, key="id", order=["ord"]).collect()}
+
+    def bare(t):
+        return re.sub(r"[\W_]+", "", re.sub(r"(?im)^\s*#*\s*bottleneck report\s*$", "", t or "").casefold())
+
+    before = {}
+    for key, k, text in said:
+        old, n = before.get(key, ("", 0))
+        a, b = bare(old), bare(text)
+        n = n + 1 if a and b and (a == b or SequenceMatcher(None, a, b).ratio() >= 0.88) else 1
+        before[key] = (text, n)
+        row = got[(key, k)]
+        assert row["repeat_count"] == n and row["history"] == [t or "" for i, j, t in said if i == key and k - 20 < j <= k] and row["count"] == 0
+    assert {got[(1, k)]["repeat_count"] > 1 for k in range(60)} == {True, False}
+    assert K.repeated_reports(df.limit(0), key="id", order=["ord"]).count() == 0
+
+
+def test_texts_are_tables_of_sections(spark):
+    text = "# T\n\nx\n## a \n1\n### b\n2\n##c\n\n##  d"
+    got = D.sections(spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "## e\n\n y \n")], "doc long, text string"))
+    assert rows(got) == [(1, 0, "", "# T\n\nx"), (1, 1, "a", "1\n### b\n2\n##c"), (1, 2, "d", ""), (2, 0, "", ""), (4, 0, "", ""), (4, 1, "e", "y")]
+
+
+def value(spark, f, *texts):
+    df = spark.createDataFrame([texts], ", ".join(f"c{k} string" for k in range(len(texts))))
+    return df.select(f(*[F.col(f"c{k}") for k in range(len(texts))])).first()[0]
+
+
+def test_drafts_can_be_formatted_again(spark):
+    head, trace = "# 001. T\n\n## 先修前置\n\n- p", "## 来源追溯\n\n- new"
+    want = head + "\n\n## 学习目标\n\n**学习目标**：g\n\n## 正文\nbody\n\n### 来源\nz\n\n" + trace + "\n"
+    raw = "---\nx: 1\n---\n# Old\n\n## 学习目标与先修前置\n先修知识：k\n**学习目标**：g\n\n## 正文\nbody\n\n### 来源\nz\n\n## 来源追溯\n\n- old\n\n## 附\nmore"
+    once = value(spark, D.formatted_draft, head, raw, trace)
+    assert once == want and value(spark, D.formatted_draft, head, once, trace) == want
+    assert value(spark, D.formatted_draft, head, "# Only\n\n## 先修前置\n\n- p", None) == head + "\n\n\n"
+    assert value(spark, D.formatted_draft, head, None, "") == head + "\n\n\n" and value(spark, D.formatted_draft, None, "x", "") is None
+    assert value(spark, D.goal_text, "学习目标：a\n先修前置: b") == "学习目标：a" and value(spark, D.goal_text, "x。学习完成后 y") == "学习完成后 y" and value(spark, D.goal_text, "z") == "z"
+    assert value(spark, D.without_trace, "a\n\n## 来源追溯") == "a\n\n## 来源追溯"  # a heading needs a line of its own that ends
+
+
+def test_revisions_keep_what_the_program_wrote(spark):
+    now = "# T\n\n## 先修前置\n\n- p\n\n## 正文\nold\n\n## 来源追溯\n\n- s\n\n## 附\nmore\n"
+    new = "# Other\n\n## 先修前置\nnone\n\n## 正文\nnew\n\n## 先修前置\nagain\n\n## 例\ne\n\n## 来源追溯\n- wrong\n## 后\nlost"
+    assert value(spark, D.restored, now, new) == "# T\n\n## 先修前置\n\n- p\n\n## 正文\nnew\n\n## 例\ne\n\n## 来源追溯\n\n- s\n\n## 附\nmore\n"
+    assert value(spark, D.restored, "plain", "# X\n\nbody") == "body\n" and value(spark, D.restored, None, None) == "\n"
+
+
+def test_deltas_and_compaction_give_one_ledger(spark, tmp_path):
+    schema = "record string, node_ids array<string>, output_path string"
+    path = str(tmp_path / "ledger")
+    put = lambda n, *some: U.add_records(spark.createDataFrame(some, schema), path, n)
+    assert U.read_ledger(spark, path, schema).count() == 0 and U.compact_ledger(spark, path, schema) == -1
+    put(0, ("r1", ["n1"], "a"), ("r2", ["n2", "n9"], "b"), ("r0", [], "z"))
+    put(1, ("r3", ["n2", "n3"], "c"))
+    want = [("r0", "z"), ("r1", "a"), ("r3", "c")]
+    assert rows(U.read_ledger(spark, path, schema), "record", "output_path") == want
+    assert U.compact_ledger(spark, path, schema) == 1
+    assert rows(U.read_ledger(spark, path, schema), "record", "output_path") == want
+    put(2, ("r1", ["n1"], "new"))
+    put(2, ("r1", ["n1"], "newer"), ("r4", ["n9"], "d"))  # a batch written again
+    (tmp_path / "ledger" / "delta" / "batch=3").mkdir()  # one that failed half-way
+    want = [("r0", "z"), ("r1", "newer"), ("r3", "c"), ("r4", "d")]
+    assert rows(U.read_ledger(spark, path, schema), "record", "output_path") == want
+    assert U.compact_ledger(spark, path, schema) == 2 and rows(U.read_ledger(spark, path, schema), "record", "output_path") == want
