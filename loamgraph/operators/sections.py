@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,16 +39,24 @@ def sections(texts: DataFrame, *, key: str = "doc") -> DataFrame:
     return rows.select(key, "ord", name.alias("heading"), T.strip(body).alias("body"))
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used: written out, steps on steps would grow exponentially."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _place(all_pieces: Column, title: str) -> Column:
+    """Where the first piece of a title is, from 1; 0 without one."""
+    return F.array_position(F.transform(all_pieces, heading), title).cast("int")
+
+
 def _before(all_pieces: Column, title: str) -> Column:
     """The pieces before the first of a title; all without one."""
-    at = F.array_position(F.transform(all_pieces, heading), title)
-    return F.when(at > 0, F.slice(all_pieces, 1, (at - 1).cast("int"))).otherwise(all_pieces)
+    return _with(_place(all_pieces, title), lambda at: F.when(at > 0, F.slice(all_pieces, 1, F.greatest(at - 1, F.lit(0)))).otherwise(all_pieces))
 
 
 def _from(all_pieces: Column, title: str) -> Column:
     """The pieces from the first of a title on; none without one."""
-    at = F.array_position(F.transform(all_pieces, heading), title)
-    return F.when(at > 0, F.slice(all_pieces, at.cast("int"), F.size(all_pieces))).otherwise(F.array().cast("array<string>"))
+    return _with(_place(all_pieces, title), lambda at: F.filter(all_pieces, lambda p, k: (at > 0) & (k >= at - 1)))
 
 
 def _text(some: Column) -> Column:
@@ -54,38 +64,45 @@ def _text(some: Column) -> Column:
 
 
 def without_preamble(text: Column) -> Column:
-    """A text without its title and prerequisites, if it has both: what follows them; '' if nothing does."""
-    own = pieces(T.strip(text))
-    rest = _from(own, PREREQUISITES)
-    after = F.filter(rest, lambda p, k: k > 0)
-    # Of several such sections in a row, all go.
-    other = F.transform(after, lambda p: ~heading(p).rlike(rf"(?U)\A{PREREQUISITES}\b"))
-    at = F.array_position(other, True)
-    kept = F.when(at > 0, F.slice(after, at.cast("int"), F.size(after))).otherwise(F.array().cast("array<string>"))
-    return F.when(T.strip(text).rlike(r"\A#\s+\S") & (F.size(rest) > 0), _text(kept)).otherwise(T.strip(text))
+    """A text without its title and prerequisites, if it has both: what follows them; '' if nothing does. Of several such sections in a row, all go."""
+
+    def of(own: Column) -> Column:
+        after = lambda rest: F.filter(rest, lambda p, k: k > 0)
+        other = lambda p: ~heading(p).rlike(rf"(?U)\A{PREREQUISITES}\b")
+        first = lambda some: F.array_position(F.transform(some, other), True)
+        kept = lambda some: _with(first(some), lambda at: F.filter(some, lambda p, k: (at > 0) & (k >= at - 1)))
+        return _with(_from(pieces(own), PREREQUISITES), lambda rest: F.when(own.rlike(r"\A#\s+\S") & (F.size(rest) > 0), _text(_with(after(rest), kept))).otherwise(own))
+
+    return _with(T.strip(text), of)
 
 
 def goal_text(body: Column) -> Column:
     """What a section on goals and prerequisites says of goals: from the goal's sign up to that of prerequisites, if that follows."""
-    goal, need = F.regexp_instr(body, F.lit(GOAL_SIGN)), F.regexp_instr(body, F.lit(NEED_SIGN))
-    after = F.instr(body, AFTER_SIGN)
-    till = F.when((need > 0) & (goal < need), need - goal).otherwise(F.length(body))
-    return T.strip(F.when(goal > 0, F.substring(body, goal, till)).when(after > 0, F.substring(body, after, F.length(body))).otherwise(body))
+
+    def of(text: Column, goal: Column, need: Column, after: Column) -> Column:
+        till = F.when((need > 0) & (goal < need), need - goal).otherwise(F.length(text))
+        return T.strip(F.when(goal > 0, F.substring(text, goal, till)).when(after > 0, F.substring(text, after, F.length(text))).otherwise(text))
+
+    signs = lambda t: F.struct(t.alias("t"), F.regexp_instr(t, F.lit(GOAL_SIGN)).alias("g"), F.regexp_instr(t, F.lit(NEED_SIGN)).alias("n"), F.instr(t, AFTER_SIGN).alias("a"))
+    return _with(_with(body, signs), lambda x: of(x["t"], x["g"], x["n"], x["a"]))
 
 
 def normal_learning(text: Column) -> Column:
     """A text that begins with goals and prerequisites keeps its goals only, under their own heading."""
-    own = pieces(T.strip(text))
-    there = (F.element_at(own, 1) == "") & (heading(F.get(own, F.lit(1))) == LEARNING)
-    goal = goal_text(T.strip(F.regexp_replace(F.get(own, F.lit(1)), r"(?s)\A##[^\n]*\n", "")))
-    rest = _text(F.slice(own, 3, F.size(own)))
-    new = T.strip(F.concat(F.when(goal != "", F.concat(F.lit(f"## {GOAL}\n\n"), goal, F.lit("\n\n"))).otherwise(""), rest))
-    return F.when(F.coalesce(there, F.lit(False)), new).otherwise(T.strip(text))
+
+    def of(own: Column) -> Column:
+        second = F.coalesce(F.get(own, F.lit(1)), F.lit(""))
+        goal = goal_text(T.strip(F.regexp_replace(second, r"(?s)\A##[^\n]*\n", "")))
+        head = _with(goal, lambda g: F.when(g != "", F.concat(F.lit(f"## {GOAL}\n\n"), g, F.lit("\n\n"))).otherwise(""))
+        new = T.strip(F.concat(head, _text(F.filter(own, lambda p, k: k > 1))))
+        return F.when((F.get(own, F.lit(0)) == "") & (heading(second) == LEARNING), new).otherwise(_text(own))
+
+    return _with(pieces(T.strip(text)), of)
 
 
 def without_trace(text: Column) -> Column:
     """A text up to its trace of sources, which goes to the end."""
-    return _text(_before(pieces(T.strip(text)), TRACE))
+    return _with(pieces(T.strip(text)), lambda own: _text(_before(own, TRACE)))
 
 
 def formatted_draft(preamble: Column, body: Column, trace: Column) -> Column:
@@ -93,8 +110,9 @@ def formatted_draft(preamble: Column, body: Column, trace: Column) -> Column:
 
     Formatting what has been formatted changes nothing. A null body is empty, a null or empty trace is left out, and a null preamble gives null.
     """
-    own = without_preamble(T.strip_front_matter(F.coalesce(body, F.lit(""))))
-    own = without_trace(normal_learning(T.strip_first_title(own)))
+    own = F.coalesce(body, F.lit(""))
+    for step in (T.strip_front_matter, without_preamble, T.strip_first_title, normal_learning, without_trace):
+        own = _with(own, step)
     return F.concat(preamble, F.lit("\n\n"), own, F.lit("\n"), F.when(F.coalesce(trace, F.lit("")) != "", F.concat(F.lit("\n"), trace, F.lit("\n"))).otherwise(""))
 
 
@@ -111,8 +129,7 @@ def restored(current: Column, revised: Column) -> Column:
     """
     now, new = T.strip(F.coalesce(current, F.lit(""))), T.strip(F.coalesce(revised, F.lit("")))
     title = T.strip(F.regexp_extract(now, r"\A(#\s+[^\n]+)", 1))
-    need = F.coalesce(T.strip(F.get(_from(pieces(now), PREREQUISITES), F.lit(0))), F.lit(""))
-    trace = _text(_from(pieces(now), TRACE))
-    body = pieces(T.strip(F.regexp_replace(new, r"\A#\s+[^\n]+\n+", "")))
-    body = _text(F.filter(_before(body, TRACE), lambda p: heading(p) != PREREQUISITES))
+    need = _with(pieces(now), lambda own: F.coalesce(T.strip(F.get(_from(own, PREREQUISITES), F.lit(0))), F.lit("")))
+    trace = _with(pieces(now), lambda own: _text(_from(own, TRACE)))
+    body = _with(pieces(T.strip(F.regexp_replace(new, r"\A#\s+[^\n]+\n+", ""))), lambda own: _text(F.filter(_before(own, TRACE), lambda p: heading(p) != PREREQUISITES)))
     return F.concat(T.strip(F.array_join(F.filter(F.array(title, need, body, trace), lambda p: p != ""), "\n\n")), F.lit("\n"))
