@@ -11,6 +11,7 @@ from loamgraph.operators import sections as D
 from loamgraph.operators import windows as W
 from loamgraph.plans.registry import query
 from loamgraph.sources.stages import new_path, table
+from loamgraph.streaming import pages as G
 from loamgraph.streaming import publish as U
 from loamgraph.streaming import runs as Q
 
@@ -150,3 +151,46 @@ def ledger_deltas(spark, sf):
     if years:  # the last batch once more, as after a failure
         U.add_records(records.where(F.col("year") == years[-1]).drop("year"), path, years[-1])
     return U.read_ledger(spark, path, schema).select("record", F.col("node_ids")[0].alias("a"), F.col("node_ids")[1].alias("b"))
+
+
+# Pages: an order is a file whose page ranges are planned when it is placed; its parts' shipping is what jobs report
+
+
+_PAGES = """f AS (SELECT o_orderkey::BIGINT AS file, (1 + o_orderkey * 37 % 250)::BIGINT AS file_pages, o_orderdate::TIMESTAMP AS planned_at FROM orders),
+plan AS (SELECT file, file_pages, planned_at, unnest(range(1, (file_pages + 98) // 99 + 1)) AS chunk FROM f),
+ranges AS (SELECT *, least(99, file_pages - 99 * (chunk - 1)) AS pages FROM plan),
+said AS (SELECT l_orderkey::BIGINT AS file, 1 + l_linenumber % 3 AS chunk, l_shipdate::TIMESTAMP AS ts, concat_ws('-', l_linenumber, l_partkey, l_suppkey) AS event_id, l_quantity::BIGINT * 3 AS done, CASE WHEN l_returnflag <> 'N' THEN 't' || l_partkey ELSE ' ' END AS text FROM lineitem),
+m AS (SELECT r.file, r.chunk, file_pages, ts, event_id, text, least(done, pages) AS done FROM ranges r JOIN said s ON s.file = r.file AND s.chunk = r.chunk AND ts >= planned_at AND ts <= planned_at + INTERVAL 400 DAY)"""
+
+
+def _pages(spark, sf):
+    """The plan as a table, and the reports that the streams' join keeps."""
+
+    def read(name, stream):
+        return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parquet*") if stream else table(spark, sf, name)
+
+    def plan(stream):
+        files = read("orders", stream).select(F.col("o_orderkey").cast("long").alias("path"), (1 + F.col("o_orderkey") * 37 % 250).alias("pages"), F.col("o_orderdate").cast("timestamp").alias("planned_at"))
+        rows = files.select("path", "planned_at", F.col("pages").cast("long").alias("file_pages"), F.posexplode(F.sequence(F.lit(1), F.col("pages").cast("int"), F.lit(99))).alias("k", "first"))
+        pages = F.least(F.lit(99), F.col("file_pages") - F.col("first") + 1).cast("long")
+        return rows.select(F.col("path").alias("file"), (F.col("k") + 1).alias("chunk"), pages.alias("pages"), "file_pages", "planned_at")
+
+    reports = read("lineitem", True).select(
+        F.col("l_orderkey").cast("long").alias("file"), (1 + F.col("l_linenumber") % 3).cast("int").alias("chunk"), F.col("l_shipdate").cast("timestamp").alias("ts"),
+        F.concat_ws("-", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("event_id"),
+        (F.col("l_quantity").cast("long") * 3).alias("done"), F.when(F.col("l_returnflag") != "N", F.concat(F.lit("t"), F.col("l_partkey").cast("string"))).otherwise(" ").alias("text"),
+    )
+    return plan(False), G.kept_reports(G.reported(plan(True), reports, delay="4000 days", horizon="400 days"))
+
+
+@query(f"""WITH {_PAGES}, d AS (SELECT *, greatest(done - coalesce(max(done) OVER (PARTITION BY file, chunk ORDER BY ts, event_id, done ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS more FROM m)
+SELECT file, ts::DATE AS day, event_id, least(sum(more) OVER (PARTITION BY file ORDER BY ts, event_id), file_pages)::BIGINT AS done FROM d""")
+def stream_page_progress(spark, sf):
+    return G.file_progress(_pages(spark, sf)[1]).select("file", F.to_date("ts").alias("day"), "event_id", "done")
+
+
+@query(f"""WITH {_PAGES}, t AS (SELECT file, chunk, arg_max(text, (ts, event_id, text)) AS text FROM m WHERE trim(text) <> '' GROUP BY ALL)
+SELECT r.file, count(*) AS chunks, coalesce(string_agg(r.chunk::VARCHAR, ',' ORDER BY r.chunk) FILTER (text IS NULL), '') AS missing, CASE WHEN count(text) = count(*) THEN string_agg(text, chr(10) || chr(10) ORDER BY r.chunk) END AS text
+FROM ranges r LEFT JOIN t ON t.file = r.file AND t.chunk = r.chunk GROUP BY r.file""")
+def stream_whole_files(spark, sf):
+    return G.whole_files(*_pages(spark, sf)).withColumn("missing", F.array_join("missing", ","))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loamgraph.operators import schedule as K
 from loamgraph.operators import sections as D
 from loamgraph.operators import windows as W
+from loamgraph.streaming import pages as G
 from loamgraph.streaming import publish as U
 from loamgraph.streaming import runs as Q
 
@@ -154,3 +155,18 @@ def test_deltas_and_compaction_give_one_ledger(spark, tmp_path):
     want = [("r0", "z"), ("r1", "newer"), ("r3", "c"), ("r4", "d")]
     assert rows(U.read_ledger(spark, path, schema), "record", "output_path") == want
     assert U.compact_ledger(spark, path, schema) == 2 and rows(U.read_ledger(spark, path, schema), "record", "output_path") == want
+
+
+def test_pages_add_up_whatever_order_ranges_report_in(spark, tmp_path):
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    planned, said = "file long, chunk int, pages long, file_pages long, planned_at timestamp", "file long, chunk int, ts timestamp, event_id string, done long, text string"
+    ranges = [(1, 1, 99, 165, at(1)), (1, 2, 66, 165, at(1)), (2, 1, 5, 5, at(3))]
+    first = [(1, 2, at(2), "a", 62, None), (1, 1, at(3), "b", 20, " "), (1, 2, at(4), "c", 8, "late"), (9, 1, at(4), "x", 1, "unplanned"), (2, 1, at(2), "y", 5, "before it was planned")]
+    late = [(1, 1, at(5), "d", 120, "one"), (1, 2, at(6), "e", 66, "two"), (1, None, at(6), "z", 1, "none"), (2, 1, at(7), "w", None, "")]
+    plan = stream_of(spark, tmp_path / "plan", ranges, schema=planned)
+    matched = G.kept_reports(G.reported(plan, stream_of(spark, tmp_path / "said", first, late, schema=said)))
+    assert [r["done"] for r in G.file_progress(matched).where("file = 1").orderBy("ts").collect()] == [62, 82, 82, 161, 165]
+    got = G.whole_files(spark.createDataFrame(ranges, planned), matched)
+    assert sorted(map(tuple, got.collect())) == [(1, 2, [], "one\n\ntwo"), (2, 1, [1], None)]
+    none = G.whole_files(spark.createDataFrame(ranges, planned), matched.limit(0))
+    assert sorted((r["file"], r["missing"]) for r in none.collect()) == [(1, [1, 2]), (2, [1])] and G.file_progress(matched.limit(0)).count() == 0
