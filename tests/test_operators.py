@@ -436,3 +436,11 @@ def test_search_of_a_table_of_questions(spark):
     top = {q: sorted((cos(v, u) for _, u in live), reverse=True)[:4] for q, v in live if q < 7}
     assert all(abs(scores[q, k + 1] - x) < 1e-9 for q, xs in top.items() for k, x in enumerate(xs))
     assert S.search(asked.limit(0), df).count() == 0 and S.search(asked, df.limit(0)).count() == 0
+
+
+def test_pairs_of_contained_keys_are_counted_without_their_rows(spark):
+    many = [(i, k) for i in range(60_000) for k in ("force", "forces")] + [(-1, "force"), (-1, "force"), (-2, "forces"), (None, "force"), (-3, "work"), (-3, "works")]
+    got = N.contained_counts(spark.createDataFrame(many, "node long, key string")).collect()
+    assert [tuple(r) for r in got] == [("force", "forces", 60_001 * 60_001 - 60_000)]  # by rows, these would be 3.6 billion
+    few = spark.createDataFrame([(i % 7, k) for i, k in enumerate(["force", "forces", "forces", "the force", "work", "works", "workers", None, "force"] * 5)], "node long, key string")
+    assert rows(N.contained_counts(few), "short_key", "long_key", "pairs") == rows(N.contained_defines(few).groupBy("short_key", "long_key").count(), "short_key", "long_key", "count")
