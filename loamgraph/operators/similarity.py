@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions import vectors as V
 from loamgraph.operators.components import connected_components
-from loamgraph.operators.ordering import numbered, numbered_within
+from loamgraph.operators.ordering import numbered_within
 from loamgraph.sources.stages import stored
 
 
@@ -46,22 +46,53 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1 if len(column) else 0)
 
 
+#: Bytes of vectors that a side of a block has, scores that are compared at once, and decimals of scores that count for their order: equal vectors must tie.
+BLOCK_BYTES, SCORES, DECIMALS = 16 << 20, 1 << 22, 12
+
+
+def _rows_of_block(dims: int) -> int:
+    return max(1, BLOCK_BYTES // (8 * max(1, dims)))
+
+
+def _best(scores: np.ndarray, others: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and scores of the ``k`` highest scores of each row from ``least`` on, ties by ``others``."""
+    if k < scores.shape[1]:
+        least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k:].min(axis=1, keepdims=True) - 2 * 10.0**-DECIMALS)
+    rows, cols = np.nonzero((scores >= least) & (scores > -np.inf))
+    found = np.round(scores[rows, cols], DECIMALS)
+    order = np.lexsort((others[cols], -found, rows))
+    rows, cols, found = rows[order], cols[order], found[order]
+    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, int)
+    keep = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)])) < k
+    return rows[keep], cols[keep], found[keep]
+
+
 def _block_top(threshold: float, k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        a, b = (_matrix(t["v"]) for t in (left, right))
-        ids, others = left["id"].to_numpy(), right["id"].to_numpy()
-        scores = a @ b.T
-        scores[ids[:, None] == others[None, :]] = -np.inf
-        rows, cols = np.nonzero(scores >= threshold)
-        order = np.lexsort((others[cols], -scores[rows, cols], rows))
-        rows, cols = rows[order], cols[order]
-        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, int)
-        rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
-        keep = rank < k
-        return pa.table({"id": ids[rows[keep]], "other": others[cols[keep]], "score": scores[rows[keep], cols[keep]]})
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            a, b = (_matrix(t["v"]) for t in (left, right))
+            ids, others, at = left["id"].to_numpy(), right["id"].to_numpy(), left["b"].to_numpy()
+            meets = right["bs"].combine_chunks()
+            visits, row = meets.flatten().to_numpy(zero_copy_only=False), meets.value_parent_indices().to_numpy(zero_copy_only=False)
+            for p in np.unique(at):
+                mine, seen = np.flatnonzero(at == p), row[visits == p]
+                own, names, step = b if len(seen) == len(b) else b[seen], others[seen], max(1, SCORES // max(1, len(seen)))
+                for part in np.split(mine, range(step, len(mine), step)) if len(seen) else []:
+                    scores = a[part] @ own.T
+                    scores[ids[part][:, None] == names[None, :]] = -np.inf
+                    rows, cols = np.nonzero(scores >= threshold)
+                    if len(rows) > 64 * k * len(part):
+                        rows, cols, found = _best(scores, names, k, threshold)
+                    else:  # few: no need to look for the k-th of each row
+                        found = scores[rows, cols]
+                    out.append((ids[part][rows], names[cols], np.round(found, DECIMALS)))
+        x, y, z = (np.concatenate(c) for c in zip(*out, strict=True))
+        order = np.lexsort((y, -z, x))
+        x, y, z = x[order], y[order], z[order]
+        first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, int)
+        keep = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)])) < k
+        return pa.table({"id": x[keep], "other": y[keep], "score": z[keep]})
 
     return run
 
@@ -72,10 +103,14 @@ SPARE = 1e-6
 
 @dataclass(frozen=True)
 class Pivots:
-    """``members(id, v, b)``: unit vectors and the pivot nearest to each; ``visitors(id, v, b)``: each vector at all pivots where it may have a partner."""
+    """``members(id, v, cell, b)``: unit vectors, the pivot nearest to each and its cell; ``visitors(id, v, cell, bs)``: each vector once in every cell with pivots ``bs`` where it may have a partner.
+
+    ``block_rows``: how many rows of these vectors a block should have.
+    """
 
     members: DataFrame
     visitors: DataFrame
+    block_rows: int
 
 
 def pivots(vectors: DataFrame, *, threshold: float, most: int = 512) -> Pivots | None:
@@ -83,7 +118,8 @@ def pivots(vectors: DataFrame, *, threshold: float, most: int = 512) -> Pivots |
 
     A vector belongs to its nearest pivot, and a pivot reaches as far as its farthest member. Whoever is within the threshold's angle of a member is no farther from
     the pivot than that reach and the angle: by the triangle inequality on angles, other vectors need not meet that pivot's members. Pivots are
-    vectors taken by a hash of their ids; they and their reaches are what is broadcast, bounded by ``most``. Rows with a zero or missing vector are left out.
+    vectors taken by a hash of their ids; they and their reaches are what is broadcast, bounded by ``most``. Pivots near one another share a cell of about one block's members, so where
+    angles prune little, a vector is sent to each cell and not to each pivot. Rows with a zero or missing vector are left out.
     """
     rows = stored(vectors.select("id", V.doubles(F.col("v")).alias("v")).where(V.norm(F.col("v")) > 0).select("id", V.normalized(F.col("v")).alias("v")), "unit-vectors")
     n = rows.count()
@@ -91,15 +127,17 @@ def pivots(vectors: DataFrame, *, threshold: float, most: int = 512) -> Pivots |
         return None
     p = min(most, max(1, round(n**0.5)))
     centres = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(p).select("v").collect()])
+    block_rows = _rows_of_block(centres.shape[1])
+    cells = (centres @ centres[: -(-n // block_rows)].T).argmax(axis=1).astype(np.int32)
 
     def nearest(batches):
         for b in batches:
             near = _matrix(b.column(1)) @ centres.T
             at = near.argmax(axis=1)
             angle = np.arccos(np.clip(near[np.arange(len(at)), at], -1, 1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32)), pa.array(angle)], ["id", "v", "b", "angle"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells[at]), pa.array(at.astype(np.int32)), pa.array(angle)], ["id", "v", "cell", "b", "angle"])
 
-    members = stored(rows.mapInArrow(nearest, "id long, v array<double>, b int, angle double"), "members")
+    members = stored(rows.mapInArrow(nearest, "id long, v array<double>, cell int, b int, angle double"), "members")
     reach = np.full(p, -np.inf)
     for r in members.groupBy("b").agg(F.max("angle").alias("far")).collect():
         reach[r["b"]] = r["far"] + np.arccos(np.clip(threshold, -1, 1)) + SPARE
@@ -109,34 +147,39 @@ def pivots(vectors: DataFrame, *, threshold: float, most: int = 512) -> Pivots |
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 row, at = np.nonzero(np.arccos(np.clip(_matrix(part.column(1)) @ centres.T, -1, 1)) <= reach)
-                yield pa.RecordBatch.from_arrays([*part.take(pa.array(row)).columns, pa.array(at.astype(np.int32))], ["id", "v", "b"])
+                order = np.lexsort((at, cells[at], row))
+                row, at = row[order], at[order]
+                first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (cells[at][1:] != cells[at][:-1])]) if len(row) else np.zeros(0, int)
+                bs = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pa.array(at.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*part.take(pa.array(row[first])).columns, pa.array(cells[at[first]]), bs], ["id", "v", "cell", "bs"])
 
-    return Pivots(members.drop("angle"), rows.mapInArrow(visit, "id long, v array<double>, b int"))
+    return Pivots(members.drop("angle"), rows.mapInArrow(visit, "id long, v array<double>, cell int, bs array<int>"), block_rows)
 
 
 def comparisons(index: Pivots) -> DataFrame:
     """One row for each pivot: ``(b, members, visitors)``; their products are the pairs that a join compares."""
     left = index.members.groupBy("b").agg(F.count("*").alias("members"))
-    return left.join(index.visitors.groupBy("b").agg(F.count("*").alias("visitors")), "b")
+    return left.join(index.visitors.select(F.explode("bs").alias("b")).groupBy("b").agg(F.count("*").alias("visitors")), "b")
 
 
-def similarity_join(vectors: DataFrame, *, threshold: float = 0.8, top_k: int = 5, block_rows: int = 4096) -> DataFrame:
+def similarity_join(vectors: DataFrame, *, threshold: float = 0.8, top_k: int = 5, block_rows: int | None = None) -> DataFrame:
     """``vectors(id long, v array<double>)`` -> ``(id, other, score)``: for each id its ``top_k`` others at ``threshold`` or more.
 
-    Exact: members of a pivot meet all vectors that may be near one of them (``pivots``), and others not. Both sides of a pivot are dealt into blocks by
-    their numbers, and each pair of blocks is one matrix product, with two blocks in memory at
+    Exact: members of a pivot meet all vectors that may be near one of them (``pivots``), and others not. Both sides of a cell of pivots are dealt into blocks of
+    ``block_rows`` (as many as ``BLOCK_BYTES`` hold), and each pair of blocks is a task's matrix products, with two blocks in memory at
     a time and with at most ``top_k`` candidates of a row leaving it. The best of all blocks are ranked at the end
     (score descending, then the other id). Rows with a zero or missing vector match nothing; no rows give no rows.
     """
     index = pivots(vectors, threshold=threshold)
     if index is None:
         return vectors.sparkSession.createDataFrame([], "id long, other long, score double, rank int")
-    sizes = comparisons(index).select("b", F.ceil(F.col("members") / block_rows).alias("m"), F.ceil(F.col("visitors") / block_rows).alias("n"))
-    sizes = stored(sizes, "pivot-sizes")  # a row for each pivot
+    block_rows = block_rows or index.block_rows
+    sizes = index.members.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("m")).join(index.visitors.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("n")), "cell")
+    sizes = stored(sizes, "cell-sizes")  # a row for each cell
     own = F.pmod(F.xxhash64("id"), F.col("m")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j")
-    left = index.members.join(sizes, "b").select("id", "v", "b", *own)
-    right = index.visitors.join(sizes, "b").select("id", "v", "b", F.pmod(F.xxhash64("id"), F.col("n")).alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("i"))
-    found = left.groupBy("b", "i", "j").cogroup(right.groupBy("b", "i", "j")).applyInArrow(_block_top(threshold, top_k), "id long, other long, score double")
+    left = index.members.join(sizes, "cell").select("id", "v", "b", "cell", *own)
+    right = index.visitors.join(sizes, "cell").select("id", "v", "bs", "cell", F.pmod(F.xxhash64("id"), F.col("n")).alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("i"))
+    found = left.groupBy("cell", "i", "j").cogroup(right.groupBy("cell", "i", "j")).applyInArrow(_block_top(threshold, top_k), "id long, other long, score double")
     rank = Window.partitionBy("id").orderBy(F.desc("score"), "other")
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top_k)
 
@@ -144,36 +187,35 @@ def similarity_join(vectors: DataFrame, *, threshold: float = 0.8, top_k: int =
 def search(questions: DataFrame, index: DataFrame, *, k: int = 5, block: int = 1024) -> DataFrame:
     """``questions(question long, v)``, ``index(id long, v)`` -> ``(question, id, score, rank)``: the ``k`` nearest rows of the index for each question, by cosine, ties by id.
 
-    Questions go in blocks of ``block`` over the index, which is read once for each block. A task keeps the best ``k`` of each question of its block as it reads,
-    so what it hands on doesn't grow with the index, and the best of all tasks are ranked at the end. Filters are put on the index before. Zero or missing vectors
+    Both sides are dealt into blocks of ``BLOCK_BYTES``, and each pair of blocks is a task, which takes ``block`` questions at a time. What it hands on are the best
+    ``k`` of each of its questions; those of all tasks are ranked at the end. One job does it, however many questions there are. Filters are put on the index before. Zero or missing vectors
     find nothing and are never found. No questions or an empty index give no rows.
     """
     unit = lambda df, key: df.select(F.col(key).cast("long").alias(key), V.doubles(F.col("v")).alias("v")).where(V.norm(F.col("v")) > 0).select(key, V.normalized(F.col("v")).alias("v"))
-    asked = stored(numbered(unit(questions, "question"), "question").withColumn("block", F.expr(f"(rank - 1) div {block}")), "questions")
-    rows, schema = unit(index, "id"), "question long, id long, score double"
-    found = index.sparkSession.createDataFrame([], schema)
-    for (at,) in asked.select("block").distinct().orderBy("block").collect():
-        own = asked.where(F.col("block") == at).select("question", "v").toArrow()  # ``block`` rows at most
-        found = found.unionByName(rows.mapInArrow(_nearest(own["question"].to_numpy(), _matrix(own["v"]), k), schema))
+    asked, rows, schema = unit(questions, "question"), unit(index, "id"), "question long, id long, score double"
+    size = [df.agg(F.count("*"), F.max(F.size("v"))).first() for df in (asked, rows)]
+    m, n = (-(-count // _rows_of_block(dims or 1)) for count, dims in size)
+    if not m or not n:
+        return index.sparkSession.createDataFrame([], f"{schema}, rank int")
+    dealt = lambda key, own, to, over, upto: (F.pmod(F.xxhash64(key), F.lit(own)).alias(to), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(upto - 1).cast("long"))).alias(over))
+    left, right = asked.select("*", *dealt("question", m, "i", "j", n)), rows.select("*", *dealt("id", n, "j", "i", m))
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_nearest(k, block), schema)
     best = Window.partitionBy("question").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _nearest(names: np.ndarray, asked: np.ndarray, k: int):
-    """Rows (id, v) -> the k best of each question among those of this task."""
+def _nearest(k: int, block: int):
+    """Blocks (question, v) and (id, v) -> the k best of each question, ``block`` questions at a time (fewer where a block of the index is long)."""
 
-    def run(batches):
-        ids, scores = np.full((len(names), 0), 0, np.int64), np.zeros((len(names), 0))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            own = b.column(0).to_numpy()
-            ids = np.concatenate([ids, np.broadcast_to(own, (len(names), len(own)))], axis=1)
-            scores = np.concatenate([scores, asked @ _matrix(b.column(1)).T], axis=1)
-            best = np.lexsort((ids, -scores), axis=1)[:, :k]
-            ids, scores = np.take_along_axis(ids, best, 1), np.take_along_axis(scores, best, 1)
-        q = np.repeat(names, ids.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids.ravel()), pa.array(scores.ravel())], ["question", "id", "score"])
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if asked.num_rows and rows.num_rows:
+            a, b, names, ids = _matrix(asked["v"]), _matrix(rows["v"]), asked["question"].to_numpy(), rows["id"].to_numpy()
+            step = max(1, min(block, SCORES // len(ids)))
+            for at in range(0, len(a), step):
+                q, c, score = _best(a[at : at + step] @ b.T, ids, k)
+                out.append((names[at + q], ids[c], score))
+        return pa.table(dict(zip(("question", "id", "score"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
 
     return run
 

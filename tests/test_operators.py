@@ -444,3 +444,24 @@ def test_pairs_of_contained_keys_are_counted_without_their_rows(spark):
     assert [tuple(r) for r in got] == [("force", "forces", 60_001 * 60_001 - 60_000)]  # by rows, these would be 3.6 billion
     few = spark.createDataFrame([(i % 7, k) for i, k in enumerate(["force", "forces", "forces", "the force", "work", "works", "workers", None, "force"] * 5)], "node long, key string")
     assert rows(N.contained_counts(few), "short_key", "long_key", "pairs") == rows(N.contained_defines(few).groupBy("short_key", "long_key").count(), "short_key", "long_key", "count")
+
+
+def test_search_plans_one_pass_however_many_blocks_of_questions(spark, monkeypatch):
+    random = Random(10)
+    df = spark.createDataFrame([(i, [random.choice([-1.0, 0.5, 1.0]) for _ in range(3)]) for i in range(120)], "id long, v array<double>")
+    asked = df.where("id % 3 = 0").withColumnRenamed("id", "question")
+    whole = S.search(asked, df, k=4, block=1)
+    assert whole._jdf.queryExecution().analyzed().toString().count("InArrow") == 1  # one for each block of questions before
+    monkeypatch.setattr(S, "BLOCK_BYTES", 9 * 24)
+    assert rows(S.search(asked, df, k=4, block=2), "question", "rank", "id") == rows(whole, "question", "rank", "id")
+
+
+def test_vectors_visit_cells_and_not_each_pivot(spark, monkeypatch):
+    random = Random(11)
+    df = spark.createDataFrame([(i, [random.gauss(0, 1) for _ in range(8)]) for i in range(200)] + [(500, [1.0] * 8), (501, [1.0] * 8), (502, [1.0] * 8)], "id long, v array<double>")
+    index = S.pivots(df, threshold=-1.0)
+    assert index.visitors.count() == 203 and S.comparisons(index).count() > 1  # 203 rows for each pivot before
+    whole = rows(S.similarity_join(df, threshold=0.1, top_k=4), "id", "rank", "other")
+    monkeypatch.setattr(S, "BLOCK_BYTES", 40 * 64)
+    assert rows(S.similarity_join(df, threshold=0.1, top_k=4), "id", "rank", "other") == whole
+    assert [o for i, r, o in whole if i == 502 and r < 3] == [500, 501]
