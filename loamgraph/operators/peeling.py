@@ -6,7 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from loamgraph.operators import parts as A
 from loamgraph.sources.stages import stored
 
 #: Steps along edges that one job takes: the first job's, and the most.
@@ -159,14 +161,20 @@ def _spread(e: DataFrame, nodes: DataFrame, *, seed: int, labels: int) -> DataFr
     return told.select("node", F.array(*[f"{c}_0" for c in names]).alias("up"), F.array(*[f"{c}_1" for c in names]).alias("down"))
 
 
-def strong_parts(edges: DataFrame, *, labels: int = 3) -> DataFrame:
+def strong_parts(edges: DataFrame, *, labels: int = 3, part: str | None = None) -> DataFrame:
     """``edges(src, dst)`` -> ``(node, part)``: the nodes on cycles, and the smallest node that lies on cycles with them.
 
     What no cycle leads to is peeled off; acyclic graphs end there. The rest is coloured forward and backward: nodes of one part share the highest
     random numbers of all that leads to them, and of all they lead to, so edges between other colours go. Where a number is the
     highest both ways, its node leads to the others and back: that part is found. What is left is coloured anew, with other numbers; as a
     rule one or two rounds do. Numbers have 64 bits. Edges with a null end are ignored; a self loop is a part. No edges give no rows.
+    Where ``part`` names a column that both ends of an edge share, small parts are worked out whole in tasks (``parts``).
     """
+    if part:
+        small, large, bundles = A.split(edges, part)
+        kind = edges.schema["src"].dataType
+        found = A.worked_out(small, part, bundles, A.strong, ["src", "dst"], StructType([StructField("node", kind), StructField("part", kind)]))
+        return found if large is None else found.unionByName(strong_parts(large, labels=labels))
     left, found, seed = peel(edges).rest, [], 0
     loops = left.where("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("loop"))
     while not left.isEmpty():
@@ -237,8 +245,15 @@ def _led(ix: DataFrame, start: DataFrame) -> DataFrame:
     return answered.distinct()
 
 
-def reachable(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """The distinct ``pairs(src, dst)`` between which a path of one edge or more leads; pairs with nodes that no edge has aren't among them."""
+def reachable(pairs: DataFrame, edges: DataFrame, *, part: str | None = None) -> DataFrame:
+    """The distinct ``pairs(src, dst)`` between which a path of one edge or more leads; pairs with nodes that no edge has aren't among them.
+
+    Where ``part`` names a column that both ends of an edge share, pairs are looked up in what small parts lead to (``parts``).
+    """
+    if part:
+        small, large, bundles = A.split(edges, part)
+        found = A.worked_out(small, part, bundles, A.reached, ["src", "dst"], A.ends(edges)).join(pairs.select("src", "dst"), ["src", "dst"], "left_semi")
+        return found if large is None else found.unionByName(reachable(pairs, large))
     ix = index(edges)
     known = ix.select(F.col("src").alias("node"), F.col("s").alias("k")).unionByName(ix.select(F.col("dst").alias("node"), F.col("d").alias("k"))).dropDuplicates(["node"])
     start = pairs.select("src", "dst").distinct().join(known.select(F.col("node").alias("src"), F.col("k").alias("kx")), "src").join(known.select(F.col("node").alias("dst"), F.col("k").alias("ky")), "dst")

@@ -81,8 +81,8 @@ num AS (SELECT o_orderkey AS node, printf('%03d', row_number() OVER (ORDER BY o_
 
 def _tree(spark, sf) -> tuple[DataFrame, DataFrame]:
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("node"), F.lead("o_orderkey", 1).over(w).alias("n1"), F.lead("o_orderkey", 2).over(w).alias("n2"))
-    edges = rows.select(F.col("node").alias("src"), F.explode(F.array("n1", "n2")).alias("dst")).where("dst is not null").distinct()
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("src"), F.array(F.lead("o_orderkey", 1).over(w), F.lead("o_orderkey", 2).over(w)).alias("next"), F.col("o_custkey").alias("customer"))
+    edges = rows.select("src", F.explode("next").alias("dst"), "customer").where("dst is not null")
     nodes = table(spark, sf, "orders").select(F.col("o_orderkey").alias("node"), F.col("o_orderpriority").alias("title"), "o_orderdate", "o_custkey", "o_orderstatus")
     return G.sequence_labels(nodes, "o_orderdate", "node"), edges
 
@@ -116,8 +116,8 @@ def node_contexts(spark, sf):
     labels, edges = _tree(spark, sf)
     targets = labels.where("o_orderstatus = 'P'").select("node")
     covered = labels.where("o_orderstatus = 'F'").select(F.col("node").alias("other"))
-    visible = G.relatives(targets, edges, down=False).join(covered, "other", "left_semi").select("node", "other")
-    rows = E.node_context(targets, labels, edges, visible, G.relatives(targets, edges))
+    visible = G.relatives(targets, edges, down=False, part="customer").join(covered, "other", "left_semi").select("node", "other")
+    rows = E.node_context(targets, labels, edges, visible, G.relatives(targets, edges, part="customer"))
     return rows.select("node", *[F.array_join(c, ",").alias(c) for c in ("parents", "visible", "future")], "n_siblings")
 
 
@@ -130,7 +130,7 @@ def prior_outputs(spark, sf):
     rows = labels.withColumn("n1", F.lead("node").over(w)).where("node % 3 > 0")
     ledger = rows.select(F.col("node").alias("record"), F.filter(F.array("node", "n1"), lambda x: x.isNotNull()).alias("node_ids"), F.concat(F.lit("o/"), F.col("node").cast("string")).alias("output_path"))
     files = labels.where("node % 4 > 0").select(F.concat(F.lit("o/"), F.col("node").cast("string")).alias("path"))
-    return E.prior_outputs(ledger, G.relatives(labels.select("node"), edges, down=False), files)
+    return E.prior_outputs(ledger, G.relatives(labels.select("node"), edges, down=False, part="customer"), files)
 
 
 # Views

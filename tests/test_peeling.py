@@ -3,8 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from loamgraph.operators import build as B
 from loamgraph.operators import graph as G
+from loamgraph.operators import parts as A
 from loamgraph.operators import peeling as P
 
 
@@ -91,3 +94,42 @@ def test_empty_and_odd_graphs(spark):
     odd = spark.createDataFrame([(1, 2), (1, 2), (None, 1), (2, None), (3, 3)], "src long, dst long")
     assert rows(P.strong_parts(odd), "node", "part") == [(3, 3)]
     assert rows(G.depths(spark.createDataFrame([(1,), (2,), (3,)], "node long"), odd), "node", "depth") == [(1, 0), (2, 1), (3, 2)]
+
+
+def _led(pairs):
+    found = set(pairs)
+    while more := {(a, d) for a, b in found for c, d in pairs if b == c} - found:
+        found |= more
+    return found
+
+
+def test_small_parts_in_tasks_are_worked_out_right(spark, monkeypatch):
+    monkeypatch.setattr(A, "BUNDLE_EDGES", 30)
+    dice = random.Random(12)
+    found = [(10 * p + dice.randrange(8), 10 * p + dice.randrange(8), dice.choice([None, 0.25, 0.5, float("nan"), 1.0]), p) for p in range(12) for _ in range(dice.choice([3, 9, 20]))]
+    e = spark.createDataFrame([*found, (None, 3, 1.0, 0), (31, None, 1.0, 3)], "src long, dst long, confidence double, p int")
+    pairs = {r[:2] for r in found}
+    led = _led(pairs)
+    assert rows(P.strong_parts(e, part="p"), "node", "part") == sorted((a, min(c for c, d in led if (a, c) in led and (c, a) in led)) for a, b in led if a == b)
+    assert rows(G.relatives(e.selectExpr("src as node").where("node % 3 = 0"), e, down=False, part="p"), "node", "other") == sorted((b, a) for a, b in led if b % 3 == 0 and b in {x[0] for x in pairs})
+    rank = {}
+    for a, b, c, _ in found:
+        key = (c is not None, c != c, c if c is not None and c == c else 0, a, b)
+        rank[a, b] = min(key, rank.get((a, b), key))
+    gone = {(a, b) for a, b in pairs if a == b or (b, a) in _led({x for x in pairs if rank[x] > rank[a, b]})}
+    assert rows(G.break_cycles(e.where("src is not null and dst is not null"), part="p"), "src", "dst") == sorted(r[:2] for r in found if r[:2] not in gone) != []
+    kept = pairs - gone
+    implied = {(a, b) for a, b in kept if any(c == a and d != b and (d, b) in _led(kept) for c, d in kept)}
+    assert implied and gone and {tuple(r) for r in B.judged_edges(e.dropna(subset=["src", "dst"]), part="p").collect()} == {(*x, "cycle" if x in gone else "implied" if x in implied else "kept") for x in pairs}
+    acyclic = spark.createDataFrame([(a, b, a // 10) for a, b in kept], "src long, dst long, p int")
+    assert rows(G.reduction(acyclic, part="p"), "src", "dst") == sorted(kept - implied)
+    assert rows(P.reachable(e.selectExpr("src", "src + 1 + dst % 4 as dst"), e, part="p"), "src", "dst") == sorted({(a, a + 1 + b % 4) for a, b in pairs} & led)
+    monkeypatch.setattr(A, "PART_EDGES", 8)  # the larger parts go another way, and edges without a part
+    assert rows(G.closure(e.dropna(subset=["src", "dst"]).withColumn("p", F.expr("nullif(p, 5)")), part="p"), "src", "dst") == sorted(led)
+
+
+def test_many_small_parts_take_few_jobs(spark):
+    e = spark.range(0, 30_000, 1, 4).selectExpr("id as src", "id div 10 * 10 + (id + 1) % 10 as dst", "cast(hash(id) as double) as confidence", "id div 10 as p")
+    before = max(spark.sparkContext.statusTracker().getJobIdsForGroup(None), default=0)
+    assert G.break_cycles(e, part="p").count() == 27_000
+    assert max(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before <= 8  # each doubling of the paths stored all pairs before
