@@ -170,3 +170,19 @@ def test_pages_add_up_whatever_order_ranges_report_in(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(1, 2, [], "one\n\ntwo"), (2, 1, [1], None)]
     none = G.whole_files(spark.createDataFrame(ranges, planned), matched.limit(0))
     assert sorted((r["file"], r["missing"]) for r in none.collect()) == [(1, [1, 2]), (2, [1])] and G.file_progress(matched.limit(0)).count() == 0
+
+
+def test_pages_are_held_in_tables_between_batches(spark, tmp_path):
+    at = lambda d, m=0: dt.datetime(2024, 1, d, 0, m)
+    planned, said = "file long, chunk int, pages long, file_pages long, planned_at timestamp", "file long, chunk int, ts timestamp, event_id string, done long, text string"
+    ranges = [[(1, 1, 9, 9, at(1))], [(2, 1, 5, 5, at(1)), (3, None, 5, 5, at(1)), (4, 1, 5, 5, None)], [(5, 1, 7, 7, at(3))]]
+    reports = [[(2, 1, at(1, 9), "early", 4, "before its plan came")], [(1, 1, at(2), "a", 3, None), (4, 1, at(2), "z", 1, "never planned")], [(1, 1, at(9), "b", 9, "after the horizon"), (5, 1, at(3, 5), "c", 99, "x"), (2, 1, at(2), "d", 5, "y")]]
+    folders = [str(tmp_path / "plan"), str(tmp_path / "said")]
+    for k in range(3):  # a batch for each
+        spark.createDataFrame(ranges[k], planned).coalesce(1).write.mode("append").parquet(folders[0])
+        spark.createDataFrame(reports[k], said).coalesce(1).write.mode("append").parquet(folders[1])
+    plan, stream = (spark.readStream.schema(s).option("maxFilesPerTrigger", 1).parquet(f) for s, f in zip((planned, said), folders))
+    both = G.reported(plan, stream, delay="3 days")
+    matched = G.kept_reports(both)
+    assert sorted((r["file"], r["event_id"], r["done"]) for r in matched.collect()) == [(1, "a", 3), (2, "d", 5), (2, "early", 4), (5, "c", 7)]
+    assert len({f.split("batch=")[1].split("/")[0] for f in matched.inputFiles()}) == 3 and "Join" not in both._jdf.queryExecution().toString()  # no state of a join
