@@ -22,7 +22,7 @@ def unit_problem(line_count: Column) -> Column:
     """The first rule that a raw unit breaks, null if none: its lines are numbers, its defines are few enough, its lines are within the source and in order."""
     start, end = F.expr("try_cast(start_line AS int)"), F.expr("try_cast(end_line AS int)")
     return (
-        F.when(start.isNull(), "start_line").when(end.isNull(), "end_line").when(F.size(T.concepts(F.col("defines"))) > MOST_DEFINES, "defines")
+        F.when(start.isNull(), "start_line").when(end.isNull(), "end_line").when(F.size(T.concepts(F.when(F.size("defines") > MOST_DEFINES, F.col("defines")))) > MOST_DEFINES, "defines")
         .when((start < 1) | (end > line_count), "out_of_bounds").when(end < start, "inverted")
     )
 
@@ -49,47 +49,70 @@ def partition(raw: DataFrame, line_counts: DataFrame) -> DataFrame:
     return normalized_units(rows).withColumn("defines", F.when(F.col("problem") == "defines", F.array().cast("array<string>")).otherwise(F.col("defines"))).drop("line_count")
 
 
+def _keys(defines: Column) -> Column:
+    """The different keys of a unit's defines, without ''."""
+    return F.array_remove(F.array_distinct(F.transform(defines, lambda d: T.text_key(d, unicode=False))), "")
+
+
 def semantic_problems(units: DataFrame) -> DataFrame:
     """Valid units -> ``(source_id, kind, key, units)``: concepts without defines; in sources without any, keys that several concepts define.
 
-    ``units`` holds the (start_line, end_line, title) of the units in question, in order; ``key`` is '' where it says nothing.
+    ``units`` holds the (start_line, end_line, title) of the units in question, in order; ``key`` is '' where it says nothing. The units are gone over once, and all steps are by source.
     """
-    place = F.struct("start_line", "end_line", "title")
-    concepts = units.where("unit_kind = 'concept'")
-    empty = concepts.where(F.size("defines") == 0).select("source_id", F.lit("empty_defines").alias("kind"), F.lit("").alias("key"), F.array(place).alias("units"))
-    keys = concepts.select("source_id", place.alias("place"), F.explode(F.array_distinct(F.transform("defines", lambda d: T.text_key(d, unicode=False)))).alias("key")).where("key <> ''")
-    twice = keys.groupBy("source_id", "key").agg(F.array_sort(F.collect_list("place")).alias("units")).where(F.size("units") > 1)
-    twice = twice.join(empty.select("source_id").distinct(), "source_id", "left_anti").select("source_id", F.lit("duplicate_defines").alias("kind"), "key", "units")
-    return empty.unionByName(twice)
+    none = F.size("defines") == 0
+    w = Window.partitionBy("source_id").orderBy("start_line", "end_line", "title")
+    rows = units.where("unit_kind = 'concept'").select("source_id", "start_line", "end_line", "title", none.alias("none"), F.when(none, F.array(F.lit(""))).otherwise(_keys(F.col("defines"))).alias("keys"))
+    rows = rows.withColumn("bare", F.max("none").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("n", F.row_number().over(w)).where("none or not coalesce(bare, false)")
+    rows = rows.select("source_id", F.struct("start_line", "end_line", "title").alias("place"), F.coalesce("none", F.lit(False)).alias("none"), F.when(F.col("none"), F.col("n")).alias("own"), F.explode("keys").alias("key"))
+    found = rows.groupBy("source_id", "none", "own", "key").agg(F.array_sort(F.collect_list("place")).alias("units")).where("none or size(units) > 1")
+    return found.select("source_id", F.when(F.col("none"), "empty_defines").otherwise("duplicate_defines").alias("kind"), "key", "units")
+
+
+def _placed(parts: DataFrame) -> DataFrame:
+    """``partition`` rows with ``reach``, the furthest end of the valid units before a valid one, and ``prev_end``, the end of the one just before it."""
+    w = Window.partitionBy("source_id", "valid").orderBy("start_line", "end_line")
+    return parts.withColumn("reach", F.coalesce(F.max("end_line").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("prev_end", F.lag("end_line").over(w))
 
 
 def repair_stage(parts: DataFrame, line_counts: DataFrame) -> DataFrame:
     """``partition`` rows -> ``(source_id, stage)``: what has to be repaired first, 'coverage', then 'metadata'; null if nothing has.
 
-    Coverage: a unit whose lines are wrong, a gap, or an overlap. Metadata: other invalid units, or a semantic problem.
+    Coverage: a unit whose lines are wrong, a gap, or an overlap. Metadata: other invalid units, or a semantic problem. The units are gone over once, and all steps are by source.
     """
-    valid = parts.where("valid")
-    spans = valid.select("source_id", "start_line", "end_line")
-    some = lambda df, name: df.select("source_id", F.lit(True).alias(name)).distinct()
-    rows = line_counts.select("source_id")
-    for df, name in ((parts.where("problem <> 'defines'"), "lines"), (L.gaps(spans, line_counts), "gaps"), (L.overlaps(spans), "overlaps"), (parts.where("problem = 'defines'"), "metadata"), (semantic_problems(valid), "semantic")):
-        rows = rows.join(some(df, name), "source_id", "left")
-    yes = lambda *names: F.coalesce(*[F.col(n) for n in names], F.lit(False))
-    return rows.select("source_id", F.when(yes("lines", "gaps", "overlaps"), "coverage").when(yes("metadata", "semantic"), "metadata").alias("stage"))
+    concept = F.col("valid") & (F.col("unit_kind") == "concept")
+    lines = (F.col("problem") != "defines") | (F.col("valid") & ((F.col("start_line") > F.col("reach") + 1) | (F.col("start_line") <= F.col("prev_end"))))
+    fields = (F.col("problem") == "defines") | (concept & (F.size("defines") == 0))
+    rows = _placed(parts.select("source_id", "start_line", "end_line", "unit_kind", "defines", "problem", "valid"))
+    rows = rows.select("source_id", F.when(F.col("valid"), F.col("end_line")).alias("end"), lines.alias("lines"), fields.alias("fields"), F.explode_outer(F.when(concept, _keys(F.col("defines")))).alias("key"))
+    rows = rows.groupBy("source_id", "key").agg(F.max("end").alias("end"), F.max("lines").alias("lines"), F.max("fields").alias("fields"), (F.count("key") > 1).alias("twice"))
+    rows = rows.groupBy("source_id").agg(F.max("end").alias("end"), F.max("lines").alias("lines"), F.max(F.coalesce("fields", F.lit(False)) | F.col("twice")).alias("fields"))
+    tail = F.col("line_count") > F.coalesce("end", F.lit(0))
+    return line_counts.join(rows, "source_id", "left").select("source_id", F.when(F.col("lines") | tail, "coverage").when(F.col("fields"), "metadata").alias("stage"))
 
 
 def partition_summary(parts: DataFrame, line_counts: DataFrame, *, first: int = 3) -> DataFrame:
-    """``(source_id, summary)``: the first so many invalid units, gaps and overlaps of each source, as one text; '' if there are none."""
-    spans = parts.where("valid").select("source_id", "start_line", "end_line")
-    span = F.format_string("%d-%d", F.col("start_line"), F.col("end_line"))
-    rows = parts.where("not valid").select("source_id", F.lit("invalid").alias("kind"), F.col("idx").alias("at"), F.concat_ws(":", F.col("idx").cast("string"), "problem").alias("said"))
-    for kind, df in (("missing", L.gaps(spans, line_counts)), ("overlap", L.overlaps(spans))):
-        rows = rows.unionByName(df.select("source_id", F.lit(kind).alias("kind"), F.col("start_line").alias("at"), span.alias("said")))
-    w = Window.partitionBy("source_id", "kind").orderBy("at", "said")
-    rows = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= first)
-    kinds = rows.groupBy("source_id", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "said"))), lambda r: r["said"]), ", ").alias("said"))
-    whole = kinds.groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "kind", "said"))), "; ").alias("summary"))
-    return line_counts.select("source_id").join(whole, "source_id", "left").select("source_id", F.coalesce("summary", F.lit("")).alias("summary"))
+    """``(source_id, summary)``: the first so many invalid units, gaps and overlaps of each source, as one text; '' if there are none.
+
+    The units are gone over once, and all steps are by source; the gap behind the last unit comes last.
+    """
+    start, end = F.col("start_line"), F.col("end_line")
+    said = lambda when, kind, at, text: F.when(when, F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("at"), text.alias("said")))
+    span = lambda a, b: F.concat_ws("-", a.cast("string"), b.cast("string"))
+    found = F.array(
+        said(~F.col("valid"), "invalid", F.col("idx"), F.concat_ws(":", F.col("idx").cast("string"), "problem")),
+        said(F.col("valid") & (start > F.col("reach") + 1), "missing", F.col("reach") + 1, span(F.col("reach") + 1, start - 1)),
+        said(F.col("valid") & (start <= F.col("prev_end")), "overlap", start, span(start, F.least(end, F.col("prev_end")))),
+    )
+    rows = _placed(parts.select("source_id", "idx", "start_line", "end_line", "problem", "valid"))
+    rows = rows.select("source_id", F.when(F.col("valid"), end).alias("end"), F.explode_outer(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("source_id", "end", "x.*")
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("source_id", "kind").orderBy("at", "said")))
+    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & (F.col("k") <= first), F.struct("k", "said")))), lambda r: r["said"]).alias(kind)
+    rows = line_counts.join(rows.groupBy("source_id").agg(F.max("end").alias("end"), *map(of, ("invalid", "missing", "overlap"))), "source_id", "left")
+    reach, none = F.coalesce("end", F.lit(0)), F.array().cast("array<string>")
+    tail = F.when(F.col("line_count") > reach, F.array(span(reach + 1, F.col("line_count")))).otherwise(none)
+    kinds = {"invalid": F.col("invalid"), "missing": F.slice(F.concat(F.coalesce("missing", none), tail), 1, first), "overlap": F.col("overlap")}
+    whole = F.concat_ws("; ", *[F.when(F.size(x) > 0, F.concat(F.lit(f"{kind}="), F.array_join(x, ", "))) for kind, x in kinds.items()])
+    return rows.select("source_id", whole.alias("summary"))
 
 
 def is_auxiliary(defines: Column, kind: Column, title: Column, summary: Column) -> Column:
@@ -100,8 +123,9 @@ def is_auxiliary(defines: Column, kind: Column, title: Column, summary: Column)
 
 def mergeable(units: DataFrame, problems: DataFrame) -> DataFrame:
     """``problems(source_id, kind, start_line, end_line, title)`` with ``mergeable``: short units are, and units without defines that serve another."""
-    own = units.select("source_id", "start_line", "end_line", "title", is_auxiliary(F.col("defines"), F.col("unit_kind"), F.col("title"), F.col("summary")).alias("serves")).dropDuplicates(["source_id", "start_line", "end_line", "title"])
-    rows = problems.join(own, ["source_id", "start_line", "end_line", "title"], "left")
+    key = ["source_id", "start_line", "end_line", "title"]
+    own = units.select(*key, is_auxiliary(F.col("defines"), F.col("unit_kind"), F.col("title"), F.col("summary")).alias("serves")).groupBy(*key).agg(F.max("serves").alias("serves"))
+    rows = problems.join(own, key, "left")
     return rows.withColumn("mergeable", (F.col("kind") == "short_unit") | ((F.col("kind") == "empty_defines") & F.coalesce("serves", F.lit(False)))).drop("serves")
 
 

@@ -10,7 +10,7 @@ from loamgraph.operators import lines as L
 from loamgraph.operators import nodes as N
 from loamgraph.operators import repair as R
 from loamgraph.plans.registry import query
-from loamgraph.sources.stages import table
+from loamgraph.sources.stages import stored, table
 
 
 def text_of(c: str):
@@ -198,7 +198,7 @@ def _plan(spark, sf) -> tuple[DataFrame, DataFrame]:
         F.expr("cast(3 * idx - l_suppkey % 5 div 4 as string)").alias("end_line"), F.when(F.col("l_partkey") % 4 == 0, "").otherwise(F.col("p_name")).alias("title"), defines.alias("defines"), F.lit("").alias("summary"),
         F.when(F.col("l_returnflag") == "A", "Excercise").when(F.col("l_returnflag") == "R", "odd").otherwise("concept").alias("unit_kind"),
     )
-    counts = rows.groupBy(F.col("l_orderkey").alias("source_id")).agg((3 * F.max("idx")).cast("int").alias("line_count"))
+    counts = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("source_id")).agg((3 * F.count("*")).cast("int").alias("line_count"))
     return plan, counts
 
 
@@ -246,7 +246,11 @@ def partition_summaries(spark, sf):
 @query(f"""WITH {_PLAN} SELECT source_id, s AS start_line, e AS end_line, name AS title, idx % 3 = 0 OR (idx % 3 = 1 AND len(own) = 0 AND (kind <> 'concept' OR regexp_matches(lower(name || ' ' || name), '例题|习题|练习|应用|案例|示例|举例|题解|example|exercise|application|case|practice|problem'))) AS mergeable
 FROM done WHERE valid QUALIFY row_number() OVER (PARTITION BY source_id, s, e, name ORDER BY idx) = 1""")
 def mergeable_units(spark, sf):
-    units = R.partition(*_plan(spark, sf)).where("valid").dropDuplicates(["source_id", "start_line", "end_line", "title"])
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("source_id", "start_line", "end_line", "title").orderBy("idx")
+    valid = R.partition(*_plan(spark, sf)).where("valid").select("source_id", "idx", "start_line", "end_line", "title", "defines", "summary", "unit_kind")
+    units = stored(valid.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n"), "units")
     kind = F.element_at(F.array(*map(F.lit, ("short_unit", "empty_defines", "duplicate_defines"))), (F.col("idx") % 3 + 1).cast("int"))
     return R.mergeable(units, units.select("source_id", "start_line", "end_line", "title", kind.alias("kind"))).select("source_id", "start_line", "end_line", "title", "mergeable")
 

@@ -13,6 +13,7 @@ from loamgraph.functions import vectors as V
 from loamgraph.operators import build as B
 from loamgraph.operators import graph as G
 from loamgraph.operators import lines as L
+from loamgraph.operators import repair as R
 from loamgraph.operators import nodes as N
 from loamgraph.operators import schedule as K
 from loamgraph.operators import sections as D
@@ -465,3 +466,22 @@ def test_vectors_visit_cells_and_not_each_pivot(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK_BYTES", 40 * 64)
     assert rows(S.similarity_join(df, threshold=0.1, top_k=4), "id", "rank", "other") == whole
     assert [o for i, r, o in whole if i == 502 and r < 3] == [500, 501]
+
+
+def test_checks_of_a_plan_read_it_once(spark, tmp_path):
+    raw = [(s, k + 1, a, b, "t", d, "", "concept") for s, own in {
+        1: [("1", "3", ["a"]), ("4", "6", ["b"])], 2: [("1", "2", ["a"]), ("2", "3", ["b"]), ("5", "5", ["c"])], 3: [("1", "3", ["a"]), ("4", "6", ["A", "b"])],
+        4: [("1", "3", []), ("1", "3", []), ("4", "6", [*"abcde"])], 5: [("x", "3", ["a"]), ("4", "9", ["a"])],
+    }.items() for k, (a, b, d) in enumerate(own)]
+    for name, df in (("raw", spark.createDataFrame(raw, "source_id int, idx int, start_line string, end_line string, title string, defines array<string>, summary string, unit_kind string")),
+                     ("counts", spark.createDataFrame([(s, 6) for s in range(1, 7)], "source_id int, line_count int"))):
+        df.write.parquet(str(tmp_path / name))
+    counts = spark.read.parquet(str(tmp_path / "counts"))
+    R.partition(spark.read.parquet(str(tmp_path / "raw")), counts).write.parquet(str(tmp_path / "parts"))
+    parts = spark.read.parquet(str(tmp_path / "parts"))
+    stages, summaries, problems = R.repair_stage(parts, counts), R.partition_summary(parts, counts, first=2), R.semantic_problems(parts.where("valid"))
+    assert sorted(map(tuple, stages.collect())) == [(1, None), (2, "coverage"), (3, "metadata"), (4, "coverage"), (5, "coverage"), (6, "coverage")]
+    assert dict(map(tuple, summaries.collect())) == {1: "", 2: "missing=4-4, 6-6; overlap=2-2", 3: "", 4: "overlap=1-3", 5: "invalid=1:start_line, 2:out_of_bounds; missing=1-6", 6: "missing=1-6"}
+    assert sorted((r["source_id"], r["kind"], r["key"], len(r["units"])) for r in problems.collect()) == [(3, "duplicate_defines", "a", 2), (4, "empty_defines", "", 1), (4, "empty_defines", "", 1), (4, "empty_defines", "", 1)]
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (stages, summaries, problems)]
+    assert [p.count("Relation [") for p in plans] == [2, 2, 1]  # units, and counts of lines
