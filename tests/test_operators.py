@@ -485,3 +485,10 @@ def test_checks_of_a_plan_read_it_once(spark, tmp_path):
     assert sorted((r["source_id"], r["kind"], r["key"], len(r["units"])) for r in problems.collect()) == [(3, "duplicate_defines", "a", 2), (4, "empty_defines", "", 1), (4, "empty_defines", "", 1), (4, "empty_defines", "", 1)]
     plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (stages, summaries, problems)]
     assert [p.count("Relation [") for p in plans] == [2, 2, 1]  # units, and counts of lines
+
+
+def test_complete_documents_without_writing_rows_several_times(spark):
+    rows = [("a", "h", "m", 2), ("a", "h", "m", 2), ("b", "h", "m", 2), ("b", "i", "m", 2), ("c", "h", None, 1), ("d", None, None, None), ("e", "h", "m", 2), ("f", "h", "m", 1), ("f", "h", "m", 2)]
+    got = M.complete_documents(spark.createDataFrame(rows, "doc_id string, document_sha256 string, embedding_model string, document_chunk_count int"))
+    assert sorted(map(tuple, got.collect())) == [("a", True), *((d, False) for d in "bcdef")]
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
