@@ -492,3 +492,18 @@ def test_complete_documents_without_writing_rows_several_times(spark):
     got = M.complete_documents(spark.createDataFrame(rows, "doc_id string, document_sha256 string, embedding_model string, document_chunk_count int"))
     assert sorted(map(tuple, got.collect())) == [("a", True), *((d, False) for d in "bcdef")]
     assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_worker_holds_few_texts_as_objects(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([f"{k} " + "x" * 10_000 for k in range(2_000)] + [None])
+    of = T._by_text(lambda t: t + ".", "string").func
+    tracemalloc.start()
+    got = of(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 2_001 and got[1_999].as_py() == texts[1_999].as_py() + "." and got[2_000].as_py() is None and len(of(texts.slice(0, 0))) == 0
+    assert peak < 5_000_000
