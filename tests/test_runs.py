@@ -12,6 +12,7 @@ from loamgraph.operators import schedule as K
 from loamgraph.operators import sections as D
 from loamgraph.operators import windows as W
 from loamgraph.streaming import pages as G
+from loamgraph.streaming import progress as P
 from loamgraph.streaming import publish as U
 from loamgraph.streaming import runs as Q
 
@@ -186,3 +187,29 @@ def test_pages_are_held_in_tables_between_batches(spark, tmp_path):
     matched = G.kept_reports(both)
     assert sorted((r["file"], r["event_id"], r["done"]) for r in matched.collect()) == [(1, "a", 3), (2, "d", 5), (2, "early", 4), (5, "c", 7)]
     assert len({f.split("batch=")[1].split("/")[0] for f in matched.inputFiles()}) == 3 and "Join" not in both._jdf.queryExecution().toString()  # no state of a join
+
+
+def test_progress_is_folded_by_windows_as_step_by_step(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "WHOLE", 2)
+    pick, schema = random.Random(5), "project long, stage string, run long, ts timestamp, event_id long, step int, total int, failed boolean"
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    batches = [[(pick.choice((1, 2, None)), pick.choice("ab"), pick.choice((1, 1, 2, 3, None)) if b else pick.choice((0, 1)), at(pick.randrange(20)), 100 * b + k, pick.choice((0, 1, 3, -1)), pick.choice((0, 1, 2)), pick.choice((None, False, False, True) if k % 4 == 0 else (False,))) for k in range(40)] for b in range(5)]
+    batches[4] += [(3, None, 1, at(1), 900, None, 2, None), (3, None, -5, at(0), 901, 1, 1, True)]  # a null step is none, a run before the first is late
+    want = {}
+    for batch in batches:
+        for project, stage, run, _, _, step, more, failed in sorted(batch, key=lambda e: (e[3], e[4])):
+            now, done, total, status = want.setdefault((project, stage), (-1, 0, 0, "pending"))
+            if run is not None and run < now:
+                continue
+            if run is not None and run > now:
+                now, status = run, "pending" if status == "failed" else status
+            if status != "failed":
+                total += more or 0
+                done = min(done + (step or 0), total)
+                status = "failed" if failed else "complete" if total and done >= total else "running" if done else "pending"
+            want[project, stage] = (now, done, total, status)
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = P.latest_states(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    assert {(r["project"], r["stage"]): (r["run"], r["done"], r["total"], r["status"]) for r in got.collect()} == want
+    plan = P.advanced(spark.createDataFrame(batches[0], schema))._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Arrow" not in plan  # no call of Python for each stage
