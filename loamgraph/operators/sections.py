@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +37,6 @@ def sections(texts: DataFrame, *, key: str = "doc") -> DataFrame:
     return rows.select(key, "ord", name.alias("heading"), T.strip(body).alias("body"))
 
 
-def _with(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once, however often it is used: written out, steps on steps would grow exponentially."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _place(all_pieces: Column, title: str) -> Column:
     """Where the first piece of a title is, from 1; 0 without one."""
     return F.array_position(F.transform(all_pieces, heading), title).cast("int")
@@ -51,12 +44,12 @@ def _place(all_pieces: Column, title: str) -> Column:
 
 def _before(all_pieces: Column, title: str) -> Column:
     """The pieces before the first of a title; all without one."""
-    return _with(_place(all_pieces, title), lambda at: F.when(at > 0, F.slice(all_pieces, 1, F.greatest(at - 1, F.lit(0)))).otherwise(all_pieces))
+    return T.once(_place(all_pieces, title), lambda at: F.when(at > 0, F.slice(all_pieces, 1, F.greatest(at - 1, F.lit(0)))).otherwise(all_pieces))
 
 
 def _from(all_pieces: Column, title: str) -> Column:
     """The pieces from the first of a title on; none without one."""
-    return _with(_place(all_pieces, title), lambda at: F.filter(all_pieces, lambda p, k: (at > 0) & (k >= at - 1)))
+    return T.once(_place(all_pieces, title), lambda at: F.filter(all_pieces, lambda p, k: (at > 0) & (k >= at - 1)))
 
 
 def _text(some: Column) -> Column:
@@ -70,10 +63,10 @@ def without_preamble(text: Column) -> Column:
         after = lambda rest: F.filter(rest, lambda p, k: k > 0)
         other = lambda p: ~heading(p).rlike(rf"(?U)\A{PREREQUISITES}\b")
         first = lambda some: F.array_position(F.transform(some, other), True)
-        kept = lambda some: _with(first(some), lambda at: F.filter(some, lambda p, k: (at > 0) & (k >= at - 1)))
-        return _with(_from(pieces(own), PREREQUISITES), lambda rest: F.when(own.rlike(r"\A#\s+\S") & (F.size(rest) > 0), _text(_with(after(rest), kept))).otherwise(own))
+        kept = lambda some: T.once(first(some), lambda at: F.filter(some, lambda p, k: (at > 0) & (k >= at - 1)))
+        return T.once(T.once(pieces(own), lambda all_pieces: _from(all_pieces, PREREQUISITES)), lambda rest: F.when(own.rlike(r"\A#\s+\S") & (F.size(rest) > 0), _text(T.once(after(rest), kept))).otherwise(own))
 
-    return _with(T.strip(text), of)
+    return T.once(T.strip(text), of)
 
 
 def goal_text(body: Column) -> Column:
@@ -84,7 +77,7 @@ def goal_text(body: Column) -> Column:
         return T.strip(F.when(goal > 0, F.substring(text, goal, till)).when(after > 0, F.substring(text, after, F.length(text))).otherwise(text))
 
     signs = lambda t: F.struct(t.alias("t"), F.regexp_instr(t, F.lit(GOAL_SIGN)).alias("g"), F.regexp_instr(t, F.lit(NEED_SIGN)).alias("n"), F.instr(t, AFTER_SIGN).alias("a"))
-    return _with(_with(body, signs), lambda x: of(x["t"], x["g"], x["n"], x["a"]))
+    return T.once(T.once(body, signs), lambda x: of(x["t"], x["g"], x["n"], x["a"]))
 
 
 def normal_learning(text: Column) -> Column:
@@ -93,16 +86,16 @@ def normal_learning(text: Column) -> Column:
     def of(own: Column) -> Column:
         second = F.coalesce(F.get(own, F.lit(1)), F.lit(""))
         goal = goal_text(T.strip(F.regexp_replace(second, r"(?s)\A##[^\n]*\n", "")))
-        head = _with(goal, lambda g: F.when(g != "", F.concat(F.lit(f"## {GOAL}\n\n"), g, F.lit("\n\n"))).otherwise(""))
+        head = T.once(goal, lambda g: F.when(g != "", F.concat(F.lit(f"## {GOAL}\n\n"), g, F.lit("\n\n"))).otherwise(""))
         new = T.strip(F.concat(head, _text(F.filter(own, lambda p, k: k > 1))))
         return F.when((F.get(own, F.lit(0)) == "") & (heading(second) == LEARNING), new).otherwise(_text(own))
 
-    return _with(pieces(T.strip(text)), of)
+    return T.once(pieces(T.strip(text)), of)
 
 
 def without_trace(text: Column) -> Column:
     """A text up to its trace of sources, which goes to the end."""
-    return _with(pieces(T.strip(text)), lambda own: _text(_before(own, TRACE)))
+    return T.once(pieces(T.strip(text)), lambda own: _text(_before(own, TRACE)))
 
 
 def formatted_draft(preamble: Column, body: Column, trace: Column) -> Column:
@@ -112,7 +105,7 @@ def formatted_draft(preamble: Column, body: Column, trace: Column) -> Column:
     """
     own = F.coalesce(body, F.lit(""))
     for step in (T.strip_front_matter, without_preamble, T.strip_first_title, normal_learning, without_trace):
-        own = _with(own, step)
+        own = T.once(own, step)
     return F.concat(preamble, F.lit("\n\n"), own, F.lit("\n"), F.when(F.coalesce(trace, F.lit("")) != "", F.concat(F.lit("\n"), trace, F.lit("\n"))).otherwise(""))
 
 
@@ -129,7 +122,7 @@ def restored(current: Column, revised: Column) -> Column:
     """
     now, new = T.strip(F.coalesce(current, F.lit(""))), T.strip(F.coalesce(revised, F.lit("")))
     title = T.strip(F.regexp_extract(now, r"\A(#\s+[^\n]+)", 1))
-    need = _with(pieces(now), lambda own: F.coalesce(T.strip(F.get(_from(own, PREREQUISITES), F.lit(0))), F.lit("")))
-    trace = _with(pieces(now), lambda own: _text(_from(own, TRACE)))
-    body = _with(pieces(T.strip(F.regexp_replace(new, r"\A#\s+[^\n]+\n+", ""))), lambda own: _text(F.filter(_before(own, TRACE), lambda p: heading(p) != PREREQUISITES)))
+    need = T.once(pieces(now), lambda own: F.coalesce(T.strip(F.get(_from(own, PREREQUISITES), F.lit(0))), F.lit("")))
+    trace = T.once(pieces(now), lambda own: _text(_from(own, TRACE)))
+    body = T.once(pieces(T.strip(F.regexp_replace(new, r"\A#\s+[^\n]+\n+", ""))), lambda own: _text(F.filter(_before(own, TRACE), lambda p: heading(p) != PREREQUISITES)))
     return F.concat(T.strip(F.array_join(F.filter(F.array(title, need, body, trace), lambda p: p != ""), "\n\n")), F.lit("\n"))

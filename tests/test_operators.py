@@ -181,6 +181,25 @@ def test_chunks(spark):
     assert "".join(parts) == text and parts[1].startswith("# H")
 
 
+def test_chunks_work_out_a_text_once(spark):
+    docs = spark.createDataFrame([(1, "## A &amp; b\n" + "word " * 4000 + "\n## B\nshort"), (2, ""), (None, None)], "doc_id long, text string")
+    chunked = C.chunks(C.heading_sections(docs))
+    plan = chunked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and "Union" not in plan and plan.count("Generate") == 3
+    got = chunked.orderBy("chunk_index").collect()
+    assert {r["doc_id"] for r in got} == {1} and [r["section_id"] for r in got][:: len(got) - 1] == ["A---b", "B"] and got[-1]["chunk_id"] == f"1-{len(got) - 1:03d}"
+    many = spark.createDataFrame([("".join(f"# H{k % 1500}\n" for k in range(3000)),)], "t string")  # keys of headings are made once, not for each heading
+    path = many.select(T.heading_path(F.col("t"), F.lit("s"), limit=2000).alias("p"))
+    assert path.first()["p"] == [f"H{k}" for k in range(1500)]
+
+
+def test_white_space_goes_without_patterns(spark):
+    df = spark.createDataFrame([(f"{a}\n x{a}y {b}\r\n",) for a in T.WHITE_SPACE for b in (a, "\u3000")] + [("\u200b\x1c",), ("",), (None,), (" \n",)], "t string")
+    got = [r[0] for r in df.select(T.strip(F.col("t"))).collect()]
+    assert got == [f"x{a}y" for a in T.WHITE_SPACE for _ in "ab"] + ["\u200b\x1c", "", None, ""]
+    assert "regexp" not in df.select(T.strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def edges(spark, *e):
     return spark.createDataFrame(list(e), "src string, dst string, confidence double")
 
