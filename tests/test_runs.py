@@ -213,3 +213,11 @@ def test_progress_is_folded_by_windows_as_step_by_step(spark, tmp_path, monkeypa
     assert {(r["project"], r["stage"]): (r["run"], r["done"], r["total"], r["status"]) for r in got.collect()} == want
     plan = P.advanced(spark.createDataFrame(batches[0], schema))._jdf.queryExecution().executedPlan().toString()
     assert "Pandas" not in plan and "Arrow" not in plan  # no call of Python for each stage
+
+
+def test_a_step_of_a_draft_cuts_its_text_once(spark):
+    df = spark.createDataFrame([("# T\n\n## 先修前置\n\n- p\n\n## 正文\nx\u3000",), ("---\na: b\n---\n# T\n\nbody",), (None,)], "t string")
+    step = df.select(D.without_preamble(F.col("t")).alias("t"), D.T.strip_front_matter(F.col("t")).alias("u"))
+    assert [r["t"] for r in step.collect()] == ["## 正文\nx", "---\na: b\n---\n# T\n\nbody", None] and [r["u"] for r in step.collect()][1] == "# T\n\nbody"
+    plan = step._jdf.queryExecution().optimizedPlan().toString()
+    assert r"(?U)^\s+" not in plan  # the pattern that all steps stripped texts by
