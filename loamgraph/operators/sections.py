@@ -12,6 +12,10 @@ from loamgraph.operators.evidence import PREAMBLE_HEAD, TRACE_HEAD
 PREREQUISITES, TRACE = PREAMBLE_HEAD[3:], TRACE_HEAD[3:]
 LEARNING, GOAL = "学习目标与先修前置", "学习目标"
 GOAL_SIGN, NEED_SIGN, AFTER_SIGN = r"(?:\*\*)?学习目标(?:\*\*)?[：:]", r"(?:\*\*)?先修(?:知识|前置)?(?:\*\*)?[：:]", "学习完成后"
+#: Patterns: white space within a line, where a section ends, and what is left of one after its heading. Possessive steps keep them linear in a text.
+BLANK = f"[{T.WHITE_SPACE}&&[^\n]]"
+END = r"(?=\n##\s|\z)"
+REST = f".*?{END}"
 
 
 def pieces(text: Column) -> Column:
@@ -20,11 +24,6 @@ def pieces(text: Column) -> Column:
     return F.transform(cut, lambda p, k: F.when(k == 0, F.substring(p, 2, 2**31 - 1)).otherwise(p))
 
 
-def heading(piece: Column) -> Column:
-    """The heading of a piece whose heading has a line of its own; '' for others."""
-    return T.strip(F.regexp_extract(piece, r"(?s)\A##\s+([^\n]*)\n", 1))
-
-
 def sections(texts: DataFrame, *, key: str = "doc") -> DataFrame:
     """``(key, text)`` -> ``(key, ord, heading, body)``: section 0 is what comes before the first heading, with heading ''. A null text gives no rows.
 
@@ -37,36 +36,32 @@ def sections(texts: DataFrame, *, key: str = "doc") -> DataFrame:
     return rows.select(key, "ord", name.alias("heading"), T.strip(body).alias("body"))
 
 
-def _place(all_pieces: Column, title: str) -> Column:
-    """Where the first piece of a title is, from 1; 0 without one."""
-    return F.array_position(F.transform(all_pieces, heading), title).cast("int")
-
-
-def _before(all_pieces: Column, title: str) -> Column:
-    """The pieces before the first of a title; all without one."""
-    return T.once(_place(all_pieces, title), lambda at: F.when(at > 0, F.slice(all_pieces, 1, F.greatest(at - 1, F.lit(0)))).otherwise(all_pieces))
+def _head(title: str) -> str:
+    """The line end and the line that begin a section of that title, as a pattern. The heading needs a line of its own that ends."""
+    return rf"\n##\s++{BLANK}*+{title}{BLANK}*+(?=\n)"
 
 
-def _from(all_pieces: Column, title: str) -> Column:
-    """The pieces from the first of a title on; none without one."""
-    return T.once(_place(all_pieces, title), lambda at: F.filter(all_pieces, lambda p, k: (at > 0) & (k >= at - 1)))
+def _without_trace(own: Column) -> Column:
+    """A plain heading where the title is first named is cut off without a pattern over the text."""
+    other = T.strip_long(F.regexp_replace(F.concat(F.lit("\n"), own), rf"(?s){_head(TRACE)}.*", ""))
+    plain = lambda x: F.endswith(x[0], F.lit("\n## ")) & F.startswith(x[1], F.lit("\n"))
+    return T.once(F.split(own, TRACE, 2), lambda x: F.when(F.size(x) < 2, own).when(plain(x), T.strip_long(T.without_end(x[0], 4))).otherwise(other))
 
 
-def _text(some: Column) -> Column:
-    return T.strip(F.array_join(some, ""))
+def _without_preamble(own: Column) -> Column:
+    # not one group for all sections: the possessive one is walked in a loop, however many there are
+    gone = rf"(?s)\A.*?{_head(PREREQUISITES)}{REST}(?:\n##\s++{BLANK}*+{PREREQUISITES}(?U:\b)[^\n]*+(?=\n){REST})*+"
+    both = own.startswith("#") & ~own.startswith("##") & F.contains(own, F.lit(PREREQUISITES)) & own.rlike(r"\A#\s+\S")
+    return F.when(both, T.strip_long(F.regexp_replace(own, gone, ""))).otherwise(own)
 
 
 def without_preamble(text: Column) -> Column:
     """A text without its title and prerequisites, if it has both: what follows them; '' if nothing does. Of several such sections in a row, all go."""
+    return T.once(T.strip_long(text), _without_preamble)
 
-    def of(own: Column) -> Column:
-        after = lambda rest: F.filter(rest, lambda p, k: k > 0)
-        other = lambda p: ~heading(p).rlike(rf"(?U)\A{PREREQUISITES}\b")
-        first = lambda some: F.array_position(F.transform(some, other), True)
-        kept = lambda some: T.once(first(some), lambda at: F.filter(some, lambda p, k: (at > 0) & (k >= at - 1)))
-        return T.once(T.once(pieces(own), lambda all_pieces: _from(all_pieces, PREREQUISITES)), lambda rest: F.when(own.rlike(r"\A#\s+\S") & (F.size(rest) > 0), _text(T.once(after(rest), kept))).otherwise(own))
 
-    return T.once(T.strip(text), of)
+def _without_title(own: Column) -> Column:
+    return F.when(own.startswith("#"), T.strip_long(T.strip_first_title(own))).otherwise(own)
 
 
 def goal_text(body: Column) -> Column:
@@ -80,22 +75,21 @@ def goal_text(body: Column) -> Column:
     return T.once(T.once(body, signs), lambda x: of(x["t"], x["g"], x["n"], x["a"]))
 
 
-def normal_learning(text: Column) -> Column:
-    """A text that begins with goals and prerequisites keeps its goals only, under their own heading."""
+def _normal_learning(own: Column) -> Column:
+    first = rf"(?s)\A##[^\n]*(.*?){END}"
+    head = T.once(goal_text(T.strip(F.regexp_extract(own, first, 1))), lambda g: F.when(g != "", F.concat(F.lit(f"## {GOAL}\n\n"), g, F.lit("\n\n"))).otherwise(""))
+    new = T.strip_long(F.concat(head, F.ltrim(F.regexp_replace(own, first, ""), F.lit(T.WHITE_SPACE))))
+    return F.when(own.startswith("##") & own.rlike(rf"\A{_head(LEARNING)[2:]}"), new).otherwise(own)
 
-    def of(own: Column) -> Column:
-        second = F.coalesce(F.get(own, F.lit(1)), F.lit(""))
-        goal = goal_text(T.strip(F.regexp_replace(second, r"(?s)\A##[^\n]*\n", "")))
-        head = T.once(goal, lambda g: F.when(g != "", F.concat(F.lit(f"## {GOAL}\n\n"), g, F.lit("\n\n"))).otherwise(""))
-        new = T.strip(F.concat(head, _text(F.filter(own, lambda p, k: k > 1))))
-        return F.when((F.get(own, F.lit(0)) == "") & (heading(second) == LEARNING), new).otherwise(_text(own))
 
-    return T.once(pieces(T.strip(text)), of)
+def normal_learning(text: Column) -> Column:
+    """A text that begins with goals and prerequisites keeps its goals only, under their own heading."""
+    return T.once(T.strip_long(text), _normal_learning)
 
 
 def without_trace(text: Column) -> Column:
     """A text up to its trace of sources, which goes to the end."""
-    return T.once(pieces(T.strip(text)), lambda own: _text(_before(own, TRACE)))
+    return T.once(T.strip_long(text), _without_trace)
 
 
 def formatted_draft(preamble: Column, body: Column, trace: Column) -> Column:
@@ -104,7 +98,7 @@ def formatted_draft(preamble: Column, body: Column, trace: Column) -> Column:
     Formatting what has been formatted changes nothing. A null body is empty, a null or empty trace is left out, and a null preamble gives null.
     """
     own = F.coalesce(body, F.lit(""))
-    for step in (T.strip_front_matter, without_preamble, T.strip_first_title, normal_learning, without_trace):
+    for step in (T.strip_front_matter, _without_preamble, _without_title, _normal_learning, _without_trace):  # each takes and gives a stripped text
         own = T.once(own, step)
     return F.concat(preamble, F.lit("\n\n"), own, F.lit("\n"), F.when(F.coalesce(trace, F.lit("")) != "", F.concat(F.lit("\n"), trace, F.lit("\n"))).otherwise(""))
 
@@ -122,7 +116,8 @@ def restored(current: Column, revised: Column) -> Column:
     """
     now, new = T.strip(F.coalesce(current, F.lit(""))), T.strip(F.coalesce(revised, F.lit("")))
     title = T.strip(F.regexp_extract(now, r"\A(#\s+[^\n]+)", 1))
-    need = T.once(pieces(now), lambda own: F.coalesce(T.strip(F.get(_from(own, PREREQUISITES), F.lit(0))), F.lit("")))
-    trace = T.once(pieces(now), lambda own: _text(_from(own, TRACE)))
-    body = T.once(pieces(T.strip(F.regexp_replace(new, r"\A#\s+[^\n]+\n+", ""))), lambda own: _text(F.filter(_before(own, TRACE), lambda p: heading(p) != PREREQUISITES)))
+    need = T.strip(F.regexp_extract(F.concat(F.lit("\n"), now), rf"(?s){_head(PREREQUISITES)}{REST}", 0))
+    trace = T.strip(F.regexp_extract(F.concat(F.lit("\n"), now), rf"(?s){_head(TRACE)}.*", 0))
+    body = F.concat(F.lit("\n"), T.strip(F.regexp_replace(new, r"\A#\s+[^\n]+\n+", "")))
+    body = T.strip(F.regexp_replace(F.regexp_replace(body, rf"(?s){_head(TRACE)}.*", "\n"), rf"(?s){_head(PREREQUISITES)}{REST}", ""))
     return F.concat(T.strip(F.array_join(F.filter(F.array(title, need, body, trace), lambda p: p != ""), "\n\n")), F.lit("\n"))

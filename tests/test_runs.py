@@ -221,3 +221,25 @@ def test_a_step_of_a_draft_cuts_its_text_once(spark):
     assert [r["t"] for r in step.collect()] == ["## 正文\nx", "---\na: b\n---\n# T\n\nbody", None] and [r["u"] for r in step.collect()][1] == "# T\n\nbody"
     plan = step._jdf.queryExecution().optimizedPlan().toString()
     assert r"(?U)^\s+" not in plan  # the pattern that all steps stripped texts by
+
+
+def test_drafts_are_formatted_without_cutting_them_into_pieces(spark):
+    many = "# T\n" + "\n## 先修前置\n\n- p\n" * 5000 + "\n##  先修前置 again\nq\n\n## 先修前置x\nkept"
+    cases = [
+        (many, "## 先修前置x\nkept"), ("# T\n\n##\n　先修前置\nx\n## 来源追溯\nold", ""), ("# T\n## 先修前置\n## 来源追溯\n", "## 来源追溯"), ("# T\n来源追溯\n\n##\t来源追溯 　\n- old", "# T\n来源追溯"),
+        ("## 学习目标与先修前置\n## 来源追溯\nx", ""), ("##\n\n学习目标与先修前置\n学习目标：g\n先修：k\n## y\nz", "## 学习目标\n\n学习目标：g\n\n## y\nz"), ("x\n##" + " " * 100000 + "来源追溯", "x\n##" + " " * 100000 + "来源追溯"),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, t string")
+    out = df.select("k", D.without_trace(D.normal_learning(D.without_preamble(F.col("t")))).alias("t"), D.formatted_draft(F.lit(""), F.col("t"), F.lit(None).cast("string")).alias("u"))
+    got = {r["k"]: r for r in out.collect()}
+    assert [got[k]["t"] for k in range(len(cases))] == [want for _, want in cases]
+    assert got[3]["u"] == "\n\n来源追溯\n" and all(got[k]["u"] == f"\n\n{cases[k][1]}\n" for k in (0, 2, 4, 5, 6))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert r"(?=^##\s)" not in plan and "btrim" not in plan  # the cut of all sections, and the trim that walks over all of a text
+
+
+def test_long_texts_are_stripped_at_their_ends(spark):
+    ends = ["", "\n", " 　\x85", " " * 20, "\n" + "　" * 20, "　" * 21, " \n" * 31, " " * 64, "\xa0" * 500]
+    texts = [a + x + b for a in ("", "　\n") for x in ("", "x", "溯", "追溯", "𝒳", "é" * 50) for b in ends]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    assert [(r["t"], r["s"]) for r in df.select("t", D.T.strip_long(F.col("t")).alias("s")).collect()] == [(t, t.strip()) for t in texts] + [(None, None)]
