@@ -135,7 +135,8 @@ def near_pairs(fps: DataFrame, *, radius: int = 4, blocks: int = 7, chunk: int =
     masks = block_masks(radius, blocks)
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks)])).alias("b")).select("fp", "b.*")
     shared = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = keyed.join(shared, ["mask", "key"]).withColumn("chunks", F.ceil(F.col("n") / F.lit(chunk)).cast("int"))
+    # A merge join: both sides are sized by the fingerprints before their copies for the masks, and would be broadcast by that.
+    members = keyed.join(shared.hint("merge"), ["mask", "key"]).withColumn("chunks", F.ceil(F.col("n") / F.lit(chunk)).cast("int"))
     members = members.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     members = members.withColumn("other", F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
     # Equal keys get equal group numbers; two groups that share a number by chance are only compared for nothing.

@@ -213,6 +213,16 @@ def test_large_buckets_lose_no_link(spark):
     assert simhash_dedup.simhash_components(docs_of(spark, []).limit(0)).count() == 0
 
 
+def test_copies_for_masks_are_not_broadcast(spark):
+    fps = spark.range(5_000).selectExpr("explode(array(xxhash64(id), xxhash64(id) ^ 1)) as fp").distinct()
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1m")
+    try:
+        links = simhash_dedup.near_pairs(fps).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert len(links) == 5_000 and {u ^ v for u, v in links} == {1}
+
+
 # Mixing
 
 
