@@ -250,13 +250,14 @@ def reachable(pairs: DataFrame, edges: DataFrame, *, part: str | None = None) ->
 
     Where ``part`` names a column that both ends of an edge share, pairs are looked up in what small parts lead to (``parts``).
     """
+    asked = pairs.select("src", "dst").hint("merge")  # never broadcast: pairs made by an explode are sized by the rows before it
     if part:
         small, large, bundles = A.split(edges, part)
-        found = A.worked_out(small, part, bundles, A.reached, ["src", "dst"], A.ends(edges)).join(pairs.select("src", "dst"), ["src", "dst"], "left_semi")
+        found = A.worked_out(small, part, bundles, A.reached, ["src", "dst"], A.ends(edges)).join(asked, ["src", "dst"], "left_semi")
         return found if large is None else found.unionByName(reachable(pairs, large))
     ix = index(edges)
     known = ix.select(F.col("src").alias("node"), F.col("s").alias("k")).unionByName(ix.select(F.col("dst").alias("node"), F.col("d").alias("k"))).dropDuplicates(["node"])
-    start = pairs.select("src", "dst").distinct().join(known.select(F.col("node").alias("src"), F.col("k").alias("kx")), "src").join(known.select(F.col("node").alias("dst"), F.col("k").alias("ky")), "dst")
+    start = asked.distinct().join(known.select(F.col("node").alias("src"), F.col("k").alias("kx")), "src").join(known.select(F.col("node").alias("dst"), F.col("k").alias("ky")).hint("merge"), "dst")
     return _led(ix, start.where(_maybe(F.col("kx"), F.col("ky"))).select("src", "dst", F.col("src").alias("x"), F.col("dst").alias("y"), "kx", "ky"))
 
 

@@ -73,6 +73,18 @@ def test_reachable_pairs(spark):
     assert rows(P.reachable(frame(spark, ask), frame(spark, pairs)), "src", "dst") == sorted((a, b) for a, b in ask if b in to.get(a, ()))
 
 
+@pytest.mark.parametrize("part", ["p", None])
+def test_asked_pairs_are_not_broadcast(spark, part):
+    e = spark.range(1_000).where("id % 10 < 9").selectExpr("id as src", "id + 1 as dst", "id div 10 as p")
+    ask = spark.range(1_000).selectExpr("id as src", "explode(sequence(1, 800)) as k").selectExpr("src", "src + k as dst")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "20m")  # a table of a few rows may take 16.5 MB
+    try:
+        got = rows(P.reachable(ask, e, part=part), "src", "dst")
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert got == [(a, b) for a in range(1_000) for b in range(a + 1, a // 10 * 10 + 10)]
+
+
 def test_a_long_chain_with_branches_and_a_cycle(spark):
     n = 20_000
     place = list(range(n))
