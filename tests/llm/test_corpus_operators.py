@@ -223,6 +223,16 @@ def test_copies_for_masks_are_not_broadcast(spark):
     assert len(links) == 5_000 and {u ^ v for u, v in links} == {1}
 
 
+def test_the_pipelines_dedup_broadcasts_no_copies_for_masks(spark):
+    docs = spark.range(40_000, numPartitions=4).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(0, 7), k -> xxhash64(id div 2, k))) as text")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "20m")  # a table of a few rows may take 16.5 MB
+    try:
+        kept = sorted(r[0] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").select("doc_id").collect())
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert kept == list(range(0, 40_000, 2))
+
+
 # Mixing
 
 
